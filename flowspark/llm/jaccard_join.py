@@ -109,7 +109,7 @@ def packed(r: np.ndarray, keys: np.ndarray, doc: np.ndarray, columns: dict[str,
     columns = {k: v[order] for k, v in columns.items()}
     heads = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, np.int64)
     out = {"r": [], "keys": [], "counts": [], **{k: [] for k in columns}}
-    for lo, hi in zip(heads, np.r_[heads[1:], len(r)], strict=True):
+    for lo, hi in zip(heads, np.r_[heads, len(r)][1:], strict=True):
         d = doc[lo:hi]
         first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
         out["r"].append(int(r[lo]))
@@ -277,7 +277,7 @@ def _large_regions(members: DataFrame, size: int, percent: int) -> DataFrame:
         hub = np.full(comp.max() + 1, -1)
         hub[comp[::-1]] = np.arange(len(comp))[::-1]
         own = rows["rank"].to_numpy() == 0
-        return pd.DataFrame({"region": rows["region"].to_numpy()[own], "key": keys[own], "hub": keys[hub[comp]][own], "far": list(far.T[own])})
+        return pd.DataFrame({"region": rows["region"].to_numpy()[own], "key": keys[own], "hub": keys[hub[comp]][own], "far": pd.Series(list(far.T[own]), dtype=object)})
 
     seen = dealt.unionByName(of_all).groupBy("region", "block").applyInPandas(block, "region long, key long, hub long, far array<double>")
     seen = materialize(seen, "jaccard-blocks")

@@ -1,32 +1,33 @@
 """Sharding by size-tiered compaction.
 
 A sharded table is a folder of immutable Parquet shards and versioned manifests.  Arrivals are
-appended as small shards; a compaction takes, tier by tier (a tier spans a factor of ``fan``
-in bytes), every run of ``fan`` or more shards of similar size and rewrites them as shards of the
-target size.  A version is one manifest, itself a small Parquet table of its shards' files, written
+appended as small shards; a compaction takes, tier by tier (a tier spans a factor of ``fan`` in
+bytes), every set of ``fan`` or more shards of one tier and rewrites it as shards of about the
+target size.  A version is a manifest, itself a small Parquet table with one row a shard, written
 aside and then renamed to its number: the rename is the commit, it fails if that version exists, and
-readers see the old version or the new one, never half of one.  Files are never changed or removed by
-a commit; `vacuum` drops files that no manifest names.
+readers see the old version or the new one, never half of one.  A commit never changes or removes
+a data file; `vacuum` drops what no manifest of the last versions names.
 
-Rows get their shard by their own size: bytes are summed in a fixed order of buckets (a digest of
-the row's key, so no source or group of copies shares one) and cut at the target, which needs one
-shuffle by shard and no order over the whole table.  A row larger than the target is a shard of
-its own.  Column functions only; the driver handles file names and counts, never rows.
+A row's shard is a digest of its key (all its columns unless named) modulo the shards wanted, so
+shards are even whatever source or group of copies a row belongs to, a task that runs twice deals
+alike, and one shuffle by shard writes each as one file; a shard holds much over its target only
+if one row, or the rows of one key, do.  Column functions only; the driver handles names and
+counts of shards, never rows.
 
 Defined cases: null keys and texts are ordinary rows of 0 bytes; repeated rows all stay; an empty
-arrival commits a version with no new shard; columns named ``_shard``, ``_bytes`` are refused.
+arrival commits a version without a new shard; a table without rows cannot be read; columns
+named ``run``, ``shard`` or ``_shard`` are refused.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MANIFEST = "shard string, tier int, n_rows long, n_bytes long, added long"
-#: Rows of a bucket on average; buckets are what the driver sums and cuts into shards.
-BUCKET_ROWS = 250
+MANIFEST = "run string, shard int, tier int, n_rows long, n_bytes long, added long"
 
 
 class Conflict(RuntimeError):
@@ -34,57 +35,88 @@ class Conflict(RuntimeError):
 
 
 class ShardedTable:
-    def __init__(self, spark: SparkSession, path: str, target: int = 128 << 20, fan: int = 4):
-        self.spark, self.path, self.target, self.fan = spark, path.rstrip("/"), target, fan
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+    def __init__(self, spark: SparkSession, path: str, size: Column, key: Column | None = None, target: int = 128 << 20, fan: int = 4):
+        """``size``: bytes of a row; ``key``: what tells rows apart; ``target``: bytes of a full shard."""
+        self.key = key
+        self.spark, self.path, self.size, self.target, self.fan = spark, path.rstrip("/"), F.coalesce(size, F.lit(0)).cast("long"), target, fan
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def versions(self) -> list[int]:
         """Committed versions in order."""
         at = self._path(f"{self.path}/manifests")
-        return sorted(int(s.getPath().getName()[1:]) for s in self._fs.listStatus(at) if s.getPath().getName()[0] == "v") if self._fs.exists(at) else []
+        if not self._fs.exists(at):
+            return []
+        return sorted(int(name[1:]) for s in self._fs.listStatus(at) if (name := s.getPath().getName())[0] == "v")
 
     def manifest(self, version: int | None = None) -> DataFrame:
-        """The shards of a version (the last one), as rows of the manifest."""
-        version = version if version is not None else (self.versions() or [0])[-1]
+        """The shards of a version (the last one unless named), one row each."""
+        version = version or (self.versions() or [0])[-1]
         if not version:
             return self.spark.createDataFrame([], MANIFEST)
         return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifests/v{version:08d}")
 
     def read(self, version: int | None = None) -> DataFrame:
-        """Rows of a version with their shard."""
-        shards = [r.shard for r in self.manifest(version).select("shard").collect()]
-        if not shards:
-            raise ValueError("no shard yet")
-        folders = sorted({s.rpartition("/")[0] for s in shards})
-        rows = self.spark.read.option("basePath", f"{self.path}/data").parquet(*(f"{self.path}/data/{f}" for f in folders))
-        return rows.withColumn("_shard", F.concat("run", F.lit("/"), F.col("shard").cast("string"))).drop("run", "shard")
+        """Rows of a version, with the shard that holds them as ``_shard`` (run/number)."""
+        return self._rows([(r.run, r.shard) for r in self.manifest(version).select("run", "shard").collect()])
 
-    def _commit(self, shards: DataFrame, version: int) -> int:
+    def _rows(self, shards: list[tuple[str, int]]) -> DataFrame:
+        if not shards:
+            raise ValueError("the table has no shard")
+        files = self.spark.read.option("basePath", f"{self.path}/data").parquet(*(f"{self.path}/data/run={r}/shard={s}" for r, s in shards))
+        return files.withColumn("_shard", F.concat_ws("/", "run", "shard")).drop("run", "shard")
+
+    def append(self, rows: DataFrame) -> int:
+        """Add an arrival as shards, small ones if it is small; returns the new version."""
+        version = (self.versions() or [0])[-1] + 1
+        return self._commit(self.manifest(), self._write(rows, version), version)
+
+    def compact(self) -> int | None:
+        """Merge each tier that holds ``fan`` shards or more below the target; the new version, or None."""
+        now = self.manifest().where(F.col("n_bytes") < self.target).select("run", "shard", "tier", "added").collect()
+        tiers: dict[int, list] = {}
+        for r in now:
+            tiers.setdefault(r.tier, []).append((r.run, r.shard))
+        merged = [s for t in sorted(tiers) if len(tiers[t]) >= self.fan for s in tiers[t]]
+        if not merged:
+            return None
+        version = self.versions()[-1] + 1
+        new = self._write(self._rows(merged).drop("_shard"), version)
+        gone = self.spark.createDataFrame(merged, "run string, shard int")
+        return self._commit(self.manifest().join(gone, ["run", "shard"], "left_anti"), new, version)
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Remove data folders that none of the last ``keep`` versions names, and older manifests."""
+        versions = self.versions()
+        named = {f"run={r.run}" for v in versions[-keep:] for r in self.manifest(v).select("run").distinct().collect()}
+        at, gone = self._path(f"{self.path}/data"), 0
+        for s in self._fs.listStatus(at) if self._fs.exists(at) else []:
+            if s.getPath().getName() not in named:
+                self._fs.delete(s.getPath(), True)
+                gone += 1
+        for v in versions[:-keep]:
+            self._fs.delete(self._path(f"{self.path}/manifests/v{v:08d}"), True)
+        return gone
+
+    def _write(self, rows: DataFrame, version: int) -> DataFrame | None:
+        """Write ``rows`` under a new run; their manifest rows."""
+        if {"run", "shard", "_shard"} & set(rows.columns):
+            raise ValueError("columns run, shard and _shard are the table's own")
+        total, n = rows.agg(F.sum(self.size), F.count("*")).first()
+        if not n:
+            return None
+        run, shards = f"{version:08d}-{uuid.uuid4().hex[:12]}", max(1, math.ceil((total or 0) / self.target))
+        dealt = rows.withColumn("shard", F.pmod(F.xxhash64(*([self.key] if self.key is not None else rows.columns)), F.lit(shards)).cast("int"))
+        dealt.repartition(shards, "shard").write.partitionBy("shard").parquet(f"{self.path}/data/run={run}")
+        back = self.spark.read.parquet(f"{self.path}/data/run={run}").groupBy("shard").agg(F.count("*").alias("n_rows"), F.sum(self.size).alias("n_bytes"))
+        tier = F.floor(F.log(float(self.fan), F.greatest("n_bytes", F.lit(1)))).cast("int")
+        return back.select(F.lit(run).alias("run"), F.col("shard").cast("int").alias("shard"), tier.alias("tier"), "n_rows", "n_bytes", F.lit(version).cast("long").alias("added"))
+
+    def _commit(self, old: DataFrame, new: DataFrame | None, version: int) -> int:
         aside = f"{self.path}/manifests/.{uuid.uuid4().hex}"
-        shards.coalesce(1).write.parquet(aside)
+        (old.unionByName(new) if new is not None else old).coalesce(1).write.parquet(aside)
         to = self._path(f"{self.path}/manifests/v{version:08d}")
-        # a rename onto a folder moves into it, so look first; object stores need a conditional put here
+        # a rename onto an existing folder would move into it: look first (an object store needs a conditional put)
         if self._fs.exists(to) or not self._fs.rename(self._path(aside), to):
             raise Conflict(f"version {version} exists")
         return version
-
-    def _write(self, rows: DataFrame, size: Column, key: Column, target: int, version: int, run: str) -> DataFrame:
-        """Write ``rows`` as shards of ``target`` bytes; returns their manifest rows."""
-        sized = rows.withColumn("_bytes", size)
-        n = sized.agg(F.count("*")).first()[0]
-        buckets = max(1, n // BUCKET_ROWS)
-        digest = F.xxhash64(key, F.monotonically_increasing_id()) if False else F.xxhash64(key)
-        sized = sized.withColumn("_bucket", F.pmod(digest, F.lit(buckets)))
-        sums = sized.groupBy("_bucket").agg(F.sum("_bytes").alias("b"))
-        total = sums.agg(F.sum("b")).first()[0] or 0
-        shards = max(1, -(-total // target))
-        # buckets are even by their digest: cut their range into equal parts, one a shard
-        sized = sized.withColumn("shard", F.floor(F.col("_bucket") * shards / buckets).cast("int"))
-        sized.repartition(int(shards), "shard").drop("_bytes", "_bucket").write.partitionBy("shard").parquet(f"{self.path}/data/run={run}") if n else None
-        counted = sized.groupBy("shard").agg(F.count("*").alias("n_rows"), F.sum("_bytes").cast("long").alias("n_bytes"))
-        return counted.select(F.concat(F.lit(f"run={run}/shard="), F.col("shard").cast("string")).alias("shard"), self._tier(F.col("n_bytes")).alias("tier"), "n_rows", "n_bytes", F.lit(version).cast("long").alias("added"))
-
-    def _tier(self, size: Column) -> Column:
-        return F.greatest(F.lit(0), F.floor(F.log(F.lit(float(self.fan)), F.greatest(size, F.lit(1))))).cast("int")

@@ -75,7 +75,7 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "u
     counts = judged.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("_says") == "allow").alias("allowed"), F.count_if(F.col("_says") == "block").alias("blocked"))
     linked = edges.select(F.col("dst").alias("host"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("allowed"), F.lit(0).cast("long").alias("blocked"))
     hosts = materialize(counts.unionByName(linked).groupBy("host").agg(*(F.sum(c).alias(c) for c in ("n", "allowed", "blocked"))), "url-hosts")
-    n, n_good, n_bad = hosts.agg(F.count("*"), F.count_if("allowed > 0 and blocked = 0"), F.count_if("2 * blocked > n")).first()
+    n, n_good, n_bad = hosts.agg(F.count("*"), F.count_if(F.expr("allowed > 0 and blocked = 0")), F.count_if(F.expr("2 * blocked > n"))).first()
     good = hosts.where("allowed > 0 and blocked = 0").select("host", F.lit(1.0 / max(1, n_good)).alias("share"))
     bad = hosts.where("2 * blocked > n").select("host", F.lit(1.0 / max(1, n_bad)).alias("share"))
     trust = personalised_pagerank(edges, good).withColumnRenamed("rank", "trust")
