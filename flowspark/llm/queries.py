@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, jaccard_join, quality_rules, sentencepiece_codec, substring_dedup, token_counts, url_filter
-from .common import scratch_dir
+from . import chat_format, decontaminate, html_extract, jaccard_join, quality_rules, sentencepiece_codec, sharding, substring_dedup, token_counts, url_filter
+from .common import if_small, scratch_dir
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -50,6 +50,20 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str, arrivals: int = 4) -> DataFrame:
+    """Documents arrive in four parts, each compacted as it comes; every document with its shard."""
+    docs = table(spark, sf_dir, "documents")
+    shards = sharding.ShardedTable(spark, f"{scratch_dir(spark)}/sharded-{uuid.uuid4().hex}", F.octet_length("text"), F.col("doc_id"))
+    for k in range(arrivals):
+        shards.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)) == k))
+        shards.compact()
+        shards.vacuum()
+    manifest = shards.manifest()
+    return shards.read().select("doc_id", "run", "shard", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")).join(
+        if_small(manifest.withColumnsRenamed({"n_rows": "shard_rows", "n_bytes": "shard_bytes"}), manifest.count()), ["run", "shard"]
+    ).select("doc_id", "n_bytes", "added", "shard", "tier", "shard_rows", "shard_bytes")
+
+
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_extract.extract(table(spark, sf_dir, "pages"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -87,6 +101,6 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_jaccard_join, op2_quality_rules, op3_token_counts, op4_sentencepiece, op5_url_filter, op7_html_extract, op8_decontaminate, op9_substring_dedup, op10_chat_format)
+    for f in (op1_jaccard_join, op2_quality_rules, op3_token_counts, op4_sentencepiece, op5_url_filter, op6_sharding, op7_html_extract, op8_decontaminate, op9_substring_dedup, op10_chat_format)
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -8,15 +8,16 @@ aside and then renamed to its number: the rename is the commit, it fails if that
 readers see the old version or the new one, never half of one.  A commit never changes or removes
 a data file; `vacuum` drops what no manifest of the last versions names.
 
-A row's shard is a digest of its key (all its columns unless named) modulo the shards wanted, so
-shards are even whatever source or group of copies a row belongs to, a task that runs twice deals
-alike, and one shuffle by shard writes each as one file; a shard holds much over its target only
-if one row, or the rows of one key, do.  Column functions only; the driver handles names and
-counts of shards, never rows.
+An arrival is written as it is dealt to tasks, a shard each, without a shuffle.  A compaction deals
+rows by a digest of their key (all columns unless named) modulo the shards wanted: shards are
+even whatever source or group of copies a row belongs to, a task that runs twice deals alike, and
+one shuffle by shard writes each as one file; a shard holds much over its target only if one row,
+or the rows of one key, do.  Shards of half the target or more are left alone.  Column functions
+only; the driver handles names and counts of shards, never rows.
 
 Defined cases: null keys and texts are ordinary rows of 0 bytes; repeated rows all stay; an empty
 arrival commits a version without a new shard; a table without rows cannot be read; columns
-named ``run``, ``shard`` or ``_shard`` are refused.
+named ``run`` or ``shard`` are refused.
 """
 
 from __future__ import annotations
@@ -27,7 +28,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import if_small
+
 MANIFEST = "run string, shard int, tier int, n_rows long, n_bytes long, added long"
+MANIFEST_COLUMNS = [c.split()[0] for c in MANIFEST.split(", ")]
 
 
 class Conflict(RuntimeError):
@@ -57,33 +61,36 @@ class ShardedTable:
         return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifests/v{version:08d}")
 
     def read(self, version: int | None = None) -> DataFrame:
-        """Rows of a version, with the shard that holds them as ``_shard`` (run/number)."""
-        return self._rows([(r.run, r.shard) for r in self.manifest(version).select("run", "shard").collect()])
+        """Rows of a version, with the shard that holds them (columns run and shard)."""
+        return self._rows(self.manifest(version))
 
-    def _rows(self, shards: list[tuple[str, int]]) -> DataFrame:
-        if not shards:
+    def _rows(self, shards: DataFrame) -> DataFrame:
+        runs = [r.run for r in shards.select("run").distinct().collect()]
+        if not runs:
             raise ValueError("the table has no shard")
-        files = self.spark.read.option("basePath", f"{self.path}/data").parquet(*(f"{self.path}/data/run={r}/shard={s}" for r, s in shards))
-        return files.withColumn("_shard", F.concat_ws("/", "run", "shard")).drop("run", "shard")
+        files = self.spark.read.option("basePath", f"{self.path}/data").parquet(*(f"{self.path}/data/run={r}" for r in runs))
+        named = shards.select("run", "shard")
+        return files.join(if_small(named, named.count()), ["run", "shard"], "left_semi")
 
     def append(self, rows: DataFrame) -> int:
-        """Add an arrival as shards, small ones if it is small; returns the new version."""
+        """Add an arrival as small shards, one a task; returns the new version."""
+        if {"run", "shard"} & set(rows.columns):
+            raise ValueError("columns run and shard are the table's own")
         version = (self.versions() or [0])[-1] + 1
-        return self._commit(self.manifest(), self._write(rows, version), version)
+        return self._commit(self.manifest(), self._write(rows.withColumn("shard", F.spark_partition_id()), version), version)
 
     def compact(self) -> int | None:
-        """Merge each tier that holds ``fan`` shards or more below the target; the new version, or None."""
-        now = self.manifest().where(F.col("n_bytes") < self.target).select("run", "shard", "tier", "added").collect()
-        tiers: dict[int, list] = {}
-        for r in now:
-            tiers.setdefault(r.tier, []).append((r.run, r.shard))
-        merged = [s for t in sorted(tiers) if len(tiers[t]) >= self.fan for s in tiers[t]]
-        if not merged:
+        """Merge each tier that holds ``fan`` shards or more below half the target; the new version, or None."""
+        small = self.manifest().where(F.col("n_bytes") < self.target // 2)
+        tiers = [r.tier for r in small.groupBy("tier").count().where(F.col("count") >= self.fan).collect()]
+        if not tiers:
             return None
-        version = self.versions()[-1] + 1
-        new = self._write(self._rows(merged).drop("_shard"), version)
-        gone = self.spark.createDataFrame(merged, "run string, shard int")
-        return self._commit(self.manifest().join(gone, ["run", "shard"], "left_anti"), new, version)
+        merged, version = small.where(F.col("tier").isin(tiers)), self.versions()[-1] + 1
+        shards = max(1, math.ceil(merged.agg(F.sum("n_bytes")).first()[0] / self.target))
+        rows = self._rows(merged).drop("run", "shard")
+        dealt = rows.withColumn("shard", F.pmod(F.xxhash64(*([self.key] if self.key is not None else rows.columns)), F.lit(shards)).cast("int"))
+        new = self._write(dealt.repartition(shards, "shard"), version)
+        return self._commit(self.manifest().join(merged, ["run", "shard"], "left_anti"), new, version)
 
     def vacuum(self, keep: int = 2) -> int:
         """Remove data folders that none of the last ``keep`` versions names, and older manifests."""
@@ -99,22 +106,19 @@ class ShardedTable:
         return gone
 
     def _write(self, rows: DataFrame, version: int) -> DataFrame | None:
-        """Write ``rows`` under a new run; their manifest rows."""
-        if {"run", "shard", "_shard"} & set(rows.columns):
-            raise ValueError("columns run, shard and _shard are the table's own")
-        total, n = rows.agg(F.sum(self.size), F.count("*")).first()
-        if not n:
+        """Write ``rows`` by their shard under a new run; their manifest rows."""
+        run = f"{version:08d}-{uuid.uuid4().hex[:12]}"
+        at = f"{self.path}/data/run={run}"
+        rows.write.partitionBy("shard").option("compression", "zstd").parquet(at)
+        if not any(s.getPath().getName().startswith("shard=") for s in self._fs.listStatus(self._path(at))):
             return None
-        run, shards = f"{version:08d}-{uuid.uuid4().hex[:12]}", max(1, math.ceil((total or 0) / self.target))
-        dealt = rows.withColumn("shard", F.pmod(F.xxhash64(*([self.key] if self.key is not None else rows.columns)), F.lit(shards)).cast("int"))
-        dealt.repartition(shards, "shard").write.partitionBy("shard").parquet(f"{self.path}/data/run={run}")
-        back = self.spark.read.parquet(f"{self.path}/data/run={run}").groupBy("shard").agg(F.count("*").alias("n_rows"), F.sum(self.size).alias("n_bytes"))
+        back = self.spark.read.parquet(at).groupBy("shard").agg(F.count("*").alias("n_rows"), F.sum(self.size).alias("n_bytes"))
         tier = F.floor(F.log(float(self.fan), F.greatest("n_bytes", F.lit(1)))).cast("int")
         return back.select(F.lit(run).alias("run"), F.col("shard").cast("int").alias("shard"), tier.alias("tier"), "n_rows", "n_bytes", F.lit(version).cast("long").alias("added"))
 
     def _commit(self, old: DataFrame, new: DataFrame | None, version: int) -> int:
         aside = f"{self.path}/manifests/.{uuid.uuid4().hex}"
-        (old.unionByName(new) if new is not None else old).coalesce(1).write.parquet(aside)
+        (old.select(*MANIFEST_COLUMNS).unionByName(new) if new is not None else old).coalesce(1).write.parquet(aside)
         to = self._path(f"{self.path}/manifests/v{version:08d}")
         # a rename onto an existing folder would move into it: look first (an object store needs a conditional put)
         if self._fs.exists(to) or not self._fs.rename(self._path(aside), to):
