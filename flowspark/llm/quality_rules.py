@@ -97,4 +97,7 @@ def quality_rules(
     step = step.withColumn("n_repeat_words", covered).drop("_r")
     step = step.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     step = step.withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_lost") <= most_lost * F.col("n_words")))
-    return step.select(*rest, *new)
+    # A filter on a result must not be pushed below: it would repeat the expressions of every step within
+    # each other.  A partition id is never negative, but Spark keeps filters above such a column.
+    here = F.spark_partition_id() >= 0
+    return step.select(*rest, *(F.when(here, F.col(c)).alias(c) for c in new))
