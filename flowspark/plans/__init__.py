@@ -1 +1,5 @@
+"""Registered queries by family."""
 
+from . import causal
+
+FAMILIES = (causal,)

@@ -6,17 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from .plans import FAMILIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").limit(0)
+    return queries()["promoted_incidents"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES
+    return {k: q for family in FAMILIES for k, q in family.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE
+    return {k: q for family in FAMILIES for k, q in family.SQL.items()}
