@@ -1,5 +1,5 @@
 """Registered queries by family."""
 
-from . import causal
+from . import causal, sessions
 
-FAMILIES = (causal,)
+FAMILIES = (causal, sessions)
