@@ -1,5 +1,5 @@
 """Registered queries by family."""
 
-from . import causal, sessions
+from . import causal, metrics, sessions
 
-FAMILIES = (causal, sessions)
+FAMILIES = (causal, sessions, metrics)
