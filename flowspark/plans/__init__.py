@@ -1,5 +1,5 @@
 """Registered queries by family."""
 
-from . import causal, metrics, sessions
+from . import causal, drift, metrics, sessions, tables
 
-FAMILIES = (causal, sessions, metrics)
+FAMILIES = (causal, sessions, metrics, drift, tables)
