@@ -1,5 +1,5 @@
 """Registered queries by family."""
 
-from . import causal, drift, metrics, sessions, tables
+from . import causal, drift, learning, metrics, sessions, tables
 
-FAMILIES = (causal, sessions, metrics, drift, tables)
+FAMILIES = (causal, sessions, metrics, drift, tables, learning)

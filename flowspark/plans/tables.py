@@ -296,7 +296,7 @@ SQL = {
     "describe_numeric": each(NUM, "count(@) n, round(avg(@), 4) mean, round(stddev_samp(@), 4) std, min(@) low, round(quantile_cont(@, 0.25), 4) q25, round(quantile_cont(@, 0.5), 4) q50, round(quantile_cont(@, 0.75), 4) q75, max(@) high", "lineitem"),
     "describe_categorical": """with u as (select 'l_returnflag' "column", l_returnflag v, count(*) n from lineitem group by all union all select 'l_linestatus', l_linestatus, count(*) from lineitem group by all)
         select "column", sum(n)::bigint n, count(*) uniques, arg_max(v, (n, v)) top, max(n) freq from u group by all""",
-    "cardinality": f"with {EV} select count(distinct src) sources, count(distinct dst) destinations, count(distinct proto) protocols, count(distinct t // 1000000) "seconds", round(count(distinct id) / count(*)::double, 6) id_unique_share from ev",
+    "cardinality": f"with {EV} select count(distinct src) sources, count(distinct dst) destinations, count(distinct proto) protocols, count(distinct t // 1000000) \"seconds\", round(count(distinct id) / count(*)::double, 6) id_unique_share from ev",
     "label_distribution": f"with {GAPS} select coalesce(trim(event_type), '<MISSING>') \"label\", count(*) n, round(100 * count(*) / (select count(*) from g)::double, 4) \"percent\" from g group by all",
     "daily_profile": f"with {EV} select strftime(ts, '%Y-%m-%d') \"day\", count(*) \"rows\", count(*) filter (dst = 'error') errors, count(distinct src) sources, count(distinct src) filter (dst = 'error') error_sources from ev group by all",
     "host_overlap": f"with {EV}, d as (select distinct day(ts)::int d, src from ev where day(ts) <= 10) select a.d \"day\", b.d other, count(*) shared from d a join d b using (src) where a.d < b.d group by all",
