@@ -1,5 +1,5 @@
 """Registered queries by family."""
 
-from . import causal, drift, learning, metrics, sessions, tables
+from . import causal, drift, learning, metrics, sessions, streams, tables
 
-FAMILIES = (causal, sessions, metrics, drift, tables, learning)
+FAMILIES = (causal, sessions, metrics, drift, tables, learning, streams)
