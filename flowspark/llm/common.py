@@ -147,6 +147,17 @@ def window_hashes(words: Words, size: int, salt: int) -> tuple[np.ndarray, np.nd
     return mix(total[at]), at
 
 
+#: Edges of one node that a task of a star step may meet.
+HUB_EDGES = 500
+
+
+def _state(edges: DataFrame) -> tuple[tuple, int]:
+    """What tells one round's edges from another's, and the largest degree."""
+    per = edges.groupBy("v").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"))
+    n, s, degree = per.agg(F.sum("n"), F.sum("s"), F.max("n")).first()
+    return (n, s), degree or 0
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest node reachable from each node of an undirected graph.
 
@@ -156,17 +167,23 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     round.  Empty input gives no rows.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
-    before = None
+    before, degree = _state(now)
     for _ in range(rounds):
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        # the edges of a hub meet its minimum in as many pieces as its degree asks for
+        pieces = min(256, 1 + degree // HUB_EDGES)
+        if pieces > 1:
+            least = least.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pieces - 1).cast("long"))))
+            large = both.withColumn("piece", F.pmod(F.xxhash64("v"), F.lit(pieces))).join(least, ["u", "piece"])
+        else:
+            large = both.join(least, "u")
+        large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small_m = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_m, "u")
         now = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_m.select("u", F.col("m").alias("v")))
         now = materialize(now.where("u <> v").distinct(), "cc")
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        state, degree = _state(now)
         if state == before:
             break
         before = state
