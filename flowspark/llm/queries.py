@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, html_extract, jaccard_join, quality_rules, sentencepiece_codec, sharding, substring_dedup, token_counts, url_filter
 from .common import if_small, scratch_dir
+from .oracles import ORACLE_SQL  # noqa: F401
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -103,4 +104,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_jaccard_join, op2_quality_rules, op3_token_counts, op4_sentencepiece, op5_url_filter, op6_sharding, op7_html_extract, op8_decontaminate, op9_substring_dedup, op10_chat_format)
 }
-ORACLE_SQL: dict[str, str] = {}
+
