@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import exact_quantiles, running_sums
+
 
 def long_form(df: DataFrame, features: list[str], population: str = "population", kind: str = "double") -> DataFrame:
     return df.select(population, *(F.col(c).cast(kind).alias(c) for c in features)).unpivot([population], features, "feature", "value")
@@ -16,17 +18,16 @@ def long_form(df: DataFrame, features: list[str], population: str = "population"
 def ks_statistic(long: DataFrame, by: list[str] = ("feature",), population: str = "population") -> DataFrame:
     """Largest distance of the two empirical distributions, from counts by distinct value."""
     counts = long.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy(*by, "value").agg(F.count_if(F.col(population) == "a").alias("na"), F.count_if(F.col(population) == "b").alias("nb"))
-    run = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*by)
-    share = lambda c: F.try_divide(F.sum(c).over(run), F.sum(c).over(every))
-    return counts.select(*by, F.abs(share("na") - share("nb")).alias("d")).groupBy(*by).agg(F.max("d").alias("ks"))
+    run = running_sums(counts, list(by), "value", ["na", "nb"])
+    distance = F.abs(F.try_divide("run_na", "all_na") - F.try_divide("run_nb", "all_nb"))
+    return run.groupBy(*by).agg(F.max(distance).alias("ks"))
 
 
 def reference_bins(long: DataFrame, bins: int = 10, by: list[str] = ("feature",), population: str = "population") -> DataFrame:
     """Rows with their bin by the distinct inner quantiles of the reference (left-closed bins)."""
-    inner = F.array(*(F.lit(k / bins) for k in range(1, bins)))
+    reference = exact_quantiles(long.where(F.col(population) == "a"), list(by), "value", [k / bins for k in range(1, bins)])
     # two quantiles of one value may differ in the last bit
-    edges = long.where(F.col(population) == "a").groupBy(*by).agg(F.array_distinct(F.transform(F.percentile("value", inner), lambda x: F.round(x, 9))).alias("edges"))
+    edges = reference.select(*by, F.array_distinct(F.transform("q", lambda x: F.round(x, 9))).alias("edges"))
     return long.join(F.broadcast(edges), list(by)).withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.round("value", 9))))  # a row a feature
 
 
@@ -66,7 +67,6 @@ def mean_ranks(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """Average rank of each value (ties share theirs) within ``by``: counts by value first."""
     out = df
     for c in columns:
-        counts = df.groupBy(*by, c).agg(F.count("*").alias("_n"))
-        before = F.sum("_n").over(Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-        out = out.join(counts.select(*by, c, (before - (F.col("_n") - 1) / 2).alias(f"rank_{c}")), [*by, c])
+        run = running_sums(df.groupBy(*by, c).agg(F.count("*").alias("n")), by, c, ["n"])
+        out = out.join(run.select(*by, c, (F.col("run_n") - (F.col("n") - 1) / 2).alias(f"rank_{c}")), [*by, c])
     return out

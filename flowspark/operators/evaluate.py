@@ -10,10 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def n_if(condition: str | Column) -> Column:
-    """Rows that meet a condition."""
-    return F.count_if(F.expr(condition) if isinstance(condition, str) else condition)
+from ..functions.scalars import n_if
+from .prefix import running_sums
 
 
 def confusion(df: DataFrame, by: list[str], label: str = "label", predicted: str = "predicted") -> DataFrame:
@@ -73,8 +71,8 @@ def select_threshold(sweep: DataFrame, least_recall: float) -> DataFrame:
 
 def ranking(counts: DataFrame, by: list[str]) -> DataFrame:
     """ROC-AUC (ties count half) and average precision (sum of recall steps by precision)."""
-    down = Window.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    c = counts.select(*by, "pos", "neg", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"))
+    run = running_sums(counts, by, "s", ["pos", "neg"], descending=True)
+    c = run.select(*by, "pos", "neg", F.col("run_pos").alias("tp"), F.col("run_neg").alias("fp"))
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0))
     out = c.groupBy(*by).agg(area.alias("a"), F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"))
     return out.select(*by, F.try_divide("a", F.col("p") * F.col("n")).alias("roc_auc"), F.try_divide("ap", "p").alias("average_precision"))

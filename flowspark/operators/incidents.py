@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import iso_seconds
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -60,8 +62,7 @@ def ordered(found: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 def incident_id(src: Column, dst: Column, dport: Column, first: Column, last: Column) -> Column:
     """``inc_`` and the SHA-256 of a fixed text of the key and the times (timestamps without a zone)."""
-    iso = lambda x: F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss")
-    said = F.concat(F.lit("incident-v1|src_ip="), src.cast("string"), F.lit("|dst_ip="), dst.cast("string"), F.lit("|dst_port="), dport.cast("string"), F.lit("|first_seen="), iso(first), F.lit("|last_seen="), iso(last))
+    said = F.concat(F.lit("incident-v1|src_ip="), src.cast("string"), F.lit("|dst_ip="), dst.cast("string"), F.lit("|dst_port="), dport.cast("string"), F.lit("|first_seen="), iso_seconds(first), F.lit("|last_seen="), iso_seconds(last))
     return F.concat(F.lit("inc_"), F.sha2(said, 256))
 
 
@@ -73,10 +74,9 @@ def public_incidents(found: DataFrame) -> DataFrame:
 
     ``found``: src, dst, dport, first_seen and last_seen as timestamps, protocols, flows, scores, promoted.
     """
-    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
     return found.where("promoted").select(
         F.lit("incident-v1").alias("schema_version"), incident_id(F.col("src"), F.col("dst"), F.col("dport"), F.col("first_seen"), F.col("last_seen")).alias("incident_id"),
-        iso("first_seen").alias("first_seen"), iso("last_seen").alias("last_seen"), F.col("src").cast("string").alias("src_ip"), F.col("dst").cast("string").alias("dst_ip"), F.col("dport").cast("int").alias("dst_port"),
+        iso_seconds("first_seen").alias("first_seen"), iso_seconds("last_seen").alias("last_seen"), F.col("src").cast("string").alias("src_ip"), F.col("dst").cast("string").alias("dst_ip"), F.col("dport").cast("int").alias("dst_port"),
         F.array_sort(F.array_distinct("protocols")).alias("protocols"), F.col("flows").alias("flow_count"), F.round("max_score", 12).alias("max_score"), F.round("mean_score", 12).alias("mean_score"),
     )
 

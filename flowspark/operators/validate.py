@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import finite
+
 # Names of label columns that a flow file may carry and that are dropped.
 LABELS = ("Label", "attack_cat", "label")
 #: Accepts one- and two-digit days and hours, as C's strptime does.
@@ -57,10 +59,6 @@ def check_columns(columns: list[str], contract: Contract) -> list[str]:
     return [c for c in columns if c in LABELS]
 
 
-def finite(x: Column) -> Column:
-    return ~F.isnan(x) & (F.abs(x) < float("inf"))
-
-
 def row_rules(contract: Contract) -> dict[str, Column]:
     """Name of each rule and the condition that breaks it, over text columns."""
     c = lambda name: F.col(f"`{name}`")

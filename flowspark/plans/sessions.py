@@ -4,16 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import n_if, status
 from ..operators import incidents as inc
 from ..sources.adapters import EV, LI, flows_ev, flows_li
 
-
-
-def n_if(condition: str):
-    """Rows that meet a condition."""
-    return F.count_if(F.expr(condition))
-
-
 P = inc.Policy(alert=0.4, promote=0.9, gap=30)
 KEYS = list(P.keys)
 BY = [*KEYS, "session"]
@@ -264,11 +258,6 @@ def delta_status(spark, sf_dir):
     return both.withColumn("delta", delta).withColumn("status", status(delta, F.lit(True)))
 
 
-def status(delta, higher_is_better, within: float = 0.001):
-    """stable, improved or degraded."""
-    return F.when(F.abs(delta) <= within, "stable").when((delta > 0) == higher_is_better, "improved").otherwise("degraded")
-
-
 def verdict(spark, sf_dir):
     d = promotion_effect(spark, sf_dir)
     enough, fewer = F.col("promoted_true") >= 0.1 * F.col("all_true"), F.col("false_reduction") >= 0.5

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import finite
 from ..operators import align as al
 from ..operators import profile as pf
 from ..operators import validate as va
@@ -57,7 +58,7 @@ def split_by_day(spark, sf_dir):
 
 def output_check(spark, sf_dir):
     d = flows_li(spark, sf_dir)
-    bad = lambda c: F.count_if(~va.finite(F.col(c)))
+    bad = lambda c: F.count_if(~finite(F.col(c)))
     return d.agg(F.count("*").alias("rows"), F.count_if(~F.col("label").isin(0, 1)).alias("bad_targets"), F.count_if(F.col("cat").isNull()).alias("null_categories"), (bad("bytes") + bad("packets") + bad("score")).alias("not_finite"), F.sum("label").alias("positives"))
 
 

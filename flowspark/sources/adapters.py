@@ -10,19 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DAY = 86_400
-MICRO = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def epoch_seconds(ts) -> F.Column:
-    """Whole seconds since 1970 of a zone-less timestamp."""
-    return F.unix_seconds(ts.cast("timestamp"))
-
-
 def flows_li(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("l_returnflag") == "R", 1).otherwise(0)
     score = lambda a, b: (F.pmod(F.col("l_orderkey") * a + F.col("l_partkey") * b, F.lit(700)) + 300 * label) / 1000.0

@@ -137,3 +137,21 @@ def test_folds(spark, tmp_path):
     for _ in range(2):
         assert ml.resumable(spark, str(tmp_path / "fold=0"), "abc", build).count() == 1000
     assert built == [1]
+
+
+def test_running_sums_and_quantiles(spark):
+    import numpy as np
+
+    from flowspark.operators.prefix import exact_quantiles, running_sums
+
+    rng = np.random.default_rng(1)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 3000), rng.integers(0, 500, 3000) / 7, strict=True)] + [(9, 1.5), (9, None), (9, float("nan"))]
+    df = spark.createDataFrame(rows, "g int, v double")
+    shares = [0.0, 0.1, 0.5, 0.77, 1.0]
+    for r in exact_quantiles(df, ["g"], "v", shares).collect():
+        own = [v for g, v in rows if g == r.g and v is not None and v == v]
+        assert r.q == pytest.approx(np.quantile(own, shares).tolist())
+    counts = df.where("g < 9").groupBy("g", "v").agg(F.count("*").alias("n"))
+    for down in (False, True):
+        for r in running_sums(counts, ["g"], "v", ["n"], descending=down, pieces=7).collect():
+            assert r.run_n == sum(g == r.g and (v >= r.v if down else v <= r.v) for g, v in rows) and r.all_n == sum(g == r.g for g, v in rows)
