@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 ENCODE_AT_ONCE = 256
 CACHE = "digest binary, tokenizer string, n_tokens long"
 
@@ -76,6 +78,8 @@ def token_counts(docs: DataFrame, model_file: str, cache: str, text_col: str = "
         missing = missing.join(stored(), "digest", "left_anti")
     missing.dropDuplicates(["digest"]).mapInPandas(encode, CACHE).write.mode("append").parquet(cache)
     kept = docs.drop("n_bytes", "n_tokens")
-    counts = stored().withColumnRenamed("digest", "_digest")
+    # written, so that the join reads both sides from shuffles of their own and Spark may split a digest that
+    # a third of all rows share
+    counts = materialize(stored(), "token-counts").withColumnRenamed("digest", "_digest")
     out = kept.withColumns({"_key": digest, "n_bytes": F.octet_length(text).cast("long")})
     return out.join(counts, out["_key"] == counts["_digest"]).select(*kept.columns, "n_bytes", "n_tokens")
