@@ -285,7 +285,7 @@ def _large_regions(members: DataFrame, size: int, percent: int) -> DataFrame:
     comps = connected_components(links)
     seen = seen.join(comps, seen["key"] == comps["node"], "left").select("region", "key", "far", F.coalesce("component", "key").alias("comp"))
     sizes = seen.groupBy("region", "comp").count()
-    largest = sizes.groupBy("region").agg(F.max_by("comp", F.struct("count", "comp")).alias("most"), F.count("*").alias("comps"))
+    largest = materialize(sizes.groupBy("region").agg(F.max_by("comp", F.struct("count", "comp")).alias("most"), F.count("*").alias("comps")), "jaccard-largest")
     seen = seen.join(largest, "region").where("comps > 1")
     seen = materialize(seen.select("region", "key", "comp", "far", (F.col("comp") != F.col("most")).alias("out")), "jaccard-out")
     if seen.isEmpty():
@@ -323,7 +323,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return rows.select(F.col("id").alias(id_col), "n_shingles", F.col("id").alias("component_id"))
     edges = materialize(candidate_edges(docs, classes, text_col, size, percent, total["tokens"], total["n"]), "jaccard-edges")
     regions = connected_components(edges).select(F.col("node").alias("key"), F.col("component").alias("region"))
-    regions = materialize(regions.join(regions.groupBy("region").agg(F.count("*").alias("n_region")), "region"), "jaccard-regions")
+    # sizes are written first: the join then has a shuffle of its own on either side, which Spark can split
+    sizes = materialize(regions.groupBy("region").agg(F.count("*").alias("n_region")), "jaccard-sizes")
+    regions = materialize(regions.join(sizes, "region"), "jaccard-regions")
     links = region_join(docs, rows, regions, id_col, text_col, size, percent)
     comps = connected_components(links)
     named = classes.join(comps, classes["key"] == comps["node"], "left").select("key", "least", F.coalesce("component", "key").alias("comp"))
