@@ -39,8 +39,8 @@ def shares(binned: DataFrame, by: list[str], category: str, population: str = "p
 
 
 def clipped(s: DataFrame, by: list[str], epsilon: float, again: bool) -> DataFrame:
-    """Shares at least ``epsilon``, scaled back to 1 if ``again``."""
-    s = s.withColumns({c: F.greatest(F.col(c), F.lit(epsilon)) for c in ("pa", "pb")})
+    """Shares at least ``epsilon``, scaled back to 1 if ``again``; those of an empty population stay null."""
+    s = s.withColumns({c: F.when(F.col(c).isNotNull(), F.greatest(F.col(c), F.lit(epsilon))) for c in ("pa", "pb")})
     if again:
         w = Window.partitionBy(*by)
         s = s.withColumns({"pa": F.col("pa") / F.sum("pa").over(w), "pb": F.col("pb") / F.sum("pb").over(w)})

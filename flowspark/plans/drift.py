@@ -58,15 +58,15 @@ def psi_simple(spark, sf_dir):
 
 
 def categorical(spark, sf_dir):
-    """Language and source of documents below and above the median length; type of early and late events."""
+    """Language and source of documents below and above the median length; type of events in two samples."""
     docs = table(spark, sf_dir, "documents").withColumn("population", F.when(F.col("n_chars") < 1500, "a").otherwise("b"))
     one = dr.long_form(docs, ["lang", "source"], kind="string")
-    events = flows_ev(spark, sf_dir).select(F.when(F.col("id") < 5000, "a").otherwise("b").alias("population"), F.lit("event_type").alias("feature"), F.col("dst").alias("value"))
+    events = flows_ev(spark, sf_dir).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("population"), F.lit("event_type").alias("feature"), F.col("dst").alias("value"))
     return dr.shares(one.unionByName(events).fillna("<NA>", ["value"]), ["feature"], "value")
 
 
 CAT = f"""{EV}, cl0 as (select case when n_chars < 1500 then 'a' else 'b' end pop, 'lang' feature, coalesce(lang, '<NA>') v from documents union all select case when n_chars < 1500 then 'a' else 'b' end, 'source', coalesce(source, '<NA>') from documents
- union all select case when id < 5000 then 'a' else 'b' end, 'event_type', coalesce(dst, '<NA>') from ev), cs as (select feature, v, count(*) filter (pop = 'a') na, count(*) filter (pop = 'b') nb from cl0 group by all),
+ union all select case when id % 3 = 0 then 'a' else 'b' end, 'event_type', coalesce(dst, '<NA>') from ev), cs as (select feature, v, count(*) filter (pop = 'a') na, count(*) filter (pop = 'b') nb from cl0 group by all),
  cp as (select *, na / sum(na) over (partition by feature)::double pa, nb / sum(nb) over (partition by feature)::double pb from cs)"""
 
 

@@ -45,16 +45,16 @@ def stream_features(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (stream_incidents, tumbling_counts, sliding_counts, stream_features)}
-LAST = "(select max(epoch_ms(ts)) from {})"
+LAST = "(select max(epoch_us(ts)) // 1000 from {})"
 SQL = {
     "stream_incidents": f"""with al as (select *, coalesce((epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id, event_type order by ts) > 86400000000)::int, 1) nw from events where "value" >= 5),
         s as (select *, sum(nw) over (partition by user_id, event_type order by ts range between unbounded preceding and current row) s from al),
         i as (select user_id, event_type, min(ts) first_seen, max(ts) last_seen, count(*) flows, max("value") max_score, max("value") >= 30 promoted from s group by user_id, event_type, s)
         select * from i where epoch_us(last_seen) + 86400000000 <= 1000 * {LAST.format('al')}""",
     "tumbling_counts": f"""with w as (select event_type, time_bucket(interval '6 hours', ts, timestamp '1970-01-01') "start", count(*) n from events group by all)
-        select event_type, "start", "start" + interval '6 hours' "end", n from w where epoch_ms("start") + 21600000 <= {LAST.format('events')}""",
+        select event_type, "start", "start" + interval '6 hours' "end", n from w where epoch_us("start") // 1000 + 21600000 <= {LAST.format('events')}""",
     "sliding_counts": f"""with w as (select event_type, time_bucket(interval '4 hours', ts, timestamp '1970-01-01') - k * interval '4 hours' "start", count(*) n from events, range(3) r(k) group by all)
-        select event_type, "start", "start" + interval '12 hours' "end", n from w where epoch_ms("start") + 43200000 <= {LAST.format('events')}""",
+        select event_type, "start", "start" + interval '12 hours' "end", n from w where epoch_us("start") // 1000 + 43200000 <= {LAST.format('events')}""",
     "stream_features": f"""with f as (select event_id id, epoch_us(ts) t, count(*) over w conn, round(coalesce(sum("value") over w, 0), 4) amount, coalesce(epoch_us(ts) - max(epoch_us(ts)) over h, -1) micros_since from events
         window w as (partition by user_id order by epoch_us(ts) range between 86400000000 preceding and current row exclude group), h as (partition by user_id order by epoch_us(ts) range between unbounded preceding and current row exclude group))
         select id, conn, amount, micros_since from f where t < 1000 * {LAST.format('events')}""",
