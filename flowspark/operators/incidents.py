@@ -66,10 +66,12 @@ def incident_id(src: Column, dst: Column, dport: Column, first: Column, last: Co
     return F.concat(F.lit("inc_"), F.sha2(said, 256))
 
 
-PUBLIC = ("schema_version", "incident_id", "first_seen", "last_seen", "src_ip", "dst_ip", "dst_port", "protocols", "flow_count", "max_score", "mean_score")
+#: What made the incidents; a run names its own.
+VERSIONS = {"product_version": "0.1.0", "model_version": "unnamed", "feature_contract": "unnamed"}
+PUBLIC = ("schema_version", "incident_id", "first_seen", "last_seen", "src_ip", "dst_ip", "dst_port", "protocols", "flow_count", "max_attack_score", "mean_attack_score", "promoted", *VERSIONS)
 
 
-def public_incidents(found: DataFrame) -> DataFrame:
+def public_incidents(found: DataFrame, versions: dict[str, str] | None = None) -> DataFrame:
     """Promoted incidents in their public form: ISO times, scores to 12 places, sorted protocols.
 
     ``found``: src, dst, dport, first_seen and last_seen as timestamps, protocols, flows, scores, promoted.
@@ -77,7 +79,8 @@ def public_incidents(found: DataFrame) -> DataFrame:
     return found.where("promoted").select(
         F.lit("incident-v1").alias("schema_version"), incident_id(F.col("src"), F.col("dst"), F.col("dport"), F.col("first_seen"), F.col("last_seen")).alias("incident_id"),
         iso_seconds("first_seen").alias("first_seen"), iso_seconds("last_seen").alias("last_seen"), F.col("src").cast("string").alias("src_ip"), F.col("dst").cast("string").alias("dst_ip"), F.col("dport").cast("int").alias("dst_port"),
-        F.array_sort(F.array_distinct("protocols")).alias("protocols"), F.col("flows").alias("flow_count"), F.round("max_score", 12).alias("max_score"), F.round("mean_score", 12).alias("mean_score"),
+        F.array_sort(F.array_distinct("protocols")).alias("protocols"), F.col("flows").alias("flow_count"), F.round("max_score", 12).alias("max_attack_score"), F.round("mean_score", 12).alias("mean_attack_score"),
+        "promoted", *(F.lit(v).alias(k) for k, v in (VERSIONS | (versions or {})).items()),
     )
 
 
@@ -88,8 +91,10 @@ def public_violations(public: DataFrame) -> DataFrame:
         "time_order": F.col("last_seen") < F.col("first_seen"),
         "port": ~F.col("dst_port").between(0, 65535),
         "protocol": F.exists("protocols", lambda p: (p < 0) | (p > 255)),
-        "score": ~F.col("max_score").between(0, 1) | ~F.col("mean_score").between(0, 1) | F.isnan("max_score") | F.isnan("mean_score"),
+        "score": ~F.col("max_attack_score").between(0, 1) | ~F.col("mean_attack_score").between(0, 1) | F.isnan("max_attack_score") | F.isnan("mean_attack_score"),
     }
+    if tuple(public.columns) != PUBLIC:
+        raise ValueError("the public form has other columns")
     broken = F.array_compact(F.array(*(F.when(F.coalesce(rule, F.lit(True)), F.lit(name)) for name, rule in rules.items())))
     return public.withColumn("broken", broken).where(F.size("broken") > 0)
 

@@ -64,7 +64,7 @@ def incident_ids(spark, sf_dir):
 
 
 def incident_v1(spark, sf_dir):
-    return inc.public_incidents(timed(spark, sf_dir)).withColumn("protocols", F.array_join(F.col("protocols").cast("array<string>"), ",")).withColumns({"max_score": F.round("max_score", 9), "mean_score": F.round("mean_score", 9)})
+    return inc.public_incidents(timed(spark, sf_dir)).withColumn("protocols", F.array_join(F.col("protocols").cast("array<string>"), ",")).withColumns({c: F.round(c, 9) for c in ("max_attack_score", "mean_attack_score")})
 
 
 ID = "'inc_' || sha256('incident-v1|src_ip=' || src || '|dst_ip=' || dst || '|dst_port=' || dport || '|first_seen=' || strftime(first_ts, '%Y-%m-%dT%H:%M:%S') || '|last_seen=' || strftime(last_ts, '%Y-%m-%dT%H:%M:%S'))"
@@ -290,7 +290,8 @@ SQL = {
     "promoted_incidents": f"with {SES} select {INC} from inc where promoted",
     "incident_ids": f"with {SES} select src, dst, dport, {ID} incident_id from inc",
     "incident_v1": f"""with {SES} select 'incident-v1' schema_version, {ID} incident_id, strftime(first_ts, '%Y-%m-%dT%H:%M:%S') first_seen, strftime(last_ts, '%Y-%m-%dT%H:%M:%S') last_seen, src::varchar src_ip, dst::varchar dst_ip,
-        dport::int dst_port, array_to_string(protocols, ',') protocols, flows flow_count, round(max_score, 9) max_score, round(mean_score, 9) mean_score from inc where promoted""",
+        dport::int dst_port, array_to_string(protocols, ',') protocols, flows flow_count, round(max_score, 9) max_attack_score, round(mean_score, 9) mean_attack_score, promoted,
+        '0.1.0' product_version, 'unnamed' model_version, 'unnamed' feature_contract from inc where promoted""",
     "incident_evidence": f"""with {SES} select src, dst, dport, "session", count(*) flows, round(max(score), 6) max_score, round(avg(score), 6) mean_score, round(median(score), 6) median_score, round(quantile_cont(score, 0.9), 6) p90_score,
         round(list_avg(list_sort(list(score), 'DESC')[1:3]), 6) top3_mean_score, count(*) filter (score >= 0.2) n_ge_20, count(*) filter (score >= 0.3) n_ge_30, count(*) filter (score >= 0.4) n_ge_40, count(*) filter (score >= 0.5) n_ge_50,
         round(stddev_pop(score), 6) std_score, max(t) - min(t) duration from ses group by all""",

@@ -44,11 +44,12 @@ def test_golden_run(spark, tmp_path):
     start = dt.datetime(2026, 8, 20, 13)
     when = lambda c: (F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(secs=F.col(c)))
     timed = inc.incidents(df, POLICY).withColumns({"first_seen": when("first_seen"), "last_seen": when("last_seen")})
-    inc.write_jsonl(inc.public_incidents(timed), str(tmp_path / "out"))
+    inc.write_jsonl(inc.public_incidents(timed, {"model_version": "m2"}), str(tmp_path / "out"))
     lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
     assert [x["incident_id"] for x in lines] == ["inc_e05487e368f9e26a2a6939c7be622de508056478d3876c344c77a53ba4214872", "inc_1650df57d0101d5881c988734fdd08741349020266b214145a5425c81646ae26"]
     assert lines[0]["protocols"] == [6, 17] and lines[0]["first_seen"] == "2026-08-20T13:00:00" and lines[0]["last_seen"] == "2026-08-20T13:00:05"
-    assert (lines[0]["max_score"], lines[0]["mean_score"], lines[1]["max_score"]) == (0.432590909091, 0.418368686869, 0.347813131313)
+    assert (lines[0]["max_attack_score"], lines[0]["mean_attack_score"], lines[1]["max_attack_score"]) == (0.432590909091, 0.418368686869, 0.347813131313)
+    assert tuple(lines[0]) == inc.PUBLIC and len(inc.PUBLIC) == 15 and lines[0]["model_version"] == "m2" and lines[0]["promoted"] is True
 
 
 def test_public_form_is_closed(spark, tmp_path):
