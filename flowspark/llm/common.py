@@ -17,12 +17,15 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 CHUNK_BYTES = 2_000_000
 
 
+#: The folder of this process where the session names none, as in tests.
+_own: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir``, or a temporary one in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own.get("dir")
     if not root:
-        root = tempfile.mkdtemp(prefix="flowspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own["dir"] = tempfile.mkdtemp(prefix="flowspark-")
     return f"{root.rstrip('/')}/flowspark"
 
 
