@@ -22,11 +22,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
-    kept = jaccard_join.jaccard_join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
-    kept = materialize(kept, "pipeline-kept").withColumnRenamed("doc_id", "_kept")
-    out = docs.join(kept.drop("count"), docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    if not kept.where("count > 1").isEmpty():  # an id given twice: of equal rows one stays
+    """Of each group of linked documents one row stays: the smallest id, nulls last, then the smallest text digest."""
+    kept = materialize(jaccard_join.one_of_each(docs), "pipeline-kept").toDF("_kept", "_digest", "_n")
+    same = docs["doc_id"].eqNullSafe(kept["_kept"]) & (jaccard_join.text_digest("text") == kept["_digest"])
+    out = docs.join(kept.drop("_n"), same, "left_semi")
+    if not kept.where("_n > 1").isEmpty():  # a row given twice: of equal rows one stays
         out = out.dropDuplicates(["doc_id", "text"])
     return out.select(*docs.columns)
 

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, Words, chunks, connected_components, if_small, materialize, mix, window_hashes
@@ -67,19 +67,25 @@ def set_key(s: np.ndarray) -> int:
     return int(mix(np.array([(a * 31 + b * 0x9E3779B97F4A7C15 + len(s)) & (2**64 - 1)], dtype=U64)).view(np.int64)[0])
 
 
-def described(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, n_shingles, key) of every row."""
+def text_digest(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
+def described(docs: DataFrame, id_col: str, text_col: str, size: int, digest: bool = False) -> DataFrame:
+    """(id, n_shingles, key) of every row, and its text's digest if asked for."""
+    names = ["id", "digest"] if digest else ["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 sets = shingle_sets(part.column("text"), size)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())],
-                    names=["id", "n_shingles", "key"],
+                    [*(part.column(c) for c in names), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())],
+                    names=[*names, "n_shingles", "key"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n_shingles long, key long")
+    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), text_digest(text_col).alias("digest"))
+    return given.select(*names, "text").mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "n_shingles", "key"]))
 
 
 def _dealt(docs: DataFrame, text_col: str, size: int, ranges: int) -> DataFrame:
@@ -315,12 +321,39 @@ def _window(part: str, order):
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
     """(id_col, n_shingles, component_id) of every row; see the module's text."""
-    rows = materialize(described(docs, id_col, text_col, size), "jaccard-rows")
+    rows, named = _named(docs, id_col, text_col, size, percent)
+    if named is None:
+        return rows.select(F.col("id").alias(id_col), "n_shingles", F.col("id").alias("component_id"))
+    least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
+    names = materialize(named.join(least, "comp").select("key", "component_id"), "jaccard-names")
+    out = rows.join(names, "key", "left")
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
+    """(id, digest, n) of one row of each component: the smallest id, nulls last, then the smallest
+    `text_digest`; ``n`` rows are equal to it.  Wordless rows are one component where id and text are equal."""
+    rows, named = _named(docs, id_col, text_col, size, percent, digest=True)
+    per = rows.groupBy("key", F.col("n_shingles") > 0, "id", "digest").agg(F.count("*").alias("n")).toDF("key", "linked", "id", "digest", "n")
+    per = materialize(per, "jaccard-equal")
+    wordless = per.where("not linked").select("id", "digest", "n")
+    if named is None:
+        return wordless
+    best = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest", "n")).alias("best")
+    # by class first, so that a class of many rows meets its component as one row
+    best_of_class = per.where("linked").groupBy("key").agg(best)
+    best = best_of_class.join(named, "key").groupBy("comp").agg(F.min("best").alias("best"))
+    return best.select("best.id", "best.digest", "best.n").unionByName(wordless)
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, digest: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """The described rows, and (key, least id, comp) of every class of them, or None without classes."""
+    rows = materialize(described(docs, id_col, text_col, size, digest), "jaccard-rows")
     classes = rows.where("n_shingles > 0").groupBy("key").agg(F.first("n_shingles").alias("n_shingles"), F.min("id").alias("least"))
     classes = materialize(classes, "jaccard-classes")
     total = classes.agg(F.sum("n_shingles").alias("tokens"), F.count("*").alias("n")).first()
     if not total["n"]:
-        return rows.select(F.col("id").alias(id_col), "n_shingles", F.col("id").alias("component_id"))
+        return rows, None
     edges = materialize(candidate_edges(docs, classes, text_col, size, percent, total["tokens"], total["n"]), "jaccard-edges")
     regions = connected_components(edges).select(F.col("node").alias("key"), F.col("component").alias("region"))
     # sizes are written first: the join then has a shuffle of its own on either side, which Spark can split
@@ -328,11 +361,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     regions = materialize(regions.join(sizes, "region"), "jaccard-regions")
     links = region_join(docs, rows, regions, id_col, text_col, size, percent)
     comps = connected_components(links)
-    named = classes.join(comps, classes["key"] == comps["node"], "left").select("key", "least", F.coalesce("component", "key").alias("comp"))
-    least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    names = materialize(named.join(least, "comp").select("key", "component_id"), "jaccard-names")
-    out = rows.join(names, "key", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return rows, classes.join(comps, classes["key"] == comps["node"], "left").select("key", "least", F.coalesce("component", "key").alias("comp"))
 
 
 def region_join(docs: DataFrame, rows: DataFrame, regions: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:

@@ -39,6 +39,19 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         assert list(r.token_ids) == model.encode(r.text) and r.n_tokens == len(r.token_ids) and r.n_chars == len(r.text)
 
 
+def test_one_row_of_each_group_stays_with_null_and_repeated_ids(spark):
+    """Rows of no id are groups of their own, and an id does not keep what another text of it won."""
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcde")
+    rows = [(None, a), (None, a + " more"), (None, b), (1, b + " more"), (None, None), (None, "")]
+    rows += [(7, c), (7, d), (3, d + " more"), (7, e), (7, e + " more"), (7, c), (None, a)]
+    rows = [(i, t, "en", "s", 0) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert len(got) == len(set(got))
+    starts = sorted(((i, (t or "")[:1]) for i, t in got), key=str)
+    assert starts == sorted([(None, "a"), (1, "b"), (None, ""), (None, ""), (7, "c"), (3, "d"), (7, "e")], key=str)
+
+
 def test_stages_keep_columns_and_take_nothing(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
