@@ -37,7 +37,10 @@ BLOCK = frozenset(
 )
 PROSE = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 div section article".split())
 CLOSES_P = BLOCK - {"html", "body", "tbody", "td", "tfoot", "th", "thead", "tr", "caption"}
-CLOSED_BY_OWN = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+CLOSED_BY_OWN = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
+GROUPS = ("tbody", "tfoot", "thead")
+CLOSED_IN_TABLE = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), **dict.fromkeys(GROUPS, (*GROUPS, "tr", "td", "th"))}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCOPE = frozenset("table ul ol dl body html article section main div".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -53,10 +56,10 @@ SPACE = re.compile(r"[\s ]+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "score", "length", "linked")
+    __slots__ = ("name", "parent", "children", "score", "length", "linked", "cut")
 
-    def __init__(self, name: str, parent: Node | None):
-        self.name, self.parent, self.children = name, parent, []
+    def __init__(self, name: str, parent: Node | None, cut: bool = False):
+        self.name, self.parent, self.children, self.cut = name, parent, [], cut
         self.score, self.length, self.linked = 0.0, 0, 0
 
 
@@ -79,15 +82,16 @@ def is_cut(name: str, attributes: str) -> bool:
 
 
 def parse(page: str) -> Node:
-    """The tree without cut elements; children are nodes and texts."""
+    """The tree without cut elements; children are nodes and texts.
+
+    A cut element is parsed as any other, so that the same tags close it, but is no child of its parent.
+    """
     root = at = Node("html", None)
-    skip = 0  # depth inside a cut element
-    skipped: list[str] = []
     where, end = 0, len(page)
     while where < end:
         m = TAG.search(page, where)
         text = page[where : m.start() if m else end]
-        if text and not skip:
+        if text:
             at.children.append(entities.unescape(text))
         if not m:
             break
@@ -99,20 +103,12 @@ def parse(page: str) -> Node:
             stop = re.compile(rf"</{name}\s*>", re.I).search(page, where)
             where = stop.end() if stop else end
             continue
-        if skip:
-            if closing:
-                if name in skipped:
-                    while skipped.pop() != name:
-                        pass
-                    skip = len(skipped)
-            elif name not in VOID and not m[3].endswith("/"):
-                skipped.append(name)
-                skip += 1
-            continue
         if closing:
             node = at
             while node.parent is not None and node.name != name:
-                if node.name in SCOPE and name not in BLOCK:
+                if name not in BLOCK and name not in CUT and (node.name in SCOPE or node.cut and node.name in BLOCK):
+                    break
+                if name == "p" and node.cut and node.name in CUT:
                     break
                 node = node.parent
             if node.name == name and node.parent is not None:
@@ -121,28 +117,35 @@ def parse(page: str) -> Node:
         if name in ("html", "body"):
             continue
         if name in CLOSES_P:  # a block ends an open paragraph, and the inline elements left open in it
-            node = at
-            while node.parent is not None and node.name not in BLOCK:
+            node, held = at, None
+            while node.parent is not None and node.name not in BLOCK and not (node.cut and node.name in CUT):
+                held = held or (node if node.cut else None)
                 node = node.parent
             if node.name == "p":
                 at = node.parent
             elif node is not at and name == "p":
-                at = node
+                at = held or node
+            if name in HEADINGS and at.name in HEADINGS:
+                at = at.parent
         if name in CLOSED_BY_OWN:
             node = at
-            while node.parent is not None and node.name not in SCOPE and node.name not in CLOSED_BY_OWN[name]:
+            while node.parent is not None and node.name not in SCOPE and node.name not in CLOSED_BY_OWN[name] and not (node.cut and node.name in CUT):
                 node = node.parent
             if node.name in CLOSED_BY_OWN[name]:
                 at = node.parent
+        if name in CLOSED_IN_TABLE:  # the outermost of what it ends within the nearest table
+            node = at
+            while node.parent is not None and node.name != "table":
+                if node.name in CLOSED_IN_TABLE[name]:
+                    at = node.parent
+                node = node.parent
         if name in VOID or m[3].endswith("/") and name not in BLOCK:
             if name in ("br", "hr", "wbr") and name != "wbr":
                 at.children.append("\n" if name == "br" else Node("hr", at))
             continue
-        if is_cut(name, m[3]):
-            skipped, skip = [name], 1
-            continue
-        node = Node(name, at)
-        at.children.append(node)
+        node = Node(name, at, is_cut(name, m[3]))
+        if not node.cut:
+            at.children.append(node)
         at = node
     return root
 

@@ -116,6 +116,22 @@ def test_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><p>a</p><p class=ad>x<p>b</p><p>c</p></article><p>d</p>", "a\nb\nc\nd"), ("<article><p class=ad>x <b>y<p>b</p><h2>c</h2></article>", "b\nc"), ("<article><p>a</p><p class=ad>x</article><p>b</p>", "a\nb"),
+        ("<article><ul><li>a<li class=share>x<li>b</ul><p>c</p></article>", "a\nb\nc"), ("<article><ul><li>a<li class=share>x</ul><p>c</p></article>", "a\nc"), ("<article><dl><dt class=ad>x<dd>b</dl><p>c</p></article>", "b\nc"),
+        ("<article><table><tr><td>a<td hidden>x<td>b<tr><td>c</table><p>d</p></article>", "a\nb\nc\nd"), ("<article><table><tr hidden><td>x<tr><td>b</table><p>c</p></article>", "b\nc"),
+        ("<article><table><thead hidden><tr><th>x<tbody><tr><td>b</table><p>c</p></article>", "b\nc"), ("<div><div><aside>x<p>y</div><p>b</p></div>", "b"),
+        # what is inside a cut element stays cut
+        ("<article><dialog><p>x</p><p>y</p></dialog><p>a</p></article>", "a"), ("<article><div><a class=share><p>x</p></a><p>a</p></div></article>", "a"), ("<article><p>a <button><div>x</div></button> b</p></article>", "a b"),
+        ("<article><ul><li>a<nav><li>x</nav> b</ul></article>", "a b"), ("<article><span>a<aside>x</span>y</aside>b</span></article>", "ab"), ("<article><p>a<svg><g><path/></g></svg>b</p></article>", "ab"),
+    ],
+)
+def test_cut_elements_end_where_browsers_end_them(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def test_links_lose_to_prose():
     links = "<div>" + "<p><a href=x>some long enough link text, here it is</a></p>" * 12 + "</div>"
     prose = "<div>" + "<p>Some prose that is long enough, and has commas, as prose has.</p>" * 4 + "</div>"
