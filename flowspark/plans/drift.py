@@ -96,6 +96,14 @@ def unseen_levels(spark, sf_dir):
     return new.groupBy(F.substring_index("level", "-", 1).alias("src")).agg(F.count("*").alias("n_unseen"), F.min("level").alias("example"))
 
 
+def unseen_pairs(spark, sf_dir):
+    """Sources with pairs of source and part that the second period has and the whole first has not."""
+    d = periods(spark, sf_dir).withColumn("level", F.concat_ws("-", "src", "pkey"))
+    known = d.where("population = 'a'").select("level").distinct()
+    new = d.where("population = 'b'").select("level").distinct().join(known, "level", "left_anti")
+    return new.groupBy(F.substring_index("level", "-", 1).alias("src")).agg(F.count("*").alias("n_unseen"), F.min("level").alias("example"))
+
+
 def feature_drift(spark, sf_dir):
     """Over all rows and over normal rows: mean, median, KS, PSI and the drift score."""
     d = periods(spark, sf_dir)
@@ -193,7 +201,7 @@ def score_bin_drift(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        ks_stat, psi_numeric, js_numeric, psi_simple, drift_categorical, js_bits, numeric_summary, unseen_levels, feature_drift, category_shift, group_compare, drift_5pop, category_profile, fp_clusters, miss_diagnosis,
+        ks_stat, psi_numeric, js_numeric, psi_simple, drift_categorical, js_bits, numeric_summary, unseen_levels, unseen_pairs, feature_drift, category_shift, group_compare, drift_5pop, category_profile, fp_clusters, miss_diagnosis,
         effect_sizes, spearman, share_map, period_drift, score_bin_drift,
     )
 }
@@ -225,6 +233,8 @@ SQL = {
     "numeric_summary": f"with {LONG} select feature, pop population, count(*) n, round(avg(v), 4) mean, round(median(v), 4) median, round(quantile_cont(v, 0.9), 4) p90, round(quantile_cont(v, 0.99), 4) p99 from lg where isfinite(v) group by all",
     "unseen_levels": f"""with {LI}, d as (select src || '-' || sport lv, t, okey, src from li), n as (select distinct lv, src from d where t >= {MIDDLE} and lv not in (select lv from d where t < {MIDDLE} and okey % 10 = 0))
         select src::varchar src, count(*) n_unseen, min(lv) example from n group by all""",
+    "unseen_pairs": f"""with {LI}, d as (select src || '-' || pkey lv, t, src from li), n as (select distinct lv, src from d where t >= {MIDDLE} and lv not in (select lv from d where t < {MIDDLE}))
+        select src::varchar src, count(*) n_unseen, min(lv) example from n group by all""",
     "feature_drift": f"""with {long_sql(PERIOD)}, sc as (select pop, 'all|' || feature fs, v from lg union all select pop, 'normal|' || feature, v from (select pop, unnest(['bytes', 'packets', 'score']) feature, unnest([bytes, packets, score]) v from lp where "label" = 0)),
         {ks_sql('sc', 'fs')}, {bins_sql('sc', 'fs')}, {clip_sql('1e-10', True, by='fs')}, p as (select fs, {PSI} psi from c2 group by all),
         m as (select fs, round(avg(v) filter (pop = 'a'), 4) mean_a, round(median(v) filter (pop = 'a'), 4) median_a, round(avg(v) filter (pop = 'b'), 4) mean_b, round(median(v) filter (pop = 'b'), 4) median_b from sc group by all)

@@ -58,6 +58,13 @@ def unknown_categories(spark, sf_dir):
     return d.where("t >= 10000").groupBy("v").agg(F.count("*").alias("n")).join(seen, "v", "left_anti")
 
 
+def unknown_pairs(spark, sf_dir):
+    """Pairs of part and supplier of the later part that the whole earlier part lacks."""
+    d = data(spark, sf_dir).withColumn("v", F.concat_ws("-", "pkey", "src"))
+    seen = d.where("t < 10000").select("v").distinct()
+    return d.where("t >= 10000").groupBy("v").agg(F.count("*").alias("n")).join(seen, "v", "left_anti")
+
+
 def majority_baseline(spark, sf_dir):
     d = data(spark, sf_dir)
     most = d.groupBy("label").count().orderBy(F.desc("count"), "label").limit(1).select(F.col("label").alias("guess"))
@@ -192,7 +199,7 @@ def reload_check(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        stratified_split, stratified_folds, temporal_folds, sample_weights, unknown_categories, majority_baseline, select_candidate, ml_prepare, lr_train, rf_train, score_model, oof_scores, temporal_oof, stacker, weight_sweep,
+        stratified_split, stratified_folds, temporal_folds, sample_weights, unknown_categories, unknown_pairs, majority_baseline, select_candidate, ml_prepare, lr_train, rf_train, score_model, oof_scores, temporal_oof, stacker, weight_sweep,
         rf_search, feature_importance, ablation, reload_check,
     )
 }
@@ -202,6 +209,7 @@ SQL = {
     "stratified_folds": f"""with {ORD} select o_orderkey, "label", ((n - 1) % 3)::int fold from r""",
     "temporal_folds": f"with {LI}, u as ({ROLE}) select fold, \"role\", count(*) n, min(t) first_t, max(t) last_t from u where \"role\" is not null group by all",
     "sample_weights": f"with {LI} select cat, count(*) n, sum(case cat when 'OR' then 3.0 when 'FR' then 1.5 else 1.0 end)::double weight from li group by all",
+    "unknown_pairs": f"""with {LI}, d as (select pkey || '-' || src v, t from li) select v, count(*) n from d where t >= 10000 and v not in (select v from d where t < 10000) group by all""",
     "unknown_categories": f"""with {LI}, d as (select 'k' || (pkey % 5) || '-' || (src % 7) v, t, okey from li) select v, count(*) n from d where t >= 10000 and v not in (select v from d where t < 10000 and okey % 50 = 0) group by all""",
     "majority_baseline": f"""with {LI}, m as (select "label" guess from li group by "label" order by count(*) desc, "label" limit 1) select guess, count(*) n, count(*) filter (guess = "label") "right" from li, m group by all""",
     "select_candidate": """with e as (select k::int k, "value", (event_type <> 'view')::int l from events, range(1, 13) r(k)), m as (select k, avg(("value" >= k / 4)::int) filter (l = 1) recall, avg(("value" >= k / 4)::int) filter (l = 0) fpr from e group by all),
