@@ -63,10 +63,14 @@ def threshold_sweep(counts: DataFrame, by: list[str], steps: range, scale: float
     return rates(out)
 
 
-def select_threshold(sweep: DataFrame, least_recall: float) -> DataFrame:
-    """Enough recall, then fewest false, precision, F1 and the highest threshold; else most recall."""
+def select_threshold(sweep: DataFrame, least_recall: float, by: list[str] | None = None) -> DataFrame:
+    """Enough recall, then fewest false, precision, F1 and the highest threshold; else most recall.  One row, or one a group of ``by``."""
     ok = F.col("recall") >= least_recall
-    return sweep.withColumn("eligible", ok).orderBy(F.desc("eligible"), F.when(ok, 0.0).otherwise(-F.col("recall")), "fp", F.desc("precision"), F.desc("f1"), F.desc("threshold")).limit(1)
+    order = [F.desc("eligible"), F.when(ok, 0.0).otherwise(-F.col("recall")), "fp", F.desc("precision"), F.desc("f1"), F.desc("threshold")]
+    out = sweep.withColumn("eligible", ok)
+    if by is None:
+        return out.orderBy(*order).limit(1)
+    return out.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_r = 1").drop("_r")
 
 
 def ranking(counts: DataFrame, by: list[str]) -> DataFrame:

@@ -149,6 +149,16 @@ def ensemble_search(spark, sf_dir):
     return rounded(best.join(ev.ranking(counts, ["candidate"]), "candidate"), ["recall", "roc_auc", "average_precision"])
 
 
+def ensemble_search_whole(spark, sf_dir):
+    """Each of 21 blends and the maximum with its selected threshold of 99; the best of those with enough recall is marked."""
+    counts = ev.score_counts(ev.blends(flows_li(spark, sf_dir), [k / 20 for k in range(21)]), ["candidate"], score="s", decimals=6)
+    chosen = ev.select_threshold(ev.threshold_sweep(counts, ["candidate"], range(1, 100)), 0.985, ["candidate"])
+    out = rounded(chosen.join(ev.ranking(counts, ["candidate"]), "candidate"), ["precision", "recall", "f1", "roc_auc", "average_precision"])
+    w = Window.orderBy(F.desc("eligible"), "fp", F.desc("average_precision"), F.desc("precision"), F.desc("f1"), F.desc("threshold"), "candidate")  # 22 rows
+    out = out.withColumn("best", F.col("eligible") & (F.row_number().over(w) == 1))
+    return out.select("candidate", "threshold", "tn", "fp", "fn", "tp", "precision", "recall", "f1", "roc_auc", "average_precision", "eligible", "best")
+
+
 def score_shift(spark, sf_dir):
     """Scores of each class in two periods and whether they moved right by a tenth."""
     d = flows_li(spark, sf_dir).withColumn("period", F.when(F.col("t") < 11_600, "a").otherwise("b"))
@@ -192,7 +202,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         confusion, confusion_default, threshold_sweep, select_threshold, roc_auc, average_precision, brier, category_metrics, error_labels, reliability, ece, model_overlap, overlap_crosstab, score_summary, flow_metrics_hourly,
-        metric_deltas, blend_grid, ensemble_search, score_shift, error_rows, meta_features, binary_label, relevant_rows, scores_wide,
+        metric_deltas, blend_grid, ensemble_search, ensemble_search_whole, score_shift, error_rows, meta_features, binary_label, relevant_rows, scores_wide,
     )
 }
 LONG = ", ".join(f"('{m}', {m if m != 'precision' else chr(34) + 'precision' + chr(34)})" for m in RATES)
@@ -220,6 +230,14 @@ SQL = {
     "metric_deltas": f"""with {LI}, c as (select th, {COUNTS} from (select li.*, th, score >= th p from li, (values (0.4::double), (0.6::double)) v(th)) group by all), r as (select th, {RATE_SQL.replace(', 6)', ', 15)')} from c),
         l as (select th, m.metric, m.v from r, lateral (values {LONG}) m(metric, v)) select a.metric, round(a.v, 6) a, round(b.v, 6) b, round(b.v - a.v, 6) delta from l a join l b on a.metric = b.metric and a.th = 0.4 and b.th = 0.6""",
     "blend_grid": f"with {BLEND}, c as (select candidate, {COUNTS} from (select *, s >= 0.5 p from bl) group by all), r as (select *, {RATE_SQL} from c) select candidate, tn, fp, fn, tp, \"precision\", recall from r",
+    "ensemble_search_whole": f"""with {BLEND}, c as (select candidate, s, count(*) filter ("label" = 1) pos, count(*) filter ("label" = 0) neg from bl group by all),
+        d as (select *, sum(pos) over w tp, sum(neg) over w fp from c window w as (partition by candidate order by s desc)),
+        r as (select candidate, round(sum(neg * (tp - pos / 2.0::double)) / (sum(pos) * sum(neg)), 6) roc_auc, round(sum(pos * tp / (tp + fp)::double) / sum(pos), 6) average_precision from d group by all),
+        sw as (select candidate, k / 100.0::double threshold, coalesce(sum(neg) filter (s < k / 100.0::double), 0)::bigint tn, coalesce(sum(neg) filter (s >= k / 100.0::double), 0)::bigint fp, coalesce(sum(pos) filter (s < k / 100.0::double), 0)::bigint fn,
+         coalesce(sum(pos) filter (s >= k / 100.0::double), 0)::bigint tp from c, range(1, 100) x(k) group by all), q as (select *, {RATE_SQL}, tp / (tp + fn)::double >= 0.985 eligible from sw),
+        f as (select * from q qualify row_number() over (partition by candidate order by eligible desc, case when eligible then 0 else -tp / (tp + fn)::double end, fp, "precision" desc, f1 desc, threshold desc) = 1)
+        select candidate, threshold, tn, fp, fn, tp, "precision", recall, f1, roc_auc, average_precision, eligible,
+         eligible and row_number() over (order by eligible desc, fp, average_precision desc, "precision" desc, f1 desc, threshold desc, candidate) = 1 best from f join r using (candidate)""",
     "ensemble_search": f"""with {BLEND}, c as (select candidate, s, count(*) filter ("label" = 1) pos, count(*) filter ("label" = 0) neg from bl where candidate in ('blend_0.00', 'blend_0.25', 'blend_0.50', 'blend_0.75', 'blend_1.00', 'max') group by all),
         d as (select *, sum(pos) over w tp, sum(neg) over w fp from c window w as (partition by candidate order by s desc)),
         r as (select candidate, round(sum(neg * (tp - pos / 2.0::double)) / (sum(pos) * sum(neg)), 6) roc_auc, round(sum(pos * tp / (tp + fp)::double) / sum(pos), 6) average_precision from d group by all),
