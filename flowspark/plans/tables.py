@@ -209,6 +209,18 @@ def host_overlap(spark, sf_dir):
     return d.join(b, "src").where("day < other").groupBy("day", "other").agg(F.count("*").alias("shared"))
 
 
+def host_overlap_days(spark, sf_dir):
+    """Sources, destinations and any endpoints that every pair of calendar days shares, pairs that share none too."""
+    d = flows_ev(spark, sf_dir).select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
+    ends = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("host")) for k, c in (("src", "src"), ("dst", "dst"), ("any", "src"), ("any", "dst"))))
+    hosts = d.select("day", F.explode(ends).alias("e")).select("day", "e.*").distinct()
+    shared = hosts.join(hosts.withColumnRenamed("day", "other"), ["kind", "host"]).where("day < other")
+    shared = shared.groupBy("day", "other").agg(*(F.count_if(F.col("kind") == k).alias(f"{k}_shared") for k in ("src", "dst", "any")))
+    days = d.select("day").distinct()
+    pairs = days.join(days.withColumnRenamed("day", "other"), F.col("day") < F.col("other"))
+    return pairs.join(shared, ["day", "other"], "left").fillna(0, ["src_shared", "dst_shared", "any_shared"])
+
+
 def time_quality(spark, sf_dir):
     d = flows_ev(spark, sf_dir).withColumn("sec", F.floor(F.col("t") / 1_000_000))
     per = d.groupBy("sec").agg(F.count("*").alias("n"), F.count_if(F.col("ts").cast("string").rlike(r"\.\d")).alias("frac"))
@@ -252,7 +264,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         validate_rows, validation_report, route_by_day, split_by_day, output_check, parquet_row_id, dup_rank, row_fingerprint, align_tables, unmatched_rows, dup_stats, left_complete, feature_parity, score_parity, incident_parity,
-        profile_missing, profile_infinite, profile_duplicates, profile_constant, value_distribution, target_crosstab, describe_numeric, describe_categorical, cardinality, label_distribution, daily_profile, host_overlap,
+        profile_missing, profile_infinite, profile_duplicates, profile_constant, value_distribution, target_crosstab, describe_numeric, describe_categorical, cardinality, label_distribution, daily_profile, host_overlap, host_overlap_days,
         time_quality, time_gaps, category_set_diff, combined_distribution, companion_match, top_k, set_ops,
     )
 }
@@ -301,6 +313,9 @@ SQL = {
     "label_distribution": f"with {GAPS} select coalesce(trim(event_type), '<MISSING>') \"label\", count(*) n, round(100 * count(*) / (select count(*) from g)::double, 4) \"percent\" from g group by all",
     "daily_profile": f"with {EV} select strftime(ts, '%Y-%m-%d') \"day\", count(*) \"rows\", count(*) filter (dst = 'error') errors, count(distinct src) sources, count(distinct src) filter (dst = 'error') error_sources from ev group by all",
     "host_overlap": f"with {EV}, d as (select distinct day(ts)::int d, src from ev where day(ts) <= 10) select a.d \"day\", b.d other, count(*) shared from d a join d b using (src) where a.d < b.d group by all",
+    "host_overlap_days": f"""with {EV}, d as (select ts::date::varchar d, src::varchar src, dst::varchar dst from ev), h as (select d, 'src' k, src h from d union select d, 'dst', dst from d union select d, 'any', src from d union select d, 'any', dst from d),
+        s as (select a.d d, b.d o, a.k k from h a join h b on a.k = b.k and a.h = b.h and a.d < b.d), p as (select a.d d, b.d o from (select distinct d from d) a, (select distinct d from d) b where a.d < b.d)
+        select p.d "day", p.o other, count(*) filter (k = 'src') src_shared, count(*) filter (k = 'dst') dst_shared, count(*) filter (k = 'any') any_shared from p left join s using (d, o) group by all""",
     "time_quality": f"""with {EV}, p as (select t // 1000000 sec, count(*) n, count(*) filter (t % 1000000 <> 0) frac from ev group by all) select sum(n)::bigint "rows", count(*) unique_seconds, max(n) most_peers,
         sum(case when n > 1 then n else 0 end)::bigint rows_in_shared_seconds, sum(frac)::bigint fractional, min(sec) first_second, max(sec) last_second from p""",
     "time_gaps": f"""with {EV}, d as (select distinct src, t // 1000000 sec from ev), g as (select src, lead(sec) over (partition by src order by sec) - sec gap from d)
