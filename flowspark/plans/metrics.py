@@ -50,6 +50,11 @@ def select_threshold(spark, sf_dir):
     return rounded(ev.select_threshold(sweep(spark, sf_dir).where("dport = 1"), 0.985), RATES)
 
 
+def select_threshold_each(spark, sf_dir):
+    """A threshold for every destination port, over all flows."""
+    return rounded(ev.select_threshold(sweep(spark, sf_dir), 0.985, ["dport"]), RATES)
+
+
 def roc_auc(spark, sf_dir):
     return ev.ranking(ev.score_counts(flows_li(spark, sf_dir), ["dport"]), ["dport"]).select("dport", F.round("roc_auc", 6).alias("roc_auc"))
 
@@ -201,7 +206,7 @@ def scores_wide(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        confusion, confusion_default, threshold_sweep, select_threshold, roc_auc, average_precision, brier, category_metrics, error_labels, reliability, ece, model_overlap, overlap_crosstab, score_summary, flow_metrics_hourly,
+        confusion, confusion_default, threshold_sweep, select_threshold, select_threshold_each, roc_auc, average_precision, brier, category_metrics, error_labels, reliability, ece, model_overlap, overlap_crosstab, score_summary, flow_metrics_hourly,
         metric_deltas, blend_grid, ensemble_search, ensemble_search_whole, score_shift, error_rows, meta_features, binary_label, relevant_rows, scores_wide,
     )
 }
@@ -211,6 +216,8 @@ SQL = {
     "confusion_default": f"with {LI}, c as (select {COUNTS} from (select *, score > 0.5 p from li)) select *, {RATE_SQL} from c",
     "threshold_sweep": f"with {SWEEP} select * from sweep",
     "select_threshold": f"""with {SWEEP} select *, recall >= 0.985 eligible from sweep where dport = 1 order by tp / (tp + fn)::double >= 0.985 desc, case when tp / (tp + fn)::double >= 0.985 then 0 else -tp / (tp + fn)::double end, fp, "precision" desc, f1 desc, threshold desc limit 1""",
+    "select_threshold_each": f"""with {SWEEP} select *, recall >= 0.985 eligible from sweep qualify row_number() over (partition by dport order by tp / (tp + fn)::double >= 0.985 desc,
+        case when tp / (tp + fn)::double >= 0.985 then 0 else -tp / (tp + fn)::double end, fp, "precision" desc, f1 desc, threshold desc) = 1""",
     "roc_auc": f"with {RANK} select dport, round(sum(neg * (tp - pos / 2.0::double)) / (sum(pos) * sum(neg)), 6) roc_auc from d group by all",
     "average_precision": f"with {RANK} select dport, round(sum(pos * tp / (tp + fp)::double) / sum(pos), 6) average_precision from d group by all",
     "brier": f'with {LI} select cat, round(avg((score - "label") ** 2), 6) brier from li group by all',

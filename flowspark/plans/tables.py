@@ -113,6 +113,12 @@ def left_complete(spark, sf_dir):
     return o.join(c, o["o_custkey"] == c["c_custkey"], "left").agg(F.count("*").alias("rows"), F.count_if(F.col("c_custkey").isNull()).alias("missing"))
 
 
+def left_complete_whole(spark, sf_dir):
+    """All orders with all customers, and whether any lacks one."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    return o.join(c, o["o_custkey"] == c["c_custkey"], "left").agg(F.count("*").alias("rows"), F.count_if(F.col("c_custkey").isNull()).alias("missing"))
+
+
 def feature_parity(spark, sf_dir):
     a, b = sides(spark, sf_dir)
     p = al.parity(al.aligned(a, b, ["k", "n"], ["p", "q"], ["p2", "q2"]), {"q": ("q", "q2"), "p": ("p", "p2")}, 0.5)
@@ -238,6 +244,12 @@ def category_set_diff(spark, sf_dir):
     return c.subtract(s).withColumn("side", F.lit("customers")).unionByName(s.subtract(c).withColumn("side", F.lit("suppliers")))
 
 
+def category_set_diff_whole(spark, sf_dir):
+    """Nations that only customers have and that only suppliers have, over both whole tables."""
+    c, s = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"))
+    return c.subtract(s).withColumn("side", F.lit("customers")).unionByName(s.subtract(c).withColumn("side", F.lit("suppliers")))
+
+
 def combined_distribution(spark, sf_dir):
     both = pf.union_all(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation")))
     return pf.distribution(both, "nation", "nation")
@@ -263,9 +275,9 @@ def set_ops(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        validate_rows, validation_report, route_by_day, split_by_day, output_check, parquet_row_id, dup_rank, row_fingerprint, align_tables, unmatched_rows, dup_stats, left_complete, feature_parity, score_parity, incident_parity,
+        validate_rows, validation_report, route_by_day, split_by_day, output_check, parquet_row_id, dup_rank, row_fingerprint, align_tables, unmatched_rows, dup_stats, left_complete, left_complete_whole, feature_parity, score_parity, incident_parity,
         profile_missing, profile_infinite, profile_duplicates, profile_constant, value_distribution, target_crosstab, describe_numeric, describe_categorical, cardinality, label_distribution, daily_profile, host_overlap, host_overlap_days,
-        time_quality, time_gaps, category_set_diff, combined_distribution, companion_match, top_k, set_ops,
+        time_quality, time_gaps, category_set_diff, category_set_diff_whole, combined_distribution, companion_match, top_k, set_ops,
     )
 }
 NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -294,6 +306,7 @@ SQL = {
     "unmatched_rows": f"with {SIDES} select (select count(*) from ar anti join br using (k, n, r)) only_left, (select count(*) from br anti join ar using (k, n, r)) only_right",
     "dup_stats": "with g as (select count(*) n from lineitem group by l_orderkey, l_linenumber having count(*) > 1) select count(*) \"groups\", sum(n)::bigint \"rows\", max(n) largest from g",
     "left_complete": "select count(*) \"rows\", count(*) filter (c_custkey is null) missing from orders left join (from customer where c_custkey % 7 <> 0) on o_custkey = c_custkey",
+    "left_complete_whole": "select count(*) \"rows\", count(*) filter (c_custkey is null) missing from orders left join customer on o_custkey = c_custkey",
     "feature_parity": f"with {SIDES} select 'q' feature, count(*) filter (abs(q - q2) > 0.5) mismatched, max(abs(q - q2))::double max_difference from j union all select 'p', count(*) filter (abs(p - p2) > 0.5), max(abs(p - p2))::double from j",
     "score_parity": """with d as (select event_id % 1000 / 1000.0::double a, (event_id % 1000 + case when event_id % 11 = 0 then 5 else 0 end) / 1000.0::double b from events)
         select count(*) n, round(max(abs(a - b)), 12) max_difference, count(*) filter (abs(a - b) > 1e-12) different, count(*) filter ((a >= 0.4) <> (b >= 0.4)) decisions from d""",
@@ -322,6 +335,8 @@ SQL = {
         select src, count(*) filter (gap > 60) over_minute, count(*) filter (gap > 3600) over_hour, count(*) filter (gap > 86400) over_day, max(gap) longest from g group by all""",
     "category_set_diff": """with c as (select distinct c_nationkey nation from customer where c_custkey % 3 = 0 and c_nationkey > 3), s as (select distinct s_nationkey nation from supplier where s_nationkey < 20)
         select nation, 'customers' side from c anti join s using (nation) union all select nation, 'suppliers' from s anti join c using (nation)""",
+    "category_set_diff_whole": """with c as (select distinct c_nationkey nation from customer), s as (select distinct s_nationkey nation from supplier)
+        select nation, 'customers' side from c anti join s using (nation) union all select nation, 'suppliers' from s anti join c using (nation)""",
     "combined_distribution": "with b as (select c_nationkey nation from customer union all select s_nationkey from supplier) select nation, count(*) n, round(100 * count(*) / (select count(*) from b)::double, 4) \"percent\" from b group by all",
     "companion_match": "select (select count(*) from documents) \"rows\", (select count(*) from labels) labels, (select count(*) from documents) = (select count(*) from labels) matches",
     "top_k": "select o_orderpriority, o_orderkey, o_totalprice, (row_number() over (partition by o_orderpriority order by o_totalprice desc, o_orderkey))::int \"rank\" from orders qualify \"rank\" <= 3",
