@@ -11,7 +11,8 @@ formatted in parallel; its text is the concatenation of its rows by turn.  Only
 whole conversation, which no function can compute in pieces, reads its rows in order, and does so
 as a stream (`running_digests`), never holding a conversation in memory.
 
-Defined cases: null text is empty, a null role too, null parts or a null part add nothing; rows
+Defined cases: null text is empty, a null role too, null parts or a null part add nothing, a part of null
+type is a text or else of type unknown; rows
 of one turn are ordered by role and text; repeated rows all stay; a null conversation id is one
 conversation; an empty table gives no rows; clashing columns are replaced.
 """
@@ -41,6 +42,9 @@ def unescape(text: Column) -> Column:
 def _visit(parts: Column) -> tuple[Column, Column]:
     """Text with placeholders, and attachments, of a list of parts."""
     parts = F.filter(F.coalesce(parts, F.array()), lambda p: p.isNotNull())
+    # a part of no type is a text, unless only a ref or a count of tokens says that it is something
+    untyped = lambda p: F.when(p["text"].isNull() & (p["ref"].isNotNull() | p["tokens"].isNotNull()), "unknown").otherwise("text")
+    parts = F.transform(parts, lambda p: F.struct(F.coalesce(p["type"], untyped(p)).alias("type"), p["text"].alias("text"), p["ref"].alias("ref"), p["tokens"].alias("tokens")))
     other = F.filter(parts, lambda p: p["type"] != "text")
     tokens = lambda p: F.coalesce(p["tokens"].cast("long"), *(F.when(p["type"] == k, v) for k, v in EXPANDED.items()), F.lit(0))
     attachments = F.transform(other, lambda p, i: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), (i + 1).alias("number"), tokens(p).cast("long").alias("tokens")))

@@ -192,3 +192,20 @@ def test_chat_parts_and_digests(spark):
     got = {r.c: r.p for r in chat_format.running_digests(lines, "c", ["o"], ["p"]).collect()}
     want = {c: "".join(f"x{k}" for k in range(30) if k % 3 == c) for c in range(3)} | {None: "n"}
     assert got == {c: hashlib.sha256(t.encode()).hexdigest() for c, t in want.items()}
+
+
+def test_parts_of_no_type_lose_no_turn(spark):
+    parts = "array<struct<type:string,text:string,ref:string,tokens:long>>"
+    rows = [(1, 1, "user", [("text", "a", None, None), (None, "b<", None, None), (None, None, "r", 5), (None, None, None, None), None])]
+    out = chat_format.format_turns(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {parts}"), parts_col="parts").first()
+    assert out.formatted == "### user: ab\\<<unknown 1></turn>\n"
+    assert [tuple(a) for a in out.attachments] == [("unknown", "r", 1, 5)] and out.expanded_tokens == 5
+
+
+def test_chat_query_visits_parts(spark, monkeypatch):
+    from flowspark.llm import queries
+
+    seen, visit = [], chat_format._visit
+    monkeypatch.setattr(chat_format, "_visit", lambda parts: seen.append(1) or visit(parts))
+    queries.op10_chat_format(spark, "/root/testdata/sf0.001")
+    assert seen
