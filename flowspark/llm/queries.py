@@ -41,7 +41,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    out = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, piece_model()), piece_model())
+    out = sentencepiece_codec.encode(docs, piece_model(), decoded_col="decoded")
     ids = F.array_join(F.col("token_ids").cast("array<string>"), ",")
     return out.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
 

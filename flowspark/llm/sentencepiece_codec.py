@@ -1,25 +1,27 @@
 """SentencePiece (BPE model) encoding and decoding by suffix-array matching.
 
-A batch of texts is normalised by the model and cut where a word mark follows another character
-(no piece crosses such a place, which `Pieces` checks).  The distinct units of the batch are joined
-into one text; its suffix array, sorted as deep as the longest piece, is binary-searched for every
+A batch of texts is normalised by the model, joined, and cut where a word mark follows another character
+(no piece crosses such a place, which `Pieces` checks).  Equal units of the batch stand for each
+other; those not met before are joined into one text.  Its suffix array is binary-searched for every
 piece at once, which gives each piece its range of occurrences.  Occurrences are edges (start,
 length, piece), dealt by position into a table.  Relaxing the edges then settles all units in
 step: each round joins, in every unit, the adjacent pair whose edge scores best (the leftmost of
-equals), until no edge is left, which is the model's own order of merges.  What no piece
-covers falls back to bytes.
+equals), until no edge is left, which is the model's own order of merges.  A unit of over
+``LONG`` letters takes its edges from a heap in that same order, so its time is n log n.  What no
+piece covers falls back to bytes.
 
-Memory is bounded by ``UNIT_CHARS`` of distinct text at a time and a bounded store of settled
+Memory is bounded by ``UNIT_CHARS`` of distinct text at a time (or one unit, if longer; long units are cut
+where no piece holds the two letters next to each other) and a bounded store of settled
 units; each task works on Arrow batches, and nothing is shuffled.
 
-Defined cases: null and empty texts have no ids and decode to the empty text (null stays null);
+Defined cases: null and empty texts have no ids and decode to the empty text (null ids stay null);
 texts of any length are whole; repeated rows are settled once a batch; clashing columns are
 replaced; U+2581 decodes as a space, as in the library.
 """
 
 from __future__ import annotations
 
-import re
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,24 +30,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import chunks, text_bytes
+
 MARK = "▁"
-UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 UNIT_CHARS = 1_000_000
-STORE_UNITS = 800_000
-BATCH_CHARS = 4_000_000
-NONE = -np.inf
+STORE_UNITS = 500_000
+BATCH_CHARS = 8_000_000
+LONG = 48
+#: Widths of the tables in which units of up to so many letters settle together.
+WIDTHS = (3, 5, 7, 9, 12, 16, 24, LONG)
 
 
 class Pieces:
-    """The normal pieces of a model as code points, with scores, and the byte pieces."""
+    """The normal pieces of a model as code points, best score first, and the byte pieces."""
 
     def __init__(self, model_file: str):
         import sentencepiece
 
         self.model = m = sentencepiece.SentencePieceProcessor(model_file=model_file)
         every = range(m.vocab_size())
-        self.ids = np.array([i for i in every if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))], np.int32)
-        texts = [m.id_to_piece(int(i)) for i in self.ids]
+        normal = [i for i in every if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
+        normal.sort(key=lambda i: (-m.get_score(i), i))
+        self.ids = np.array(normal, np.int32)
+        texts = [m.id_to_piece(i) for i in normal]
         if any(MARK in t.lstrip(MARK) for t in texts):
             raise ValueError("a piece of this model crosses words")
         self.length = np.array([len(t) for t in texts])
@@ -53,20 +60,33 @@ class Pieces:
         self.codes = np.zeros((len(texts), self.depth), np.uint32)
         for k, t in enumerate(texts):
             self.codes[k, : len(t)] = np.frombuffer(t.encode("utf-32-le"), np.uint32)
-        self.score = np.full(m.vocab_size(), NONE)
-        self.score[self.ids] = [m.get_score(int(i)) for i in self.ids]
+        score = np.array([m.get_score(i) for i in normal])
+        #: place in the order of scores; equal scores have one place
+        self.level = np.unique(-score, return_inverse=True)[1].astype(np.int32)
+        both = (self.codes[:, 1:] != 0).nonzero()
+        self.pairs = np.unique(self.codes[both].astype(np.int64) << 32 | self.codes[both[0], both[1] + 1])
         self.bytes = np.array([m.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
-        self.shown = [b"" if m.is_control(i) else bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace(MARK, " ").encode() for i in every]
-
-
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes by their first ``depth`` symbols (small non-negative codes, 0 pads)."""
-    padded = np.concatenate([text, np.zeros(2, text.dtype)]).astype(np.int64)
-    key, known = (padded[:-2] << 42) | (padded[1:-1] << 21) | padded[2:], 3
+        shown = [b"" if m.is_control(i) else bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace(MARK, " ").encode() for i in every]
+        self.shown = np.frombuffer(b"".join(shown), np.uint8)
+        self.shown_size = np.array([len(x) for x in shown])
+        self.shown_at = np.cumsum(self.shown_size) - self.shown_size
+        self.is_byte = np.array([m.is_byte(i) for i in every])
+
+
+def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Order of the suffixes by their first ``depth`` symbols (small non-negative codes, 0 pads), the first key
+    of each suffix in that order, and the symbols and bits a symbol that the key holds."""
+    bits = int(text.max(initial=1)).bit_length()
+    held = min(depth, 62 // bits)
+    padded = np.concatenate([text, np.zeros(held, text.dtype)]).astype(np.int64)
+    key = np.zeros(len(text), np.int64)
+    for j in range(held):
+        key = key << bits | padded[j : j + len(text)]
+    first, known = key, held
     while True:
         order = np.argsort(key)
         if known >= depth:
-            return order
+            return order, first[order], held, bits
         ranks = np.empty(len(key), np.int64)
         ranks[order] = np.cumsum(np.r_[1, key[order[1:]] != key[order[:-1]]])
         after = np.zeros(len(key), np.int64)
@@ -74,84 +94,146 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         key, known = ranks * (len(key) + 1) + after, known * 2
 
 
-def occurrences(text: np.ndarray, order: np.ndarray, pieces: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Range of each piece in the suffix array, by a binary search of all pieces in step."""
+def occurrences(text: np.ndarray, pieces: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffix array, and the range of each piece in it: a binary search of all pieces by their first key, then
+    of the pieces that are longer than a key, within those ranges and in step."""
     depth = pieces.shape[1]
-    padded = np.concatenate([text, np.zeros(depth, text.dtype)])
-    windows = np.lib.stride_tricks.sliding_window_view(padded, depth)
-    inside = np.arange(depth) < length[:, None]
-    out = []
-    for side in (0, 1):
-        lo, hi = np.zeros(len(pieces), np.int64), np.full(len(pieces), len(text))
-        while (open_ := np.flatnonzero(lo < hi)).size:
-            mid = (lo[open_] + hi[open_]) // 2
-            differ = (windows[order[mid]].astype(np.int64) - pieces[open_]) * inside[open_]
-            first = np.argmax(differ != 0, axis=1)
-            sign = differ[np.arange(len(open_)), first]
-            below = sign < 0 if side == 0 else sign <= 0
-            lo[open_[below]], hi[open_[~below]] = mid[below] + 1, mid[~below]
-        out.append(lo)
-    return out[0], out[1]
+    order, first, held, bits = suffix_array(text, depth)
+    lead = np.zeros(len(pieces), np.int64)
+    for j in range(held):
+        lead = lead << bits | (pieces[:, j] if j < depth else 0)
+    room = np.int64(1) << (bits * np.maximum(0, held - length)).astype(np.int64)
+    lo, hi = np.searchsorted(first, lead), np.searchsorted(first, lead + room)
+    long = np.flatnonzero((length > held) & (lo < hi))
+    if long.size:
+        padded = np.concatenate([text, np.zeros(depth, text.dtype)])
+        windows = np.lib.stride_tricks.sliding_window_view(padded, depth)
+        inside = np.arange(depth) < length[long, None]
+        ends = []
+        for side in (0, 1):
+            a, b = lo[long], hi[long]
+            while (open_ := np.flatnonzero(a < b)).size:
+                mid = (a[open_] + b[open_]) // 2
+                differ = (windows[order[mid]].astype(np.int64) - pieces[long[open_]]) * inside[open_]
+                at = np.argmax(differ != 0, axis=1)
+                sign = differ[np.arange(len(open_)), at]
+                below = sign < 0 if side == 0 else sign <= 0
+                a[open_[below]], b[open_[~below]] = mid[below] + 1, mid[~below]
+            ends.append(a)
+        lo[long], hi[long] = ends
+    return order, lo, hi
+
+
+class Edges:
+    """Occurrences of pieces by position: ``at(start, size)`` is the place of a piece, or ``none``."""
+
+    def __init__(self, text: np.ndarray, order: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: np.ndarray, level: np.ndarray, depth: int):
+        self.depth, self.none, n = depth, len(length), hi - lo
+        small = np.uint16 if self.none < 65535 else np.uint32
+        self.table = np.full(len(text) * depth, self.none, small)
+        at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        self.table[order[at] * depth + np.repeat(length - 1, n)] = np.repeat(np.arange(self.none, dtype=small), n)
+        #: order of merging by place; the last is for no edge
+        self.level = np.append(level, np.iinfo(np.int32).max).astype(np.int32)
+
+    def at(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return self.table[start * self.depth + np.minimum(size, self.depth) - 1]
+
+    def pair(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return self.level[np.where(size <= self.depth, self.at(start, size), self.none)]
+
+
+def relax(edges: Edges, base: np.ndarray, letters: np.ndarray, width: int, sizes: np.ndarray) -> None:
+    """Settle units of up to ``width`` letters in step; ``sizes`` gets the letters of each symbol at its start."""
+    never = edges.level[-1]
+    row = np.arange(width + 1, dtype=np.int64)[:, None]
+    size = np.zeros((width + 2, len(base)), np.int64)
+    size[: width + 1] = row < letters
+    before = np.zeros_like(size)  # letters of the symbol that ends there
+    before[1 : width + 1] = size[:width]
+    value = np.full((width, len(base)), never, np.int32)
+    for i in range(width - 1):
+        some = np.flatnonzero(i + 1 < letters)
+        value[i, some] = edges.pair(base[some] + i, np.full(len(some), 2))
+    while len(base):
+        i, c = value.argmin(axis=0), np.arange(len(base))
+        open_ = value[i, c] != never
+        if not open_.all():
+            over = np.flatnonzero(~open_)
+            for k in range(width):
+                sizes[(base[over] + k)[size[k, over] > 0]] = size[k, over][size[k, over] > 0]
+            size, before, value = size[:, open_], before[:, open_], value[:, open_]
+            base, i, c = base[open_], i[open_], np.arange(int(open_.sum()))
+            if not len(base):
+                return
+        left = size[i, c]
+        right = size[i + left, c]
+        both = left + right
+        size[i, c], size[i + left, c], value[i + left, c] = both, 0, never
+        before[i + both, c] = both
+        after = size[i + both, c]
+        value[i, c] = np.where(after > 0, edges.pair(base + i, both + after), never)
+        prior = before[i, c]
+        some = np.flatnonzero(prior)
+        start = i[some] - prior[some]
+        value[start, c[some]] = edges.pair(base[some] + start, prior[some] + both[some])
+
+
+def relax_long(edges: Edges, base: int, letters: int, sizes: np.ndarray) -> None:
+    """Settle one long unit, best edge first, from a heap."""
+    depth, none, table, level = edges.depth, edges.none, edges.table, edges.level.tolist()
+    size, before = [1] * letters + [0], [0] + [1] * letters
+    heap = [(int(v), i, 2) for i, v in enumerate(edges.pair(base + np.arange(letters - 1), np.full(letters - 1, 2))) if v != level[-1]]
+    heapq.heapify(heap)
+    while heap:
+        _, i, both = heapq.heappop(heap)
+        left = size[i]
+        if not left or left == both or left + size[i + left] != both:
+            continue  # one of the two has been joined to another since
+        size[i], size[i + left], before[i + both] = both, 0, both
+        for start, n in ((i, both + size[i + both] if size[i + both] else 0), (i - before[i], before[i] + both if before[i] else 0)):
+            if 0 < n <= depth and (place := table[(base + start) * depth + n - 1]) != none:
+                heapq.heappush(heap, (level[place], start, n))
+    sizes[base : base + letters] = size[:-1]
 
 
 def settle(units: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all units, joined, and the number of each unit."""
     raw = np.frombuffer("\0".join([*units, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    letters = np.unique(raw)
-    text = np.searchsorted(letters, raw).astype(np.int64) + 1
-    first = np.r_[0, np.cumsum([len(u) + 1 for u in units])[:-1]]
-    text[np.r_[first[1:], len(raw)] - 1] = 0
-    place = np.searchsorted(letters, pieces.codes)
-    known = letters[np.minimum(place, len(letters) - 1)] == pieces.codes
+    here = np.bincount(raw, minlength=1) if raw.max() < 1 << 21 else None
+    letters = np.flatnonzero(here).astype(np.uint32)
+    code = np.zeros(int(raw.max()) + 1, np.int64)
+    code[letters] = np.arange(1, len(letters) + 1)
+    text = code[raw]
+    count = np.array([len(u) for u in units])
+    first = np.cumsum(count + 1) - count - 1
+    text[first + count] = 0
+    cut = np.zeros(len(text), bool)  # a letter that no piece holds next to the one before it
+    for k in np.flatnonzero(count > LONG):
+        a, b = first[k], first[k] + count[k]
+        pair = raw[a : b - 1].astype(np.int64) << 32 | raw[a + 1 : b]
+        cut[a + 1 : b] = pieces.pairs[np.minimum(np.searchsorted(pieces.pairs, pair), len(pieces.pairs) - 1)] != pair
+    cut[first] = True
+    base = np.flatnonzero(cut)
+    size = np.diff(np.r_[base, len(text)])
+    size[np.searchsorted(base, first + count) - 1] -= 1  # the separator
+    place = np.where(pieces.codes < len(code), code[np.minimum(pieces.codes, len(code) - 1)], 0)
     inside = np.arange(pieces.depth) < pieces.length[:, None]
-    use = np.flatnonzero((known | ~inside).all(axis=1))
-    codes = np.where(inside[use], place[use] + 1, 0)
-    order = suffix_array(text, pieces.depth)
-    lo, hi = occurrences(text, order, codes, pieces.length[use])
-    # edges by position: edge[start, length - 1] is the piece
-    depth, n = pieces.depth, hi - lo
-    edge = np.full(len(text) * depth, -1, np.int32)
-    at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-    edge[order[at] * depth + np.repeat(pieces.length[use] - 1, n)] = np.repeat(pieces.ids[use], n)
-    score = np.append(pieces.score, NONE)  # index -1: no edge
-
-    def pair(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        fits = size <= depth
-        return score[np.where(fits, edge[start * depth + np.minimum(size, depth) - 1], -1)]
-
-    start = np.flatnonzero(text != 0)
-    size = np.ones(len(start), np.int64)
-    unit = np.searchsorted(first, start, "right") - 1
-    done = []
-    value = np.full(len(start), NONE)
-    value[:-1] = np.where(unit[:-1] == unit[1:], pair(start[:-1], size[:-1] + size[1:]), NONE)
-    while len(start):
-        heads = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
-        best = np.maximum.reduceat(value, heads)
-        count = np.diff(np.r_[heads, len(start)])
-        over = np.repeat(best == NONE, count)
-        if over.any():
-            done.append((start[over], size[over]))
-            start, size, unit, value = start[~over], size[~over], unit[~over], value[~over]
-            if not len(start):
-                break
-            count, best = count[best != NONE], best[best != NONE]
-        top = np.flatnonzero(value == np.repeat(best, count))
-        top = top[np.r_[True, unit[top[1:]] != unit[top[:-1]]]]
-        size[top] += size[top + 1]
-        keep = np.ones(len(start), bool)
-        keep[top + 1] = False
-        top -= np.arange(len(top))
-        start, size, unit, value = start[keep], size[keep], unit[keep], value[keep]
-        for k in (top, top[top > 0] - 1):
-            k = k[k + 1 < len(start)]
-            value[k] = np.where(unit[k] == unit[k + 1], pair(start[k], size[k] + size[k + 1]), NONE)
-        if top[-1] == len(start) - 1:
-            value[-1] = NONE
-    start, size = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64),) * 2
-    by = np.argsort(start)
-    start, size = start[by], size[by]
-    ids = edge[start * depth + size - 1]
+    use = np.flatnonzero(((place > 0) | ~inside).all(axis=1))
+    order, lo, hi = occurrences(text, np.where(inside[use], place[use], 0), pieces.length[use])
+    edges = Edges(text, order, lo, hi, pieces.length[use], pieces.level[use], pieces.depth)
+    sizes = np.zeros(len(text), np.int64)
+    low = 0
+    for width in WIDTHS:
+        some = np.flatnonzero((size > low) & (size <= width))
+        if some.size:
+            relax(edges, base[some], size[some], width, sizes)
+        low = width
+    for k in np.flatnonzero(size > LONG):
+        relax_long(edges, int(base[k]), int(size[k]), sizes)
+    start = np.flatnonzero(sizes)
+    found = edges.at(start, sizes[start])
+    ids = np.append(pieces.ids[use], -1)[found]
     per = np.ones(len(ids), np.int64)
     lost = np.flatnonzero(ids < 0)
     spelled = [np.frombuffer(chr(raw[start[k]]).encode("utf-8", "surrogatepass"), np.uint8) for k in lost]
@@ -162,6 +244,21 @@ def settle(units: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.bincount(np.searchsorted(first, start, "right") - 1, weights=per, minlength=len(units)).astype(np.int64)
 
 
+def cut_units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The units of all texts in order, and where each text's begin (one more than texts)."""
+    data, offsets = text_bytes(texts)
+    mark = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)) if len(data) > 2 else np.zeros(0, np.int64)
+    follows = np.r_[False, mark[1:] - mark[:-1] == 3] if len(mark) else np.zeros(0, bool)
+    cut = np.zeros(len(data) + 1, bool)
+    cut[mark[~follows]] = True
+    cut[offsets] = True
+    cut[-1] = False
+    start = np.flatnonzero(cut)
+    ends = np.r_[start, len(data)].astype(np.int64)
+    units = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data)))
+    return units, np.searchsorted(start, offsets)
+
+
 class Encoder:
     """Ids of texts; units settled before are kept, up to a bound."""
 
@@ -171,62 +268,84 @@ class Encoder:
 
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.flat, self.at = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        self.flat, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, joined, and where each text's begin (one more than texts)."""
         if len(self.number) > STORE_UNITS:
             self._forget()
-        units = [UNIT.findall(self.pieces.model.normalize(t)) if t else [] for t in texts]
-        number = self.number
-        new = [u for u in dict.fromkeys(u for x in units for u in x) if u not in number]
-        k = 0
+        normal = pa.array([self.pieces.model.normalize(t) if t else "" for t in texts], pa.large_string())
+        units, bounds = cut_units(normal)
+        named = units.dictionary_encode()
+        distinct, number = named.dictionary.to_pylist(), self.number
+        new = [u for u in distinct if u not in number]
+        flats, ats, k, base = [self.flat], [self.at], 0, self.at[-1]
         while k < len(new):
             to, chars = k, 0
             while to < len(new) and (to == k or chars + len(new[to]) < UNIT_CHARS):
                 chars += len(new[to]) + 1
                 to += 1
             flat, count = settle(new[k:to], self.pieces)
-            base = self.at[-1][-1]
-            self.flat.append(flat)
-            self.at.append(base + np.cumsum(count))
+            flats.append(flat)
+            ats.append(base + np.cumsum(count))
+            base = ats[-1][-1]
             for u in new[k:to]:
                 number[u] = len(number)
             k = to
-        flat, at = np.concatenate(self.flat), np.concatenate(self.at)
-        self.flat, self.at = [flat], [at]
-        chosen = np.array([number[u] for x in units for u in x], np.int64)
-        count = at[chosen + 1] - at[chosen]
-        ends = np.cumsum(count)
-        ids = flat[np.repeat(at[chosen] - np.r_[0, ends[:-1]], count) + np.arange(count.sum())] if len(chosen) else np.zeros(0, np.int32)
-        bounds = np.r_[0, ends][np.r_[0, np.cumsum([len(x) for x in units])].astype(np.int64)]
-        return ids, bounds
-
-    def decode(self, ids: np.ndarray) -> str:
-        shown = self.pieces.shown
-        text = b"".join([shown[i] for i in ids.tolist()]).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
-
-
-def _batches(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    from .common import chunks
-
-    return chunks(batch, column, BATCH_CHARS)
-
-
-def encode(docs: DataFrame, model_file: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
-    """``docs`` with the ids of ``text_col``, an array of integers."""
-    kept = docs.drop(out_col)
+        if len(flats) > 1:
+            self.flat, self.at = np.concatenate(flats), np.concatenate(ats)
+        flat, at = self.flat, self.at
+        chosen = np.array([number[u] for u in distinct], np.int64)[named.indices.to_numpy()] if len(distinct) else np.zeros(0, np.int64)
+        begin = at[chosen]
+        count = at[chosen + 1] - begin
+        ends = np.r_[0, np.cumsum(count)]
+        ids = flat[np.repeat(begin - ends[:-1], count) + np.arange(ends[-1])]
+        return ids, ends[bounds]
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """The texts that ``ids`` between ``bounds`` spell."""
+        p = self.pieces
+        n = p.shown_size[ids]
+        ends = np.r_[0, np.cumsum(n)]
+        data = p.shown[np.repeat(p.shown_at[ids] - ends[:-1], n) + np.arange(ends[-1])]
+        at = ends[bounds]
+        lead = np.zeros(len(at) - 1, np.int64)
+        some = np.flatnonzero(at[1:] > at[:-1])
+        lead[some] = data[at[some]] == 32
+        if lead.any():
+            stay = np.ones(len(data), bool)
+            stay[at[:-1][lead > 0]] = False
+            data, at = data[stay], at - np.r_[0, np.cumsum(lead)]
+        spelled = np.r_[0, np.cumsum(p.is_byte[ids])][bounds]
+        odd = np.flatnonzero(spelled[1:] > spelled[:-1])  # only bytes can spell what is no text
+        whole = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+        if not len(odd):
+            return whole.cast(pa.string())
+        raw = whole.view(pa.large_binary())
+        texts, last = [], 0
+        for k in odd.tolist():
+            texts += [whole.slice(last, k - last).cast(pa.string()), pa.array([raw[k].as_py().decode("utf-8", "replace")], pa.string())]
+            last = k + 1
+        return pa.concat_arrays([*texts, whole.slice(last).cast(pa.string())])
+
+
+def encode(docs: DataFrame, model_file: str, text_col: str = "text", out_col: str = "token_ids", decoded_col: str | None = None) -> DataFrame:
+    """``docs`` with the ids of ``text_col``, an array of integers, and in ``decoded_col`` what they spell, if named."""
+    new = [out_col, *([decoded_col] if decoded_col else [])]
+    kept = docs.drop(*new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model_file)
         for batch in batches:
-            for part in _batches(batch, text_col):
+            for part in chunks(batch, text_col, BATCH_CHARS):
                 ids, bounds = encoder(part.column(text_col).to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, out_col])
+                made = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))]
+                if decoded_col:
+                    made.append(encoder.decode(ids, bounds))
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *new])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))]))
+    added = [T.StructField(out_col, T.ArrayType(T.IntegerType())), *([T.StructField(decoded_col, T.StringType())] if decoded_col else [])]
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *added]))
 
 
 def decode(docs: DataFrame, model_file: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
@@ -237,7 +356,11 @@ def decode(docs: DataFrame, model_file: str, ids_col: str = "token_ids", out_col
         decoder = Encoder(model_file)
         for batch in batches:
             for part in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
-                texts = [None if x.as_py() is None else decoder.decode(x.values.to_numpy(zero_copy_only=False)) for x in part.column(ids_col)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out_col])
+                lists = part.column(ids_col)
+                size = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
+                texts = decoder.decode(lists.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(size)])
+                if lists.null_count:
+                    texts = pa.array([t if ok else None for t, ok in zip(texts.to_pylist(), lists.is_valid().to_pylist(), strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, out_col])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out_col, T.StringType())]))

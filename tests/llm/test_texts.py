@@ -61,6 +61,32 @@ def test_sentencepiece_equals_the_library(spark):
     assert sentencepiece_codec.encode(spark.createDataFrame([], SCHEMA), MODEL).collect() == []
 
 
+def test_units_of_any_length_equal_the_library():
+    """Units of 200,000 letters without a space: one letter, few letters, many letters, marks; each ends in seconds."""
+    import random
+
+    import numpy as np
+    import sentencepiece
+
+    rng, model = random.Random(3), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    draw = lambda letters, n=200_000: "".join(rng.choice(letters) for _ in range(n))
+    texts = ["a" * 200_000, draw("ACGT"), draw("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"), draw([chr(0x4E00 + k) for k in range(5000)]), "▁" * 3000, draw("ab") + " " + draw("ab"), None, ""]
+    encoder = sentencepiece_codec.Encoder(MODEL)
+    ids, bounds = encoder(texts)
+    want = [model.encode(t or "") for t in texts]
+    assert np.diff(bounds).tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert encoder.decode(ids, bounds).to_pylist() == [model.decode(w) for w in want]
+
+
+def test_one_pass_decodes_what_it_encodes(spark):
+    docs = spark.createDataFrame(awkward(), SCHEMA)
+    one = sentencepiece_codec.encode(docs, MODEL, decoded_col="decoded")
+    two = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, MODEL), MODEL)
+    assert one.columns == two.columns and one.exceptAll(two).count() == 0 == two.exceptAll(one).count()
+    ids = spark.createDataFrame([([228, 259, 200],), (None,), ([],), ([300, 5],)], "token_ids array<int>")
+    assert [r.decoded is None for r in sentencepiece_codec.decode(ids, MODEL).collect()] == [False, True, False, False]
+
+
 def test_url_rules(spark):
     urls = [
         "http://a.com/x", "http://Example.COM/en/1", "https://www.example.com/en/", "http://m.www.example.com/en/1", "http://example.com/english", "http://example.com", "http://notexample.com/en/",
