@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
 
@@ -11,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-# Multiplier of the polynomial word hash (odd, so it has an inverse modulo 2^64).
-BASE = 0x9E3779B97F4A7C15 | 1
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
 CHUNK_BYTES = 2_000_000
+#: Words of more bytes are named by BLAKE2b, shorter ones eight bytes at a time.
+LONG_WORD = 128
+#: Odd multipliers of the two 64-bit lanes of a word's name, and of their windows.
+LANES = ((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F))
 
 
 #: The folder of this process where the session names none, as in tests.
@@ -22,9 +25,12 @@ _own: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: ``spark.checkpoint.dir``, or a temporary one in tests."""
+    """Shared folder for intermediate tables: ``spark.checkpoint.dir``, or a temporary one in a session of one
+    machine, as in tests.  A cluster must name its folder: no machine's own folder is seen by the others."""
     root = spark.conf.get("spark.checkpoint.dir", None) or _own.get("dir")
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         root = _own["dir"] = tempfile.mkdtemp(prefix="flowspark-")
     return f"{root.rstrip('/')}/flowspark"
 
@@ -55,14 +61,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """Words of the texts of an Arrow string array, as hashes.
 
-    ``hash``: one 64-bit hash a word; ``start``/``end``: byte offsets within ``data``;
+    ``hash``: one 64-bit hash a word (`lane` gives a second, independent one); ``start``/``end``: byte offsets within ``data``;
     ``first``: index of each document's first word (length documents + 1);
     ``offsets``: byte offsets of the documents.  Words are maximal runs of bytes that
     are not ASCII white space (0x20, 0x09-0x0D), or of ``is_word`` bytes if given.
     """
 
-    _tables: dict = {}
-
     def __init__(self, texts: pa.Array, lower: bool, is_word: np.ndarray | None = None):
         data, offsets = text_bytes(texts)
         if lower:
@@ -78,24 +82,27 @@ class Words:
         after[-1:] = False
         after[:-1] = word[1:]
         self.end = np.flatnonzero(word & (~after | edge[1:])) + 1
-        powers, inverse = self._powers(len(data))
-        sums = np.empty(len(data) + 1, dtype=U64)
-        sums[0] = 0
-        np.cumsum((data.astype(U64) + U64(1)) * powers[: len(data)], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * inverse[self.start] + (self.end - self.start).astype(U64))
         self.data, self.offsets = data, offsets
         self.first = np.searchsorted(self.start, offsets)
-
-    @classmethod
-    def _powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if cls._tables.get("n", -1) < n:
-            both = []
-            for base in (BASE, BASE_INVERSE):
-                p = np.full(n + 1, base, dtype=U64)
-                p[0] = 1
-                both.append(np.cumprod(p))
-            cls._tables = {"n": n, "p": both}
-        return cls._tables["p"]
+        self.hash = self.lane(0)
+
+    def lane(self, k: int) -> np.ndarray:
+        """The ``k``-th 64 bits of every word's name, a chain over its bytes, eight at a time."""
+        step = U64(LANES[k][0])
+        size = self.end - self.start
+        eight = np.ndarray(len(self.data) + 1, "<u8", np.r_[self.data, np.zeros(8, np.uint8)].tobytes(), strides=(1,))
+        out = mix((size.astype(U64) + U64(k + 1)) * step)
+        some, at = np.flatnonzero(size <= LONG_WORD), 0
+        while some.size:
+            left = np.minimum(size[some] - at, 8).astype(U64)
+            block = eight[self.start[some] + at] & (~U64(0) >> (U64(64) - U64(8) * left))
+            out[some] = mix(out[some] ^ block * step)
+            at += 8
+            some = some[size[some] > at]
+        for i in np.flatnonzero(size > LONG_WORD):
+            name = hashlib.blake2b(self.data[self.start[i] : self.end[i]].tobytes(), digest_size=16).digest()
+            out[i] = int.from_bytes(name[8 * k : 8 * k + 8], "little")
+        return out
 
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -134,16 +141,16 @@ def chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK_BYTES):
         at = to
 
 
-def window_hashes(words: Words, size: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+def window_hashes(words: Words, size: int, salt: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each run of ``size`` words inside one document, and the index of its first word."""
-    h = words.hash
+    h = words.lane(lane) if lane else words.hash
     n = len(h)
     if n < size:
         return np.zeros(0, U64), np.zeros(0, np.int64)
     total = np.full(n - size + 1, salt, dtype=U64)
     factor = 1
     for k in range(size):
-        factor = (factor * 0xD6E8FEB86659FD93 + 0x2545F4914F6CDD1D) & 0xFFFFFFFFFFFFFFFF
+        factor = (factor * LANES[lane][1] + 0x2545F4914F6CDD1D) & 0xFFFFFFFFFFFFFFFF
         total += h[k : n - size + 1 + k] * U64(factor | 1)
     doc_end = np.repeat(words.first[1:], np.diff(words.first))
     at = np.flatnonzero(np.arange(n - size + 1) + size <= doc_end[: n - size + 1])
@@ -155,10 +162,11 @@ HUB_EDGES = 500
 
 
 def _state(edges: DataFrame) -> tuple[tuple, int]:
-    """What tells one round's edges from another's, and the largest degree."""
-    per = edges.groupBy("v").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"))
-    n, s, degree = per.agg(F.sum("n"), F.sum("s"), F.max("n")).first()
-    return (n, s), degree or 0
+    """What tells one round's edges from another's, and the number of hubs."""
+    ends = edges.select(F.explode(F.array("u", "v")).alias("x"), F.xxhash64("u", "v").cast("decimal(38,0)").alias("h"))
+    per = ends.groupBy("x").agg(F.count("*").alias("n"), F.sum("h").alias("s"))
+    n, s, hubs = per.agg(F.sum("n"), F.sum("s"), F.count_if(F.col("n") > HUB_EDGES)).first()
+    return (n, s), hubs
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -166,19 +174,21 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     ``edges``: columns ``a``, ``b`` (long).  Returns ``node``, ``component`` for every node
     of an edge.  Alternates the large-star and small-star steps, each one aggregation and
-    one join; every round is written to the shared folder, so a lost executor costs one
+    one join; the edges of a hub, and of hubs only, meet its minimum in as many pieces as its degree asks
+    for.  Every round is written to the shared folder, so a lost executor costs one
     round.  Empty input gives no rows.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
-    before, degree = _state(now)
+    before, hubs = _state(now)
     for _ in range(rounds):
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        # the edges of a hub meet its minimum in as many pieces as its degree asks for
-        pieces = min(256, 1 + degree // HUB_EDGES)
-        if pieces > 1:
-            least = least.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pieces - 1).cast("long"))))
-            large = both.withColumn("piece", F.pmod(F.xxhash64("v"), F.lit(pieces))).join(least, ["u", "piece"])
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        if hubs:
+            pieces = (F.col("n") / HUB_EDGES).cast("long")
+            cut = least.where(F.col("n") > HUB_EDGES).select("u", pieces.alias("pieces"))
+            dealt = both.join(if_small(cut, hubs), "u", "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("v"), F.col("pieces") + 1), F.lit(0))).drop("pieces")
+            spread = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("n") > HUB_EDGES, pieces).otherwise(0)))
+            large = dealt.join(least.select("u", "m", spread.alias("piece")), ["u", "piece"])
         else:
             large = both.join(least, "u")
         large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -186,7 +196,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(small_m, "u")
         now = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_m.select("u", F.col("m").alias("v")))
         now = materialize(now.where("u <> v").distinct(), "cc")
-        state, degree = _state(now)
+        state, hubs = _state(now)
         if state == before:
             break
         before = state

@@ -10,13 +10,19 @@ metric-space join in three levels, each one exact:
    first ``|A| - ceil((1 - epsilon) |A|) + 1`` of A in any order both share.  A document
    is therefore replicated to the regions of that many rarest shingles, and regions with a
    single class of documents vanish.  Rarity is counted over all documents.
-2. *Regions.*  Overlapping regions are merged (connected components over region members
-   whose sizes can link), so each class of equal sets travels once.
+2. *Regions.*  A region is further cut by size: of a linked pair the smaller set must hold the pivot so
+   early that the rest of both sets can still make the overlap; a set that no such anchor
+   reaches leaves the region.  Overlapping regions are merged (connected components), so each class
+   of equal sets travels once.
 3. *Document pivots.*  Inside a region, pivots are documents: each gets exact distances to
    the others, ``|d(x, p) - d(y, p)| > epsilon`` rules pairs out, and pairs already in one
-   component need no test.  A region above ``region_cap`` classes is first dealt into Voronoi
-   cells of its pivots, documents within 2 epsilon of a border replicated to the cells they
-   may have partners in, and the cells are joined the same way.
+   component need no test.  A region above ``REGION_CAP`` classes is joined recursively: its members meet
+   its pivots in blocks, which links most of a dense region at once; members outside the largest
+   component stay in the Voronoi cell of their nearest pivot, every member is replicated to the
+   cells within 2 epsilon of its nearest pivot and epsilon of the cell's radius, and each cell is
+   joined the same way with pivots of its own.  A cell of few outside members meets all its members
+   as a query set, in blocks.  Only where windows rule nothing out any more are the pairs that are
+   left compared, in blocks.
 
 Defined cases: a null or wordless text has an empty set, is linked with nothing and is its own
 component; equal rows link; rows with a null ``doc_id`` take part, and ``component_id`` is the
@@ -31,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, Words, chunks, connected_components, if_small, materialize, mix, window_hashes
@@ -40,6 +46,8 @@ from .common import U64, Words, chunks, connected_components, if_small, material
 RANGE_TOKENS = 2_500_000
 REGION_CAP = 512
 PIVOTS = 8
+#: Times that a region is dealt into cells of cells.
+LEVELS = 4
 
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -58,37 +66,43 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
-def set_key(s: np.ndarray) -> int:
+def set_key(s: np.ndarray, salt: int = 0) -> int:
     """64-bit name of a set, as a signed long; sets with one name are one class."""
+    return _name(s, 0x51ED270B + 2 * salt)
+
+
+def set_check(s: np.ndarray) -> int:
+    """A second name, by which `_named` finds out whether two sets share the first."""
+    return _name(s, 0x2545F4914F6CDD1D)
+
+
+def _name(s: np.ndarray, salt: int) -> int:
     if not len(s):
         return 0
-    a = int(np.sum(mix(s), dtype=U64))
-    b = int(np.bitwise_xor.reduce(mix(s + U64(0x51ED270B))))
-    return int(mix(np.array([(a * 31 + b * 0x9E3779B97F4A7C15 + len(s)) & (2**64 - 1)], dtype=U64)).view(np.int64)[0])
+    m = mix(s + U64(salt))
+    a, b = int(np.sum(m, dtype=U64)), int(np.bitwise_xor.reduce(m * U64(0x9FB21C651E98DF25)))
+    return int(mix(np.array([(a * 31 + b * 0x9E3779B97F4A7C15 + len(s) + salt) & (2**64 - 1)], dtype=U64)).view(np.int64)[0])
 
 
 def text_digest(text_col: str) -> Column:
     return F.xxhash64(F.col(text_col).cast("string"))
 
 
-def described(docs: DataFrame, id_col: str, text_col: str, size: int, digest: bool = False) -> DataFrame:
-    """(id, n_shingles, key) of every row, and its text's digest if asked for."""
-    names = ["id", "digest"] if digest else ["id"]
+def described(docs: DataFrame, id_col: str, text_col: str, size: int, salt: int = 0) -> DataFrame:
+    """(id, digest, n_shingles, key, check) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 sets = shingle_sets(part.column("text"), size)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in names), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())],
-                    names=[*names, "n_shingles", "key"],
-                )
+                made = [[len(s) for s in sets], [set_key(s, salt) for s in sets], [set_check(s) for s in sets]]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("digest"), *(pa.array(x, pa.int64()) for x in made)], names=["id", "digest", "n_shingles", "key", "check"])
 
-    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), text_digest(text_col).alias("digest"))
-    return given.select(*names, "text").mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "n_shingles", "key"]))
+    given = docs.select(F.col(id_col).cast("long").alias("id"), text_digest(text_col).alias("digest"), F.col(text_col).cast("string").alias("text"))
+    return given.mapInArrow(run, "id long, digest long, n_shingles long, key long, check long")
 
 
-def _dealt(docs: DataFrame, text_col: str, size: int, ranges: int) -> DataFrame:
+def _dealt(docs: DataFrame, text_col: str, size: int, ranges: int, salt: int) -> DataFrame:
     """Shingles of all documents by hash range: per range and chunk, the keys, counts and 32-bit rests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +111,7 @@ def _dealt(docs: DataFrame, text_col: str, size: int, ranges: int) -> DataFrame:
                 by_key = {}
                 for s in shingle_sets(part.column("text"), size):
                     if len(s):
-                        by_key.setdefault(set_key(s), s)
+                        by_key.setdefault(set_key(s, salt), s)
                 if not by_key:
                     continue
                 keys, sets = np.array(list(by_key), np.int64), list(by_key.values())
@@ -152,7 +166,7 @@ def _shared(rows: pd.DataFrame, groups: int) -> dict:
     return packed(classes[doc] % groups, classes, doc, {"rest": t, "level": level})
 
 
-def candidate_edges(docs: DataFrame, classes: DataFrame, text_col: str, size: int, percent: int, tokens: int, n_classes: int) -> DataFrame:
+def candidate_edges(docs: DataFrame, classes: DataFrame, text_col: str, size: int, percent: int, tokens: int, n_classes: int, salt: int) -> DataFrame:
     """Levels 1 and 2: (a, b) of classes that share a region and whose sizes may link."""
     ranges = max(16, -(-tokens // RANGE_TOKENS))
     groups = max(16, n_classes // 2000)
@@ -162,7 +176,7 @@ def candidate_edges(docs: DataFrame, classes: DataFrame, text_col: str, size: in
         return out.rename(columns={"r": "g"}).assign(r=key[0])[["g", "r", "keys", "counts", "rest", "level"]]
 
     def windows(key: tuple, known: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"r": [], "keys": [], "counts": [], "rest": [], "n": []})
+        empty = pd.DataFrame({"r": [], "keys": [], "counts": [], "rest": [], "reach": [], "n": []})
         if not len(rows) or not len(known):
             return empty
         keys, rest, level = unpacked(rows, rest=np.uint32, level=np.uint8)
@@ -181,25 +195,32 @@ def candidate_edges(docs: DataFrame, classes: DataFrame, text_col: str, size: in
         if not use.any():
             return empty
         all_n = known["n"].to_numpy()
-        out = pa.table(packed(r[use].astype(U64), known["key"].to_numpy(), at[use], {"rest": rest[use]})).to_pandas()
+        # the largest partner: the overlap is at most what is left from here on (1 more, as above)
+        size_, place = np.repeat(n, count), np.repeat(n - count, count) + rank
+        reach = (size_ - place + 1) * (100 + percent) // percent - size_
+        out = pa.table(packed(r[use].astype(U64), known["key"].to_numpy(), at[use], {"rest": rest[use], "reach": reach[use].astype(np.int32)})).to_pandas()
         out["n"] = [all_n[known["key"].to_numpy().searchsorted(np.frombuffer(k, np.int64))].tobytes() for k in out["keys"]]
         return out
 
     def regions(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, rest = unpacked(rows, rest=np.uint32)
+        keys, rest, reach = unpacked(rows, rest=np.uint32, reach=np.int32)
         n = np.concatenate([np.repeat(np.frombuffer(x, np.int64), np.frombuffer(c, np.uint32)) for x, c in zip(rows["n"], rows["counts"], strict=True)])
-        order = np.lexsort((keys, n, rest))
-        keys, rest, n = keys[order], rest[order], n[order]
-        # a region falls apart where sizes in order leave a gap that no link can cross
-        new = np.r_[True, (rest[1:] != rest[:-1]) | (100 * n[:-1] < percent * n[1:])]
+        anchor = reach >= n  # it may link with sets of its own size or more
+        order = np.lexsort((keys, ~anchor, n, rest))
+        keys, rest, n, anchor = keys[order], rest[order], n[order], anchor[order]
+        reach = np.where(anchor, np.minimum(reach[order], 100 * n // percent), 0)
+        # a region falls apart where sizes in order leave what no smaller anchor reaches
+        new = np.r_[True, rest[1:] != rest[:-1]]
+        far = np.maximum.accumulate(reach + (np.cumsum(new) << 40)) - (np.cumsum(new) << 40)
+        new[1:] |= n[1:] > far[:-1]
         hub = keys[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
         out = pd.DataFrame({"a": keys, "b": hub})
         return out[out["a"] != out["b"]].drop_duplicates()
 
-    dealt = _dealt(docs, text_col, size, ranges)
+    dealt = _dealt(docs, text_col, size, ranges, salt)
     both = dealt.groupBy("r").applyInPandas(shared, "g long, r long, keys binary, counts binary, rest binary, level binary")
     known = classes.select(F.expr(f"pmod(key, {groups}L)").alias("g"), "key", F.col("n_shingles").alias("n"))
-    placed = known.groupBy("g").cogroup(both.groupBy("g")).applyInPandas(windows, "r long, keys binary, counts binary, rest binary, n binary")
+    placed = known.groupBy("g").cogroup(both.groupBy("g")).applyInPandas(windows, "r long, keys binary, counts binary, rest binary, reach binary, n binary")
     return placed.groupBy("r").applyInPandas(lambda rows: regions(rows), "a long, b long").distinct()
 
 
@@ -257,66 +278,89 @@ def _local(rows: pd.DataFrame, size: int, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"a": np.concatenate([*a, np.zeros(0, np.int64)]), "b": np.concatenate([*b, np.zeros(0, np.int64)])})
 
 
-def _large_regions(members: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links within regions of more classes than one task should hold.
+def _cell_links(pieces: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links within (region, cell, comp, key) rows, each cell joined in one task."""
+    full = pieces.distinct().join(texts, ["region", "key"])
+    return full.groupBy("region", "cell").applyInPandas(lambda rows: _local(rows, size, percent), "a long, b long")
 
-    ``members``: region, key, text, n_region.  Pivots are drawn by hash; blocks of a region meet
-    the pivots, which links most of a dense region at once; what is still outside its largest
-    component meets, by Voronoi cells and windows, everything it may link with.
-    """
-    members = materialize(members, "jaccard-large")
-    rank = F.row_number().over(_window("region", F.xxhash64("key")))
-    # the pivots: the smallest hashes of a sample of about 8 * PIVOTS keys (at least one) a region
-    sample = members.where(F.pmod(F.xxhash64("key", F.lit(7)), F.col("n_region")) < 8 * PIVOTS).withColumn("rank", rank)
-    pivots = materialize(sample.where(F.col("rank") <= PIVOTS).select("region", "key", "text", "rank"), "jaccard-pivots")
-    blocks = F.ceil(F.col("n_region") * 2 / REGION_CAP).cast("int")
-    dealt = members.select("region", "key", "text", F.pmod(F.xxhash64("key"), blocks).alias("block"), F.lit(0).alias("rank"))
-    of_all = pivots.join(members.groupBy("region").agg(F.first(blocks).alias("blocks")), "region")
-    of_all = of_all.select("region", "key", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), F.col("rank").cast("int"))
+
+def _in_blocks(cells: DataFrame) -> DataFrame:
+    """(region, cell, comp, key): outside members of each cell against all its members, in blocks of half a cap."""
+    half = REGION_CAP // 2
+    cells = cells.withColumns({"bo": F.ceil(F.col("n_own") / half), "ba": F.ceil(F.col("n_all") / half)})
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+    own = cells.where("own").select("region", "cell", "key", "comp", F.pmod(F.xxhash64("key"), "bo").alias("x"), upto("ba").alias("y"))
+    every = cells.select("region", "cell", "key", "comp", upto("bo").alias("x"), F.pmod(F.xxhash64("key"), "ba").alias("y"))
+    return own.unionByName(every).select("region", F.xxhash64("cell", "x", "y").alias("cell"), "comp", "key")
+
+
+def _sized(cells: DataFrame) -> tuple[DataFrame, int]:
+    """Cells that hold outside members, with their counts, and the comparisons that they would take."""
+    count = cells.groupBy("region", "cell").agg(F.count_if("own").alias("n_own"), F.count("*").alias("n_all")).where("n_own > 0")
+    count = materialize(count, "jaccard-cell-sizes")
+    return materialize(cells.join(count, ["region", "cell"]), "jaccard-cells"), count.agg(F.sum(F.col("n_own") * F.col("n_all"))).first()[0] or 0
+
+
+def _pivot_distances(cells: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(region, cell, key, own, hub, far): the distances of all members of each cell to its pivots, which are
+    outside members drawn by hash, and the first member of the block that links lead to."""
+    span = Window.partitionBy("region", "cell").orderBy(F.xxhash64("key"), "key")
+    # the smallest hashes of a sample of about 8 * PIVOTS outside members (the first level has as many as it wants)
+    some = cells.where("own").where(F.pmod(F.xxhash64("key", F.lit(7)), F.col("n_own")) < 8 * PIVOTS).withColumn("rank", F.row_number().over(span)).where(F.col("rank") <= PIVOTS)
+    blocks = F.ceil(F.col("n_all") * 2 / REGION_CAP).cast("long")
+    pivots = some.select("region", "cell", "key", "own", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "rank")
+    dealt = cells.select("region", "cell", "key", "own", F.pmod(F.xxhash64("key"), blocks).alias("block"), F.lit(0).alias("rank"))
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
         rows = pd.concat([rows[rows["rank"] > 0].sort_values("rank"), rows[rows["rank"] == 0]])
-        rows = rows[~rows["key"].duplicated() | (rows["rank"] == 0)]
         first = int((rows["rank"] > 0).sum())
-        keys = rows["key"].to_numpy()
+        keys, own = rows["key"].to_numpy(), rows["rank"].to_numpy() == 0
         comp, far = region_links(shingle_sets(pa.array(rows["text"], pa.large_string()), size), np.arange(len(rows)), percent, first)
         hub = np.full(comp.max() + 1, -1)
         hub[comp[::-1]] = np.arange(len(comp))[::-1]
-        own = rows["rank"].to_numpy() == 0
-        return pd.DataFrame({"region": rows["region"].to_numpy()[own], "key": keys[own], "hub": keys[hub[comp]][own], "far": pd.Series(list(far.T[own]), dtype=object)})
-
-    seen = dealt.unionByName(of_all).groupBy("region", "block").applyInPandas(block, "region long, key long, hub long, far array<double>")
-    seen = materialize(seen, "jaccard-blocks")
-    links = seen.select(F.col("key").alias("a"), F.col("hub").alias("b"))
-    comps = connected_components(links)
-    seen = seen.join(comps, seen["key"] == comps["node"], "left").select("region", "key", "far", F.coalesce("component", "key").alias("comp"))
-    sizes = seen.groupBy("region", "comp").count()
-    largest = materialize(sizes.groupBy("region").agg(F.max_by("comp", F.struct("count", "comp")).alias("most"), F.count("*").alias("comps")), "jaccard-largest")
-    seen = seen.join(largest, "region").where("comps > 1")
-    seen = materialize(seen.select("region", "key", "comp", "far", (F.col("comp") != F.col("most")).alias("out")), "jaccard-out")
-    if seen.isEmpty():
-        return links
-    # cells: the nearest pivot; a document outside also goes where a partner may be (2 epsilon)
-    reach = 2 * (1 - percent / 100) + 1e-9
-    near = F.array_position("far", F.array_min("far")).cast("int") - 1
-    cells = F.when(F.col("out"), F.expr(f"filter(sequence(0, size(far) - 1), i -> far[i] <= array_min(far) + {reach})")).otherwise(F.array(near))
-    spread = seen.select("region", "key", "comp", "out", F.explode(cells).alias("cell"))
-    count = spread.groupBy("region", "cell").agg(F.count_if("out").alias("n_out"), F.count("*").alias("n_all")).where("n_out > 0")
-    # blocks of documents outside x blocks of all, at most half a cap each
-    half = REGION_CAP // 2
-    spread = spread.join(count, ["region", "cell"]).withColumns({"bo": F.ceil(F.col("n_out") / half), "ba": F.ceil(F.col("n_all") / half)})
-    as_out = spread.where("out").select("region", "cell", "key", "comp", F.pmod(F.xxhash64("key"), "bo").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ba") - 1)).alias("y"))
-    as_all = spread.select("region", "cell", "key", "comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bo") - 1)).alias("x"), F.pmod(F.xxhash64("key"), "ba").alias("y"))
-    pieces = as_out.unionByName(as_all).distinct().select(F.xxhash64("region", "cell", "x", "y").alias("cell"), "region", "key", "comp")
-    pieces = pieces.join(members.select("region", "key", "text"), ["region", "key"])
-    more = pieces.groupBy("region", "cell").applyInPandas(lambda rows: _local(rows, size, percent), "a long, b long")
-    return links.unionByName(materialize(more, "jaccard-cells"))
+        out = rows[own][["region", "cell", "key", "own"]]
+        return out.assign(hub=keys[hub[comp]][own], far=pd.Series(list(far.T[own]), dtype=object, index=out.index))
 
+    full = dealt.unionByName(pivots).join(texts, ["region", "key"])
+    return full.groupBy("region", "cell", "block").applyInPandas(block, "region long, cell long, key long, own boolean, hub long, far array<double>")
 
-def _window(part: str, order):
-    from pyspark.sql import Window
 
-    return Window.partitionBy(part).orderBy(order)
+def _large_regions(members: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links within regions of more classes than one task should hold; ``members``: region, key, text."""
+    texts = materialize(members, "jaccard-large")
+    every = texts.select("region", F.col("region").alias("cell"), "key", F.lit(True).alias("own"), F.col("key").alias("comp"))
+    cells, cost = _sized(every)
+    links, most = texts.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0), None
+    epsilon = 1 - percent / 100
+    for _ in range(LEVELS):
+        few = F.col("n_own") <= REGION_CAP // 2
+        few = few & (F.col("n_own") < F.col("n_all")) | (F.col("n_all") <= REGION_CAP)
+        links = materialize(links.unionByName(_cell_links(_in_blocks(cells.where(few)), texts, size, percent)), "jaccard-cell-links")
+        cells = cells.where(~few)
+        if cells.isEmpty():
+            return links
+        seen = materialize(_pivot_distances(cells, texts, size, percent), "jaccard-pivots")
+        links = materialize(links.unionByName(seen.select(F.col("key").alias("a"), F.col("hub").alias("b"))), "jaccard-seen-links")
+        comps = materialize(connected_components(links), "jaccard-comps")
+        if most is None:  # members of the largest component need not find each other; it stays the same one below
+            sizes = seen.join(comps, seen["key"] == comps["node"], "left").groupBy("region", F.coalesce("component", "key").alias("c")).count()
+            most = materialize(sizes.groupBy("region").agg(F.max_by("c", F.struct("count", "c")).alias("most")), "jaccard-most")
+        now = most.join(comps, most["most"] == comps["node"], "left").select("region", F.coalesce("component", "most").alias("most"))
+        seen = seen.join(comps, seen["key"] == comps["node"], "left").withColumn("comp", F.coalesce("component", "key")).join(now, "region")
+        near = F.array_position("far", F.array_min("far")).cast("int") - 1
+        seen = materialize(seen.select("region", "cell", "key", "comp", "far", near.alias("near"), (F.col("own") & (F.col("comp") != F.col("most"))).alias("own")), "jaccard-outside")
+        radius = seen.where("own").groupBy("region", "cell", F.col("near").alias("to")).agg(F.max(F.array_min("far")).alias("radius"))
+        spread = seen.select("region", "cell", "key", "comp", "own", "near", F.array_min("far").alias("least"), F.posexplode("far").alias("to", "d"))
+        spread = spread.where((F.col("d") <= F.col("least") + 2 * epsilon + 1e-9) | (F.col("to") == F.col("near")))
+        spread = spread.join(materialize(radius, "jaccard-radius"), ["region", "cell", "to"]).where(F.col("d") <= F.col("radius") + epsilon + 1e-9)
+        deeper, less = _sized(spread.select("region", F.xxhash64("cell", "to").alias("cell"), "key", (F.col("own") & (F.col("to") == F.col("near"))).alias("own"), "comp"))
+        if not less:
+            return links
+        if 2 * less > cost:  # windows rule too little out: compare what pivots have left
+            cells = _sized(seen.select("region", "cell", "key", "own", "comp"))[0]
+            break
+        cells, cost = deeper, less
+    return links.unionByName(materialize(_cell_links(_in_blocks(cells), texts, size, percent), "jaccard-left"))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
@@ -333,7 +377,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
     """(id, digest, n) of one row of each component: the smallest id, nulls last, then the smallest
     `text_digest`; ``n`` rows are equal to it.  Wordless rows are one component where id and text are equal."""
-    rows, named = _named(docs, id_col, text_col, size, percent, digest=True)
+    rows, named = _named(docs, id_col, text_col, size, percent)
     per = rows.groupBy("key", F.col("n_shingles") > 0, "id", "digest").agg(F.count("*").alias("n")).toDF("key", "linked", "id", "digest", "n")
     per = materialize(per, "jaccard-equal")
     wordless = per.where("not linked").select("id", "digest", "n")
@@ -346,45 +390,44 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return best.select("best.id", "best.digest", "best.n").unionByName(wordless)
 
 
-def _named(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, digest: bool = False) -> tuple[DataFrame, DataFrame | None]:
+def _named(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
     """The described rows, and (key, least id, comp) of every class of them, or None without classes."""
-    rows = materialize(described(docs, id_col, text_col, size, digest), "jaccard-rows")
-    classes = rows.where("n_shingles > 0").groupBy("key").agg(F.first("n_shingles").alias("n_shingles"), F.min("id").alias("least"))
-    classes = materialize(classes, "jaccard-classes")
-    total = classes.agg(F.sum("n_shingles").alias("tokens"), F.count("*").alias("n")).first()
+    for salt in range(4):
+        rows = materialize(described(docs, id_col, text_col, size, salt), "jaccard-rows")
+        # one row of the documents stands for each class
+        rep = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest")).alias("rep")
+        classes = rows.where("n_shingles > 0").groupBy("key").agg(F.first("n_shingles").alias("n_shingles"), F.min("id").alias("least"), rep, (F.min("check") != F.max("check")).alias("shared"))
+        classes = materialize(classes, "jaccard-classes")
+        total = classes.agg(F.sum("n_shingles").alias("tokens"), F.count("*").alias("n"), F.max("shared").alias("shared")).first()
+        if not total["shared"]:
+            break
+    else:
+        raise RuntimeError("different sets share a name under every salt")
     if not total["n"]:
         return rows, None
-    edges = materialize(candidate_edges(docs, classes, text_col, size, percent, total["tokens"], total["n"]), "jaccard-edges")
+    edges = materialize(candidate_edges(docs, classes, text_col, size, percent, total["tokens"], total["n"], salt), "jaccard-edges")
     regions = connected_components(edges).select(F.col("node").alias("key"), F.col("component").alias("region"))
     # sizes are written first: the join then has a shuffle of its own on either side, which Spark can split
     sizes = materialize(regions.groupBy("region").agg(F.count("*").alias("n_region")), "jaccard-sizes")
     regions = materialize(regions.join(sizes, "region"), "jaccard-regions")
-    links = region_join(docs, rows, regions, id_col, text_col, size, percent)
-    comps = connected_components(links)
+    links = region_join(docs, classes, regions, id_col, text_col, size, percent)
+    comps = materialize(connected_components(links), "jaccard-linked")
     return rows, classes.join(comps, classes["key"] == comps["node"], "left").select("key", "least", F.coalesce("component", "key").alias("comp"))
 
 
-def region_join(docs: DataFrame, rows: DataFrame, regions: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+def region_join(docs: DataFrame, classes: DataFrame, regions: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """Levels 2 and 3: links between the classes of each region, from one text a class."""
     n = regions.count()
-    # one row of the documents stands for each class: the smallest id, or all rows where that is null
-    rep = rows.where("n_shingles > 0").join(if_small(regions, n), "key").groupBy("key", "region", "n_region").agg(F.min("id").alias("rep"))
-    rep = materialize(rep, "jaccard-reps")
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    picked = texts.join(if_small(rep, n), texts["rep"].eqNullSafe(rep["rep"])).select("region", "n_region", "key", "text")
-
-    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # an id that several texts have brings all of them here
-            for part in chunks(batch, "text"):
-                keys = np.array([set_key(s) for s in shingle_sets(part.column("text"), size)], np.int64)
-                yield part.filter(pa.array(keys == part.column("key").to_numpy(zero_copy_only=False)))
-
-    picked = picked.mapInArrow(same, picked.schema).withColumns({"cell": F.lit(0).cast("long"), "comp": F.col("key")})
+    rep = classes.select("key", "rep.id", "rep.digest").join(if_small(regions, n), "key")
+    rep = materialize(rep.toDF("key", "_id", "_digest", "region", "n_region"), "jaccard-reps")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_digest(text_col).alias("digest"), F.col(text_col).cast("string").alias("text"))
+    picked = texts.join(if_small(rep, n), texts["id"].eqNullSafe(rep["_id"]) & (texts["digest"] == rep["_digest"])).select("region", "n_region", "key", "text")
+    # rows of one id and text come as often as they are given: one a class goes on
+    picked = picked.groupBy("region", "n_region", "key").agg(F.min("text").alias("text")).withColumns({"cell": F.lit(0).cast("long"), "comp": F.col("key")})
     bins = max(16, n // 200)
     small = picked.where(F.col("n_region") <= REGION_CAP).withColumn("bin", F.pmod(F.xxhash64("region"), F.lit(bins)))
-    links = small.groupBy("bin").applyInPandas(lambda part: _local(part, size, percent), "a long, b long")
-    links = materialize(links, "jaccard-links")
-    large = picked.where(F.col("n_region") > REGION_CAP).drop("cell", "comp").dropDuplicates(["region", "key"])
+    links = materialize(small.groupBy("bin").applyInPandas(lambda part: _local(part, size, percent), "a long, b long"), "jaccard-links")
     if regions.where(F.col("n_region") > REGION_CAP).isEmpty():
         return links
+    large = picked.where(F.col("n_region") > REGION_CAP).select("region", "key", "text")
     return links.unionByName(_large_regions(large, size, percent))

@@ -11,7 +11,7 @@ run costs one name however long it is).  The rounds after that are exchanges bet
 
 * *reveal*: the distinct high-level symbols of each document, named with their settling words,
   are dealt by hash range; symbols of two documents or more are sent back;
-* *verify*: only windows whose middle word lies under such a symbol are dealt by their own 64-bit
+* *verify*: only windows whose middle word lies under such a symbol are dealt by their own 128-bit
   digest; the smallest id that has the window is compared with each group's own smallest.
 
 What travels is packed per (range, chunk of documents), so a passage in a third of all documents
@@ -42,9 +42,21 @@ WINDOW, MARGIN, MIDDLE = 13, 3, 6
 RANGE_ENTRIES = 2_500_000
 GROUP_DOCS = 1000
 LAST = np.iinfo(np.int64).max
+#: A window's name: two digests of 64 bits over two independent names of each word.
+NAME = np.dtype([("a", "<u8"), ("b", "<u8")])
 DEALT = pa.schema([("r", pa.int64()), ("g", pa.int64()), ("h", pa.binary()), ("ids", pa.binary()), ("at", pa.binary())])
 
 
+def distinct(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct 128-bit names in order, and the place of each given one among them."""
+    order = np.lexsort((names["b"], names["a"]))
+    a, b = names["a"][order], names["b"][order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
+    number = np.empty(len(a), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return names[order][new], number
+
+
 def recompress(words: Words, rounds: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols after ``rounds`` of pairing: name, first word, end word."""
     name, start = words.hash, np.arange(len(words.hash))
@@ -70,10 +82,12 @@ def settled_names(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     doc = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))[start]
     lo, hi = start - MARGIN, end + MARGIN
     whole = (lo >= words.first[doc]) & (hi <= words.first[doc + 1])
-    powers, inverse = Words._powers(len(words.hash))
-    sums = np.r_[U64(0), np.cumsum(words.hash * powers[: len(words.hash)], dtype=U64)]
     lo, hi = np.where(whole, lo, start), np.where(whole, hi, end)
-    around = (sums[hi] - sums[lo]) * inverse[lo] + (hi - lo).astype(U64)
+    around, factor = (hi - lo).astype(U64), 1
+    for k in range(int((hi - lo).max(initial=0))):
+        factor = (factor * 0xE7037ED1A0B428DB + 0x8EBC6AF09C88C6E3) & 0xFFFFFFFFFFFFFFFF
+        here = np.flatnonzero(lo + k < hi)
+        around[here] += words.hash[lo[here] + k] * U64(factor | 1)
     return mix(around ^ name), start, doc, whole
 
 
@@ -138,20 +152,20 @@ class Group:
                 if hi > lo:
                     hit[cut[i] : cut[i + 1]] = np.isin(mark[cut[i] : cut[i + 1]], marks[lo:hi])
             h, at = window_hashes(words, WINDOW, 0)
-            use = (hit & whole)[np.searchsorted(start, at + MIDDLE, "right") - 1] if len(at) else np.zeros(0, bool)
-            h, at = h[use], at[use]
-            self.parts.append((done, words, h, at, done + np.searchsorted(words.first, at, "right") - 1))
+            use = np.flatnonzero((hit & whole)[np.searchsorted(start, at + MIDDLE, "right") - 1]) if len(at) else np.zeros(0, np.int64)
+            both = np.zeros(len(use), NAME)
+            both["a"], both["b"] = h[use], window_hashes(words, WINDOW, 0, lane=1)[0][use] if len(use) else 0
+            self.parts.append((done, words, both, at[use], done + np.searchsorted(words.first, at[use], "right") - 1))
             done += part.num_rows
-        self.h = np.concatenate([np.zeros(0, U64), *(p[2] for p in self.parts)])
+        h = np.concatenate([np.zeros(0, NAME), *(p[2] for p in self.parts)])
         owner = self.ord[np.concatenate([np.zeros(0, np.int64), *(p[4] for p in self.parts)])]
-        order = np.lexsort((owner, self.h))
-        h, owner = self.h[order], owner[order]
-        first = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
         #: the distinct windows, each with the smallest id of this group that has it
-        self.window, self.least = h[first], owner[first]
+        self.window, self.number = distinct(h)
+        self.least = np.full(len(self.window), LAST)
+        np.minimum.at(self.least, self.number, owner)
 
     def dealt(self, g: int, ranges: int) -> pa.Table:
-        r = (self.window % U64(ranges)).astype(np.int64)
+        r = (self.window["a"] % U64(ranges)).astype(np.int64)
         rows = {"r": [], "g": [], "h": [], "ids": [], "at": []}
         for x in np.unique(r):
             ids, at = np.unique(self.least[r == x], return_inverse=True)
@@ -163,14 +177,14 @@ class Group:
         return pa.table(rows, schema=DEALT)
 
     def cleaned(self, notes: pd.DataFrame, ranges: int) -> pa.Table:
-        r = (self.window % U64(ranges)).astype(np.int64)
+        r = (self.window["a"] % U64(ranges)).astype(np.int64)
         earlier = np.zeros(len(self.window), bool)
         for _, x in notes[notes["kind"] == 1].iterrows():
             own = np.flatnonzero(r == x["r"])
             earlier[own] = np.unpackbits(np.frombuffer(x["rest"], np.uint8), count=len(own)).astype(bool)
         texts, n_words, n_removed = [], [], []
-        for done, words, h, at, doc in self.parts:
-            i = np.searchsorted(self.window, h)
+        number = np.split(self.number, np.cumsum([len(p[2]) for p in self.parts])[:-1])
+        for (done, words, _, at, doc), i in zip(self.parts, number, strict=True):
             gone = earlier[i] | (self.ord[doc] > self.least[i])
             cover = np.zeros(len(words.hash) + 1, np.int32)
             np.add.at(cover, at[gone], 1)
@@ -219,12 +233,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return Group(part, notes.to_pandas(), ranges).dealt(key[0].as_py(), ranges)
 
     def verified(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        h = np.concatenate([np.frombuffer(x, U64) for x in rows["h"]])
+        h = np.concatenate([np.frombuffer(x, NAME) for x in rows["h"]])
         own = np.concatenate([np.frombuffer(i, np.int64)[np.frombuffer(a, np.uint16 if len(i) < 8 * 65536 else np.uint32)] for i, a in zip(rows["ids"], rows["at"], strict=True)])
-        names, at = np.unique(h, return_inverse=True)
+        names, at = distinct(h)
         least = np.full(len(names), LAST)
         np.minimum.at(least, at, own)
-        bits = np.split(least[at] < own, np.cumsum([len(x) // 8 for x in rows["h"]])[:-1])
+        bits = np.split(least[at] < own, np.cumsum([len(x) // NAME.itemsize for x in rows["h"]])[:-1])
         return pd.DataFrame({"g": rows["g"], "kind": 1, "r": key[0], "keys": b"", "counts": b"", "rest": [np.packbits(x).tobytes() for x in bits]})
 
     windows = base.select("g", "ord", "text").groupBy("g").cogroup(flags.groupBy("g")).applyInArrow(dealt, "r long, g long, h binary, ids binary, at binary")

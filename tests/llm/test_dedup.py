@@ -74,8 +74,62 @@ def test_equal_windows_share_a_symbol():
         assert first & second
 
 
+def thue_morse(n, letters):
+    return "".join(letters[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """Thue-Morse words collide under any polynomial modulo a power of two; here they are different words."""
+    one, other = thue_morse(1024, "ab"), thue_morse(1024, "ba")
+    words = [f"w{k}" for k in range(12)]
+    rows = [(1, " ".join([*words[:6], one, *words[6:]]), None, None, 0), (2, " ".join([*words[:6], other, *words[6:]]), None, None, 0), (3, " ".join([*words[:6], one, *words[6:]]) + " more", None, None, 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, " ".join(WORD.findall(r.text or ""))) for r in substring_dedup.substring_dedup(docs).collect()), key=str)
+    assert got == without_repeats(rows) and [g[2] for g in got] == [0, 0, 13]
+    assert sorted((tuple(r) for r in jaccard_join.jaccard_join(docs).collect()), key=str) == components(rows)
+
+
+def test_names_of_words_of_every_length():
+    import pyarrow as pa
+
+    from flowspark.llm.common import Words
+
+    texts = ["x" * n + y for n in range(300) for y in "ab"] + [thue_morse(n, s) for n in (64, 128, 1024) for s in ("ab", "ba")]
+    words = Words(pa.array([" ".join(texts), *texts]), lower=False)
+    for lane in (0, 1):
+        h = words.lane(lane)
+        assert h[: len(texts)].tolist() == h[len(texts) :].tolist() and len(set(h.tolist())) == len(set(texts))
+
+
+def test_sets_that_share_a_name_are_named_anew(spark, monkeypatch):
+    own = jaccard_join.set_key
+    monkeypatch.setattr(jaccard_join, "set_key", lambda s, salt=0: 5 if salt == 0 and len(s) else own(s, salt))
+    rows = awkward()[:30]
+    assert sorted((tuple(r) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect()), key=str) == components(rows)
+
+
+def test_rows_without_ids_or_with_one_id(spark):
+    rows = awkward()
+    rows = [((None, 4, r[0])[k % 3], *r[1:]) for k, r in enumerate(rows)] * 2
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == components(rows)
+
+
+def test_sets_that_only_a_template_joins_stay_apart(spark):
+    """Sets that share four fifths with all others, below the threshold, beside some that link."""
+    common = [f"c{k}" for k in range(84)]
+    rows = [(k, " ".join([*common, *(f"own{k}.{j}" for j in range(16 + k % 3))]), None, None, 0) for k in range(40)]
+    rows += [(100 + k, " ".join([*common, *(f"own{k}.{j}" for j in range(12))]), None, None, 0) for k in range(5)]
+    rows += [(200 + k, " ".join([*common, f"z{k}"]), None, None, 0) for k in range(4)]
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == components(rows)
+
+
 def test_connected_components(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, 101), (-5, 100), (7, 7)]
     got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.component for r in got} == {**{k: 0 for k in range(31)}, 100: -5, 101: -5, -5: -5}
+    hub = [(0, k) for k in range(1, 2500)] + [(k, 5000 + k) for k in range(1, 50)]
+    got = connected_components(spark.createDataFrame(hub, "a long, b long")).collect()
+    assert len(got) == 2549 and {r.component for r in got} == {0}
     assert connected_components(spark.createDataFrame([], "a long, b long")).agg(F.count("*")).first()[0] == 0
