@@ -8,45 +8,115 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prefix import exact_quantiles, running_sums
+from .prefix import quantiles_of, running_sums
 
 
 def long_form(df: DataFrame, features: list[str], population: str = "population", kind: str = "double") -> DataFrame:
     return df.select(population, *(F.col(c).cast(kind).alias(c) for c in features)).unpivot([population], features, "feature", "value")
 
 
-def ks_statistic(long: DataFrame, by: list[str] = ("feature",), population: str = "population") -> DataFrame:
-    """Largest distance of the two empirical distributions, from counts by distinct value."""
-    counts = long.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy(*by, "value").agg(F.count_if(F.col(population) == "a").alias("na"), F.count_if(F.col(population) == "b").alias("nb"))
-    run = running_sums(counts, list(by), "value", ["na", "nb"])
+def value_counts(long: DataFrame, by: list[str] = ("feature",), population: str = "population") -> DataFrame:
+    """(by, value, na, nb): rows of either population by distinct value, without null and NaN."""
+    clean = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    return clean.groupBy(*by, "value").agg(F.count_if(F.col(population) == "a").alias("na"), F.count_if(F.col(population) == "b").alias("nb"))
+
+
+def running_counts(long: DataFrame, by: list[str] = ("feature",), population: str = "population") -> DataFrame:
+    """`value_counts` with their running sums: what all statistics below are made from."""
+    return running_sums(value_counts(long, by, population), list(by), "value", ["na", "nb"])
+
+
+def ks_of(run: DataFrame, by: list[str] = ("feature",)) -> DataFrame:
     distance = F.abs(F.try_divide("run_na", "all_na") - F.try_divide("run_nb", "all_nb"))
     return run.groupBy(*by).agg(F.max(distance).alias("ks"))
 
 
-def reference_bins(long: DataFrame, bins: int = 10, by: list[str] = ("feature",), population: str = "population") -> DataFrame:
-    """Rows with their bin by the distinct inner quantiles of the reference (left-closed bins)."""
-    reference = exact_quantiles(long.where(F.col(population) == "a"), list(by), "value", [k / bins for k in range(1, bins)])
-    # two quantiles of one value may differ in the last bit
-    edges = reference.select(*by, F.array_distinct(F.transform("q", lambda x: F.round(x, 9))).alias("edges"))
-    return long.join(F.broadcast(edges), list(by)).withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.round("value", 9))))  # a row a feature
+def ks_statistic(long: DataFrame, by: list[str] = ("feature",), population: str = "population") -> DataFrame:
+    """Largest distance of the two empirical distributions, from counts by distinct value."""
+    return ks_of(running_counts(long, by, population), by)
 
 
-def shares(binned: DataFrame, by: list[str], category: str, population: str = "population") -> DataFrame:
-    """Counts and shares of every category in both populations, zeros kept."""
-    counts = binned.groupBy(*by, category).agg(F.count_if(F.col(population) == "a").alias("na"), F.count_if(F.col(population) == "b").alias("nb"))
+def binned_counts(run: DataFrame, by: list[str] = ("feature",), bins: int = 10) -> DataFrame:
+    """(by, bin, n_edges, na, nb): counts in bins between the distinct quantiles 0..1 of the reference ``a``.
+
+    The outer edges are open and bins are closed on the left.  Two edges leave one between them, their
+    middle; a single edge leaves three bins: below it, the value itself and above it.
+    """
+    edges = quantiles_of(run, list(by), "value", "na", [k / bins for k in range(bins + 1)]).select(*by, F.array_distinct("q").alias("edges"))
+    n, first, v = F.size("edges"), F.get("edges", F.lit(0)), F.col("value")
+    middle = first + (F.get("edges", F.lit(1)) - first) / 2
+    inner = F.slice("edges", 2, F.greatest(n - 2, F.lit(0)))
+    place = F.when(n == 1, F.when(v < first, 0).when(v == first, 1).otherwise(2)).when(n == 2, (v >= middle).cast("int")).otherwise(F.size(F.filter(inner, lambda e: e <= v)))
+    few = run.select(*by, "value", "na", "nb").join(edges, list(by))
+    return few.groupBy(*by, place.alias("bin"), n.alias("n_edges")).agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+
+
+def numeric_divergences(run: DataFrame, by: list[str] = ("feature",), bins: int = 10) -> DataFrame:
+    """(by, psi, js) over the reference's deciles; empty bins count as 1e-10 rows before shares are taken."""
+    s = clipped(shared(binned_counts(run, by, bins), list(by)), list(by))
+    return s.groupBy(*by).agg(psi().alias("psi"), js().alias("js"))
+
+
+def stability_index(run: DataFrame, by: list[str] = ("feature",), bins: int = 10, epsilon: float = 1e-6) -> DataFrame:
+    """(by, psi) with shares of at least ``epsilon``, not scaled again.  A reference of two edges has one bin, hence
+    0; a constant one gives 0 if the other population is that constant too, else infinity."""
+    s = shared(binned_counts(run, by, bins).withColumn("bin", F.when(F.col("n_edges") == 2, 0).otherwise(F.col("bin"))).groupBy(*by, "n_edges", "bin").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb")), list(by))
+    s = s.withColumns({c: F.when(F.col(c).isNotNull(), F.greatest(F.col(c), F.lit(epsilon))) for c in ("pa", "pb")})
+    off = F.sum(F.when(F.col("bin") != 1, F.col("nb")).otherwise(0))
+    return s.groupBy(*by).agg(F.when(F.first("n_edges") == 1, F.when(off == 0, 0.0).otherwise(float("inf"))).otherwise(psi()).alias("psi"))
+
+
+def numeric_drift(long: DataFrame, by: list[str] = ("feature",), population: str = "population") -> DataFrame:
+    """(by, mean and median of either population, ks, psi, js), all from one count of the values."""
+    run = running_counts(long, by, population)
+    mean = run.groupBy(*by).agg(*((F.try_divide(F.sum(F.col("value") * F.col(f"n{p}")), F.sum(f"n{p}"))).alias(f"mean_{p}") for p in "ab"))
+    out = mean
+    for p in "ab":
+        out = out.join(quantiles_of(run, list(by), "value", f"n{p}", [0.5]).select(*by, F.get("q", F.lit(0)).alias(f"median_{p}")), list(by), "left")
+    return out.join(ks_of(run, by), list(by)).join(numeric_divergences(run, by), list(by), "left")
+
+
+def group_quantiles(long: DataFrame, by: list[str], q: list[float]) -> DataFrame:
+    """(by, n, q): rows and exact quantiles of ``value`` in each group, in value ranges."""
+    counts = long.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy(*by, "value").agg(F.count("*").alias("n"))
+    run = running_sums(counts, by, "value", ["n"])
+    return run.groupBy(*by).agg(F.sum("n").alias("n")).join(quantiles_of(run, by, "value", "n", q), by)
+
+
+def shared(counts: DataFrame, by: list[str]) -> DataFrame:
+    """``counts`` with the shares of na and nb within ``by``."""
     w = Window.partitionBy(*by)
     return counts.withColumns({"pa": F.try_divide("na", F.sum("na").over(w)), "pb": F.try_divide("nb", F.sum("nb").over(w))})
 
 
-def clipped(s: DataFrame, by: list[str], epsilon: float, again: bool) -> DataFrame:
-    """Shares at least ``epsilon``, scaled back to 1 if ``again``; those of an empty population stay null."""
-    s = s.withColumns({c: F.when(F.col(c).isNotNull(), F.greatest(F.col(c), F.lit(epsilon))) for c in ("pa", "pb")})
-    if again:
-        w = Window.partitionBy(*by)
-        s = s.withColumns({"pa": F.col("pa") / F.sum("pa").over(w), "pb": F.col("pb") / F.sum("pb").over(w)})
+def shares(rows: DataFrame, by: list[str], category: str, population: str = "population") -> DataFrame:
+    """Counts and shares of every category in both populations, zeros kept."""
+    return shared(rows.groupBy(*by, category).agg(F.count_if(F.col(population) == "a").alias("na"), F.count_if(F.col(population) == "b").alias("nb")), by)
+
+
+def clipped(s: DataFrame, by: list[str], epsilon: float = 1e-10) -> DataFrame:
+    """Shares of counts of at least ``epsilon``; those of an empty population stay null."""
+    w = Window.partitionBy(*by)
+    for c in "ab":
+        n = F.when(F.col(f"p{c}").isNotNull(), F.greatest(F.col(f"n{c}").cast("double"), F.lit(epsilon)))
+        s = s.withColumn(f"p{c}", n / F.sum(n).over(w))
     return s
 
 
+def categorical_divergences(s: DataFrame, by: list[str] = ("feature",)) -> DataFrame:
+    """(by, psi, js, total_variation) of `shares`."""
+    tv = s.groupBy(*by).agg(total_variation().alias("total_variation"))
+    return clipped(s, list(by)).groupBy(*by).agg(psi().alias("psi"), js().alias("js")).join(tv, list(by))
+
+
+def unseen(s: DataFrame, by: list[str] = ("feature",), level: str = "value", sample: int = 100) -> DataFrame:
+    """(by, n_unseen, sample): levels of `shares` that only the second population has, and the first of them."""
+    new = s.where("na = 0 and nb > 0")
+    few = new.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(level))).where(F.col("_r") <= sample)
+    few = few.groupBy(*by).agg(F.array_sort(F.collect_list(level)).alias("sample"))
+    return s.groupBy(*by).agg(F.count_if(F.expr("na = 0 and nb > 0")).alias("n_unseen")).join(few, list(by), "left")
+
+
 def psi() -> Column:
     return F.sum((F.col("pb") - F.col("pa")) * F.log(F.col("pb") / F.col("pa")))
 

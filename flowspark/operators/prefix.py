@@ -8,6 +8,8 @@ group, are summed before them.  The result is exact whatever the ranges are.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,15 +34,21 @@ def running_sums(counts: DataFrame, by: list[str], order: str, columns: list[str
     return out.select(*counts.columns, *((F.col(f"_b_{c}") + F.col(f"_r_{c}")).alias(f"run_{c}") for c in columns), *(f"all_{c}" for c in columns))
 
 
+def quantiles_of(run: DataFrame, by: list[str], value: str, count: str, shares: list[float]) -> DataFrame:
+    """Per group the quantiles (linear between neighbours) of ``value`` weighted by ``count``, an array ``q``, from
+    the running sums of ``count``.  Ranks are worked out in whole numbers, so no share is off by a last bit."""
+    exact = [Fraction(s).limit_denominator(1_000_000) for s in shares]
+    wanted = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(s.numerator).cast("long").alias("p"), F.lit(s.denominator).cast("long").alias("d")) for i, s in enumerate(exact))))
+    rank = run.where(F.col(count) > 0).select(*by, value, F.col(count).alias("n"), F.col(f"run_{count}").alias("run"), F.col(f"all_{count}").alias("all"), wanted.alias("w"))
+    rank = rank.withColumns({"lo": F.expr("w.p * (all - 1) div w.d"), "over": F.expr("(w.p * (all - 1)) % w.d")})
+    holds = lambda r: (F.col("run") - F.col("n") <= r) & (r < F.col("run"))
+    near = rank.where(holds(F.col("lo")) | (F.col("over") > 0) & holds(F.col("lo") + 1))
+    near = near.groupBy(*by, F.col("w.i").alias("i")).agg(F.min(value).alias("a"), F.max(value).alias("b"), F.first(F.col("over") / F.col("w.d")).alias("part"))
+    each = near.withColumn("x", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("part")))
+    return each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda z: z["x"]).alias("q"))
+
+
 def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
     """Per group the quantiles (linear between neighbours) as an array ``q``; nulls and NaN are left out."""
-    clean = df.where(F.col(value).isNotNull() & ~F.isnan(value))
-    counts = clean.groupBy(*by, value).agg(F.count("*").alias("n"))
-    run = running_sums(counts, by, value, ["n"])
-    wanted = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(s)).alias("s")) for i, s in enumerate(shares))))
-    rank = run.select(*by, value, "n", "run_n", "all_n", wanted.alias("w")).withColumn("_at", F.col("w.s") * (F.col("all_n") - 1))
-    lo, hi = F.floor("_at"), F.ceil("_at")  # 0-based ranks of the neighbours
-    holds = lambda r: (F.col("run_n") - F.col("n") <= r) & (r < F.col("run_n"))
-    near = rank.where(holds(lo) | holds(hi)).groupBy(*by, F.col("w.i").alias("i")).agg(F.min(value).alias("a"), F.max(value).alias("b"), F.first(F.col("_at") - F.floor("_at")).alias("part"))
-    each = near.withColumn("x", F.col("a") + (F.col("b") - F.col("a")) * F.col("part"))
-    return each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda z: z["x"]).alias("q"))
+    counts = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*by, value).agg(F.count("*").alias("n"))
+    return quantiles_of(running_sums(counts, by, value, ["n"]), by, value, "n", shares)

@@ -103,7 +103,7 @@ def test_two_models(spark):
 def test_drift(spark):
     same = spark.range(1, 101).selectExpr("explode(array('a', 'b')) population", "'f' feature", "cast(id as double) value")
     moved = same.withColumn("value", F.when(F.col("population") == "b", F.col("value") + 100).otherwise(F.col("value")))
-    psi = lambda d: drift.clipped(drift.shares(drift.reference_bins(d), ["feature"], "bin"), ["feature"], 1e-6, False).groupBy("feature").agg(drift.psi().alias("x")).first().x
+    psi = lambda d: drift.stability_index(drift.running_counts(d)).first().psi
     assert psi(same) == pytest.approx(0) and psi(moved) > 0
     assert drift.ks_statistic(moved).first().ks == 1.0 and drift.ks_statistic(same).first().ks == 0.0
     cats = spark.createDataFrame([("a", "f", x) for x in ("tcp", "tcp", "udp")] + [("b", "f", x) for x in ("tcp", "icmp")], "population string, feature string, value string")
@@ -155,3 +155,35 @@ def test_running_sums_and_quantiles(spark):
     for down in (False, True):
         for r in running_sums(counts, ["g"], "v", ["n"], descending=down, pieces=7).collect():
             assert r.run_n == sum(g == r.g and (v >= r.v if down else v <= r.v) for g, v in rows) and r.all_n == sum(g == r.g for g, v in rows)
+
+
+def histogram_psi(a, b, epsilon, again):
+    """The rule written with lists: distinct deciles, open ends, special cases for one and two edges."""
+    import numpy as np
+
+    edges = np.unique(np.quantile(a, np.arange(11) / 10))
+    if len(edges) == 1 and not again:
+        return 0.0 if set(b) <= set(a) else float("inf")
+    inner = [np.nextafter(edges[0], -np.inf), np.nextafter(edges[0], np.inf)] if len(edges) == 1 else ([] if not again else [edges[0] + (edges[1] - edges[0]) / 2]) if len(edges) == 2 else edges[1:-1]
+    counts = [np.bincount(np.searchsorted(inner, x, "right"), minlength=len(inner) + 1).astype(float) for x in (a, b)]
+    p, q = (np.maximum(c, epsilon) / np.maximum(c, epsilon).sum() if again else np.maximum(c / c.sum(), epsilon) for c in counts)
+    return float(((q - p) * np.log(q / p)).sum())
+
+
+def test_psi_of_tied_and_constant_features(spark):
+    cases = {
+        "zeros": ([0.0] * 95 + [1.0 * k for k in range(5)], [0.0] * 50 + [1.0 * k for k in range(50)]),
+        "two": ([0.0] * 99 + [7.0], [0.0] * 3 + [7.0] * 4 + [3.0, 3.5, 9.0]),
+        "one": ([3.0] * 40, [2.0] * 5 + [3.0] * 30 + [4.0] * 15),
+        "same": ([3.0] * 40, [3.0] * 7),
+        "tiny": ([k * 1e-12 for k in range(60)], [k * 2e-12 for k in range(60)]),
+        "plain": ([float(k * k % 97) for k in range(200)], [float(k * 3 % 120) for k in range(150)]),
+    }
+    rows = [(f, p, v) for f, both in cases.items() for p, values in zip("ab", both, strict=True) for v in values] + [("plain", "a", None), ("plain", "b", float("nan"))]
+    run = drift.running_counts(spark.createDataFrame(rows, "feature string, population string, value double"))
+    two = {r.feature: r.psi for r in drift.numeric_divergences(run).collect()}
+    one = {r.feature: r.psi for r in drift.stability_index(run).collect()}
+    for f, (a, b) in cases.items():
+        assert two[f] == pytest.approx(histogram_psi(a, b, 1e-10, True), abs=1e-9), f
+        assert one[f] == pytest.approx(histogram_psi(a, b, 1e-6, False)), f
+    assert two["zeros"] > 1 and one["same"] == 0 and one["one"] == float("inf") and two["tiny"] > 0
