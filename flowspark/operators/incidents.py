@@ -50,14 +50,14 @@ def incidents(df: DataFrame, policy: Policy, score: str = "score", time: str = "
     return out.withColumn("promoted", F.col("max_score") >= policy.promote)
 
 
-def ordered(found: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Incidents with their 0-based number by time and key.  Incidents are few beside flows; still, they are
-    numbered within days of their start and the days' counts added, so no task holds them all."""
-    day = F.floor(F.col("first_seen") / 365)
-    w = Window.partitionBy("_day").orderBy("first_seen", *keys)
-    counts = found.groupBy(day.alias("_day")).agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return found.withColumn("_day", day).join(before, "_day").withColumn("sequence", F.col("_before") + F.row_number().over(w) - 1).drop("_day", "_n", "_before")
+def ordered(found: DataFrame, keys: tuple[str, ...], span: int = 365) -> DataFrame:
+    """Incidents with their 0-based number by time and key.  They are numbered within spans of ``span`` time units
+    and the spans' counts added, so no task holds them all; only one row a span is summed in order."""
+    day = F.floor(F.col("first_seen") / span)
+    w = Window.partitionBy("_span").orderBy("first_seen", *keys)
+    counts = found.groupBy(day.alias("_span")).agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return found.withColumn("_span", day).join(before, "_span").withColumn("sequence", F.col("_before") + F.row_number().over(w) - 1).drop("_span", "_n", "_before")
 
 
 def incident_id(src: Column, dst: Column, dport: Column, first: Column, last: Column) -> Column:
@@ -66,7 +66,8 @@ def incident_id(src: Column, dst: Column, dport: Column, first: Column, last: Co
     return F.concat(F.lit("inc_"), F.sha2(said, 256))
 
 
-#: What made the incidents; a run names its own.
+#: What made the incidents (a run names its own), and
+#: fixed values: names and order of the public form's fields, which readers of it expect.
 VERSIONS = {"product_version": "0.1.0", "model_version": "unnamed", "feature_contract": "unnamed"}
 PUBLIC = ("schema_version", "incident_id", "first_seen", "last_seen", "src_ip", "dst_ip", "dst_port", "protocols", "flow_count", "max_attack_score", "mean_attack_score", "promoted", *VERSIONS)
 
@@ -137,8 +138,9 @@ def reference_sessions(df: DataFrame, keys: list[str], gap: int, category: str =
     return gap_sessions(wide, ["category", *keys], gap, time)
 
 
-def policy_sessions(df: DataFrame, policies: dict[str, list[str]], gaps: list[int], time: str = "t") -> DataFrame:
-    """Each alert under every policy and gap, with its session: one shuffle for the whole grid."""
+def policy_sessions(df: DataFrame, policies: dict[str, list[str]], gaps: list[int], time: str = "t", extra: list[str] | None = None) -> DataFrame:
+    """Each alert under every policy and gap, with its session: one shuffle for the whole grid.
+    Rows that differ in ``extra`` are never in one session."""
     one = [F.struct(F.lit(name).alias("policy"), F.lit(g).cast("long").alias("gap"), F.array(*(F.col(k).cast("string") for k in keys)).alias("key")) for name, keys in policies.items() for g in gaps]
     grid = df.withColumn("_p", F.explode(F.array(*one))).select("*", "_p.*").drop("_p")
-    return gap_sessions(grid, ["policy", "gap", "key"], F.col("gap"), time)
+    return gap_sessions(grid, ["policy", "gap", *(extra or []), "key"], F.col("gap"), time)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import n_if, status
 from ..operators import incidents as inc
+from ..operators import policies as po
 from ..sources.adapters import EV, LI, flows_ev, flows_li
 
 P = inc.Policy(alert=0.4, promote=0.9, gap=30)
@@ -119,79 +120,99 @@ POLICIES = {"A": ["src", "dst"], "B": ["src", "dst", "dport"], "C": ["src", "dst
 GAPS = [3, 10, 30, 90]
 
 
-def policy_metrics(spark, sf_dir):
-    grid = inc.policy_sessions(alerting(spark, sf_dir), POLICIES, GAPS)
-    per = grid.groupBy("policy", "gap", "key", "session").agg(F.count("*").alias("n"), F.sum("label").alias("attack"), F.max("score").alias("max_score"), F.max("t").alias("last"), F.min("t").alias("first"))
-    return per.groupBy("policy", "gap").agg(
-        F.sum("n").alias("alerts"), F.count("*").alias("incidents"), n_if("attack = 0").alias("false_incidents"), n_if("attack > 0 and attack < n").alias("mixed_incidents"), n_if("attack = n").alias("attack_incidents"),
-        F.sum(F.when(F.col("attack") == 0, F.col("n")).otherwise(0)).alias("false_flows_alone"), F.sum(F.when(F.col("attack") > 0, F.col("n") - F.col("attack")).otherwise(0)).alias("false_flows_absorbed"),
-        F.max("n").alias("largest"), F.round(F.percentile("n", 0.95), 6).alias("p95_size"), F.round(F.avg("n"), 6).alias("mean_size"), F.round(F.avg(F.col("last") - F.col("first")), 6).alias("mean_duration"),
-        F.round(1 - F.count("*") / F.sum("n"), 6).alias("compression"),
-    )
+HOURS = 1 / 24  # a time unit is a day
 
 
-POL = f"""{LI}, g as (select li.*, p.policy, gp.gap, case p.policy when 'A' then [src, dst] when 'B' then [src, dst, dport] else [src, dst, dport, proto] end k from li, (values ('A'), ('B'), ('C')) p(policy), (values (3), (10), (30), (90)) gp(gap) where score >= 0.4),
- gn as (select *, coalesce((t - lag(t) over (partition by policy, gap, k order by t) > gap)::int, 1) nw from g),
- gs as (select *, sum(nw) over (partition by policy, gap, k order by t range between unbounded preceding and current row) s from gn),
- gi as (select policy, gap::bigint gap, k, s, count(*) n, sum("label")::bigint attack, max(t) - min(t) dur from gs group by all),
- pm as (select policy, gap, sum(n)::bigint alerts, count(*) incidents, count(*) filter (attack = 0) false_incidents, count(*) filter (attack > 0 and attack < n) mixed_incidents, count(*) filter (attack = n) attack_incidents,
-  sum(case when attack = 0 then n else 0 end)::bigint false_flows_alone, sum(case when attack > 0 then n - attack else 0 end)::bigint false_flows_absorbed, max(n) largest, round(quantile_cont(n, 0.95), 6) p95_size,
-  round(avg(n), 6) mean_size, round(avg(dur), 6) mean_duration, round(1 - count(*) / sum(n)::double, 6) compression from gi group by all)"""
+def capture(spark, sf_dir):
+    return po.capture_hours(flows_li(spark, sf_dir), per_hour=HOURS)
 
 
-def select_policy(spark, sf_dir):
-    """The best gap of each policy: fewest false incidents, then fewest incidents, then the shorter gap; ranked."""
-    from pyspark.sql import Window
+def all_rounded(df):
+    """Every fraction to six places."""
+    return df.select(*(F.round(F.col(c), 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def policy_grid(spark, sf_dir):
+    return all_rounded(po.policy_grid(flows_li(spark, sf_dir), POLICIES, GAPS, P.alert, capture(spark, sf_dir)))
+
+
+def policy_categories(spark, sf_dir):
+    """Reference attack incidents of every policy, gap and category."""
+    return all_rounded(po.policy_categories(flows_li(spark, sf_dir), POLICIES, GAPS, P.alert))
 
-    m = policy_metrics(spark, sf_dir)
-    w = Window.partitionBy("policy").orderBy("false_incidents", "incidents", "gap")
-    best = m.withColumn("r", F.row_number().over(w)).where("r = 1")
-    return best.withColumn("rank", F.row_number().over(Window.orderBy("false_incidents", "incidents", "policy"))).select("policy", "gap", "false_incidents", "incidents", "rank")
 
+KEY_SQL = "case p.policy when 'A' then [src, dst] when 'B' then [src, dst, dport] else [src, dst, dport, proto] end k from li, (values ('A'), ('B'), ('C')) p(policy), (values (3), (10), (30), (90)) gp(gap)"
 
-RULES_A = [(f"max>={x / 100:.2f}", "A", x / 100, None) for x in range(50, 100, 5)]
-RULES_B = [(f"max>={x / 100:.2f} or n>={n}", "B", x / 100, n) for x in (80, 90, 95) for n in (3, 5, 8)]
-RULES_C = [(f"max>={x / 100:.2f} or n60>={n}", "C", x / 100, n) for x in (80, 90, 95) for n in (2, 3, 5)]
-RULES = RULES_A + RULES_B + RULES_C
-RULE_SQL = "rules(rule, family, level, least) as (values " + ", ".join(f"('{r}', '{f}', {x}::double, {n if n is not None else 'null'}::bigint)" for r, f, x, n in RULES) + ")"
+
+def sessions_sql(name: str, where: str, extra: str) -> str:
+    """Sessions of chosen flows under every policy and gap, apart for ``extra``."""
+    part = f"partition by policy, gap, {extra}, k order by t"
+    return f"""{name}0 as (select li.*, {extra} x, p.policy, gp.gap, {KEY_SQL} where {where}), {name}1 as (select *, coalesce((t - lag(t) over (partition by policy, gap, x, k order by t) > gap)::int, 1) nw from {name}0),
+ {name} as (select *, sum(nw) over (partition by policy, gap, x, k order by t range between unbounded preceding and current row) s from {name}1)"""
+
+
+REFERENCES = "count(*) \"references\", count(*) filter (hit > 0) detected_references, count(*) filter (hit = 0) missed_references, round(sum(hit) / sum(n)::double, 6) flow_recall, round(count(*) filter (hit > 0) / count(*)::double, 6) incident_recall"
+POL = f"""{LI}, {sessions_sql('gs', 'score >= 0.4', '0')}, {sessions_sql('ga', 'score >= 0.4', '"label"')}, {sessions_sql('gr', '"label" = 1', "unnest(['ALL_ATTACKS', cat])")},
+ rp as (select policy, gap, x category, k, s, count(*) n, sum((score >= 0.4)::int) hit from gr group by all), cp as (select count(*) flows, (max(t) - min(t) + 1) * 24::double "hours" from li),
+ gi as (select policy, gap, k, s, count(*) n, sum("label")::bigint attack, max(t) - min(t) dur from gs group by all),
+ p1 as (select policy, gap, sum(n)::bigint alerts, sum(n - attack)::bigint normal_alerts, sum(attack)::bigint attack_alerts, count(*) incidents, count(*) filter (attack > 0) true_incidents, count(*) filter (attack = n) attack_incidents,
+  count(*) filter (attack = 0) false_incidents, count(*) filter (attack > 0 and attack < n) mixed_incidents, sum(case when attack > 0 and attack < n then n - attack else 0 end)::bigint normal_in_mixed,
+  sum(case when attack > 0 and attack < n then attack else 0 end)::bigint attack_in_mixed, avg(n) mean_size, max(n) largest, avg(dur) mean_duration, quantile_cont(n, 0.5) median_size, quantile_cont(n, 0.95) p95_size from gi group by all),
+ p2 as (select policy, gap, count(*) filter (x = 0) normal_sessions, count(*) filter (x = 1) attack_sessions from (select distinct policy, gap, x, k, s from ga) group by all),
+ p3 as (select policy, gap, {REFERENCES} from rp where category = 'ALL_ATTACKS' group by all),
+ pm as (select policy, gap::bigint gap, alerts, normal_alerts, attack_alerts, incidents, true_incidents, attack_incidents, false_incidents, mixed_incidents, normal_in_mixed, attack_in_mixed, round(mean_size, 6) mean_size, largest,
+  round(mean_duration, 6) mean_duration, round(median_size, 6) median_size, round(p95_size, 6) p95_size, normal_sessions, attack_sessions, "references", detected_references, missed_references, flow_recall, incident_recall, flows, "hours",
+  case policy when 'A' then 2 when 'B' then 3 else 4 end n_keys, round(1 - incidents / alerts::double, 6) reduction, round(normal_in_mixed / normal_alerts::double, 6) absorbed_share, round(normal_alerts / nullif(false_incidents, 0)::double, 6) false_compression,
+  round(normal_alerts / nullif(normal_sessions, 0)::double, 6) normal_compression, round(attack_alerts / nullif(attack_sessions, 0)::double, 6) attack_compression, round(flows / "hours", 6) flows_per_hour, round(alerts / "hours", 6) alerts_per_hour,
+  round(incidents / "hours", 6) incidents_per_hour, round(false_incidents / "hours", 6) false_per_hour, round(true_incidents / "hours", 6) true_per_hour from p1 join p2 using (policy, gap) join p3 using (policy, gap), cp)"""
+
+
+LIMITS = {"A": 10, "B": 30, "C": 30}
+
+
+def select_policy(spark, sf_dir):
+    """The shortlist, a gap for each policy, with its rank and the recommended one."""
+    grid = po.policy_grid(flows_li(spark, sf_dir), POLICIES, GAPS, P.alert, capture(spark, sf_dir))
+    out = all_rounded(po.select_policies(grid, LIMITS, plain=("A",)))
+    return out.select("rank", "policy", "gap", "false_incidents", "incidents", "incident_recall", "false_compression", "reduction", "absorbed_share", "comparable", "recommended")
+
+
+#: Promotion is judged on alerts from a low score on, as the rules' levels ask for.
+LOW = inc.Policy(alert=0.1, promote=0.9, gap=30)
+RULE_SQL = "rules(rule, family, complexity, level, least) as (values " + ", ".join(f"('{r}', '{f}', {c}, {x}::double, {n if n is not None else 'null'}::bigint)" for r, f, c, x, n in po.promotion_rules()) + ")"
 
 
 def promotion_grid(spark, sf_dir):
-    """Every promotion rule on every incident: what it keeps, and its recall, precision and reduction."""
-    per = members(spark, sf_dir).groupBy(*BY).agg(F.max("score").alias("top"), F.count("*").alias("n"), n_if("score >= 0.6").alias("n60"), F.sum("label").alias("attack"))
-    rules = F.broadcast(spark.createDataFrame(RULES, "rule string, family string, level double, least long"))  # a fixed list
-    keeps = (F.col("top") >= F.col("level")) | F.coalesce(F.when(F.col("family") == "B", F.col("n") >= F.col("least")).when(F.col("family") == "C", F.col("n60") >= F.col("least")), F.lit(False))
-    both = per.crossJoin(rules).withColumn("keep", keeps)
-    hit, bad = F.count_if(F.col("keep") & (F.col("attack") > 0)), F.count_if(F.col("keep") & (F.col("attack") == 0))
-    return both.groupBy("rule", "family").agg(
-        n_if("keep").alias("promoted"), hit.alias("true_incidents"), bad.alias("false_incidents"), F.round(hit / n_if("attack > 0"), 6).alias("recall"),
-        F.round(F.try_divide(hit, n_if("keep")), 6).alias("precision"), F.round(1 - n_if("keep") / F.count("*"), 6).alias("reduction"),
-    )
+    """All 42 promotion rules on every incident: what each keeps, its recall, precision, rates and reduction."""
+    return all_rounded(po.promotion_grid(flows_li(spark, sf_dir), KEYS, LOW.gap, LOW.alert, po.promotion_rules(), capture(spark, sf_dir)))
 
 
-GRID = f"""{SES}, {RULE_SQL}, pi as (select src, dst, dport, "session", max(score) top, count(*) n, count(*) filter (score >= 0.6) n60, sum("label") attack from ses group by all),
- kept as (select *, top >= level or coalesce(case family when 'B' then n >= least when 'C' then n60 >= least end, false) keep from pi, rules),
- grid as (select rule, family, count(*) filter (keep) promoted, count(*) filter (keep and attack > 0) true_incidents, count(*) filter (keep and attack = 0) false_incidents,
-  round(count(*) filter (keep and attack > 0) / count(*) filter (attack > 0)::double, 6) recall, round(count(*) filter (keep and attack > 0) / nullif(count(*) filter (keep), 0)::double, 6) "precision",
-  round(1 - count(*) filter (keep) / count(*)::double, 6) reduction from kept group by all)"""
-LEAST_RECALL = 0.9
+#: Alert sessions from 0.1 on (lse), reference sessions with the evidence of the alert sessions they meet (lrf).
+LOW_SQL = f"""{LI}, l0 as (select *, row_number() over () row_id from li), l1 as (select *, coalesce((t - lag(t) over w > 30)::int, 1) nw from l0 where score >= 0.1 window w as (partition by src, dst, dport order by t)),
+ lse as (select *, sum(nw) over (partition by src, dst, dport order by t range between unbounded preceding and current row)::bigint s from l1),
+ lev as (select src, dst, dport, s, max(score) top, count(*) n, count(*) filter (score >= 0.3) n30, sum("label")::bigint attack from lse group by all),
+ lme as (select row_id, top, n, n30 from lse join lev using (src, dst, dport, s)),
+ a0 as (select *, unnest(['ALL_ATTACKS', cat]) category from l0 where "label" = 1), a1 as (select *, coalesce((t - lag(t) over (partition by category, src, dst, dport order by t) > 30)::int, 1) nw from a0),
+ a2 as (select *, sum(nw) over (partition by category, src, dst, dport order by t range between unbounded preceding and current row) rs from a1),
+ lrf as (select category, src, dst, dport, rs, count(*) flows, count(top) hits, max(top) top, max(n) n, max(n30) n30 from a2 left join lme using (row_id) group by all), cp as (select count(*) flows, (max(t) - min(t) + 1) * 24::double "hours" from li)"""
+KEEP = "coalesce(top >= level or coalesce(case family when 'B' then n >= least when 'C' then n30 >= least end, false), false)"
+GRID = f"""{LOW_SQL}, {RULE_SQL}, g1 as (select rule, family, complexity, level, least, count(*) filter ({KEEP}) promoted, count(*) filter ({KEEP} and attack > 0) true_incidents, count(*) filter ({KEEP} and attack = 0) false_incidents, count(*) ungated
+  from lev, rules group by all), g2 as (select rule, count(*) "references", count(*) filter ({KEEP}) promoted_references from lrf, rules where category = 'ALL_ATTACKS' group by all),
+ grid as (select g1.*, "references", promoted_references, flows, "hours", "references" - promoted_references missed_references, round(promoted_references / "references"::double, 6) recall, round(true_incidents / nullif(promoted, 0)::double, 6) "precision",
+  round(false_incidents / "hours", 6) false_per_hour, round(promoted / "hours", 6) promoted_per_hour, ungated - promoted fewer, round(1 - promoted / ungated::double, 6) reduction, promoted_references / "references"::double >= 0.999 reaches_recall from g1 join g2 using (rule), cp)"""
 
 
 def select_promotion(spark, sf_dir):
-    """One rule: recall first, then fewest false, fewest in all, simplest family, precision, name."""
-    g = promotion_grid(spark, sf_dir).withColumn("eligible", F.col("recall") >= LEAST_RECALL)
-    recall = F.when(F.col("eligible"), 0.0).otherwise(-F.col("recall"))
-    return g.orderBy(F.desc("eligible"), recall, "false_incidents", "promoted", "family", F.desc("precision"), "rule").limit(1)
+    """One rule of the grid: recall of 0.999 first, then fewest false, fewest in all, simplest, most precise."""
+    return all_rounded(po.select_rule(po.promotion_grid(flows_li(spark, sf_dir), KEYS, LOW.gap, LOW.alert, po.promotion_rules(), capture(spark, sf_dir))))
 
 
 def promotion_effect(spark, sf_dir):
-    d = with_truth(spark, sf_dir)
-    stage = lambda name, cond: (F.count_if(cond).alias(f"{name}_incidents"), F.count_if(cond & F.col("pure_false_positive")).alias(f"{name}_false"), F.count_if(cond & F.col("tp_or_mixed")).alias(f"{name}_true"))
-    return d.agg(*stage("all", F.lit(True)), *stage("promoted", F.col("promoted")), F.round(1 - n_if("promoted") / F.count("*"), 6).alias("incident_reduction"), F.round(1 - n_if("promoted and pure_false_positive") / n_if("pure_false_positive"), 6).alias("false_reduction"))
+    return all_rounded(po.promotion_effect(flows_li(spark, sf_dir), KEYS, LOW.gap, LOW.alert, LOW.promote, capture(spark, sf_dir)))
 
 
 def category_incident_metrics(spark, sf_dir):
-    return reference_detection(spark, sf_dir).select("category", "incidents", "detected_incidents", "with_promoted_flow", (F.col("incidents") >= 20).alias("sufficient_ground_truth"))
+    return all_rounded(po.category_metrics(flows_li(spark, sf_dir), KEYS, LOW.gap, LOW.alert, LOW.promote))
 
 
 def fp_rows(spark, sf_dir):
@@ -199,14 +220,10 @@ def fp_rows(spark, sf_dir):
 
 
 def fp_patterns(spark, sf_dir):
-    """The 20 keys with most false alerts of each policy, with cumulative share and dominance."""
-    from pyspark.sql import Window
-
-    per = fp_rows(spark, sf_dir).groupBy("policy", F.array_join("key", "|").alias("pattern")).agg(F.count("*").alias("flows"))
-    total = per.groupBy("policy").agg(F.sum("flows").alias("total"), F.max("flows").alias("most"))
-    w = Window.partitionBy("policy").orderBy(F.desc("flows"), "pattern")
-    out = per.withColumns({"rank": F.row_number().over(w)}).where("rank <= 20").withColumn("cumulative", F.sum("flows").over(w.rowsBetween(Window.unboundedPreceding, 0))).join(total, "policy")
-    return out.select("policy", "pattern", "flows", "rank", "cumulative", F.round(F.col("cumulative") / F.col("total"), 6).alias("cumulative_share"), (2 * F.col("most") >= F.col("total")).alias("one_dominates"))
+    """The 20 keys with most false alerts of each policy, with their service, cumulative share and dominance."""
+    rows = fp_rows(spark, sf_dir).select("policy", F.array_join("key", "|").alias("pattern"))
+    service = F.concat(F.lit("*/"), F.when(F.col("policy") == "A", "*").otherwise(F.substring_index("pattern", "|", -1)))
+    return all_rounded(po.top_patterns(rows, "policy")).withColumn("service", service)
 
 
 def pure_fp_patterns(spark, sf_dir):
@@ -222,6 +239,7 @@ def pure_fp_patterns(spark, sf_dir):
 
 
 HALF = 11_600  # days since 1970, about the middle of the shipping dates
+PERIODS = (10_200, 11_600)
 
 
 def pattern_overlap(spark, sf_dir):
@@ -235,19 +253,34 @@ def pattern_overlap(spark, sf_dir):
     return top.join(other, ["period", "src", "dst"], "left").withColumn("in_other", F.coalesce("in_other", F.lit(False)))
 
 
+def pattern_rollup(spark, sf_dir):
+    """False alerts of the patterns that either period ranks among its twenty first, by port and by protocol."""
+    top = pattern_overlap(spark, sf_dir).select("period", "src", "dst", "in_other")
+    d = alerting(spark, sf_dir).where("label = 0").withColumn("period", F.when(F.col("t") < HALF, "a").otherwise("b")).join(F.broadcast(top), ["period", "src", "dst"])  # forty rows
+    kinds = F.explode(F.array(F.struct(F.lit("port").alias("kind"), F.col("dport").cast("string").alias("value")), F.struct(F.lit("protocol").alias("kind"), F.col("proto").cast("string").alias("value"))))
+    return d.select("period", "in_other", kinds.alias("x")).groupBy("period", "x.kind", "x.value").agg(F.count("*").alias("flows"), n_if("in_other").alias("flows_in_both"))
+
+
+def in_periods(spark, sf_dir):
+    return flows_li(spark, sf_dir).withColumn("period", F.when(F.col("t") < PERIODS[0], "a").when(F.col("t") < PERIODS[1], "b").otherwise("c"))
+
+
 def stage_comparison(spark, sf_dir):
-    """Long table of volume and quality by period and stage (flows, incidents, promoted)."""
-    period = F.when(F.col("t") < HALF, "a").otherwise("b")
-    flows = alerting(spark, sf_dir).groupBy(period.alias("period")).agg(F.count("*").alias("objects"), n_if("label = 0").alias("false_objects")).withColumn("stage", F.lit("flows"))
-    d = with_truth(spark, sf_dir).withColumn("period", F.when(F.col("first_seen") < HALF, "a").otherwise("b"))
-    some = lambda name, x: x.groupBy("period").agg(F.count("*").alias("objects"), n_if("pure_false_positive").alias("false_objects")).withColumn("stage", F.lit(name))
-    every = flows.unionByName(some("incidents", d)).unionByName(some("promoted", d.where("promoted")))
-    return every.select("period", "stage", "objects", "false_objects", F.round(1 - F.col("false_objects") / F.col("objects"), 6).alias("precision"))
+    """Long table of volume and quality by three periods and stages (flows, incidents, promoted)."""
+    return all_rounded(po.stage_comparison(in_periods(spark, sf_dir), KEYS, LOW.gap, LOW.alert, LOW.promote, per_hour=HOURS)).drop("wanted")
 
 
-STAGE = f"""{SES}, st as (select case when t < {HALF} then 'a' else 'b' end "period", 'flows' stage, ("label" = 0) f from al union all
- select case when first_seen < {HALF} then 'a' else 'b' end, 'incidents', attack_flows = 0 from inc union all select case when first_seen < {HALF} then 'a' else 'b' end, 'promoted', attack_flows = 0 from inc where promoted),
- stages as (select "period", stage, count(*) objects, count(*) filter (f) false_objects, round(1 - count(*) filter (f) / count(*)::double, 6) "precision" from st group by all)"""
+PERIOD_SQL = f"case when t < {PERIODS[0]} then 'a' when t < {PERIODS[1]} then 'b' else 'c' end"
+STAGE = f"""{LI}, q0 as (select *, {PERIOD_SQL} pd, row_number() over () row_id from li), q1 as (select *, coalesce((t - lag(t) over (partition by pd, src, dst, dport order by t) > 30)::int, 1) nw from q0 where score >= 0.1),
+ q2 as (select *, sum(nw) over (partition by pd, src, dst, dport order by t range between unbounded preceding and current row) s from q1),
+ q3 as (select pd, src, dst, dport, s, max(score) top, sum("label") attack from q2 group by all), q4 as (select row_id, top from q2 join q3 using (pd, src, dst, dport, s)),
+ r1 as (select *, coalesce((t - lag(t) over (partition by pd, src, dst, dport order by t) > 30)::int, 1) nw from q0 where "label" = 1), r2 as (select *, sum(nw) over (partition by pd, src, dst, dport order by t range between unbounded preceding and current row) rs from r1),
+ r3 as (select pd, src, dst, dport, rs, count(*) n, count(top) hits, max(top) top from r2 left join q4 using (row_id) group by all),
+ r4 as (select pd, 'flows' stage, sum(hits)::bigint found, sum(n)::bigint wanted from r3 group by all union all select pd, 'incidents', count(*) filter (hits > 0), count(*) from r3 group by all union all select pd, 'promoted', count(*) filter (top >= 0.9), count(*) from r3 group by all),
+ st as (select pd, 'flows' stage, ("label" = 0) f from q2 union all select pd, 'incidents', attack = 0 from q3 union all select pd, 'promoted', attack = 0 from q3 where top >= 0.9),
+ hr as (select pd, (max(t) - min(t) + 1) * 24::double "hours" from q0 group by all),
+ stages as (select pd "period", stage, count(*) objects, count(*) filter (f) false_objects, found, "hours", round(found / wanted::double, 6) recall, round(1 - count(*) filter (f) / count(*)::double, 6) "precision", round(count(*) / "hours", 6) objects_per_hour,
+  round(count(*) filter (f) / "hours", 6) false_per_hour from st join r4 using (pd, stage) join hr using (pd) group by pd, stage, found, wanted, "hours")"""
 
 
 def delta_status(spark, sf_dir):
@@ -264,9 +297,11 @@ def verdict(spark, sf_dir):
     return d.select(enough.alias("keeps_true"), fewer.alias("cuts_false"), F.when(enough & fewer, "accept").when(enough | fewer, "review").otherwise("reject").alias("verdict"))
 
 
-EFFECT = f"""{SES}, eff as (select count(*) all_incidents, count(*) filter (attack_flows = 0) all_false, count(*) filter (attack_flows > 0) all_true, count(*) filter (promoted) promoted_incidents,
- count(*) filter (promoted and attack_flows = 0) promoted_false, count(*) filter (promoted and attack_flows > 0) promoted_true, round(1 - count(*) filter (promoted) / count(*)::double, 6) incident_reduction,
- round(1 - count(*) filter (promoted and attack_flows = 0) / count(*) filter (attack_flows = 0)::double, 6) false_reduction from inc)"""
+EFFECT = f"""{LOW_SQL}, e1 as (select count(*) all_incidents, count(*) filter (attack = 0) all_false, count(*) filter (attack > 0) all_true, count(*) filter (attack > 0 and attack < n) all_mixed,
+ count(*) filter (top >= 0.9) promoted_incidents, count(*) filter (top >= 0.9 and attack = 0) promoted_false, count(*) filter (top >= 0.9 and attack > 0) promoted_true, count(*) filter (top >= 0.9 and attack > 0 and attack < n) promoted_mixed from lev),
+ e2 as (select count(*) "references", count(*) filter (hits > 0) all_references, count(*) filter (top >= 0.9) promoted_references from lrf where category = 'ALL_ATTACKS'),
+ eff as (select e1.*, e2.*, cp.*, {', '.join(f'round({x}_references / "references"::double, 6) {x}_recall, round({x}_true / nullif({x}_incidents, 0)::double, 6) {x}_precision, round({x}_incidents / "hours", 6) {x}_per_hour, round({x}_false / "hours", 6) {x}_false_per_hour' for x in ('all', 'promoted'))},
+ round(1 - promoted_incidents / all_incidents::double, 6) incident_reduction, round(1 - promoted_false / nullif(all_false, 0)::double, 6) false_reduction, all_incidents - promoted_incidents fewer_incidents, all_false - promoted_false fewer_false from e1, e2, cp)"""
 
 
 def hourly_rates(spark, sf_dir):
@@ -280,9 +315,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         flow_alerts, gap_sessions, incidents, promoted_incidents, incident_ids, incident_v1, incident_evidence, incident_truth, run_summary, attack_incident_recall, promoted_recall, select_policy, promotion_grid,
-        select_promotion, promotion_effect, category_incident_metrics, fp_patterns, pure_fp_patterns, pattern_overlap, stage_comparison, delta_status, verdict, hourly_rates,
+        select_promotion, promotion_effect, category_incident_metrics, fp_patterns, pure_fp_patterns, pattern_overlap, pattern_rollup, stage_comparison, policy_grid, policy_categories, delta_status, verdict, hourly_rates,
     )
-} | {"policy_grid": policy_metrics}
+}
 SQL = {
     "flow_alerts": f"with {LI} select src, t, score, score >= 0.4 is_alert from li",
     "gap_sessions": f'with {SES} select src, dst, dport, t, max("session") last_session, count(*) n from ses group by all',
@@ -304,16 +339,20 @@ SQL = {
         pr as (select category, r.src, r.dst, r.dport, rsession, max((g.src is not null)::int) promoted from rs r left join good g on (r.src, r.dst, r.dport, r.t) = (g.src, g.dst, g.dport, g.t) group by all)
         select category, count(*) incidents, sum(promoted)::bigint promoted, round(avg(promoted), 6) recall from pr group by all""",
     "policy_grid": f"with {POL} select * from pm",
-    "select_policy": f"""with {POL}, b as (select *, row_number() over (partition by policy order by false_incidents, incidents, gap) r from pm) select policy, gap, false_incidents, incidents,
-        (row_number() over (order by false_incidents, incidents, policy))::int "rank" from b where r = 1""",
+    "policy_categories": f"with {POL} select policy, gap::bigint gap, category, sum(n)::bigint attack_flows, sum(hit)::bigint detected_flows, {REFERENCES} from rp group by all",
+    "select_policy": f"""with {POL}, b0 as (select *, row_number() over (partition by policy order by incident_recall >= 0.995 desc, false_incidents, gap) r from pm where gap <= case policy when 'A' then 10 else 30 end), b1 as (select *, policy <> 'A' aware from b0 where r = 1),
+        b2 as (select *, aware and false_incidents <= 1.10 * min(false_incidents) filter (aware) over () and incident_recall >= max(incident_recall) filter (aware) over () - 0.001 comparable from b1),
+        b3 as (select *, (row_number() over (order by comparable desc, aware desc, n_keys, false_incidents, policy))::int "rank" from b2)
+        select "rank", policy, gap, false_incidents, incidents, incident_recall, false_compression, reduction, absorbed_share, comparable, "rank" = 1 recommended from b3""",
     "promotion_grid": f"with {GRID} select * from grid",
-    "select_promotion": f"""with {GRID} select *, recall >= {LEAST_RECALL} eligible from grid order by recall >= {LEAST_RECALL} desc, case when recall >= {LEAST_RECALL} then 0 else -recall end, false_incidents, promoted, family, "precision" desc, rule limit 1""",
+    "select_promotion": f"""with {GRID} select * from grid order by reaches_recall desc, case when reaches_recall then 0 else -recall end, false_incidents, promoted, complexity, "precision" desc nulls last, rule limit 1""",
     "promotion_effect": f"with {EFFECT} select * from eff",
-    "category_incident_metrics": f"""with {REF} select category, count(*) incidents, count(*) filter (hit > 0) detected_incidents, sum(promoted)::bigint with_promoted_flow, count(*) >= 20 sufficient_ground_truth from per group by all""",
+    "category_incident_metrics": f"""with {LOW_SQL} select category, sum(flows)::bigint attack_flows, sum(hits)::bigint detected_flows, count(*) "references", count(*) filter (hits > 0) detected, count(*) filter (top >= 0.9) promoted, round(sum(hits) / sum(flows)::double, 6) flow_recall,
+        round(count(*) filter (hits > 0) / count(*)::double, 6) recall, count(*) - count(*) filter (top >= 0.9) promoted_missed, round(count(*) filter (top >= 0.9) / count(*)::double, 6) promoted_recall, count(*) >= 20 sufficient_ground_truth from lrf group by all""",
     "fp_patterns": f"""with {LI}, f as (select policy, case policy when 'A' then src || '|' || dst else src || '|' || dst || '|' || dport end pattern, count(*) flows from li, (values ('A'), ('B')) p(policy) where score >= 0.4 and "label" = 0 group by all),
         r as (select *, (row_number() over (partition by policy order by flows desc, pattern))::int "rank", sum(flows) over (partition by policy) total, max(flows) over (partition by policy) most,
         (sum(flows) over (partition by policy order by flows desc, pattern rows between unbounded preceding and current row))::bigint cumulative from f)
-        select policy, pattern, flows, "rank", cumulative, round(cumulative / total::double, 6) cumulative_share, 2 * most >= total one_dominates from r where "rank" <= 20""",
+        select policy, pattern, flows, "rank", cumulative, round(cumulative / total::double, 6) cumulative_share, 2 * most >= total one_dominates, case policy when 'A' then '*/*' else '*/' || split_part(pattern, '|', 3) end service from r where "rank" <= 20""",
     "pure_fp_patterns": f"""with {SES}, f as (select unnest(case when promoted then ['aggregated', 'promoted'] else ['aggregated'] end) stage, src || '|' || dst || '|' || dport pattern, flows from inc where attack_flows = 0),
         g as (select stage, pattern, count(*) incidents, sum(flows)::bigint flows from f group by all), r as (select *, (row_number() over (partition by stage order by flows desc, incidents desc, pattern))::int "rank",
         sum(incidents) over (partition by stage) ti, sum(flows) over (partition by stage) tf from g)
@@ -321,6 +360,10 @@ SQL = {
     "pattern_overlap": f"""with {LI}, f as (select case when t < {HALF} then 'a' else 'b' end "period", src, dst, count(*) flows from li where score >= 0.4 and "label" = 0 group by all),
         r as (select *, (row_number() over (partition by "period" order by flows desc, src, dst))::int "rank" from f qualify "rank" <= 20)
         select r."period", r.src, r.dst, r.flows, r."rank", o.src is not null in_other from r left join r o on o."period" <> r."period" and o.src = r.src and o.dst = r.dst""",
+    "pattern_rollup": f"""with {LI}, f as (select case when t < {HALF} then 'a' else 'b' end "period", src, dst, count(*) flows from li where score >= 0.4 and "label" = 0 group by all),
+        r as (select *, row_number() over (partition by "period" order by flows desc, src, dst) rk from f qualify rk <= 20), tp as (select r.*, o.src is not null in_other from r left join r o on o."period" <> r."period" and o.src = r.src and o.dst = r.dst),
+        d as (select tp."period", in_other, unnest(['port', 'protocol']) kind, unnest([dport::varchar, proto::varchar]) "value" from li join tp on li.src = tp.src and li.dst = tp.dst and tp."period" = case when t < {HALF} then 'a' else 'b' end where score >= 0.4 and "label" = 0)
+        select "period", kind, "value", count(*) flows, count(*) filter (in_other) flows_in_both from d group by all""",
     "stage_comparison": f"with {STAGE} select * from stages",
     "delta_status": f"""with {STAGE}, d as (select a.stage, a."precision" "before", b."precision" "after", round(b."precision" - a."precision", 6) delta from stages a join stages b on a.stage = b.stage and a."period" = 'a' and b."period" = 'b')
         select *, case when abs(delta) <= 0.001 then 'stable' when delta > 0 then 'improved' else 'degraded' end status from d""",
