@@ -158,6 +158,60 @@ def test_cut_elements_end_where_browsers_end_them(page, text):
     assert html_extract.main_text(page) == text
 
 
+PROSE = "".join(f"<p>Paragraph {k} of the page, which says a few things, at some length, so that it counts as prose.</p>" for k in range(8))
+SAID = "\n".join(f"Paragraph {k} of the page, which says a few things, at some length, so that it counts as prose." for k in range(8))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="layout has-sidebar">{PROSE}</div>', f'<div class="site-content no-sidebar">{PROSE}</div>', f'<div class="with-banner">{PROSE}</div>', f'<div class="post-header-fixed">{PROSE}</div>', f'<form id=aspnetForm><div>{PROSE}</div></form>',
+        f'<div class="sidebar-layout">{PROSE}<div class="sidebar"><p>a, b, c and some more of a side bar</p></div></div>', f"<div class=ad>{PROSE}", f"<p>Paragraph x.</p><div class=ad>unclosed<div>{PROSE}</div>".replace("<p>Paragraph x.</p>", "").replace("unclosed", ""),
+        f'<div class="header"><main>{PROSE}</main></div>', f'<body class="footer nav">{PROSE}<div class="cookie-banner"><p>We use cookies, many of them, to know you.</p></div></body>', f'<div>{PROSE}</div><div class="articleComments"><p>Nice text, dear author, truly, and more words</p></div>',
+    ],
+)
+def test_ordinary_class_names_keep_the_page(page):
+    assert html_extract.main_text(page) == SAID
+
+
+def test_comments_are_cut_however_long():
+    talk = "<div class='comments'>" + "<p>I have read this, and I think, at length, that it is so.</p>" * 40 + "</div>"
+    assert html_extract.main_text(f"<div><h2>T</h2><p>A short text, that is all, of some words.</p></div>{talk}") == "T\nA short text, that is all, of some words."
+
+
+def test_built_pages(tmp_path):
+    """Pages built around a known article, in many frames, with boxes of every kind in any place."""
+    import random
+
+    rng = random.Random(5)
+    say = lambda n: " ".join("".join(rng.choice("abcdeilmnorstuéß") for _ in range(rng.randrange(2, 9))) for _ in range(n)) + "."
+    boxes = ["<nav><ul><li><a href=x>{}</a></ul></nav>", "<div class='ad-slot'><p>{}</p></div>", "<aside><p>{}</p></aside>", "<div id='cookie-notice'><p>{}</p></div>", "<form><label>{}</label></form>", "<script>{}</script>", "<div class='share'>{}</div>", "<section class='comment-list'><p>{}</p></section>", "<!-- {} -->", "<style>{}</style>", "<footer><p>{}</p></footer>"]
+    frames = ["{}{}{}", "<div class='page has-sidebar'>{}<article>{}</article>{}</div>", "<div>{}<main><div>{}</div></main>{}</div>", "<form id='f'>{}<div class='content'>{}</div>{}</form>", "<table><tr><td>{}<tr><td>{}<tr><td>{}</table>"]
+    for _ in range(150):
+        parts, want = [], []
+        for k in range(rng.randrange(3, 12)):
+            text = say(rng.randrange(18, 60))
+            want.append(text)
+            shown = text.replace("é", rng.choice(["é", "&eacute;", "&#233;", "&#xE9;"])).replace(" ", rng.choice([" ", "  ", "\n", "\t "]), 3)
+            parts.append(rng.choice(["<p>{}</p>", "<p>{}", "<div>{}</div>", "<p><b>{}</b></p>", "<blockquote>{}</blockquote>"]).format(shown))
+        box = lambda: rng.choice(boxes).format(say(rng.randrange(3, 12)))
+        at = rng.randrange(len(parts))
+        middle = "".join(parts[:at]) + (box() if rng.random() < 0.5 else "") + "".join(parts[at:])
+        page = f"<html><head><title>{say(3)}</title></head><body>" + rng.choice(frames).format(box(), middle, box()) + "</body></html>"
+        assert html_extract.main_text(page) == "\n".join(want), page
+
+
+def test_broken_pages_of_any_size_end():
+    import time
+
+    n = 100_000
+    made = ["<a " * n, "<b>" * n + "</i>" * n, "<b>" * n + "<div></div>" * n, "<div>" + "<b>" * n + "<li></li>" * n, "<b>" * n + "<td></td>" * n, "<a '" * n + ">", "<i><div>" + "<b>" * n + "</i>" * n, "<p>" * n, "<" * n, "<!--" * n, "<div class=ad>" * n, "<h1><b>" * n]
+    began = time.time()
+    for page in made:
+        html_extract.main_text(page)
+    assert time.time() - began < 120
+
+
 def test_links_lose_to_prose():
     links = "<div>" + "<p><a href=x>some long enough link text, here it is</a></p>" * 12 + "</div>"
     prose = "<div>" + "<p>Some prose that is long enough, and has commas, as prose has.</p>" * 4 + "</div>"
