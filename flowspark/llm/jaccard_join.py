@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import U64, Words, chunks, connected_components, if_small, materialize, mix, window_hashes
 
 #: Tokens that one region task of level 1 holds, and classes that one task of level 3 holds.
-RANGE_TOKENS = 2_500_000
+RANGE_TOKENS = 1_000_000
 REGION_CAP = 512
 PIVOTS = 8
 #: Times that a region is dealt into cells of cells.
