@@ -1,13 +1,15 @@
 """Benchmark decontamination: one Aho-Corasick scan of each text for windows of benchmark items.
 
-Texts are normalised (A-Z to lower case, words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` joined by one
-space); a pattern is a window of 13 consecutive item words (a shorter item is one pattern), with
-a space on either side.  One automaton holds the patterns of all items and reads each text once;
-a match marks its words, and marked runs are mapped back to code points of the original text.
+Texts are normalised (A-Z to lower case, words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``); a pattern is a window
+of 13 consecutive item words (a shorter item is one pattern), as numbers of the benchmark's vocabulary.
+One automaton holds the patterns of all items and reads each text's words once; a match marks
+its words, and marked runs are mapped back to code points of the original text.
 
-The patterns are shipped to the tasks only under a checked size: items are dealt into blocks of
-``BLOCK_BYTES`` of text, one automaton a block, and the texts are scanned once for each block
-(one block unless the benchmark is larger), marks being merged within the scan.
+An automaton has at most 13 nodes a benchmark word, about 60 bytes each, and is shipped only under a
+checked size: a benchmark of over ``BLOCK_WORDS`` words is dealt into blocks (a long item in parts that overlap
+by 12 words), and the texts are scanned once for each block, one block after the other, so that neither the driver nor a
+worker ever holds more than one.  Each scan writes what it found by digest of the text; the marks of a text are
+then put together.
 
 Defined cases: null or wordless texts have no words and are never contaminated; items without words
 match nothing; repeated items all count; a null item_id is left out of the items; an empty
@@ -26,8 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import materialize
+
 WINDOW = 13
-BLOCK_BYTES = 16_000_000
+BLOCK_WORDS = 200_000
+PART_WORDS = 5_000
 #: A-Z to lower case, other bytes outside words to a space.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -46,40 +51,46 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(NORMAL).split()
 
 
-def automaton(items: list[tuple[str, str]]) -> ahocorasick.Automaton | None:
-    """Patterns (as Latin-1 views of UTF-8 bytes) with their number of words and items."""
-    found: dict[str, tuple[int, set]] = {}
-    for item, text in items:
-        w = words_of(text)
-        for k in range(max(1, len(w) - WINDOW + 1) if w else 0):
-            part = w[k : k + WINDOW]
-            found.setdefault(f" {b' '.join(part).decode('latin-1')} ", (len(part), set()))[1].add(item)
-    if not found:
-        return None
-    out = ahocorasick.Automaton()
-    for pattern, value in found.items():
-        out.add_word(pattern, (value[0], frozenset(value[1])))
-    out.make_automaton()
-    return out
-
-
-def scan(text: str | None, machines: list[ahocorasick.Automaton]) -> tuple[int, int, list[str], list[dict], bool]:
-    words = words_of(text)
-    line = f" {b' '.join(words).decode('latin-1')} "
-    items: set = set()
-    matches: list[tuple[int, int]] = []
-    for machine in machines:
-        for end, (n, names) in machine.iter(line):
-            matches.append((end, n))
-            items |= names
-    if not matches:
+class Machine:
+    """The patterns of some (item, text) and the search for them."""
+
+    def __init__(self, items: list[tuple[str | None, str]]):
+        self.number: dict[bytes, int] = {}
+        found: dict[tuple, set] = {}
+        for item, text in items:
+            w = tuple(self.number.setdefault(x, len(self.number) + 1) for x in words_of(text))
+            for k in range(max(1, len(w) - WINDOW + 1) if w else 0):
+                found.setdefault(w[k : k + WINDOW], set()).add(item)
+        self.patterns = len(found)
+        if found:
+            self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            same: dict = {}
+            for pattern, names in found.items():
+                value = (len(pattern), frozenset(names))
+                self.machine.add_word(pattern, same.setdefault(value, value))
+            self.machine.make_automaton()
+
+    def find(self, words: list[bytes]) -> tuple[set, list[tuple[int, int]]]:
+        """Items with a window in the text, and the runs of words that windows cover."""
+        items: set = set()
+        runs: list[tuple[int, int]] = []
+        if self.patterns and words:
+            for end, (n, names) in self.machine.iter(tuple([self.number.get(w, 0) for w in words])):
+                items |= names
+                if runs and end + 1 - n <= runs[-1][1]:
+                    runs[-1] = (min(runs[-1][0], end + 1 - n), end + 1)
+                else:
+                    runs.append((end + 1 - n, end + 1))
+        return items, runs
+
+
+def finish(text: str | None, words: list[bytes], items: set, runs: list[tuple[int, int]]) -> tuple[int, int, list[str], list[dict], bool]:
+    if not runs:
         return len(words), 0, [], [], False
-    starts = np.r_[1, 2 + np.cumsum([len(w) + 1 for w in words[:-1]], dtype=np.int64) - 1]
     cover = np.zeros(len(words) + 1, np.int64)
-    ends, n = np.array(matches).T
-    last = np.searchsorted(starts, ends, "right")  # the word that ends before this space, plus 1
-    np.add.at(cover, last - n, 1)
-    np.add.at(cover, last, -1)
+    begin, stop = np.array(runs).T
+    np.add.at(cover, begin, 1)
+    np.add.at(cover, stop, -1)
     hit = np.cumsum(cover)[:-1] > 0
     raw = (text or "").encode("utf-8", "surrogatepass")
     places = [m.span() for m in WORD.finditer(raw)]
@@ -90,22 +101,75 @@ def scan(text: str | None, machines: list[ahocorasick.Automaton]) -> tuple[int,
     return len(words), n_hit, sorted(items - {None}), spans, 20 * n_hit >= len(words)
 
 
+def parts(benchmark: DataFrame) -> DataFrame:
+    """(id, part, text, n): items in parts of at most ``PART_WORDS`` words that share 12 with the next."""
+    step = PART_WORDS - WINDOW + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                w = words_of(text)
+                for k in range(0, max(1, len(w) - WINDOW + 1) if w else 0, step):
+                    some = w[k : k + PART_WORDS]
+                    rows.append((item, k, b" ".join(some).decode("utf-8", "replace"), len(some)))
+            yield pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate((("id", pa.string()), ("part", pa.int64()), ("text", pa.string()), ("n", pa.int64())))})
+
+    return benchmark.mapInArrow(run, "id string, part long, text string, n long")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` with n_words, n_hit, items, spans (code points, end exclusive) and contaminated."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).cast("string").alias("text")).where(F.col("text").isNotNull())
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = 1 + size // BLOCK_BYTES
+    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).cast("string").alias("text"))
+    items = materialize(parts(items.where(F.col("text").isNotNull())), "benchmark-parts")
+    blocks = 1 + (items.agg(F.sum("n")).first()[0] or 0) // BLOCK_WORDS
     context = docs.sparkSession.sparkContext
-    shipped = [context.broadcast([tuple(x) for x in items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).collect()]) for b in range(blocks)]
-    kept = [c for c in docs.columns if c not in ADDED.names]
-    schema = T.StructType([*docs.select(*kept).schema.fields, *ADDED.fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = [m for b in shipped if (m := automaton(b.value)) is not None]
+    kept = docs.select(*(c for c in docs.columns if c not in ADDED.names))
+    text = F.col(text_col).cast("string")
+
+    def shipped(b: int):
+        return context.broadcast([tuple(x) for x in items.where(F.pmod(F.xxhash64("id", "part"), F.lit(blocks)) == b).select("id", "text").collect()])
+
+    def added(batch: pa.RecordBatch, names: list[str], texts: list, found: list) -> pa.RecordBatch:
+        rows = [finish(t, *f) for t, f in zip(texts, found, strict=True)]
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.bool_())
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[*names, *ADDED.names])
+
+    schema, names = T.StructType([*kept.schema.fields, *ADDED.fields]), kept.columns
+    if blocks == 1:
+        one = shipped(0)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            machine = Machine(one.value)
+            for batch in batches:
+                texts = batch.column(text_col).to_pylist()
+                words = [words_of(t) for t in texts]
+                yield added(batch, names, texts, [(w, *machine.find(w)) for w in words])
+
+        return kept.mapInArrow(scan, schema)
+
+    matches = None
+    for b in range(blocks):
+        block = shipped(b)
+
+        def scan_block(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            machine = Machine(block.value)
+            for batch in batches:
+                rows = [(d, *machine.find(words_of(t))) for d, t in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+                rows = [(d, sorted(i, key=str), [x for r in runs for x in r]) for d, i, runs in rows if runs]
+                yield pa.RecordBatch.from_pydict({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate((("digest", pa.binary()), ("found", pa.list_(pa.string())), ("runs", pa.list_(pa.int64()))))})
+
+        texts = docs.select(F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
+        some = materialize(texts.mapInArrow(scan_block, "digest binary, found array<string>, runs array<long>").dropDuplicates(["digest"]), "benchmark-matches")
+        matches = some if matches is None else matches.unionByName(some)
+        block.unpersist()
+    whole = materialize(matches.groupBy("digest").agg(F.flatten(F.collect_list("found")).alias("_found"), F.flatten(F.collect_list("runs")).alias("_runs")), "benchmark-marks")
+    both = kept.withColumn("_digest", F.unhex(F.sha2(text, 256))).join(whole.withColumnRenamed("digest", "_digest"), "_digest", "left").drop("_digest")
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [scan(x.as_py(), machines) for x in batch.column(text_col)]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.bool_())
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[*batch.schema.names, *ADDED.names])
+            texts, items_, runs = (batch.column(c).to_pylist() for c in (text_col, "_found", "_runs"))
+            yield added(batch, names, texts, [(words_of(t), set(i or ()), list(zip(r[::2], r[1::2], strict=True)) if r else []) for t, i, r in zip(texts, items_, runs, strict=True)])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return both.mapInArrow(put_together, schema)

@@ -241,12 +241,25 @@ def test_decontaminate_against_brute_force(spark):
 
 
 def test_decontaminate_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 20)
-    docs = spark.createDataFrame([(1, "x one two three y four five"), (2, None)], "doc_id long, text string")
-    items = spark.createDataFrame([(k, t) for k, t in enumerate(["one two three", "four five", "six seven eight", "y"])], "item_id long, text string")
-    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.decontaminate(docs, items).collect()}
-    assert got == {1: (6, ["0", "1", "3"]), 2: (0, [])}
-    assert decontaminate.decontaminate(docs, items.limit(0)).where("contaminated").collect() == []
+    """Many small blocks and items in overlapping parts give what one automaton gives."""
+    rows = awkward()
+    long = next(r[1] for r in rows if r[1] and len(r[1]) > 5000).split()
+    items = [(k, t) for k, t in enumerate([" ".join(long[100:400]), " ".join(long[300:330]), "one two three four", "the " * 20, "", None, " ".join(long[5000:5013])])] + [(None, " ".join(long[700:715]))]
+    docs, bench = spark.createDataFrame([*rows, *rows[:20]], SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    columns = ["doc_id", "n_words", "n_hit", "items", "spans", "contaminated"]
+    one = sorted(map(str, decontaminate.decontaminate(docs, bench).select(*columns).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 60)
+    monkeypatch.setattr(decontaminate, "PART_WORDS", 40)
+    assert sorted(map(str, decontaminate.decontaminate(docs, bench).select(*columns).collect())) == one
+    assert any("n_hit=0" not in x for x in one)
+    assert decontaminate.decontaminate(docs, bench.limit(0)).where("contaminated").collect() == []
+
+
+def test_an_automaton_is_bounded_by_its_words():
+    """At most 13 nodes a word: what a block may take is known before it is built."""
+    words = [f"w{k}" for k in range(5000)]
+    machine = decontaminate.Machine([("a", " ".join(words)), ("b", " ".join(words[:2500]))])
+    assert machine.machine.get_stats()["nodes_count"] <= 13 * 5000 + 1
 
 
 def test_chat_round_trip(spark):
