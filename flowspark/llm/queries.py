@@ -54,15 +54,14 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sharding(spark: SparkSession, sf_dir: str, arrivals: int = 4) -> DataFrame:
     """Documents arrive in four parts, each compacted as it comes; every document with its shard."""
     docs = table(spark, sf_dir, "documents")
-    shards = sharding.ShardedTable(spark, f"{scratch_dir(spark)}/sharded-{uuid.uuid4().hex}", F.octet_length("text"), F.col("doc_id"))
+    shards = sharding.ShardedTable(spark, f"{scratch_dir(spark)}/sharded-{uuid.uuid4().hex}", F.octet_length("text"))
     for k in range(arrivals):
-        shards.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)) == k))
+        shards.append(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(arrivals)) == k))
         shards.compact()
-        shards.vacuum()
-    manifest = shards.manifest()
-    return shards.read().select("doc_id", "run", "shard", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")).join(
-        if_small(manifest.withColumnsRenamed({"n_rows": "shard_rows", "n_bytes": "shard_bytes"}), manifest.count()), ["run", "shard"]
-    ).select("doc_id", "n_bytes", "added", "shard", "tier", "shard_rows", "shard_bytes")
+        shards.vacuum(older_than=0)  # this query is the only writer
+    manifest = shards.manifest().select(F.struct("run", "shard").alias("place"), "added", "shard", "tier", F.col("n_rows").alias("shard_rows"), F.col("n_bytes").alias("shard_bytes"))
+    rows = shards.placed().select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "place")
+    return rows.join(if_small(manifest, manifest.count()), "place").drop("place")
 
 
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
