@@ -8,8 +8,9 @@ by distinct linking pages); distrust is one from the blocked seeds along the rev
 links to blocked hosts is suspect.  Both are scaled by the number of hosts, so 1 is what a host
 would get evenly; a host is blocked if its distrust is at least ``threshold`` and above its trust.
 
-All steps are joins and sums over the host graph, a page's html is read once for its links, and each
-round is written to the shared folder.  Self links are left out.
+All steps are joins and sums over the host graph, a page's html is read once for its links (with a scheme or
+from ``//``), and each round is written to the shared folder.  Self links are left out.  Rounds end when no host's scaled
+rank changes by ``tolerance``; a walk that has not settled after ``rounds`` is an error.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, fits no rule, and is
 allowed; null html has no links; repeated rows each get a verdict; an empty table gives no rows.
@@ -44,24 +45,30 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
 
 def host_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """(src, dst, weight): links from one host's pages to another's; needs a column ``host``."""
-    pattern = r"""(?i)href\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'\s<>]+)"""
+    pattern = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
     found = pages.select(F.col("host").alias("src"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all(html_col, F.lit(pattern), 1), lambda h: F.translate(h, UPPER, LOWER)))).alias("dst"))
     return found.where("src <> dst and src <> ''").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 10) -> DataFrame:
-    """(host, rank) with restarts at ``seeds`` (host, share); rank without a way on restarts as well."""
+def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 200, tolerance: float = 0.01, n: int | None = None) -> DataFrame:
+    """(host, rank) with restarts at ``seeds`` (host, share); rank without a way on restarts as well.  ``n``: hosts."""
     total = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     flow = materialize(edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "url-flow")
     rank = seeds.select("host", F.col("share").alias("rank"))
-    if flow.isEmpty():  # nowhere to go: every walk restarts at once
+    if flow.isEmpty() or seeds.isEmpty():  # nowhere to go: every walk restarts at once
         return rank
+    n = n or flow.select(F.explode(F.array("src", "dst"))).distinct().count()
+    none = F.lit(0.0)
     for _ in range(rounds):
-        moved = rank.join(flow, rank["host"] == flow["src"]).groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("rank") * flow["share"])).alias("rank"))
-        lost = F.lit(1.0) - moved.agg(F.coalesce(F.sum("rank"), F.lit(0.0))).scalar()
+        moved = materialize(rank.join(flow, rank["host"] == flow["src"]).groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("rank") * flow["share"])).alias("rank")), "url-moved")
+        lost = 1.0 - moved.agg(F.coalesce(F.sum("rank"), none)).first()[0]
         again = seeds.select("host", (F.col("share") * lost).alias("rank"))
-        rank = materialize(moved.unionByName(again).groupBy("host").agg(F.sum("rank").alias("rank")), "url-rank")
-    return rank
+        both = moved.unionByName(again).withColumn("old", none).unionByName(rank.select("host", none.alias("rank"), F.col("rank").alias("old")))
+        now = materialize(both.groupBy("host").agg(F.sum("rank").alias("rank"), F.abs(F.sum("rank") - F.sum("old")).alias("change")), "url-rank")
+        rank = now.select("host", "rank").where("rank > 0")
+        if n * (now.agg(F.max("change")).first()[0] or 0.0) < tolerance:
+            return rank
+    raise RuntimeError("ranks have not settled")
 
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", html_col: str = "html", threshold: float = 1.0) -> DataFrame:
@@ -78,8 +85,8 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "u
     n, n_good, n_bad = hosts.agg(F.count("*"), F.count_if(F.expr("allowed > 0 and blocked = 0")), F.count_if(F.expr("2 * blocked > n"))).first()
     good = hosts.where("allowed > 0 and blocked = 0").select("host", F.lit(1.0 / max(1, n_good)).alias("share"))
     bad = hosts.where("2 * blocked > n").select("host", F.lit(1.0 / max(1, n_bad)).alias("share"))
-    trust = personalised_pagerank(edges, good).withColumnRenamed("rank", "trust")
-    distrust = personalised_pagerank(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), bad).withColumnRenamed("rank", "distrust")
+    trust = personalised_pagerank(edges, good, n=n).withColumnRenamed("rank", "trust")
+    distrust = personalised_pagerank(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), bad, n=n).withColumnRenamed("rank", "distrust")
     scores = hosts.join(trust, "host", "left").join(distrust, "host", "left").select("host", F.coalesce(F.col("trust") * n, F.lit(0.0)).alias("_trust"), F.coalesce(F.col("distrust") * n, F.lit(0.0)).alias("_distrust"))
     scores = scores.where((F.col("_distrust") >= threshold) & (F.col("_distrust") > F.col("_trust")))
     out = judged.join(scores, "host", "left")
