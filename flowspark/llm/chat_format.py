@@ -25,6 +25,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Tokens that a part stands for where it does not say.
 EXPANDED = {"image": 256, "audio": 128, "document": 512}
@@ -88,12 +90,15 @@ def read_back(formatted: Column) -> tuple[Column, Column]:
 
 
 def running_digests(rows: DataFrame, key: str, order: list[str], pieces: list[str]) -> DataFrame:
-    """(key, sha256 of each column of ``pieces`` over the key's rows in order), in constant memory."""
-    n = len(pieces)
+    """(key, sha256 of each column of ``pieces`` over the key's rows in order), in constant memory; a key is of any
+    type, a null key is one key, a null piece adds nothing."""
+    n, kind = len(pieces), rows.schema[key].dataType
+    shape = T.StructType([T.StructField(key, kind), *(T.StructField(p, T.StringType()) for p in pieces)])
+    schema = to_arrow_schema(shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sums = None, None
-        schema = pa.schema([(key, pa.int64()), *((p, pa.string()) for p in pieces)])
+        made = lambda done: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), schema.types, strict=True)], schema=schema)
         for batch in batches:
             keys, done = batch.column(0).to_pylist(), []
             columns = [c.to_pylist() for c in batch.columns[1:]]
@@ -103,11 +108,11 @@ def running_digests(rows: DataFrame, key: str, order: list[str], pieces: list[st
                         done.append((now, *(x.hexdigest() for x in sums)))
                     now, sums = k, [hashlib.sha256() for _ in range(n)]
                 for x, c in zip(sums, columns, strict=True):
-                    x.update(c[i].encode())
+                    x.update((c[i] or "").encode())
             if done:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), schema.types, strict=True)], schema=schema)
+                yield made(done)
         if sums is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((now, *(x.hexdigest() for x in sums)), schema.types, strict=True)], schema=schema)
+            yield made([(now, *(x.hexdigest() for x in sums))])
 
     dealt = rows.repartition(key).sortWithinPartitions(key, *order).select(key, *pieces)
-    return dealt.mapInArrow(run, f"{key} long, " + ", ".join(f"{p} string" for p in pieces))
+    return dealt.mapInArrow(run, shape)
