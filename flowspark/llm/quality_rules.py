@@ -58,9 +58,11 @@ def quality_rules(
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lost
     (words in failing lines), cleaned (text without them) and kept."""
     new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lost", "cleaned", "kept")
-    rest = [c for c in docs.columns if c not in new]
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    step = docs.select(*rest, text.alias("_text"), F.split(text, "\n").alias("_lines"))
+    # the documents' columns go along by number, so that none can clash with a step's
+    names = [c for c in docs.columns if c not in new]
+    rest = [f"c{i}" for i in range(len(names))]
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    step = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(names, rest, strict=True)), text.alias("_text"), F.split(text, "\n").alias("_lines"))
     step = step.withColumn("_lw", F.transform("_lines", words_in))
     step = step.withColumns({"_w": F.flatten("_lw"), "_n": F.transform("_lw", lambda w: F.size(w))}).drop("_lw")
     n = F.size("_w")
@@ -100,4 +102,4 @@ def quality_rules(
     # A filter on a result must not be pushed below: it would repeat the expressions of every step within
     # each other.  A partition id is never negative, but Spark keeps filters above such a column.
     here = F.spark_partition_id() >= 0
-    return step.select(*rest, *(F.when(here, F.col(c)).alias(c) for c in new))
+    return step.select(*(F.col(k).alias(c) for c, k in zip(names, rest, strict=True)), *(F.when(here, F.col(c)).alias(c) for c in new))
