@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -40,7 +42,7 @@ def check_header(line: str | None) -> list[str]:
     """Names of a raw CSV header; empty files, empty and repeated names are refused."""
     if line is None or not line.strip("﻿ \r\n"):
         raise InvalidInput("the file is empty")
-    names = [n.strip('"') for n in line.lstrip("﻿").rstrip("\r\n").split(",")]
+    names = next(csv.reader([line.lstrip("﻿").rstrip("\r\n")]))
     if any(not n.strip() for n in names):
         raise InvalidInput("a column has no name")
     if repeated := sorted({n for n in names if names.count(n) > 1}):
