@@ -161,26 +161,28 @@ def window_hashes(words: Words, size: int, salt: int, lane: int = 0) -> tuple[np
 HUB_EDGES = 500
 
 
-def _state(edges: DataFrame) -> tuple[tuple, int]:
-    """What tells one round's edges from another's, and the number of hubs."""
-    ends = edges.select(F.explode(F.array("u", "v")).alias("x"), F.xxhash64("u", "v").cast("decimal(38,0)").alias("h"))
-    per = ends.groupBy("x").agg(F.count("*").alias("n"), F.sum("h").alias("s"))
-    n, s, hubs = per.agg(F.sum("n"), F.sum("s"), F.count_if(F.col("n") > HUB_EDGES)).first()
-    return (n, s), hubs
+def _state(edges: DataFrame) -> tuple[int, int]:
+    """Nodes that keep ``edges`` (from u down to v) from being stars around roots, and the number of hubs."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+    per = ends.groupBy("x").agg(F.count("*").alias("n"), F.sum("up").alias("ups"))
+    loose, hubs = per.agg(F.count_if((F.col("ups") > 0) & (F.col("n") > 1)), F.count_if(F.col("n") > HUB_EDGES)).first()
+    return loose, hubs
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest node reachable from each node of an undirected graph.
 
     ``edges``: columns ``a``, ``b`` (long).  Returns ``node``, ``component`` for every node
-    of an edge.  Alternates the large-star and small-star steps, each one aggregation and
-    one join; the edges of a hub, and of hubs only, meet its minimum in as many pieces as its degree asks
+    of an edge.  Alternates the large-star and small-star steps until every node has one edge, to a root; the
+    edges of a hub, and of hubs only, meet its minimum in as many pieces as its degree asks
     for.  Every round is written to the shared folder, so a lost executor costs one
     round.  Empty input gives no rows.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
-    before, hubs = _state(now)
     for _ in range(rounds):
+        loose, hubs = _state(now)
+        if not loose:
+            break
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
         if hubs:
@@ -191,16 +193,11 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             large = dealt.join(least.select("u", "m", spread.alias("piece")), ["u", "piece"])
         else:
             large = both.join(least, "u")
-        large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = large.where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small_m = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_m, "u")
         now = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_m.select("u", F.col("m").alias("v")))
         now = materialize(now.where("u <> v").distinct(), "cc")
-        state, hubs = _state(now)
-        if state == before:
-            break
-        before = state
     else:
         raise RuntimeError("connected components did not settle")
-    roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    return now.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component")))).alias("x")).select("x.*").distinct()

@@ -268,6 +268,7 @@ def _local(rows: pd.DataFrame, size: int, percent: int) -> pd.DataFrame:
     a, b = [], []
     for _, part in rows.drop_duplicates(["region", "key", "cell"]).groupby(["region", "cell"]):
         if len(part) > 1:
+            part = part.sort_values("key")  # links lead to the smallest key
             keys = part["key"].to_numpy()
             comp, _ = region_links(shingle_sets(pa.array(part["text"], pa.large_string()), size), part["comp"].to_numpy(), percent)
             hub = np.full(comp.max() + 1, -1)
@@ -302,27 +303,43 @@ def _sized(cells: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _pivot_distances(cells: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(region, cell, key, own, hub, far): the distances of all members of each cell to its pivots, which are
-    outside members drawn by hash, and the first member of the block that links lead to."""
+    """(region, cell, key, own, pivot, comp, hub, far): the distances of all members of each cell to its pivots, which are
+    outside members drawn by hash, and the first member (a pivot if one is) of its component within the block.
+    ``comp`` comes in as what is known to be connected and goes out as the first comp of the component."""
     span = Window.partitionBy("region", "cell").orderBy(F.xxhash64("key"), "key")
     # the smallest hashes of a sample of about 8 * PIVOTS outside members (the first level has as many as it wants)
     some = cells.where("own").where(F.pmod(F.xxhash64("key", F.lit(7)), F.col("n_own")) < 8 * PIVOTS).withColumn("rank", F.row_number().over(span)).where(F.col("rank") <= PIVOTS)
     blocks = F.ceil(F.col("n_all") * 2 / REGION_CAP).cast("long")
-    pivots = some.select("region", "cell", "key", "own", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "rank")
-    dealt = cells.select("region", "cell", "key", "own", F.pmod(F.xxhash64("key"), blocks).alias("block"), F.lit(0).alias("rank"))
+    pivots = some.select("region", "cell", "key", "own", "comp", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "rank")
+    dealt = cells.select("region", "cell", "key", "own", "comp", F.pmod(F.xxhash64("key"), blocks).alias("block"), F.lit(0).alias("rank"))
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = pd.concat([rows[rows["rank"] > 0].sort_values("rank"), rows[rows["rank"] == 0]])
+        rows = pd.concat([rows[rows["rank"] > 0].sort_values("rank"), rows[rows["rank"] == 0].sort_values("key")])
         first = int((rows["rank"] > 0).sum())
-        keys, own = rows["key"].to_numpy(), rows["rank"].to_numpy() == 0
-        comp, far = region_links(shingle_sets(pa.array(rows["text"], pa.large_string()), size), np.arange(len(rows)), percent, first)
+        keys = rows["key"].to_numpy()
+        start = rows["comp"].to_numpy()
+        comp, far = region_links(shingle_sets(pa.array(rows["text"], pa.large_string()), size), start, percent, first)
         hub = np.full(comp.max() + 1, -1)
         hub[comp[::-1]] = np.arange(len(comp))[::-1]
-        out = rows[own][["region", "cell", "key", "own"]]
-        return out.assign(hub=keys[hub[comp]][own], far=pd.Series(list(far.T[own]), dtype=object, index=out.index))
+        out = rows[["region", "cell", "key", "own"]].assign(pivot=rows["rank"] > 0, comp=start[hub[comp]], hub=keys[hub[comp]])
+        return out.assign(far=pd.Series(list(far.T), dtype=object, index=out.index))
 
     full = dealt.unionByName(pivots).join(texts, ["region", "key"])
-    return full.groupBy("region", "cell", "block").applyInPandas(block, "region long, cell long, key long, own boolean, hub long, far array<double>")
+    return full.groupBy("region", "cell", "block").applyInPandas(block, "region long, cell long, key long, own boolean, pivot boolean, comp long, hub long, far array<double>")
+
+
+def _merged(rows: pd.DataFrame) -> pd.DataFrame:
+    """What the pivots of one region, seen from all blocks, say is connected: (region, comp, root)."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            x = root[x] = root[root[x]]
+        return x
+
+    for a, b in zip(rows["was"], rows["comp"], strict=True):
+        root[find(a)] = find(b)
+    return pd.DataFrame({"region": rows["region"].iloc[0], "comp": list(root), "root": [find(x) for x in root]})
 
 
 def _large_regions(members: DataFrame, size: int, percent: int) -> DataFrame:
@@ -330,29 +347,40 @@ def _large_regions(members: DataFrame, size: int, percent: int) -> DataFrame:
     texts = materialize(members, "jaccard-large")
     every = texts.select("region", F.col("region").alias("cell"), "key", F.lit(True).alias("own"), F.col("key").alias("comp"))
     cells, cost = _sized(every)
-    links, most = texts.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0), None
+    links, most = None, None
     epsilon = 1 - percent / 100
+
+    def gathered(more: DataFrame, name: str) -> None:
+        nonlocal links
+        more = materialize(more, name)
+        links = more if links is None else links.unionByName(more)
+
     for _ in range(LEVELS):
-        few = F.col("n_own") <= REGION_CAP // 2
-        few = few & (F.col("n_own") < F.col("n_all")) | (F.col("n_all") <= REGION_CAP)
-        links = materialize(links.unionByName(_cell_links(_in_blocks(cells.where(few)), texts, size, percent)), "jaccard-cell-links")
-        cells = cells.where(~few)
-        if cells.isEmpty():
-            return links
+        few = (F.col("n_own") <= REGION_CAP // 2) | (F.col("n_all") <= REGION_CAP)
+        if most is not None:  # at first all cells are large
+            gathered(_cell_links(_in_blocks(cells.where(few)), texts, size, percent), "jaccard-cell-links")
+            cells = cells.where(~few)
+            if cells.isEmpty():
+                return links
         seen = materialize(_pivot_distances(cells, texts, size, percent), "jaccard-pivots")
-        links = materialize(links.unionByName(seen.select(F.col("key").alias("a"), F.col("hub").alias("b"))), "jaccard-seen-links")
-        comps = materialize(connected_components(links), "jaccard-comps")
+        gathered(seen.where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")), "jaccard-seen-links")
+        # pivots are in every block: their comps there, a few a cell, say which comps of different blocks are one
+        said = seen.where("pivot").join(cells.select("region", "cell", "key", F.col("comp").alias("was")), ["region", "cell", "key"]).select("region", "was", "comp").distinct()
+        roots = materialize(said.groupBy("region").applyInPandas(_merged, "region long, comp long, root long"), "jaccard-roots")
+        seen = seen.where("not pivot").join(roots, ["region", "comp"], "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
         if most is None:  # members of the largest component need not find each other; it stays the same one below
-            sizes = seen.join(comps, seen["key"] == comps["node"], "left").groupBy("region", F.coalesce("component", "key").alias("c")).count()
-            most = materialize(sizes.groupBy("region").agg(F.max_by("c", F.struct("count", "c")).alias("most")), "jaccard-most")
-        now = most.join(comps, most["most"] == comps["node"], "left").select("region", F.coalesce("component", "most").alias("most"))
-        seen = seen.join(comps, seen["key"] == comps["node"], "left").withColumn("comp", F.coalesce("component", "key")).join(now, "region")
+            sizes = seen.groupBy("region", "comp").count()
+            most = materialize(sizes.groupBy("region").agg(F.max_by("comp", F.struct("count", "comp")).alias("most")), "jaccard-most")
+        else:
+            moved = roots.withColumnsRenamed({"comp": "most"})
+            most = materialize(most.join(moved, ["region", "most"], "left").select("region", F.coalesce("root", "most").alias("most")), "jaccard-most")
         near = F.array_position("far", F.array_min("far")).cast("int") - 1
-        seen = materialize(seen.select("region", "cell", "key", "comp", "far", near.alias("near"), (F.col("own") & (F.col("comp") != F.col("most"))).alias("own")), "jaccard-outside")
+        outside = seen.join(most, "region").select("region", "cell", "key", "comp", "far", near.alias("near"), (F.col("own") & (F.col("comp") != F.col("most"))).alias("own"))
+        seen = materialize(outside, "jaccard-outside")
         radius = seen.where("own").groupBy("region", "cell", F.col("near").alias("to")).agg(F.max(F.array_min("far")).alias("radius"))
         spread = seen.select("region", "cell", "key", "comp", "own", "near", F.array_min("far").alias("least"), F.posexplode("far").alias("to", "d"))
         spread = spread.where((F.col("d") <= F.col("least") + 2 * epsilon + 1e-9) | (F.col("to") == F.col("near")))
-        spread = spread.join(materialize(radius, "jaccard-radius"), ["region", "cell", "to"]).where(F.col("d") <= F.col("radius") + epsilon + 1e-9)
+        spread = spread.join(radius, ["region", "cell", "to"]).where(F.col("d") <= F.col("radius") + epsilon + 1e-9)
         deeper, less = _sized(spread.select("region", F.xxhash64("cell", "to").alias("cell"), "key", (F.col("own") & (F.col("to") == F.col("near"))).alias("own"), "comp"))
         if not less:
             return links
@@ -360,7 +388,8 @@ def _large_regions(members: DataFrame, size: int, percent: int) -> DataFrame:
             cells = _sized(seen.select("region", "cell", "key", "own", "comp"))[0]
             break
         cells, cost = deeper, less
-    return links.unionByName(materialize(_cell_links(_in_blocks(cells), texts, size, percent), "jaccard-left"))
+    gathered(_cell_links(_in_blocks(cells), texts, size, percent), "jaccard-left")
+    return links
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
@@ -394,9 +423,9 @@ def _named(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int)
     """The described rows, and (key, least id, comp) of every class of them, or None without classes."""
     for salt in range(4):
         rows = materialize(described(docs, id_col, text_col, size, salt), "jaccard-rows")
-        # one row of the documents stands for each class
-        rep = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest")).alias("rep")
-        classes = rows.where("n_shingles > 0").groupBy("key").agg(F.first("n_shingles").alias("n_shingles"), F.min("id").alias("least"), rep, (F.min("check") != F.max("check")).alias("shared"))
+        # one row of the documents, by id and digest, stands for each class
+        digest = F.coalesce(F.min_by("digest", "id"), F.min("digest")).alias("digest")
+        classes = rows.where("n_shingles > 0").groupBy("key").agg(F.first("n_shingles").alias("n_shingles"), F.min("id").alias("least"), digest, (F.min("check") != F.max("check")).alias("shared"))
         classes = materialize(classes, "jaccard-classes")
         total = classes.agg(F.sum("n_shingles").alias("tokens"), F.count("*").alias("n"), F.max("shared").alias("shared")).first()
         if not total["shared"]:
@@ -406,20 +435,19 @@ def _named(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int)
     if not total["n"]:
         return rows, None
     edges = materialize(candidate_edges(docs, classes, text_col, size, percent, total["tokens"], total["n"], salt), "jaccard-edges")
-    regions = connected_components(edges).select(F.col("node").alias("key"), F.col("component").alias("region"))
+    regions = materialize(connected_components(edges).select(F.col("node").alias("key"), F.col("component").alias("region")), "jaccard-regions")
     # sizes are written first: the join then has a shuffle of its own on either side, which Spark can split
     sizes = materialize(regions.groupBy("region").agg(F.count("*").alias("n_region")), "jaccard-sizes")
-    regions = materialize(regions.join(sizes, "region"), "jaccard-regions")
-    links = region_join(docs, classes, regions, id_col, text_col, size, percent)
+    links = region_join(docs, classes, regions.join(sizes, "region"), id_col, text_col, size, percent)
     comps = materialize(connected_components(links), "jaccard-linked")
     return rows, classes.join(comps, classes["key"] == comps["node"], "left").select("key", "least", F.coalesce("component", "key").alias("comp"))
 
 
 def region_join(docs: DataFrame, classes: DataFrame, regions: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """Levels 2 and 3: links between the classes of each region, from one text a class."""
-    n = regions.count()
-    rep = classes.select("key", "rep.id", "rep.digest").join(if_small(regions, n), "key")
-    rep = materialize(rep.toDF("key", "_id", "_digest", "region", "n_region"), "jaccard-reps")
+    rep = classes.select("key", F.col("least").alias("_id"), F.col("digest").alias("_digest")).join(regions, "key")
+    rep = materialize(rep, "jaccard-reps")
+    n = rep.count()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_digest(text_col).alias("digest"), F.col(text_col).cast("string").alias("text"))
     picked = texts.join(if_small(rep, n), texts["id"].eqNullSafe(rep["_id"]) & (texts["digest"] == rep["_digest"])).select("region", "n_region", "key", "text")
     # rows of one id and text come as often as they are given: one a class goes on
@@ -427,7 +455,7 @@ def region_join(docs: DataFrame, classes: DataFrame, regions: DataFrame, id_col:
     bins = max(16, n // 200)
     small = picked.where(F.col("n_region") <= REGION_CAP).withColumn("bin", F.pmod(F.xxhash64("region"), F.lit(bins)))
     links = materialize(small.groupBy("bin").applyInPandas(lambda part: _local(part, size, percent), "a long, b long"), "jaccard-links")
-    if regions.where(F.col("n_region") > REGION_CAP).isEmpty():
+    if rep.where(F.col("n_region") > REGION_CAP).isEmpty():
         return links
     large = picked.where(F.col("n_region") > REGION_CAP).select("region", "key", "text")
     return links.unionByName(_large_regions(large, size, percent))
