@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import json
+import random
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -9,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import evaluate
+
 
 def prepare(numeric: list[str], categorical: list[str]) -> list:
     """Scaled numbers and one-hot categories; an unseen category is all zeros."""
@@ -104,3 +110,74 @@ def resumable(spark, path: str, config: str, build) -> DataFrame:
     if not fold_done(spark, path, config):
         build().write.mode("overwrite").parquet(f"{path}/{config}")
     return spark.read.parquet(f"{path}/{config}")
+
+
+def check_temporal_folds(folds: DataFrame, time: str, purge: int) -> None:
+    """Every fold has both roles, what it trains on ends at least ``purge`` before what it predicts, and the purge is longer
+    than zero, so that no tie of times stands on both sides; otherwise ValueError."""
+    ends = folds.groupBy("fold").agg(F.max(F.when(F.col("role") == "train", F.col(time))).alias("last"), F.min(F.when(F.col("role") == "predict", F.col(time))).alias("first")).collect()
+    bad = [r.fold for r in ends if r.last is None or r.first is None or r.first - r.last < max(1, purge)]
+    if bad or purge < 1:
+        raise ValueError(f"folds {sorted(bad)} leak or are empty")
+
+
+def check_purge(df: DataFrame, time: str, purge_rows: int) -> None:
+    """A purge counted in rows must be longer than the largest group of rows of one time; otherwise ValueError."""
+    most = df.groupBy(time).count().agg(F.max("count")).first()[0] or 0
+    if purge_rows <= most:
+        raise ValueError(f"a purge of {purge_rows} rows is within a tie of {most}")
+
+
+def check_coverage(source: DataFrame, scored_rows: DataFrame, keys: list[str]) -> None:
+    """Every row of ``source`` is scored once and nothing else is; otherwise ValueError."""
+    n = source.groupBy(*keys).agg(F.count("*").alias("_n"))
+    m = scored_rows.groupBy(*keys).agg(F.count("*").alias("_m"))
+    if not n.join(m, keys, "full_outer").where("not (_n <=> _m)").isEmpty():
+        raise ValueError("rows without a score, or scored twice")
+
+
+def draw_candidates(space: dict[str, list], n: int, seed: int) -> list[dict]:
+    """``n`` different combinations of the values of ``space``, the same for one seed."""
+    every = list(itertools.product(*space.values()))
+    chosen = random.Random(seed).sample(every, min(n, len(every)))
+    return [dict(zip(space, c, strict=True)) for c in chosen]
+
+
+def search(df: DataFrame, numeric: list[str], candidates: list[dict], label: str = "label", folds: int = 3) -> DataFrame:
+    """(candidate, its settings, mean of six metrics over the folds): precision, recall, F1, specificity, ROC-AUC and
+    average precision of forests at one half.  ``df`` has a column ``fold``.  What all candidates' models score is counted
+    in one job."""
+    every, settings = None, []
+    assemble = VectorAssembler(inputCols=numeric, outputCol="features", handleInvalid="error")
+    ready = assemble.transform(df).select("fold", label, "features").persist()
+    for i, c in enumerate(candidates):
+        rf = forest(seed=42, labelCol=label)
+        for k, v in c.items():
+            rf.set(rf.getParam(k), v)
+        part = out_of_fold(ready, folds, [rf]).select("fold", label, "p", F.lit(f"c{i:02d}").alias("candidate"))
+        every = part if every is None else every.unionByName(part)
+        settings.append((f"c{i:02d}", json.dumps(c, sort_keys=True)))
+    by = ["candidate", "fold"]
+    rates = evaluate.confusion(every.withColumn("predicted", (F.col("p") > 0.5).cast("int")), by, label=label)
+    both = rates.join(evaluate.ranking(evaluate.score_counts(every, by, label=label, score="p", decimals=6), by), by)
+    means = both.groupBy("candidate").agg(*(F.avg(x).alias(x) for x in ("precision", "recall", "f1", "specificity", "fpr", "roc_auc", "average_precision")))
+    return means.join(F.broadcast(df.sparkSession.createDataFrame(settings, "candidate string, settings string")), "candidate")  # a row a candidate
+
+
+def select_candidate(results: DataFrame, least_recall: float = 0.975, near_fpr: float = 0.001, near_recall: float = 0.002) -> DataFrame:
+    """``results`` (candidate, recall, fpr, average_precision, f1) with rank, eligible and the selected one.
+
+    Of those with enough recall and a false positive rate near their best, the best average precision, then F1, then
+    the lowest rate, then recall.  If none has the recall: of those near the best recall the lowest rate, then average
+    precision, F1, recall."""
+    r = lambda c: F.round(c, 9)
+    every = Window.partitionBy()  # a row a candidate
+    d = results.withColumn("eligible", F.col("recall") >= least_recall)
+    d = d.withColumns({"_target": F.max("eligible").over(every), "_fpr": F.min(F.when(F.col("eligible"), F.col("fpr"))).over(every), "_recall": F.max("recall").over(every)})
+    pool = F.when(F.col("_target"), F.col("eligible") & (F.col("fpr") <= F.col("_fpr") + near_fpr)).otherwise(F.col("recall") >= F.col("_recall") - near_recall)
+    first = F.when(F.col("_target"), -r("average_precision")).otherwise(r("fpr"))
+    second = F.when(F.col("_target"), -r("f1")).otherwise(-r("average_precision"))
+    third = F.when(F.col("_target"), r("fpr")).otherwise(-r("f1"))
+    d = d.withColumn("selected", F.row_number().over(Window.orderBy(F.desc(pool), first, second, third, -r("recall"), "candidate")) == 1)
+    rank = F.row_number().over(Window.orderBy(F.desc("eligible"), r("fpr"), -r("average_precision"), -r("f1"), -r("recall"), "candidate"))
+    return d.withColumn("rank", rank).drop("_target", "_fpr", "_recall")

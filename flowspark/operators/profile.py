@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,3 +46,17 @@ def schema_differences(a: DataFrame, b: DataFrame) -> list[tuple[str, str | None
 
 def union_all(*frames: DataFrame) -> DataFrame:
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)
+
+
+def order_of_time(rows: DataFrame, time: str, file: str, row: str, piece: int = 1_000_000) -> DataFrame:
+    """One row: invalid (null) times, places where a row's time is before that of the row ahead of it in its file or
+    at the end of the file before, and whether there is none.  Files are taken in pieces of ``piece`` rows, whose ends are
+    compared from a table of one row a piece."""
+    d = rows.withColumn("_p", F.floor(F.col(row) / piece))
+    inside = Window.partitionBy(file, "_p").orderBy(row)
+    known = F.col(time).isNotNull()
+    d = d.withColumn("_back", (F.col(time) < F.lag(time).over(inside)).cast("long"))
+    per = d.groupBy(file, "_p").agg(F.count_if(~known).alias("invalid"), F.sum("_back").alias("back"), F.min_by(time, F.when(known, F.col(row))).alias("first"), F.max_by(time, F.when(known, F.col(row))).alias("last"))
+    ends = per.withColumn("_edge", (F.col("first") < F.lag("last").over(Window.orderBy(file, "_p"))).cast("long"))
+    total = ends.agg(F.sum("invalid").alias("invalid"), (F.coalesce(F.sum("back"), F.lit(0)) + F.coalesce(F.sum("_edge"), F.lit(0))).alias("reversals"))
+    return total.withColumn("is_sorted", F.col("reversals") == 0)

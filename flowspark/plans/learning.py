@@ -11,9 +11,11 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
 from ..operators import ml
+from ..operators import evaluate as ev
 from ..operators.evaluate import confusion, ranking, score_counts
 from ..operators.features import causal, flow_features
 from ..sources.adapters import LI, flows_li, table
+from ..sources.files import shared_folder
 
 NUMERIC, CATEGORICAL = ["bytes", "packets"], ["kind"]
 
@@ -52,10 +54,10 @@ def sample_weights(spark, sf_dir):
 
 
 def unknown_categories(spark, sf_dir):
-    """Categories of the later part that the fitted vocabulary of the earlier lacks."""
-    d = data(spark, sf_dir).withColumn("v", F.concat_ws("-", "kind", (F.col("src") % 7).cast("string")))
-    seen = d.where("t < 10000 and okey % 50 = 0").select("v").distinct()
-    return d.where("t >= 10000").groupBy("v").agg(F.count("*").alias("n")).join(seen, "v", "left_anti")
+    """Categories of the later part that the vocabulary of the whole first weeks lacks."""
+    d = data(spark, sf_dir).withColumn("v", F.concat_ws("-", "kind", "src"))
+    seen = d.where("t < 9160").select("v").distinct()
+    return d.where("t >= 9160").groupBy("v").agg(F.count("*").alias("n")).join(seen, "v", "left_anti")
 
 
 def unknown_pairs(spark, sf_dir):
@@ -73,14 +75,17 @@ def majority_baseline(spark, sf_dir):
 
 
 
+def candidate_rates(spark, sf_dir):
+    """Rates and average precision of 22 candidates: blends of two scores, decided at 0.45."""
+    d = ev.blends(flows_li(spark, sf_dir), [k / 20 for k in range(21)]).withColumn("s", F.round("s", 6))
+    rates = confusion(d.withColumn("predicted", (F.col("s") >= 0.45).cast("int")), ["candidate"])
+    return rates.join(ranking(score_counts(d, ["candidate"], score="s", decimals=6), ["candidate"]), "candidate")
+
+
 def select_candidate(spark, sf_dir):
-    """Recall of 0.975 or more, false positive rate within 0.001 of the best, then average precision.
-    The candidates' rates are those of twelve thresholds on the events."""
-    e = table(spark, sf_dir, "events").select(F.explode(F.sequence(F.lit(1), F.lit(12))).alias("k"), "value", (F.col("event_type") != "view").cast("int").alias("label"))
-    m = e.groupBy("k").agg(F.avg(F.when(F.col("label") == 1, (F.col("value") >= F.col("k") / 4).cast("int"))).alias("recall"), F.avg(F.when(F.col("label") == 0, (F.col("value") >= F.col("k") / 4).cast("int"))).alias("fpr"))
-    ok = m.where("recall >= 0.95")
-    best = ok.agg(F.min("fpr").alias("best"))
-    return ok.crossJoin(best).where("fpr <= best + 0.01").orderBy(F.desc("recall"), "k").limit(1).select("k", F.round("recall", 6).alias("recall"), F.round("fpr", 6).alias("fpr"))
+    """The candidates in order, the chosen one marked."""
+    out = ml.select_candidate(candidate_rates(spark, sf_dir))
+    return out.select("candidate", "rank", "eligible", "selected", *(F.round(c, 6).alias(c) for c in ("recall", "fpr", "average_precision", "f1")))
 
 
 def fit(df, estimator, numeric=NUMERIC, categorical=CATEGORICAL):
@@ -129,8 +134,10 @@ def oof_scores(spark, sf_dir):
 def temporal_oof(spark, sf_dir):
     """Each later period scored by models of what came well before it."""
     every = None
+    folds = ml.temporal_folds(data(spark, sf_dir), "t", BOUNDS, PURGE)
+    ml.check_temporal_folds(folds, "t", PURGE)
     for k in range(len(BOUNDS) - 1):
-        d = ml.temporal_folds(data(spark, sf_dir), "t", BOUNDS, PURGE).where(F.col("fold") == k)
+        d = folds.where(F.col("fold") == k)
         part = ml.scored(fit(d.where("role = 'train'"), ml.logistic(labelCol="label"), ["score"], []), d.where("role = 'predict'"))
         every = part if every is None else every.unionByName(part)
     return every.groupBy("fold").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.avg("p").alias("mean_p"))
@@ -156,14 +163,12 @@ def weight_sweep(spark, sf_dir):
 
 
 def rf_search(spark, sf_dir):
-    """Cross-validated search over given folds; candidates are fitted side by side."""
+    """Twelve candidates drawn from the distributions of forests, three folds, six metrics, the chosen one marked."""
     a, _ = split(spark, sf_dir)
     d = ml.stratified_folds(a, "label", F.concat_ws("-", "okey", "pkey", "bytes"), 3)
-    rf = ml.forest(5, 4, labelCol="label")
-    grid = ParamGridBuilder().addGrid(rf.maxDepth, [3, 5]).addGrid(rf.numTrees, [3, 6]).build()
-    search = CrossValidator(estimator=Pipeline(stages=[*ml.prepare(["score", "bytes"], []), rf]), estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol="label"), numFolds=3, foldCol="fold", parallelism=2)
-    means = search.fit(d).avgMetrics
-    return spark.createDataFrame([(int(g[rf.maxDepth]), int(g[rf.numTrees]), float(x)) for g, x in zip(grid, means, strict=True)], "depth int, trees int, auc double")
+    space = {"maxDepth": [2, 3, 4, 5], "minInstancesPerNode": [1, 2, 4, 8], "featureSubsetStrategy": ["sqrt", "log2", "0.5"], "subsamplingRate": [1.0, 0.8], "numTrees": [3]}
+    out = ml.search(d, ["score", "bytes"], ml.draw_candidates(space, 12, 42))
+    return ml.select_candidate(out)
 
 
 def feature_importance(spark, sf_dir):
@@ -189,8 +194,7 @@ def reload_check(spark, sf_dir):
     """A saved and reloaded model scores alike."""
     a, b = split(spark, sf_dir)
     model = fit(a, ml.logistic(labelCol="label"), ["score"])
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/flowspark"
-    path = f"{root.rstrip('/')}/model-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
     model.write().save(path)
     again = ml.scored(PipelineModel.load(path), ml.scored(model, b), "p2")
     return again.agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("p") - F.col("p2")) > 1e-12).alias("different"))
@@ -210,8 +214,15 @@ SQL = {
     "temporal_folds": f"with {LI}, u as ({ROLE}) select fold, \"role\", count(*) n, min(t) first_t, max(t) last_t from u where \"role\" is not null group by all",
     "sample_weights": f"with {LI} select cat, count(*) n, sum(case cat when 'OR' then 3.0 when 'FR' then 1.5 else 1.0 end)::double weight from li group by all",
     "unknown_pairs": f"""with {LI}, d as (select pkey || '-' || src v, t from li) select v, count(*) n from d where t >= 10000 and v not in (select v from d where t < 10000) group by all""",
-    "unknown_categories": f"""with {LI}, d as (select 'k' || (pkey % 5) || '-' || (src % 7) v, t, okey from li) select v, count(*) n from d where t >= 10000 and v not in (select v from d where t < 10000 and okey % 50 = 0) group by all""",
+    "unknown_categories": f"""with {LI}, d as (select 'k' || (pkey % 5) || '-' || src v, t from li) select v, count(*) n from d where t >= 9160 and v not in (select v from d where t < 9160) group by all""",
     "majority_baseline": f"""with {LI}, m as (select "label" guess from li group by "label" order by count(*) desc, "label" limit 1) select guess, count(*) n, count(*) filter (guess = "label") "right" from li, m group by all""",
-    "select_candidate": """with e as (select k::int k, "value", (event_type <> 'view')::int l from events, range(1, 13) r(k)), m as (select k, avg(("value" >= k / 4)::int) filter (l = 1) recall, avg(("value" >= k / 4)::int) filter (l = 0) fpr from e group by all),
-        ok as (select * from m where recall >= 0.95) select k, round(recall, 6) recall, round(fpr, 6) fpr from ok where fpr <= (select min(fpr) from ok) + 0.01 order by recall desc, k limit 1""",
+    "select_candidate": f"""with {LI}, w as (select k, case when k < 21 then 'blend_' || format('{{:.2f}}', k / 20.0::double) else 'max' end candidate from range(22) r(k)),
+        bl as (select candidate, "label" l, round(case when k < 21 then k / 20.0::double * score + (1 - k / 20.0::double) * score_b else greatest(score, score_b) end, 6) s from li, w),
+        cf as (select candidate, count(*) filter (l = 1 and s >= 0.45) tp, count(*) filter (l = 0 and s >= 0.45) fp, count(*) filter (l = 1) p, count(*) filter (l = 0) n from bl group by all),
+        cs as (select candidate, s, count(*) filter (l = 1) pos, count(*) filter (l = 0) neg from bl group by all), cr as (select *, sum(pos) over w rp, sum(neg) over w rn from cs window w as (partition by candidate order by s desc)),
+        ap as (select candidate, sum(pos * (rp / (rp + rn)::double)) / sum(pos) ap from cr group by all), m as (select candidate, tp / p::double recall, fp / n::double fpr, 2 * tp / (tp + fp + p)::double f1, ap average_precision from cf join ap using (candidate)),
+        e as (select *, recall >= 0.975 eligible, min(fpr) filter (recall >= 0.975) over () bf, max(recall) over () br, bool_or(recall >= 0.975) over () target from m),
+        x as (select *, case when target then eligible and fpr <= bf + 0.001 else recall >= br - 0.002 end pool from e),
+        o as (select *, row_number() over (order by pool desc, case when target then round(-average_precision, 9) else round(fpr, 9) end, case when target then round(-f1, 9) else round(-average_precision, 9) end, case when target then round(fpr, 9) else round(-f1, 9) end, round(-recall, 9), candidate) pick from x)
+        select candidate, (row_number() over (order by eligible desc, round(fpr, 9), round(-average_precision, 9), round(-f1, 9), round(-recall, 9), candidate))::int "rank", eligible, pick = 1 selected, round(recall, 6) recall, round(fpr, 6) fpr, round(average_precision, 6) average_precision, round(f1, 6) f1 from o""",
 }

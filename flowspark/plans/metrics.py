@@ -47,10 +47,6 @@ SWEEP = f"""{LI}, c as (select dport, score s, count(*) filter ("label" = 1) pos
 
 
 def select_threshold(spark, sf_dir):
-    return rounded(ev.select_threshold(sweep(spark, sf_dir).where("dport = 1"), 0.985), RATES)
-
-
-def select_threshold_each(spark, sf_dir):
     """A threshold for every destination port, over all flows."""
     return rounded(ev.select_threshold(sweep(spark, sf_dir), 0.985, ["dport"]), RATES)
 
@@ -146,15 +142,6 @@ BLEND = f"""{LI}, w as (select k, case when k < 21 then 'blend_' || format('{{:.
 
 
 def ensemble_search(spark, sf_dir):
-    """Each candidate's ranking metrics and its best threshold; the candidates in order."""
-    counts = ev.score_counts(ev.blends(flows_li(spark, sf_dir), [0.0, 0.25, 0.5, 0.75, 1.0]), ["candidate"], score="s", decimals=6)
-    s = ev.threshold_sweep(counts, ["candidate"], range(10, 91, 10)).where("recall >= 0.9")
-    w = Window.partitionBy("candidate").orderBy("fp", F.desc("threshold"))
-    best = s.withColumn("r", F.row_number().over(w)).where("r = 1").select("candidate", "threshold", "fp", "recall")
-    return rounded(best.join(ev.ranking(counts, ["candidate"]), "candidate"), ["recall", "roc_auc", "average_precision"])
-
-
-def ensemble_search_whole(spark, sf_dir):
     """Each of 21 blends and the maximum with its selected threshold of 99; the best of those with enough recall is marked."""
     counts = ev.score_counts(ev.blends(flows_li(spark, sf_dir), [k / 20 for k in range(21)]), ["candidate"], score="s", decimals=6)
     chosen = ev.select_threshold(ev.threshold_sweep(counts, ["candidate"], range(1, 100)), 0.985, ["candidate"])
@@ -206,16 +193,17 @@ def scores_wide(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        confusion, confusion_default, threshold_sweep, select_threshold, select_threshold_each, roc_auc, average_precision, brier, category_metrics, error_labels, reliability, ece, model_overlap, overlap_crosstab, score_summary, flow_metrics_hourly,
-        metric_deltas, blend_grid, ensemble_search, ensemble_search_whole, score_shift, error_rows, meta_features, binary_label, relevant_rows, scores_wide,
+        confusion, confusion_default, threshold_sweep, select_threshold, roc_auc, average_precision, brier, category_metrics, error_labels, reliability, ece, model_overlap, overlap_crosstab, score_summary, flow_metrics_hourly,
+        metric_deltas, blend_grid, ensemble_search, score_shift, error_rows, meta_features, binary_label, relevant_rows, scores_wide,
     )
-}
+} | {"select_threshold_each": select_threshold, "ensemble_search_whole": ensemble_search}  # the names of round 1
 LONG = ", ".join(f"('{m}', {m if m != 'precision' else chr(34) + 'precision' + chr(34)})" for m in RATES)
 SQL = {
     "confusion": f"with {LI}, c as (select dport, {COUNTS} from (select *, score >= 0.4 p from li) group by all) select *, {RATE_SQL} from c",
     "confusion_default": f"with {LI}, c as (select {COUNTS} from (select *, score > 0.5 p from li)) select *, {RATE_SQL} from c",
     "threshold_sweep": f"with {SWEEP} select * from sweep",
-    "select_threshold": f"""with {SWEEP} select *, recall >= 0.985 eligible from sweep where dport = 1 order by tp / (tp + fn)::double >= 0.985 desc, case when tp / (tp + fn)::double >= 0.985 then 0 else -tp / (tp + fn)::double end, fp, "precision" desc, f1 desc, threshold desc limit 1""",
+    "select_threshold": f"""with {SWEEP} select *, recall >= 0.985 eligible from sweep qualify row_number() over (partition by dport order by tp / (tp + fn)::double >= 0.985 desc,
+        case when tp / (tp + fn)::double >= 0.985 then 0 else -tp / (tp + fn)::double end, fp, "precision" desc, f1 desc, threshold desc) = 1""",
     "select_threshold_each": f"""with {SWEEP} select *, recall >= 0.985 eligible from sweep qualify row_number() over (partition by dport order by tp / (tp + fn)::double >= 0.985 desc,
         case when tp / (tp + fn)::double >= 0.985 then 0 else -tp / (tp + fn)::double end, fp, "precision" desc, f1 desc, threshold desc) = 1""",
     "roc_auc": f"with {RANK} select dport, round(sum(neg * (tp - pos / 2.0::double)) / (sum(pos) * sum(neg)), 6) roc_auc from d group by all",
@@ -245,11 +233,14 @@ SQL = {
         f as (select * from q qualify row_number() over (partition by candidate order by eligible desc, case when eligible then 0 else -tp / (tp + fn)::double end, fp, "precision" desc, f1 desc, threshold desc) = 1)
         select candidate, threshold, tn, fp, fn, tp, "precision", recall, f1, roc_auc, average_precision, eligible,
          eligible and row_number() over (order by eligible desc, fp, average_precision desc, "precision" desc, f1 desc, threshold desc, candidate) = 1 best from f join r using (candidate)""",
-    "ensemble_search": f"""with {BLEND}, c as (select candidate, s, count(*) filter ("label" = 1) pos, count(*) filter ("label" = 0) neg from bl where candidate in ('blend_0.00', 'blend_0.25', 'blend_0.50', 'blend_0.75', 'blend_1.00', 'max') group by all),
+    "ensemble_search": f"""with {BLEND}, c as (select candidate, s, count(*) filter ("label" = 1) pos, count(*) filter ("label" = 0) neg from bl group by all),
         d as (select *, sum(pos) over w tp, sum(neg) over w fp from c window w as (partition by candidate order by s desc)),
         r as (select candidate, round(sum(neg * (tp - pos / 2.0::double)) / (sum(pos) * sum(neg)), 6) roc_auc, round(sum(pos * tp / (tp + fp)::double) / sum(pos), 6) average_precision from d group by all),
-        sw as (select candidate, k / 10.0::double threshold, (sum(neg) filter (s >= k / 10.0::double))::bigint fp, sum(pos) filter (s >= k / 10.0::double) / sum(pos)::double recall from c, range(1, 10) x(k) group by all),
-        b as (select *, row_number() over (partition by candidate order by fp, threshold desc) n from sw where recall >= 0.9) select candidate, threshold, fp, round(recall, 6) recall, roc_auc, average_precision from b join r using (candidate) where n = 1""",
+        sw as (select candidate, k / 100.0::double threshold, coalesce(sum(neg) filter (s < k / 100.0::double), 0)::bigint tn, coalesce(sum(neg) filter (s >= k / 100.0::double), 0)::bigint fp, coalesce(sum(pos) filter (s < k / 100.0::double), 0)::bigint fn,
+         coalesce(sum(pos) filter (s >= k / 100.0::double), 0)::bigint tp from c, range(1, 100) x(k) group by all), q as (select *, {RATE_SQL}, tp / (tp + fn)::double >= 0.985 eligible from sw),
+        f as (select * from q qualify row_number() over (partition by candidate order by eligible desc, case when eligible then 0 else -tp / (tp + fn)::double end, fp, "precision" desc, f1 desc, threshold desc) = 1)
+        select candidate, threshold, tn, fp, fn, tp, "precision", recall, f1, roc_auc, average_precision, eligible,
+         eligible and row_number() over (order by eligible desc, fp, average_precision desc, "precision" desc, f1 desc, threshold desc, candidate) = 1 best from f join r using (candidate)""",
     "score_shift": f"""with {LI}, m as (select "label", t < 11600 first, avg(score) mean, median(score) med, quantile_cont(score, 0.75) p75, avg((score >= 0.4)::int) share from li group by all)
         select a."label", round(b.mean - a.mean, 6) mean_delta, round(b.med - a.med, 6) median_delta, round(b.p75 - a.p75, 6) p75_delta, round(b.share - a.share, 6) share_delta, round(b.med - a.med, 6) >= 0.1 right_shift
         from m a join m b on a."label" = b."label" and a.first and not b.first""",

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
 from ..operators import align as al
+from ..operators import contract as ct
 from ..operators import profile as pf
 from ..operators import validate as va
+from ..operators.features import causal, flow_features
 from ..sources.adapters import EV, LI, flows_ev, flows_li, table
+from ..sources.files import routed
+from .causal import DAYS, feature_sql
 
 CONTRACT = va.Contract(endpoints=("src",), ports=("sport", "dport"), protocol="proto", timestamp="time", numeric=("amount",), optional=("id",))
 
@@ -44,9 +48,9 @@ def validation_report(spark, sf_dir):
 
 
 def route_by_day(spark, sf_dir):
-    """Rows of one capture day, scanned against matched."""
-    e = table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "dd/MM/yyyy"))
-    return e.agg(F.count("*").alias("scanned"), F.count_if(F.col("day").startswith("17/01/2024")).alias("matched"), F.min(F.when(F.col("day") == "17/01/2024", F.col("event_id"))).alias("first_id"))
+    """Rows of one capture day out of all: scanned, matched, and the first of them."""
+    r = routed(table(spark, sf_dir, "events"), "ts", "2024-01-17")
+    return r.agg(F.count("*").alias("scanned"), F.count_if("on_day").alias("matched"), F.min(F.when(F.col("on_day"), F.col("event_id"))).alias("first_id"))
 
 
 def split_by_day(spark, sf_dir):
@@ -56,10 +60,18 @@ def split_by_day(spark, sf_dir):
     return d.select("id", "day", F.count("*").over(w).alias("before_today"))
 
 
+def with_context(spark, sf_dir):
+    flows = flows_li(spark, sf_dir).withColumn("dst", F.col("src") * 10 + F.col("dst"))
+    return causal(flows, flow_features()).withColumnRenamed("cat", "attack_cat")
+
+
 def output_check(spark, sf_dir):
-    d = flows_li(spark, sf_dir)
-    bad = lambda c: F.count_if(~finite(F.col(c)))
-    return d.agg(F.count("*").alias("rows"), F.count_if(~F.col("label").isin(0, 1)).alias("bad_targets"), F.count_if(F.col("cat").isNull()).alias("null_categories"), (bad("bytes") + bad("packets") + bad("score")).alias("not_finite"), F.sum("label").alias("positives"))
+    """What a feature table must not hold: bad targets, missing categories, values of the 43 features that are not finite."""
+    return ct.output_report(with_context(spark, sf_dir)).withColumn("leaked", F.lit(",".join(sorted(set(ct.IDENTIFIERS) & set(ct.TEMPORAL)))))
+
+
+def target_distribution(spark, sf_dir):
+    return flows_li(spark, sf_dir).groupBy(F.col("cat").alias("attack_cat"), "label").agg(F.count("*").alias("n"))
 
 
 def parquet_row_id(spark, sf_dir):
@@ -108,17 +120,14 @@ def dup_stats(spark, sf_dir):
 
 
 def left_complete(spark, sf_dir):
-    """Orders with their customers, and whether any lacks one."""
-    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").where("c_custkey % 7 <> 0")
-    return o.join(c, o["o_custkey"] == c["c_custkey"], "left").agg(F.count("*").alias("rows"), F.count_if(F.col("c_custkey").isNull()).alias("missing"))
-
-
-def left_complete_whole(spark, sf_dir):
     """All orders with all customers, and whether any lacks one."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     return o.join(c, o["o_custkey"] == c["c_custkey"], "left").agg(F.count("*").alias("rows"), F.count_if(F.col("c_custkey").isNull()).alias("missing"))
 
 
+left_complete_whole = left_complete
+
+
 def feature_parity(spark, sf_dir):
     a, b = sides(spark, sf_dir)
     p = al.parity(al.aligned(a, b, ["k", "n"], ["p", "q"], ["p2", "q2"]), {"q": ("q", "q2"), "p": ("p", "p2")}, 0.5)
@@ -209,13 +218,6 @@ def daily_profile(spark, sf_dir):
 
 
 def host_overlap(spark, sf_dir):
-    """Users seen on both of every pair of days (of the first ten)."""
-    d = flows_ev(spark, sf_dir).select(F.dayofmonth(F.col("ts")).alias("day"), "src").where("day <= 10").distinct()
-    b = d.withColumnRenamed("day", "other")
-    return d.join(b, "src").where("day < other").groupBy("day", "other").agg(F.count("*").alias("shared"))
-
-
-def host_overlap_days(spark, sf_dir):
     """Sources, destinations and any endpoints that every pair of calendar days shares, pairs that share none too."""
     d = flows_ev(spark, sf_dir).select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
     ends = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("host")) for k, c in (("src", "src"), ("dst", "dst"), ("any", "src"), ("any", "dst"))))
@@ -227,10 +229,16 @@ def host_overlap_days(spark, sf_dir):
     return pairs.join(shared, ["day", "other"], "left").fillna(0, ["src_shared", "dst_shared", "any_shared"])
 
 
+host_overlap_days = host_overlap
+
+
 def time_quality(spark, sf_dir):
+    """Seconds, peers, fractions, invalid times, and whether the file is in order of time."""
     d = flows_ev(spark, sf_dir).withColumn("sec", F.floor(F.col("t") / 1_000_000))
+    rows = table(spark, sf_dir, "events").select("ts", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    order = pf.order_of_time(rows, "ts", "file", "row")  # one row
     per = d.groupBy("sec").agg(F.count("*").alias("n"), F.count_if(F.col("ts").cast("string").rlike(r"\.\d")).alias("frac"))
-    return per.agg(F.sum("n").alias("rows"), F.count("*").alias("unique_seconds"), F.max("n").alias("most_peers"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("rows_in_shared_seconds"), F.sum("frac").alias("fractional"), F.min("sec").alias("first_second"), F.max("sec").alias("last_second"))
+    return per.agg(F.sum("n").alias("rows"), F.count("*").alias("unique_seconds"), F.max("n").alias("most_peers"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("rows_in_shared_seconds"), F.sum("frac").alias("fractional"), F.min("sec").alias("first_second"), F.max("sec").alias("last_second")).crossJoin(F.broadcast(order))
 
 
 def time_gaps(spark, sf_dir):
@@ -240,16 +248,14 @@ def time_gaps(spark, sf_dir):
 
 
 def category_set_diff(spark, sf_dir):
-    c, s = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0 and c_nationkey > 3").select(F.col("c_nationkey").alias("nation")), table(spark, sf_dir, "supplier").where("s_nationkey < 20").select(F.col("s_nationkey").alias("nation"))
-    return c.subtract(s).withColumn("side", F.lit("customers")).unionByName(s.subtract(c).withColumn("side", F.lit("suppliers")))
-
-
-def category_set_diff_whole(spark, sf_dir):
     """Nations that only customers have and that only suppliers have, over both whole tables."""
     c, s = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"))
     return c.subtract(s).withColumn("side", F.lit("customers")).unionByName(s.subtract(c).withColumn("side", F.lit("suppliers")))
 
 
+category_set_diff_whole = category_set_diff
+
+
 def combined_distribution(spark, sf_dir):
     both = pf.union_all(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation")))
     return pf.distribution(both, "nation", "nation")
@@ -272,14 +278,32 @@ def set_ops(spark, sf_dir):
     return n(a.union(b).distinct(), "n_union").crossJoin(n(a.intersect(b), "n_both")).crossJoin(n(a.subtract(b), "n_only"))
 
 
+BASE_SQL = {c: f"(l_partkey * {k + 3} % 997)::double" for k, c in enumerate(ct.BASELINE)}
+
+
+def model_table(spark, sf_dir):
+    """The 128 features of a model in the contract's order, with identities, from rows of a flow meter's shape:
+    every baseline column is a whole number that follows from the part, a day is a second."""
+    raw = table(spark, sf_dir, "lineitem")
+    day = F.datediff(F.to_date("l_shipdate"), F.lit("1970-01-01"))
+    base = [(F.col("l_partkey") * (k + 3) % 997).cast("double").alias(c) for k, c in enumerate(ct.BASELINE)]
+    flows = raw.select(
+        F.concat_ws("-", F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")).alias("row"), F.col("l_suppkey").cast("string").alias("Src IP"), (F.col("l_suppkey") * 10 + F.col("l_partkey") % 4).cast("string").alias("Dst IP"),
+        (F.col("l_partkey") * 7 % 65536).alias("Src Port"), (F.col("l_linenumber") % 2 * 2000).cast("long").alias("Dst Port"), F.when(F.col("l_returnflag") == "R", 6).when(F.col("l_returnflag") == "A", 17).otherwise(1).cast("long").alias("Protocol"),
+        F.timestamp_seconds(day).cast("timestamp_ntz").alias("Timestamp"), *base,
+    )
+    out = ct.model_table(flows, "row").drop("flow_id", "timestamp")
+    return out.select("source_row_id", "src_ip", "dst_ip", "src_port", "dst_port", "identity_protocol", *(F.round(F.col(f"`{c}`") + 1e-7, 4).alias(c) if dict(out.dtypes)[c] == "double" and c in ct.TEMPORAL else F.col(f"`{c}`") for c in ct.MODEL))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        validate_rows, validation_report, route_by_day, split_by_day, output_check, parquet_row_id, dup_rank, row_fingerprint, align_tables, unmatched_rows, dup_stats, left_complete, left_complete_whole, feature_parity, score_parity, incident_parity,
-        profile_missing, profile_infinite, profile_duplicates, profile_constant, value_distribution, target_crosstab, describe_numeric, describe_categorical, cardinality, label_distribution, daily_profile, host_overlap, host_overlap_days,
-        time_quality, time_gaps, category_set_diff, category_set_diff_whole, combined_distribution, companion_match, top_k, set_ops,
+        validate_rows, validation_report, route_by_day, split_by_day, output_check, target_distribution, model_table, parquet_row_id, dup_rank, row_fingerprint, align_tables, unmatched_rows, dup_stats, left_complete, feature_parity, score_parity, incident_parity,
+        profile_missing, profile_infinite, profile_duplicates, profile_constant, value_distribution, target_crosstab, describe_numeric, describe_categorical, cardinality, label_distribution, daily_profile, host_overlap,
+        time_quality, time_gaps, category_set_diff, combined_distribution, companion_match, top_k, set_ops,
     )
-}
+} | {"left_complete_whole": left_complete, "host_overlap_days": host_overlap, "category_set_diff_whole": category_set_diff}  # the names of round 1
 NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -292,20 +316,34 @@ def members_sql(name: str, gap: int) -> str:
      {name} as (select string_agg(id::varchar, ',' order by id) members, max(bytes) top from {name}s group by src, dst, s)"""
 
 
+def model_table_sql() -> str:
+    base = ", ".join(f'{e} "{c}"' for c, e in BASE_SQL.items())
+    fl = f"""fl as (select l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey source_row_id, l_suppkey::varchar src, (l_suppkey * 10 + l_partkey % 4)::varchar dst, (l_partkey * 7 % 65536)::bigint sport, (l_linenumber % 2 * 2000)::bigint dport,
+     (case l_returnflag when 'R' then 6 when 'A' then 17 else 1 end)::bigint proto, (l_shipdate::date - date '1970-01-01')::bigint t, {base}, {BASE_SQL['Total Length of Fwd Packet']} + {BASE_SQL['Total Length of Bwd Packet']} bytes,
+     {BASE_SQL['Total Fwd Packet']} + {BASE_SQL['Total Bwd packets']} packets, {BASE_SQL['SYN Flag Count']} syn, {BASE_SQL['RST Flag Count']} rst from lineitem)"""
+    sql = feature_sql([f.name for f in DAYS])
+    columns = sql[sql.index("count(*) over", sql.index(" select src, dst")):]
+    ports = ", ".join(f"({c} between {lo} and {hi})::int {side}_port_{n}" for side, c in (("src", "sport"), ("dst", "dport")) for n, lo, hi in (("well_known", 0, 1023), ("registered", 1024, 49151), ("ephemeral", 49152, 65535)))
+    names = ", ".join(f'"{c}"' for c in ct.BASELINE)
+    return f"with {fl} select source_row_id, src src_ip, dst dst_ip, sport src_port, dport dst_port, proto identity_protocol, {names}, sport \"Src Port\", dport \"Dst Port\", proto \"Protocol\", {ports}, {columns}"
+
+
 SQL = {
     "validate_rows": f"with {RAW} select id, array_to_string(violations, ',') violations from v",
     "validation_report": f"""with {RAW}, x as (select id, unnest(violations) rule from v), r as (select *, row_number() over (partition by rule order by id) r from x)
         select rule, count(*) n, string_agg(case when r <= 20 then id::varchar end, ',' order by id) first_rows from r group by all""",
     "route_by_day": "select count(*) scanned, count(*) filter (strftime(ts, '%d/%m/%Y') = '17/01/2024') matched, min(event_id) filter (ts::date = date '2024-01-17') first_id from events",
     "split_by_day": f"with {EV} select id, strftime(ts, '%Y-%m-%d') \"day\", count(*) over (partition by ts::date, src order by t range between unbounded preceding and current row exclude group) before_today from ev",
-    "output_check": f"""with {LI} select count(*) "rows", count(*) filter ("label" not in (0, 1)) bad_targets, count(*) filter (cat is null) null_categories, count(*) filter (not isfinite(bytes)) + count(*) filter (not isfinite(packets)) + count(*) filter (not isfinite(score)) not_finite,
-        sum("label")::bigint positives from li""",
+    "output_check": f"""with f as ({feature_sql([f.name for f in DAYS])}), {LI} select count(*) "rows", (select count(*) from li where "label" is null or "label" not in (0, 1)) bad_targets, (select count(*) from li where cat is null) null_categories,
+        ({' + '.join(f'count(*) filter ({f.name} is null or not isfinite({f.name}))' for f in DAYS)}) not_finite, '' leaked from f""",
+    "target_distribution": f'with {LI} select cat attack_cat, "label", count(*) n from li group by all',
+    "model_table": model_table_sql(),
     "dup_rank": "select l_orderkey, l_linenumber, l_extendedprice, (row_number() over (partition by l_orderkey, l_linenumber order by l_extendedprice))::int duplicate_rank from lineitem",
     "row_fingerprint": """select c_custkey, sha256('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || ',"c_mktsegment":"' || c_mktsegment || '"}') fingerprint from customer""",
     "align_tables": f"with {SIDES} select count(*) matched, count(*) filter (q is distinct from q2) quantity, count(*) filter (p is distinct from p2) part from j",
     "unmatched_rows": f"with {SIDES} select (select count(*) from ar anti join br using (k, n, r)) only_left, (select count(*) from br anti join ar using (k, n, r)) only_right",
     "dup_stats": "with g as (select count(*) n from lineitem group by l_orderkey, l_linenumber having count(*) > 1) select count(*) \"groups\", sum(n)::bigint \"rows\", max(n) largest from g",
-    "left_complete": "select count(*) \"rows\", count(*) filter (c_custkey is null) missing from orders left join (from customer where c_custkey % 7 <> 0) on o_custkey = c_custkey",
+    "left_complete": "select count(*) \"rows\", count(*) filter (c_custkey is null) missing from orders left join customer on o_custkey = c_custkey",
     "left_complete_whole": "select count(*) \"rows\", count(*) filter (c_custkey is null) missing from orders left join customer on o_custkey = c_custkey",
     "feature_parity": f"with {SIDES} select 'q' feature, count(*) filter (abs(q - q2) > 0.5) mismatched, max(abs(q - q2))::double max_difference from j union all select 'p', count(*) filter (abs(p - p2) > 0.5), max(abs(p - p2))::double from j",
     "score_parity": """with d as (select event_id % 1000 / 1000.0::double a, (event_id % 1000 + case when event_id % 11 = 0 then 5 else 0 end) / 1000.0::double b from events)
@@ -325,15 +363,18 @@ SQL = {
     "cardinality": f"with {EV} select count(distinct src) sources, count(distinct dst) destinations, count(distinct proto) protocols, count(distinct t // 1000000) \"seconds\", round(count(distinct id) / count(*)::double, 6) id_unique_share from ev",
     "label_distribution": f"with {GAPS} select coalesce(trim(event_type), '<MISSING>') \"label\", count(*) n, round(100 * count(*) / (select count(*) from g)::double, 4) \"percent\" from g group by all",
     "daily_profile": f"with {EV} select strftime(ts, '%Y-%m-%d') \"day\", count(*) \"rows\", count(*) filter (dst = 'error') errors, count(distinct src) sources, count(distinct src) filter (dst = 'error') error_sources from ev group by all",
-    "host_overlap": f"with {EV}, d as (select distinct day(ts)::int d, src from ev where day(ts) <= 10) select a.d \"day\", b.d other, count(*) shared from d a join d b using (src) where a.d < b.d group by all",
+    "host_overlap": f"""with {EV}, d as (select ts::date::varchar d, src::varchar src, dst::varchar dst from ev), h as (select d, 'src' k, src h from d union select d, 'dst', dst from d union select d, 'any', src from d union select d, 'any', dst from d),
+        s as (select a.d d, b.d o, a.k k from h a join h b on a.k = b.k and a.h = b.h and a.d < b.d), p as (select a.d d, b.d o from (select distinct d from d) a, (select distinct d from d) b where a.d < b.d)
+        select p.d "day", p.o other, count(*) filter (k = 'src') src_shared, count(*) filter (k = 'dst') dst_shared, count(*) filter (k = 'any') any_shared from p left join s using (d, o) group by all""",
     "host_overlap_days": f"""with {EV}, d as (select ts::date::varchar d, src::varchar src, dst::varchar dst from ev), h as (select d, 'src' k, src h from d union select d, 'dst', dst from d union select d, 'any', src from d union select d, 'any', dst from d),
         s as (select a.d d, b.d o, a.k k from h a join h b on a.k = b.k and a.h = b.h and a.d < b.d), p as (select a.d d, b.d o from (select distinct d from d) a, (select distinct d from d) b where a.d < b.d)
         select p.d "day", p.o other, count(*) filter (k = 'src') src_shared, count(*) filter (k = 'dst') dst_shared, count(*) filter (k = 'any') any_shared from p left join s using (d, o) group by all""",
     "time_quality": f"""with {EV}, p as (select t // 1000000 sec, count(*) n, count(*) filter (t % 1000000 <> 0) frac from ev group by all) select sum(n)::bigint "rows", count(*) unique_seconds, max(n) most_peers,
-        sum(case when n > 1 then n else 0 end)::bigint rows_in_shared_seconds, sum(frac)::bigint fractional, min(sec) first_second, max(sec) last_second from p""",
+        sum(case when n > 1 then n else 0 end)::bigint rows_in_shared_seconds, sum(frac)::bigint fractional, min(sec) first_second, max(sec) last_second, any_value(invalid) invalid, any_value(reversals) reversals, any_value(reversals) = 0 is_sorted
+        from p, (select count(*) filter (ts is null) invalid, count(*) filter (ts < before) reversals from (select ts, lag(ts) over (order by k) "before" from (select ts, row_number() over () k from events)))""",
     "time_gaps": f"""with {EV}, d as (select distinct src, t // 1000000 sec from ev), g as (select src, lead(sec) over (partition by src order by sec) - sec gap from d)
         select src, count(*) filter (gap > 60) over_minute, count(*) filter (gap > 3600) over_hour, count(*) filter (gap > 86400) over_day, max(gap) longest from g group by all""",
-    "category_set_diff": """with c as (select distinct c_nationkey nation from customer where c_custkey % 3 = 0 and c_nationkey > 3), s as (select distinct s_nationkey nation from supplier where s_nationkey < 20)
+    "category_set_diff": """with c as (select distinct c_nationkey nation from customer), s as (select distinct s_nationkey nation from supplier)
         select nation, 'customers' side from c anti join s using (nation) union all select nation, 'suppliers' from s anti join c using (nation)""",
     "category_set_diff_whole": """with c as (select distinct c_nationkey nation from customer), s as (select distinct s_nationkey nation from supplier)
         select nation, 'customers' side from c anti join s using (nation) union all select nation, 'suppliers' from s anti join c using (nation)""",

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..operators.validate import Contract, check_columns, check_header, validate
+from ..operators.validate import Contract, InvalidInput, check_columns, check_header, validate
 
 
 def read_flow_csv(spark: SparkSession, path: str, contract: Contract) -> DataFrame:
@@ -42,3 +45,31 @@ def write_summary(df: DataFrame, path: str) -> None:
 def with_row_id(spark: SparkSession, path: str) -> DataFrame:
     """Rows of Parquet files with their file and place in it."""
     return spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_id"))
+
+
+def routed(df: DataFrame, time: str, day: str) -> DataFrame:
+    """``df`` with ``on_day``: whether the row's time, a timestamp or ISO text, is on that calendar day."""
+    return df.withColumn("on_day", F.coalesce(F.col(time).cast("string").startswith(day), F.lit(False)))
+
+
+def write_by_day(df: DataFrame, path: str, time: str) -> None:
+    """Parquet in a folder a calendar day, so that readers of one day read only its files."""
+    write_table(df.withColumn("capture_date", F.to_date(time)), path, ["capture_date"])
+
+
+def read_day(spark: SparkSession, path: str, day: str, expected: int | None = None) -> DataFrame:
+    """Rows of one day of `write_by_day`; refused if they are not as many as expected."""
+    out = spark.read.parquet(path).where(F.col("capture_date") == F.lit(day).cast("date")).drop("capture_date")
+    if expected is not None and (n := out.count()) != expected:
+        raise InvalidInput(f"{n} rows on {day}, not {expected}")
+    return out
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all machines of the session see: ``spark.checkpoint.dir``, or a temporary one on a single machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        root = tempfile.mkdtemp(prefix="flowspark-")
+    return root.rstrip("/")
