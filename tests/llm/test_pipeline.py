@@ -56,9 +56,25 @@ def test_stages_keep_columns_and_take_nothing(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.createDataFrame([], schema)
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, str(tmp_path))
-        assert out.columns == docs.columns and out.collect() == []
+        assert out.columns == docs.columns + (["token_ids", "n_tokens"] if k == 4 else []) and out.collect() == []
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    """Null and repeated ids and texts, wordless texts and clashing columns go through every stage alone."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, items string, digest long, c0 int"
+    spark.createDataFrame([(1, "one two three"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(i, t, None, "s", len(t or ""), "k", 7, 3) for i in (None, 1, 1, 2) for t in (None, "", " \n ", "a b c", "w " * 3000)]
+    docs = spark.createDataFrame(rows, schema)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        got = out.collect()
+        assert out.columns[:8] == docs.columns and all(r.items == "k" and r.digest == 7 and r.c0 == 3 for r in got)
+        if k in (2, 3, 4):  # of these rows nothing goes but repeated words
+            assert len(got) == (len(rows) - 2 if k == 2 else len(rows))
+        if k == 4:
+            assert all(r.n_tokens == len(r.token_ids) and (r.n_tokens == 0) == (not (r.text or "")) for r in got)
 
 
 def rows_of(df):
