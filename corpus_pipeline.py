@@ -1,4 +1,11 @@
-"""From raw documents to token ids in five stages, each over all that the one before kept."""
+"""From raw documents to token ids in five stages, each over all that the one before kept.
+
+Every stage takes and gives the columns of documents (the last adds its own), whatever further columns they have;
+columns named like an operator's own are kept as they are.  Defined cases, the same in all stages: a null, empty or
+wordless text fails the base rules of the first stage and goes there; where a stage is given one, it stays as it is, has no passages,
+no windows and no ids.  Null and repeated ids are ordinary rows: rows are told apart by id and text, and of equal
+rows one stays in the second stage; a null id sorts after all others.  Texts of any length are whole.  An empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
@@ -43,6 +50,7 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their ids and number of ids (``token_ids``, ``n_tokens``); a null text has none, so 0."""
     out = sentencepiece_codec.encode(docs, piece_model())
     return out.withColumn("n_tokens", F.size("token_ids").cast("long"))
 
@@ -59,6 +67,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table documents of ``sf_dir``, each written to the shared folder before the next reads it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
