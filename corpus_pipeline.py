@@ -17,15 +17,20 @@ from flowspark.llm.common import materialize
 from flowspark.llm.queries import piece_model, table
 
 
-def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of documents, ``n_chars`` counted anew."""
-    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+def _packed(docs: DataFrame) -> DataFrame:
+    """Id, text and all other columns in one, so that none clashes with an operator's."""
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"))
+
+
+def _unpacked(out: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
+    """``columns`` of documents with the text in ``text``, ``n_chars`` counted anew."""
+    own = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
+    return out.select(*(own.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go, and documents that fail the base rules or lose too much."""
-    out = quality_rules.quality_rules(docs).where("kept")
-    return _with_text(out.withColumn("text", F.col("cleaned")), docs.columns)
+    return _unpacked(quality_rules.quality_rules(_packed(docs)).where("kept"), docs.columns, "cleaned")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,13 +45,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that start in an earlier document go, and documents of which nothing is left."""
-    out = substring_dedup.substring_dedup(docs)
-    return _with_text(out.where("n_removed < n_words or n_words = 0"), docs.columns)
+    out = substring_dedup.substring_dedup(_packed(docs))
+    return _unpacked(out.where("n_removed < n_words or n_words = 0"), docs.columns)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark windows cover a twentieth or more go."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
+    out = decontaminate.decontaminate(_packed(docs), table(spark, sf_dir, "benchmark"))
+    return _unpacked(out.where("not contaminated"), docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
