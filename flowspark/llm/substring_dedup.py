@@ -38,9 +38,9 @@ from .common import U64, Words, chunks, materialize, mix, window_hashes
 from .jaccard_join import packed, unpacked
 
 WINDOW, MARGIN, MIDDLE = 13, 3, 6
-#: Entries that one range task holds; documents that one group task holds.
-RANGE_ENTRIES = 2_500_000
-GROUP_DOCS = 1000
+#: Entries that one range task holds; documents and bytes that one group task holds, on average.
+RANGE_ENTRIES = 1_500_000
+GROUP_DOCS, GROUP_BYTES = 1000, 4_000_000
 LAST = np.iinfo(np.int64).max
 #: A window's name: two digests of 64 bits over two independent names of each word.
 NAME = np.dtype([("a", "<u8"), ("b", "<u8")])
@@ -101,10 +101,10 @@ def _symbols(docs: DataFrame, ranges: int) -> DataFrame:
                 name, doc = name[order], doc[order]
                 once = np.r_[True, (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])] if len(name) else np.zeros(0, bool)
                 name, doc = name[once], doc[once]
-                keys = part.column("ord").to_numpy(zero_copy_only=False)
+                keys = part.column("key").to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_pydict(packed((name % U64(ranges)).astype(np.int64), keys, doc, {"rest": (name >> U64(32)).astype(np.uint32)}))
 
-    return docs.select("ord", "text").mapInArrow(run, "r long, keys binary, counts binary, rest binary")
+    return docs.select("key", "text").mapInArrow(run, "r long, keys binary, counts binary, rest binary")
 
 
 def _revealed(rows: pd.DataFrame, groups: int) -> dict:
@@ -130,6 +130,7 @@ class Group:
 
     def __init__(self, docs: pa.Table, notes: pd.DataFrame, ranges: int):
         self.docs, self.ord = docs, docs["ord"].to_numpy()
+        names = docs["key"].to_numpy()
         flags = notes[notes["kind"] == 0]
         if len(flags):
             keys, rest = unpacked(flags, rest=np.uint32)
@@ -147,7 +148,7 @@ class Group:
             mark = ((name % U64(ranges)) << U64(32)) | (name >> U64(32))
             hit = np.zeros(len(name), bool)
             cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
-            own = self.ord[done : done + part.num_rows]
+            own = names[done : done + part.num_rows]
             for i, (lo, hi) in enumerate(zip(keys.searchsorted(own, "left"), keys.searchsorted(own, "right"), strict=True)):
                 if hi > lo:
                     hit[cut[i] : cut[i + 1]] = np.isin(mark[cut[i] : cut[i + 1]], marks[lo:hi])
@@ -206,7 +207,7 @@ class Group:
                 np.add.at(change, edge[removed[lo:hi]] - begin, -1)
                 keep = np.cumsum(change)[:-1] == 0
                 texts.append(words.data[begin:stop][keep].tobytes().decode("utf-8", "replace"))
-        out = self.docs.drop_columns(["g", "ord", "text"])
+        out = self.docs.drop_columns(["g", "ord", "key", "text"])
         out = out.append_column("text", pa.array(texts, pa.string()))
         return out.append_column("n_words", pa.array(n_words, pa.int64())).append_column("n_removed", pa.array(n_removed, pa.int64()))
 
@@ -217,8 +218,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     carried = [F.col(c).alias(f"c{i}") for i, c in enumerate(others)]
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), F.col(text_col).cast("string").alias("text"), *carried)
     total = base.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    ranges, groups = max(16, int(total["bytes"] / 6 * 0.56) // RANGE_ENTRIES), max(8, total["n"] // GROUP_DOCS)
-    base = base.withColumn("g", F.pmod("ord", F.lit(groups)))
+    ranges = max(16, int(total["bytes"] / 6 * 0.56) // RANGE_ENTRIES)
+    groups = max(8, total["n"] // GROUP_DOCS, total["bytes"] // GROUP_BYTES)
+    # rows are dealt by id and text, so that neither null ids nor ids in steps meet in one group
+    base = base.withColumn("key", F.xxhash64("ord", "text")).withColumn("g", F.pmod("key", F.lit(groups)))
 
     def revealed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         out = pa.table(_revealed(rows, groups)).to_pandas().rename(columns={"r": "g"})
@@ -241,7 +244,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         bits = np.split(least[at] < own, np.cumsum([len(x) // NAME.itemsize for x in rows["h"]])[:-1])
         return pd.DataFrame({"g": rows["g"], "kind": 1, "r": key[0], "keys": b"", "counts": b"", "rest": [np.packbits(x).tobytes() for x in bits]})
 
-    windows = base.select("g", "ord", "text").groupBy("g").cogroup(flags.groupBy("g")).applyInArrow(dealt, "r long, g long, h binary, ids binary, at binary")
+    windows = base.select("g", "ord", "key", "text").groupBy("g").cogroup(flags.groupBy("g")).applyInArrow(dealt, "r long, g long, h binary, ids binary, at binary")
     found = materialize(windows.groupBy("r").applyInPandas(verified, note), "substring-verified")
 
     types = base.select(*(f"c{i}" for i in range(len(others)))).schema
