@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from ..operators.features import Feature
 from ..operators.validate import row_rules, with_violations
 
 
@@ -20,11 +23,20 @@ def source(spark: SparkSession, path: str, schema: StructType, files_at_once: in
     return (reader.option("maxFilesPerTrigger", files_at_once) if files_at_once else reader).parquet(path)
 
 
-def drain(stream: DataFrame, root: str, mode: str = "append") -> DataFrame:
-    """All that the stream gives now, written once to a table under ``root`` (exactly-once file sink)."""
+def late_rows(query) -> int:
+    """Rows that a finished query's operators dropped because the watermark had passed them, as they count them: after
+    a partial aggregation, rows of one group and batch are one."""
+    return sum(int(o.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for o in json.loads(p.json if hasattr(p, "json") else json.dumps(p)).get("stateOperators", []))
+
+
+def drain(stream: DataFrame, root: str, mode: str = "append", told: dict | None = None) -> DataFrame:
+    """All that the stream gives now, written once to a table under ``root`` (exactly-once file sink).  ``told`` gets the
+    number of late rows."""
     at = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).format("parquet").start(f"{at}/table")
     query.awaitTermination()
+    if told is not None:
+        told["late"] = late_rows(query)
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/table")
 
 
@@ -87,3 +99,110 @@ def causal_features(stream: DataFrame, key: str, row_id: str, time: str, amount:
     kept = "wt array<bigint>, wi array<bigint>, wv array<double>, pt array<bigint>, pv array<double>, last bigint"
     rows = stream.select(key, row_id, amount, F.col(time).cast("timestamp").alias("_ts")).withColumn("_t", F.unix_micros("_ts"))
     return rows.withWatermark("_ts", late).groupBy(key).applyInPandasWithState(step, "id bigint, conn bigint, amount double, micros_since bigint", kept, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _places(group: np.ndarray, t: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For rows in order of (group, t): the first row of each row's group whose time is ``at`` or later."""
+    span = int(t.max() - min(int(t.min()), int(at.min()))) + 2
+    base = min(int(t.min()), int(at.min()))
+    return np.searchsorted(group * span + (t - base), group * span + np.minimum(at - base, span - 1))
+
+
+def causal_arrays(t: np.ndarray, columns: dict[str, np.ndarray], features: list[Feature], only: np.ndarray) -> dict[str, np.ndarray]:
+    """The features of the rows ``only`` of one first key, rows in order of time: sums and places by binary search, so the
+    cost is n log n however many rows share a frame.  ``columns`` hold text, numbers are read from it."""
+    out = {}
+    for f in features:
+        inner = columns[f.keys[1]] if len(f.keys) > 1 else np.zeros(len(t), "U1")
+        group = np.unique(inner, return_inverse=True)[1].astype(np.int64)
+        order = np.lexsort((t, group))
+        g, s = group[order], t[order]
+        here = _places(g, s, s)
+        begin = np.searchsorted(g, g) if f.window is None else _places(g, s, s - f.window * f.scale)
+        n = here - begin
+        if f.what == "count":
+            x = n
+        elif f.what in ("sum", "avg"):
+            total = np.r_[0.0, np.cumsum(columns[f.column][order].astype(float))]
+            x = total[here] - total[begin]
+            if f.what == "avg":
+                x = np.where(n > 0, x / np.maximum(n, 1), 0.0)
+        elif f.what == "since":
+            x = np.where(n > 0, s - s[np.maximum(here - 1, 0)], -1)
+        elif f.what == "share":
+            total = np.r_[0, np.cumsum(columns[f.column][order].astype(float) == f.value)]
+            x = np.where(n > 0, (total[here] - total[begin]) / np.maximum(n, 1), 0.0)
+        else:  # distinct and diversity: rows of the frame that are the last of their value before the row's time
+            value = np.unique(columns[f.column][order], return_inverse=True)[1]
+            x = np.zeros(len(s), np.int64)
+            cover = np.zeros(len(s) + 1, np.int64)
+            by = np.lexsort((s, value, g))
+            same = np.r_[(value[by][1:] == value[by][:-1]) & (g[by][1:] == g[by][:-1]), False]
+            after = np.where(same, np.r_[s[by][1:], 0], np.iinfo(np.int64).max // 4)
+            end = after if f.window is None else np.minimum(after, s[by] + f.window * f.scale)
+            begin_at, end_at = _places_in(g, s, g[by], s[by] + 1), _places_in(g, s, g[by], end + 1)
+            np.add.at(cover, begin_at, 1)
+            np.add.at(cover, end_at, -1)
+            x = np.cumsum(cover)[:-1]
+            if f.what == "diversity":
+                x = np.where(n > 0, x / np.maximum(n, 1), 0.0)
+        back = np.empty(len(s), x.dtype)
+        back[order] = x
+        out[f.name] = back[only]
+    return out
+
+
+def _places_in(group: np.ndarray, t: np.ndarray, g: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The first row of group ``g`` at time ``at`` or later, or where the group ends; rows in order of (group, t)."""
+    base = int(t.min())
+    span = int(t.max()) - base + 2
+    return np.searchsorted(group * span + (t - base), g * span + np.clip(at - base, 0, span - 1))
+
+
+def features_on_stream(stream: DataFrame, features: list[Feature], row_id: str, time: str, late: str) -> DataFrame:
+    """(row_id, one column a feature), as `causal` gives them in batch, for features of one first key over a time in whole
+    microseconds (`Feature.scale` turns windows into them).  A row waits until the watermark has passed its time.
+
+    State a key: rows that wait, and of the rows before them those within the longest window and the last one of each
+    second key, which recency needs.  What a feature with an unbounded sum would need is refused.
+    """
+    if len({f.keys[0] for f in features}) != 1:
+        raise ValueError("features of one stream operator share their first key")
+    if any(f.window is None and f.what != "since" for f in features):
+        raise ValueError("only recency may look back without an end")
+    key = features[0].keys[0]
+    columns = sorted({c for f in features for c in (f.column, *f.keys[1:]) if c})
+    seconds = sorted({f.keys[1] for f in features if len(f.keys) > 1 and f.what == "since"})
+    longest = max((f.window * f.scale for f in features if f.window is not None), default=0)
+    kinds = {"count": "bigint", "distinct": "bigint", "since": "bigint"}
+
+    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        t, ids, new, *rest = state.get if state.exists else ([], [], [], *([] for _ in columns))
+        frames = [pd.DataFrame({"_t": t, row_id: ids, "_new": new, **dict(zip(columns, rest, strict=True))})]
+        if not state.hasTimedOut:
+            frames += [p[["_t", row_id, *columns]].assign(_new=True) for p in parts]
+        rows = pd.concat(frames, ignore_index=True).sort_values(["_t", row_id], kind="stable") if len(frames) > 1 else frames[0]
+        mark = state.getCurrentWatermarkMs() * 1000
+        at, fresh = rows["_t"].to_numpy(np.int64), rows["_new"].to_numpy(bool)
+        known = at < mark
+        ready = fresh & known
+        out = pd.DataFrame({row_id: [], **{f.name: [] for f in features}})
+        if ready.any():
+            made = causal_arrays(at[known], {c: rows[c].to_numpy(str)[known] for c in columns}, features, ready[known])
+            out = pd.DataFrame({row_id: rows[row_id].to_numpy()[ready], **made})
+        stay = ~known | (at >= min(mark, int(at[~known].min()) if (~known).any() else mark) - longest)
+        for c in [None, *seconds]:  # the last known row of each, for recency
+            own = rows[known].drop_duplicates(c, keep="last") if c else rows[known].tail(1)
+            stay |= np.isin(rows[row_id].to_numpy(np.int64), own[row_id].to_numpy(np.int64))
+        kept = rows[stay]
+        left = fresh[stay] & ~known[stay]
+        # the state takes plain numbers and texts only
+        state.update((kept["_t"].astype("int64").tolist(), kept[row_id].astype("int64").tolist(), left.tolist(), *(kept[c].astype(str).tolist() for c in columns)))
+        if left.any():
+            state.setTimeoutTimestamp(max(int(kept["_t"].to_numpy()[left].min()) // 1000, mark // 1000 + 1))
+        yield out
+
+    held = ", ".join(["t array<bigint>", "i array<bigint>", "n array<boolean>", *(f"c{j} array<string>" for j in range(len(columns)))])
+    shape = ", ".join([f"{row_id} bigint", *(f"{f.name} {kinds.get(f.what, 'double')}" for f in features)])
+    rows = stream.select(key, row_id, F.col(time).cast("timestamp").alias("_ts"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns)).withColumn("_t", F.unix_micros("_ts"))
+    return rows.withWatermark("_ts", late).groupBy(key).applyInPandasWithState(step, shape, held, "append", GroupStateTimeout.EventTimeTimeout)
