@@ -18,7 +18,8 @@ PIECES = 64
 
 def running_sums(counts: DataFrame, by: list[str], order: str, columns: list[str], descending: bool = False, pieces: int = PIECES) -> DataFrame:
     """``counts`` (one row a value of ``order``) with ``run_<c>``, the sum up to and with the row, and
-    ``all_<c>``, the group's sum, of each column.  A null ``order`` is refused."""
+    ``all_<c>``, the group's sum, of each column.  A null ``order`` is refused.  Groups are few, as features and
+    candidates are: their edges and piece totals (64 rows a group at most) are broadcast."""
     cuts = F.percentile_approx(order, F.array(*(F.lit(k / pieces) for k in range(1, pieces))), 2000)
     edges = counts.groupBy(*by).agg(cuts.alias("_edges"))
     dealt = counts.join(F.broadcast(edges), by) if by else counts.crossJoin(F.broadcast(edges))  # a row a group

@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..sources.adapters import table
+from ..sources.files import shared_folder
 from ..streaming import flows as st
 
 
-def root(spark) -> str:
-    """The shared folder of the cluster; one of this machine only where none is set, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="flowspark-")
-
-
 def events(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     # a pattern, as a stream takes a single file only through one
@@ -28,19 +22,19 @@ def ntz(df, *columns):
 def stream_incidents(spark, sf_dir):
     alerts = events(spark, sf_dir).where("value >= 5")
     out = st.incidents(alerts, ["user_id", "event_type"], "ts", "24 hours", "0 seconds", "value", 30.0)
-    return ntz(st.drain(out, root(spark)), "first_seen", "last_seen")
+    return ntz(st.drain(out, shared_folder(spark)), "first_seen", "last_seen")
 
 
 def tumbling_counts(spark, sf_dir):
-    return ntz(st.drain(st.counts(events(spark, sf_dir), "event_type", "ts", "0 seconds", "6 hours"), root(spark)), "start", "end")
+    return ntz(st.drain(st.counts(events(spark, sf_dir), "event_type", "ts", "0 seconds", "6 hours"), shared_folder(spark)), "start", "end")
 
 
 def sliding_counts(spark, sf_dir):
-    return ntz(st.drain(st.counts(events(spark, sf_dir), "event_type", "ts", "0 seconds", "12 hours", "4 hours"), root(spark)), "start", "end")
+    return ntz(st.drain(st.counts(events(spark, sf_dir), "event_type", "ts", "0 seconds", "12 hours", "4 hours"), shared_folder(spark)), "start", "end")
 
 
 def stream_features(spark, sf_dir):
-    out = st.drain(st.causal_features(events(spark, sf_dir), "user_id", "event_id", "ts", "value", "0 seconds", 86_400_000), root(spark))
+    out = st.drain(st.causal_features(events(spark, sf_dir), "user_id", "event_id", "ts", "value", "0 seconds", 86_400_000), shared_folder(spark))
     return out.withColumn("amount", F.round("amount", 4))
 
 
