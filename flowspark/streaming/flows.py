@@ -65,40 +65,10 @@ def counts(stream: DataFrame, key: str, time: str, late: str, size: str, slide:
 
 
 def causal_features(stream: DataFrame, key: str, row_id: str, time: str, amount: str, late: str, window_ms: int) -> DataFrame:
-    """Count, sum and recency before each row, as in batch: a row waits until the watermark has passed
-    its time, so all its peers and predecessors are there; then it is scored and joins the state.
-
-    State a key: rows that wait, rows of the last window, and the latest time before them.
-    """
-
-    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting_t, waiting_id, waiting_v, past_t, past_v, last = state.get if state.exists else ([], [], [], [], [], -1)
-        rows = list(zip(waiting_t, waiting_id, waiting_v, strict=True))
-        if not state.hasTimedOut:
-            for p in parts:
-                micros = p["_t"].astype("int64")
-                rows += list(zip(micros.tolist(), p[row_id].tolist(), p[amount].tolist(), strict=True))
-        mark = state.getCurrentWatermarkMs() * 1000
-        rows.sort()
-        ready = [r for r in rows if r[0] < mark]
-        rows = rows[len(ready) :]
-        past, out, i = list(zip(past_t, past_v, strict=True)), [], 0
-        while i < len(ready):
-            t = ready[i][0]
-            past = [x for x in past if x[0] >= t - window_ms * 1000]
-            n, total, since = len(past), float(sum(x[1] for x in past)), t - last if last >= 0 else -1
-            peers = [r for r in ready[i:] if r[0] == t]
-            out += [(r[1], n, total, since) for r in peers]
-            past += [(t, r[2]) for r in peers]
-            last, i = t, i + len(peers)
-        state.update(([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [x[0] for x in past], [x[1] for x in past], last))
-        if rows:
-            state.setTimeoutTimestamp(max(rows[0][0] // 1000, mark // 1000 + 1))
-        yield pd.DataFrame(out, columns=["id", "conn", "amount", "micros_since"])
-
-    kept = "wt array<bigint>, wi array<bigint>, wv array<double>, pt array<bigint>, pv array<double>, last bigint"
-    rows = stream.select(key, row_id, amount, F.col(time).cast("timestamp").alias("_ts")).withColumn("_t", F.unix_micros("_ts"))
-    return rows.withWatermark("_ts", late).groupBy(key).applyInPandasWithState(step, "id bigint, conn bigint, amount double, micros_since bigint", kept, "append", GroupStateTimeout.EventTimeTimeout)
+    """(id, conn, amount, micros_since): count, sum and recency before each row, by `features_on_stream`."""
+    window = window_ms * 1000
+    some = [Feature("conn", "count", (key,), window), Feature("amount", "sum", (key,), window, amount), Feature("micros_since", "since", (key,), None)]
+    return features_on_stream(stream, some, row_id, time, late).withColumnRenamed(row_id, "id")
 
 
 def _places(group: np.ndarray, t: np.ndarray, at: np.ndarray) -> np.ndarray:
