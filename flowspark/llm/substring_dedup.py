@@ -40,7 +40,9 @@ from .jaccard_join import packed, unpacked
 WINDOW, MARGIN, MIDDLE = 13, 3, 6
 #: Entries that one range task holds; documents and bytes that one group task holds, on average.
 RANGE_ENTRIES = 1_500_000
-GROUP_DOCS, GROUP_BYTES = 1000, 4_000_000
+GROUP_DOCS, GROUP_BYTES = 700, 2_500_000
+#: Bytes of text that a group task looks at at once.
+GROUP_CHUNK = 500_000
 LAST = np.iinfo(np.int64).max
 #: A window's name: two digests of 64 bits over two independent names of each word.
 NAME = np.dtype([("a", "<u8"), ("b", "<u8")])
@@ -142,7 +144,7 @@ class Group:
         batch = pa.RecordBatch.from_pydict({"text": docs["text"].cast(pa.large_string()).combine_chunks()})
         self.parts: list[tuple[int, Words, np.ndarray, np.ndarray, np.ndarray]] = []
         done = 0
-        for part in chunks(batch, "text"):
+        for part in chunks(batch, "text", GROUP_CHUNK):
             words = Words(part.column("text"), lower=False)
             name, start, doc, whole = settled_names(words)
             mark = ((name % U64(ranges)) << U64(32)) | (name >> U64(32))
