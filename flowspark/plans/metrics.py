@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
+from ..operators.prefix import exact_quantiles
 from ..sources.adapters import EV, LI, flows_ev, flows_li, table
 
 RATES = ["accuracy", "precision", "recall", "f1", "specificity", "fpr", "fnr", "fp_per_100k"]
@@ -108,8 +109,9 @@ def overlap_crosstab(spark, sf_dir):
 
 
 def score_summary(spark, sf_dir):
-    q = F.percentile("score", F.array(*(F.lit(x) for x in (0.01, 0.25, 0.5, 0.75, 0.99))))
-    d = flows_li(spark, sf_dir).groupBy("cat").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.min("score").alias("low"), F.max("score").alias("high"), q.alias("q"), F.avg((F.col("score") >= 0.4).cast("int")).alias("share_alerting"))
+    f = flows_li(spark, sf_dir)
+    d = f.groupBy("cat").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.min("score").alias("low"), F.max("score").alias("high"), F.avg((F.col("score") >= 0.4).cast("int")).alias("share_alerting"))
+    d = d.join(exact_quantiles(f, ["cat"], "score", [0.01, 0.25, 0.5, 0.75, 0.99]), "cat")
     d = d.select("cat", "n", "mean", "std", "low", "high", *(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q01", "q25", "q50", "q75", "q99"))), "share_alerting")
     return rounded(d, [c for c in d.columns if c not in ("cat", "n")])
 
@@ -154,7 +156,9 @@ def ensemble_search(spark, sf_dir):
 def score_shift(spark, sf_dir):
     """Scores of each class in two periods and whether they moved right by a tenth."""
     d = flows_li(spark, sf_dir).withColumn("period", F.when(F.col("t") < 11_600, "a").otherwise("b"))
-    m = d.groupBy("label", "period").agg(F.avg("score").alias("mean"), F.median("score").alias("median"), F.percentile("score", 0.75).alias("p75"), F.avg((F.col("score") >= 0.4).cast("int")).alias("share"))
+    by = ["label", "period"]
+    m = d.groupBy(*by).agg(F.avg("score").alias("mean"), F.avg((F.col("score") >= 0.4).cast("int")).alias("share")).join(exact_quantiles(d, by, "score", [0.5, 0.75]), by)
+    m = m.select(*by, "mean", "share", F.get("q", F.lit(0)).alias("median"), F.get("q", F.lit(1)).alias("p75"))
     cols = ("mean", "median", "p75", "share")
     a, b = (m.where(F.col("period") == x).select("label", *(F.col(c).alias(f"{c}_{x}") for c in cols)) for x in "ab")
     out = a.join(b, "label").select("label", *(F.round(F.col(f"{c}_b") - F.col(f"{c}_a"), 6).alias(f"{c}_delta") for c in cols))

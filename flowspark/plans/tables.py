@@ -11,6 +11,7 @@ from ..operators import contract as ct
 from ..operators import profile as pf
 from ..operators import validate as va
 from ..operators.features import causal, flow_features
+from ..operators.prefix import exact_quantiles
 from ..sources.adapters import EV, LI, flows_ev, flows_li, table
 from ..sources.files import routed
 from .causal import DAYS, feature_sql
@@ -193,8 +194,11 @@ def target_crosstab(spark, sf_dir):
 
 
 def describe_numeric(spark, sf_dir):
-    m = {"n": F.count, "mean": lambda c: F.round(F.avg(c), 4), "std": lambda c: F.round(F.stddev_samp(c), 4), "low": F.min, "q25": lambda c: F.round(F.percentile(c, 0.25), 4), "q50": lambda c: F.round(F.percentile(c, 0.5), 4), "q75": lambda c: F.round(F.percentile(c, 0.75), 4), "high": F.max}
-    return pf.per_column(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], m)
+    columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    d = table(spark, sf_dir, "lineitem").select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], columns, "column", "value")
+    out = d.groupBy("column").agg(F.count("value").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.stddev_samp("value"), 4).alias("std"), F.min("value").alias("low"), F.max("value").alias("high"))
+    out = out.join(exact_quantiles(d, ["column"], "value", [0.25, 0.5, 0.75]), "column")
+    return out.select("column", "n", "mean", "std", "low", *(F.round(F.get("q", F.lit(i)), 4).alias(n) for i, n in enumerate(("q25", "q50", "q75"))), "high")
 
 
 def describe_categorical(spark, sf_dir):
