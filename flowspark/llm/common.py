@@ -42,6 +42,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, new: tuple[str, ...] | list[str]):
+    """``df`` with its columns named c0, c1, ... by place, a function from a column's name to its number, and (number, name) of
+    the columns that stay beside results named ``new``.  An operator's own columns can then clash with none of
+    the caller's, whatever these are called: dots, quotes and names of intermediate columns included."""
+    names = df.columns
+    at = {name: f"c{i}" for i, name in enumerate(names)}
+
+    def column(name: str) -> str:
+        if name not in at:
+            raise ValueError(f"no column {name!r} among {names}")
+        return at[name]
+
+    return df.toDF(*(f"c{i}" for i in range(len(names)))), column, [(f"c{i}", name) for i, name in enumerate(names) if name not in new]
+
+
+def restored(df: DataFrame, kept: list[tuple[str, str]], new: tuple[str, ...] | list[str]) -> DataFrame:
+    """The columns that stay under their own names again, then ``new``."""
+    return df.select(*(number for number, _ in kept), *new).toDF(*(name for _, name in kept), *new)
+
+
 def if_small(df: DataFrame, rows: int, limit: int = 500_000) -> DataFrame:
     """Broadcast ``df`` only when its known row count is under ``limit``; otherwise leave a shuffle join."""
     return F.broadcast(df) if rows <= limit else df

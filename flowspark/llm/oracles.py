@@ -55,4 +55,49 @@ select conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || t || chr(10)
 sha256(coalesce(string_agg(case when r = 'assistant' then t end, '' order by turn, r, t), '')) loss_sha256,
 sum(14 + length(r) + length(r) - length(translate(r, '\\<#:', '')) + length(t) + length(t) - length(translate(t, '\\<#', '')))::bigint formatted_chars from c group by all"""
 
-ORACLE_SQL = {"op1_jaccard_join": OP1, "op2_quality_rules": OP2, "op8_decontaminate": OP8, "op9_substring_dedup": OP9, "op10_chat_format": OP10}
+
+def _tree(name: str, start: str, levels: int = 9) -> str:
+    """CTEs of a tree over ``start`` (t, p, h): at level k nodes with their number c and what stands before (b) and after (a) them in their run."""
+    out = [f"{name}0n as ({start})"]
+    for k in range(levels):
+        run = "over (partition by t, p // 8 order by p rows between"
+        out.append(f"{name}{k} as (select *, count(*) over (partition by t) c, coalesce(string_agg(h, '') {run} unbounded preceding and 1 preceding), '') b, coalesce(string_agg(h, '') {run} 1 following and unbounded following), '') a from {name}{k}n)")
+        out.append(f"{name}{k + 1}n as (select t, p // 8 p, case when max(c) > 1 then sha256(string_agg(h, '' order by p)) else max(h) end h from {name}{k} group by t, p // 8)")
+    return ", ".join(out)
+
+
+def _path(name: str, start: str, levels: int = 9) -> str:
+    """CTEs that take ``start`` (id, leaf, t, p, f, proof) up a tree: f becomes the folded digest, proof the siblings so far."""
+    out = [f"{name}p0 as ({start})"]
+    for k in range(levels):
+        out.append(f"{name}p{k + 1} as (select x.* exclude (p, f, proof), x.p // 8 p, case when c > 1 then sha256(b || f || a) else f end f, case when c > 1 then proof || b || a else proof end proof from {name}p{k} x join {name}{k} y on x.t = y.t and x.p = y.p)")
+    return ", ".join(out)
+
+
+def _crc32(text: str) -> str:
+    """Of the ASCII text of an integer: a bit at a time, as SQL has no such function."""
+    bit = "lambda x, y: xor(x // 2, 3988292384::ubigint * (x % 2))"
+    byte = f"lambda c, v: list_reduce(list_prepend(xor(c, v), list_transform(range(8), lambda z: z::ubigint)), {bit})"
+    return f"xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split({text}, ''), lambda s: ascii(s)::ubigint)), {byte}), 4294967295::ubigint)"
+
+
+def _framed(value: str) -> str:
+    return f"coalesce(octet_length(encode(({value})::varchar)) || ':' || ({value})::varchar, '-')"
+
+
+FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+_LOWERED = f"translate(text, '{UPPER}', '{LOWER}')"
+OP11 = f"""with d as (select doc_id id, coalesce('1' || lang, '0') t, sha256({" || ".join(map(_framed, FIELDS))}) leaf, sha256({" || ".join(_framed(_LOWERED if c == "text" else c) for c in FIELDS)}) lowered, {_crc32("doc_id::varchar")} % 3 = 0 tampered from documents),
+o as (select *, row_number() over (partition by t order by id nulls first, leaf) - 1 p from d), {_tree("l", "select t, p, leaf h from o")}, r as (select t, max(h) h from l9n group by t),
+{_tree("r", "select 'all' t, row_number() over (order by t) - 1 p, h from r")}, {_path("l", "select id, leaf, t, p, case when tampered then lowered else leaf end f, '' proof from o")},
+{_path("r", "select id, leaf, r.h subroot, 'all' t, g.p, f, proof from lp9 join r using (t) join (select t, row_number() over (order by t) - 1 p from r) g using (t)")}
+select id doc_id, leaf, subroot, h.h root, sha256(proof) proof_sha256, f folded_root, f = h.h verified from rp9 join r9n h using (t)"""
+
+OP13 = """with e as (select vec_id id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label, list_transform(embedding, lambda v: floor(256 * v::double)::bigint::double) x from embeddings
+ where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0),
+s as (select a.id a, e.id o, a.label = e.label same, list_inner_product(a.x, e.x)::bigint s from e a join e on a.id % 50 = 0 and a.id <> e.id),
+p as (select a, o p, s ps from (select *, row_number() over (partition by a order by s desc, o) n from s where same) where n <= 5),
+n as (select a, p, ps, o, s, row_number() over (partition by a, p order by s desc, o) n from p join s using (a) where not same and 50 * ps <= 100 * s and 100 * s <= 95 * ps)
+select a anchor_id, p positive_id, n::int rank, o negative_id, ps positive_score, s negative_score from n where n <= 3"""
+
+ORACLE_SQL = {"op1_jaccard_join": OP1, "op2_quality_rules": OP2, "op8_decontaminate": OP8, "op9_substring_dedup": OP9, "op10_chat_format": OP10, "op11_merkle": OP11, "op13_hard_negatives": OP13}

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, jaccard_join, quality_rules, sentencepiece_codec, sharding, substring_dedup, token_counts, url_filter
+from . import chat_format, decontaminate, hard_negatives, html_extract, jaccard_join, merkle, pii, quality_rules, sentencepiece_codec, sharding, substring_dedup, token_counts, url_filter
 from .common import if_small, scratch_dir
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -103,8 +103,37 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("conv_id", "n_turns", F.col("line").alias("turns_sha256"), "loss_chars", F.col("loss").alias("loss_sha256"), "formatted_chars")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof; of a third of the ids a tampered leaf is folded, which must not verify."""
+    docs = table(spark, sf_dir, "documents")
+    fields = {c: F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}
+    whole = merkle.leaf(*fields.values())
+    lowered = merkle.leaf(*(fields | {"text": F.translate("text", url_filter.UPPER, url_filter.LOWER)}).values())
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 0
+    shown = F.when(tampered, lowered).otherwise(whole)
+    made = merkle.build(docs, whole, F.col("lang"), [F.col("doc_id")], F.struct("doc_id", shown.alias("shown")))
+    roots, root = made.roots(), made.root().first()
+    out = made.proofs().join(if_small(roots, roots.count()), "tree").withColumn("root", F.lit(root and root["root"]))
+    out = out.select(F.col("row.doc_id").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), merkle.fold(F.col("row.shown"), F.col("proof")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts are of the base spans; ``n_added`` of those that only the normalised text shows."""
+    spans = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), redact=False)
+    base = F.filter("spans", lambda s: s["base"])
+    counts = {f"n_{kind}": F.size(F.filter(base, lambda s, kind=kind: s["kind"] == kind)).cast("long") for kind in pii.KINDS}
+    return spans.select("doc_id", *(n.alias(c) for c, n in counts.items()), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.pmod("vec_id", F.lit(7)) == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows, F.pmod("id", F.lit(50)) == 0, F.col("vec_id"), label, F.col("embedding"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_jaccard_join, op2_quality_rules, op3_token_counts, op4_sentencepiece, op5_url_filter, op6_sharding, op7_html_extract, op8_decontaminate, op9_substring_dedup, op10_chat_format)
+    for f in (op1_jaccard_join, op2_quality_rules, op3_token_counts, op4_sentencepiece, op5_url_filter, op6_sharding, op7_html_extract, op8_decontaminate, op9_substring_dedup, op10_chat_format, op11_merkle, op12_pii, op13_hard_negatives)
 }
 
