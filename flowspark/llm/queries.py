@@ -122,8 +122,8 @@ def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts are of the base spans; ``n_added`` of those that only the normalised text shows."""
     spans = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), redact=False)
     base = F.filter("spans", lambda s: s["base"])
-    counts = {f"n_{kind}": F.size(F.filter(base, lambda s, kind=kind: s["kind"] == kind)).cast("long") for kind in pii.KINDS}
-    return spans.select("doc_id", *(n.alias(c) for c, n in counts.items()), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"))
+    number = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return spans.select("doc_id", *map(number, pii.KINDS), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"))
 
 
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
