@@ -14,7 +14,8 @@ as a stream (`running_digests`), never holding a conversation in memory.
 Defined cases: null text is empty, a null role too, null parts or a null part add nothing, a part of null
 type is a text or else of type unknown; rows
 of one turn are ordered by role and text; repeated rows all stay; a null conversation id is one
-conversation; an empty table gives no rows; clashing columns are replaced.
+conversation; an empty table gives no rows; roles and texts of any length are whole.  Columns of the turns that are named like a result are
+replaced, all others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,9 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .common import numbered, restored
+
 #: Tokens that a part stands for where it does not say.
 EXPANDED = {"image": 256, "audio": 128, "document": 512}
 END = "</turn>\n"
+NEW = ("formatted", "loss_start", "loss_end", "attachments", "expanded_tokens")
 
 
 def escape(text: Column) -> Column:
@@ -62,30 +66,31 @@ def _visit(parts: Column) -> tuple[Column, Column]:
 def format_turns(turns: DataFrame, role_col: str = "role", text_col: str = "text", parts_col: str | None = None, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """``turns`` with formatted, loss_start, loss_end (code points of formatted; equal: no loss),
     attachments and expanded_tokens."""
-    role = F.coalesce(F.col(role_col).cast("string"), F.lit(""))
+    work, column, kept = numbered(turns, NEW)
+    role = F.coalesce(F.col(column(role_col)).cast("string"), F.lit(""))
     if parts_col:
-        body, attachments = _visit(F.col(parts_col))
+        body, attachments = _visit(F.col(column(parts_col)))
     else:
-        body = escape(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+        body = escape(F.coalesce(F.col(column(text_col)).cast("string"), F.lit("")))
         attachments = F.array().cast("array<struct<type:string,ref:string,number:int,tokens:bigint>>")
     head = F.concat(F.lit("### "), F.regexp_replace(role, r"([\\<#:])", r"\\$1"), F.lit(": "))
-    new = ("formatted", "loss_start", "loss_end", "attachments", "expanded_tokens")
-    out = turns.drop(*new).withColumns({"_head": head, "_body": body, "attachments": attachments, "_learn": role.isin(*learn)})
-    start = F.length("_head")
+    out = work.withColumns({"head": head, "body": body, "attachments": attachments, "learn": role.isin(*learn)})
+    start = F.length("head")
     out = out.withColumns(
         {
-            "formatted": F.concat("_head", "_body", F.lit(END)),
+            "formatted": F.concat("head", "body", F.lit(END)),
             "loss_start": start,
-            "loss_end": F.when(F.col("_learn"), start + F.length("_body")).otherwise(start),
+            "loss_end": F.when(F.col("learn"), start + F.length("body")).otherwise(start),
             "expanded_tokens": F.aggregate("attachments", F.lit(0).cast("long"), lambda n, a: n + a["tokens"]),
         }
     )
-    return out.drop("_head", "_body", "_learn")
+    return restored(out, kept, NEW)
 
 
 def read_back(formatted: Column) -> tuple[Column, Column]:
     """Role and text of a formatted turn."""
-    shape = r"(?s)^### ((?:[^\\:]|\\.)*): (.*)</turn>\n$"
+    # possessive: nothing is tried again, and no step of a long role stays on the stack
+    shape = r"(?s)^### ([^\\:]*+(?:\\.[^\\:]*+)*+): (.*)</turn>\n$"
     return unescape(F.regexp_extract(formatted, shape, 1)), unescape(F.regexp_extract(formatted, shape, 2))
 
 

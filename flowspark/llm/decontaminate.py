@@ -13,12 +13,14 @@ then put together.
 
 Defined cases: null or wordless texts have no words and are never contaminated; items without words
 match nothing; repeated items all count; a null item_id is left out of the items; an empty
-benchmark leaves all clean; columns of the documents that clash with new ones are replaced.
+benchmark leaves all clean; columns of the documents that are named like a result are replaced, all others stay, whatever their
+names.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, numbered
 
 WINDOW = 13
 BLOCK_WORDS = 200_000
@@ -84,6 +86,17 @@ class Machine:
         return items, runs
 
 
+#: The automaton that this Python worker has built last, by the name of its block: the tasks of a scan share it.
+_last: dict[str, Machine] = {}
+
+
+def built(name: str, shipped) -> Machine:
+    if name not in _last:
+        _last.clear()
+        _last[name] = Machine(shipped.value)
+    return _last[name]
+
+
 def finish(text: str | None, words: list[bytes], items: set, runs: list[tuple[int, int]]) -> tuple[int, int, list[str], list[dict], bool]:
     if not runs:
         return len(words), 0, [], [], False
@@ -124,52 +137,54 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     items = materialize(parts(items.where(F.col("text").isNotNull())), "benchmark-parts")
     blocks = 1 + (items.agg(F.sum("n")).first()[0] or 0) // BLOCK_WORDS
     context = docs.sparkSession.sparkContext
-    kept = docs.select(*(c for c in docs.columns if c not in ADDED.names))
-    text = F.col(text_col).cast("string")
+    work, column, named = numbered(docs, ADDED.names)
+    names, text = [k for k, _ in named], F.col(column(text_col)).cast("string")
+    work = work.select(*names, text.alias("text"))
 
     def shipped(b: int):
-        return context.broadcast([tuple(x) for x in items.where(F.pmod(F.xxhash64("id", "part"), F.lit(blocks)) == b).select("id", "text").collect()])
+        return uuid.uuid4().hex, context.broadcast([tuple(x) for x in items.where(F.pmod(F.xxhash64("id", "part"), F.lit(blocks)) == b).select("id", "text").collect()])
 
-    def added(batch: pa.RecordBatch, names: list[str], texts: list, found: list) -> pa.RecordBatch:
+    def added(batch: pa.RecordBatch, texts: list, found: list) -> pa.RecordBatch:
         rows = [finish(t, *f) for t, f in zip(texts, found, strict=True)]
         columns = list(zip(*rows, strict=True)) or [[]] * 5
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.bool_())
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[*names, *ADDED.names])
 
-    schema, names = T.StructType([*kept.schema.fields, *ADDED.fields]), kept.columns
+    schema = T.StructType([*work.select(*names).schema.fields, *ADDED.fields])
+    shown = lambda out: out.toDF(*(name for _, name in named), *ADDED.names)
     if blocks == 1:
         one = shipped(0)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            machine = Machine(one.value)
+            machine = built(*one)
             for batch in batches:
-                texts = batch.column(text_col).to_pylist()
+                texts = batch.column("text").to_pylist()
                 words = [words_of(t) for t in texts]
-                yield added(batch, names, texts, [(w, *machine.find(w)) for w in words])
+                yield added(batch, texts, [(w, *machine.find(w)) for w in words])
 
-        return kept.mapInArrow(scan, schema)
+        return shown(work.mapInArrow(scan, schema))
 
     matches = None
     for b in range(blocks):
         block = shipped(b)
 
         def scan_block(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            machine = Machine(block.value)
+            machine = built(*block)
             for batch in batches:
                 rows = [(d, *machine.find(words_of(t))) for d, t in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist(), strict=True)]
                 rows = [(d, sorted(i, key=str), [x for r in runs for x in r]) for d, i, runs in rows if runs]
                 yield pa.RecordBatch.from_pydict({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate((("digest", pa.binary()), ("found", pa.list_(pa.string())), ("runs", pa.list_(pa.int64()))))})
 
-        texts = docs.select(F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
+        texts = work.select(F.unhex(F.sha2("text", 256)).alias("digest"), "text")
         some = materialize(texts.mapInArrow(scan_block, "digest binary, found array<string>, runs array<long>").dropDuplicates(["digest"]), "benchmark-matches")
         matches = some if matches is None else matches.unionByName(some)
-        block.unpersist()
-    whole = materialize(matches.groupBy("digest").agg(F.flatten(F.collect_list("found")).alias("_found"), F.flatten(F.collect_list("runs")).alias("_runs")), "benchmark-marks")
-    both = kept.withColumn("_digest", F.unhex(F.sha2(text, 256))).join(whole.withColumnRenamed("digest", "_digest"), "_digest", "left").drop("_digest")
+        block[1].unpersist()
+    whole = materialize(matches.groupBy("digest").agg(F.flatten(F.collect_list("found")).alias("found"), F.flatten(F.collect_list("runs")).alias("runs")), "benchmark-marks")
+    both = work.withColumn("digest", F.unhex(F.sha2("text", 256))).join(whole, "digest", "left").drop("digest")
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, items_, runs = (batch.column(c).to_pylist() for c in (text_col, "_found", "_runs"))
-            yield added(batch, names, texts, [(words_of(t), set(i or ()), list(zip(r[::2], r[1::2], strict=True)) if r else []) for t, i, r in zip(texts, items_, runs, strict=True)])
+            texts, items_, runs = (batch.column(c).to_pylist() for c in ("text", "found", "runs"))
+            yield added(batch, texts, [(words_of(t), set(i or ()), list(zip(r[::2], r[1::2], strict=True)) if r else []) for t, i, r in zip(texts, items_, runs, strict=True)])
 
-    return both.mapInArrow(put_together, schema)
+    return shown(both.mapInArrow(put_together, schema))

@@ -19,7 +19,7 @@ One page at a time in Arrow batches; work and memory are in proportion to the pa
 
 Defined cases: null or empty html gives the empty text; unclosed and stray tags are repaired as
 browsers do for blocks; a page without prose gives whatever text its body has outside the cut
-elements; repeated rows repeat; clashing columns are replaced.
+elements; repeated rows repeat; a column named like the result is replaced, all others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import numbered
+
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript iframe template noframes".split())
@@ -371,13 +373,15 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """``pages`` without ``html_col``, with the main text."""
-    kept = [c for c in pages.columns if c not in (html_col, text_col)]
-    schema = T.StructType([*pages.select(*kept).schema.fields, T.StructField(text_col, T.StringType())])
+    work, column, kept = numbered(pages, (html_col, text_col))
+    html, shown = column(html_col), [k for k, _ in kept]
+    schema = T.StructType([*work.select(*shown).schema.fields, T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(k, 200) for k in range(0, batch.num_rows, 200)):
-                texts = pa.array([main_text(x.as_py()) for x in part.column(html_col)], pa.string())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), texts], names=[*kept, text_col])
+                texts = pa.array([main_text(x.as_py()) for x in part.column(html)], pa.string())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in shown), texts], names=[*shown, "text"])
 
-    return pages.select(*kept, html_col).mapInArrow(run, schema)
+    out = work.select(*shown, html).mapInArrow(run, schema)
+    return out.toDF(*(name for _, name in kept), text_col)

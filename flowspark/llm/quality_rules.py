@@ -19,7 +19,7 @@ its own and hot sources or copies cannot meet in a task.
 
 Defined cases: a null text has no words and fails the base rules; an empty table gives no rows;
 repeated rows repeat; texts of any length are whole (over 2^24 words, all windows are compared by
-64 bits); clashing columns are replaced.
+64 bits); columns of the documents that are named like a result are replaced, all others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import numbered, restored
+
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 # Notices of the kinds that web pages repeat.
@@ -58,11 +60,9 @@ def quality_rules(
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lost
     (words in failing lines), cleaned (text without them) and kept."""
     new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lost", "cleaned", "kept")
-    # the documents' columns go along by number, so that none can clash with a step's
-    names = [c for c in docs.columns if c not in new]
-    rest = [f"c{i}" for i in range(len(names))]
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    step = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(names, rest, strict=True)), text.alias("_text"), F.split(text, "\n").alias("_lines"))
+    work, column, kept = numbered(docs, new)
+    text = F.coalesce(F.col(column(text_col)).cast("string"), F.lit(""))
+    step = work.select(*(k for k, _ in kept), text.alias("_text"), F.split(text, "\n").alias("_lines"))
     step = step.withColumn("_lw", F.transform("_lines", words_in))
     step = step.withColumns({"_w": F.flatten("_lw"), "_n": F.transform("_lw", lambda w: F.size(w))}).drop("_lw")
     n = F.size("_w")
@@ -102,4 +102,4 @@ def quality_rules(
     # A filter on a result must not be pushed below: it would repeat the expressions of every step within
     # each other.  A partition id is never negative, but Spark keeps filters above such a column.
     here = F.spark_partition_id() >= 0
-    return step.select(*(F.col(k).alias(c) for c, k in zip(names, rest, strict=True)), *(F.when(here, F.col(c)).alias(c) for c in new))
+    return restored(step.withColumns({c: F.when(here, F.col(c)) for c in new}), kept, new)

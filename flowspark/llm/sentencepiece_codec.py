@@ -15,8 +15,8 @@ where no piece holds the two letters next to each other) and a bounded store of
 units; each task works on Arrow batches, and nothing is shuffled.
 
 Defined cases: null and empty texts have no ids and decode to the empty text (null ids stay null);
-texts of any length are whole; repeated rows are settled once a batch; clashing columns are
-replaced; U+2581 decodes as a space, as in the library.
+texts of any length are whole; repeated rows are settled once a batch; columns named like a
+result are replaced, all others stay, whatever their names; U+2581 decodes as a space, as in the library.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, text_bytes
+from .common import chunks, numbered, text_bytes
 
 MARK = "▁"
 UNIT_CHARS = 1_000_000
@@ -332,35 +332,41 @@ class Encoder:
 def encode(docs: DataFrame, model_file: str, text_col: str = "text", out_col: str = "token_ids", decoded_col: str | None = None) -> DataFrame:
     """``docs`` with the ids of ``text_col``, an array of integers, and in ``decoded_col`` what they spell, if named."""
     new = [out_col, *([decoded_col] if decoded_col else [])]
-    kept = docs.drop(*new)
+    work, column, kept = numbered(docs, new)
+    # a text column that a result replaces is read all the same
+    text, shown = column(text_col), [k for k, _ in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model_file)
         for batch in batches:
-            for part in chunks(batch, text_col, BATCH_CHARS):
-                ids, bounds = encoder(part.column(text_col).to_pylist())
+            for part in chunks(batch, text, BATCH_CHARS):
+                ids, bounds = encoder(part.column(text).to_pylist())
                 made = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))]
                 if decoded_col:
                     made.append(encoder.decode(ids, bounds))
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *new])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in shown), *made], names=names)
 
     added = [T.StructField(out_col, T.ArrayType(T.IntegerType())), *([T.StructField(decoded_col, T.StringType())] if decoded_col else [])]
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *added]))
+    schema = T.StructType([*work.select(*shown).schema.fields, *(T.StructField(f"made{i}", f.dataType) for i, f in enumerate(added))])
+    names = schema.names
+    return work.select(*dict.fromkeys([*shown, text])).mapInArrow(run, schema).toDF(*(name for _, name in kept), *new)
 
 
 def decode(docs: DataFrame, model_file: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
     """``docs`` with the text that ``ids_col`` spells (null ids: null)."""
-    kept = docs.drop(out_col)
+    work, column, kept = numbered(docs, [out_col])
+    ids_at, shown = column(ids_col), [k for k, _ in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Encoder(model_file)
         for batch in batches:
             for part in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
-                lists = part.column(ids_col)
+                lists = part.column(ids_at)
                 size = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
                 texts = decoder.decode(lists.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(size)])
                 if lists.null_count:
                     texts = pa.array([t if ok else None for t, ok in zip(texts.to_pylist(), lists.is_valid().to_pylist(), strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, out_col])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in shown), texts], names=[*shown, "made"])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out_col, T.StringType())]))
+    schema = T.StructType([*work.select(*shown).schema.fields, T.StructField("made", T.StringType())])
+    return work.select(*dict.fromkeys([*shown, ids_at])).mapInArrow(run, schema).toDF(*(name for _, name in kept), out_col)

@@ -19,7 +19,8 @@ is spread over as many rows as there are chunks, never a row for each occurrence
 
 Defined cases: null, empty and short texts (under 13 words) keep all; rows sharing an id count as
 one document (a window is removed only for a *smaller* id), a null id sorts after all others;
-an empty table gives no rows; further columns stay as they are.
+an empty table gives no rows; columns named ``n_words`` or ``n_removed`` are replaced, all others stay as they are, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import U64, Words, chunks, materialize, mix, window_hashes
+from .common import U64, Words, chunks, materialize, mix, numbered, window_hashes
 from .jaccard_join import packed, unpacked
 
 WINDOW, MARGIN, MIDDLE = 13, 3, 6
@@ -216,9 +217,9 @@ class Group:
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``text_col`` less its repeated passages, and ``n_words``, ``n_removed``."""
-    others = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed")]
-    carried = [F.col(c).alias(f"c{i}") for i, c in enumerate(others)]
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), F.col(text_col).cast("string").alias("text"), *carried)
+    work, column, kept = numbered(docs, ("n_words", "n_removed"))
+    text, others = column(text_col), [k for k, name in kept if name != text_col]
+    base = work.select(F.coalesce(F.col(column(id_col)).cast("long"), F.lit(LAST)).alias("ord"), F.col(text).cast("string").alias("text"), *others)
     total = base.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     ranges = max(16, int(total["bytes"] / 6 * 0.56) // RANGE_ENTRIES)
     groups = max(8, total["n"] // GROUP_DOCS, total["bytes"] // GROUP_BYTES)
@@ -249,7 +250,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     windows = base.select("g", "ord", "key", "text").groupBy("g").cogroup(flags.groupBy("g")).applyInArrow(dealt, "r long, g long, h binary, ids binary, at binary")
     found = materialize(windows.groupBy("r").applyInPandas(verified, note), "substring-verified")
 
-    types = base.select(*(f"c{i}" for i in range(len(others)))).schema
+    types = base.select(*others).schema
     result = T.StructType([*types, *(T.StructField(k, t) for k, t in (("text", T.StringType()), ("n_words", T.LongType()), ("n_removed", T.LongType())))])
     empty = to_arrow_schema(result)
 
@@ -257,5 +258,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return Group(part, notes.to_pandas(), ranges).cleaned(notes.to_pandas(), ranges) if len(part) else empty.empty_table()
 
     out = base.groupBy("g").cogroup(flags.unionByName(found).groupBy("g")).applyInArrow(cleaned, result)
-    at = {c: f"c{i}" for i, c in enumerate(others)}
-    return out.select(*(F.col(at.get(c, "text")).alias(c) for c in docs.columns if c in at or c == text_col), "n_words", "n_removed")
+    return out.select(*("text" if k == text else k for k, _ in kept), "n_words", "n_removed").toDF(*(name for _, name in kept), "n_words", "n_removed")

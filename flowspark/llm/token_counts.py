@@ -6,9 +6,13 @@ and the SHA-256 of the model file with the library's version.  A run joins its d
 stored counts, encodes each distinct missing text once, appends those counts to the cache (a
 Parquet folder, append only) and joins again.  Repeated texts, however many, are encoded once.
 
+Digests travel before texts: the distinct digests of the rows are written first, the cache gives only what they ask for (a
+semi join, so what a run writes and shuffles follows its rows and not the cache), and only the texts of missing digests are dealt.
+
 Defined cases: null text counts as empty (0 bytes, 0 tokens); repeated rows each get their count;
 counts that two concurrent runs both appended agree and are merged when read; an empty table
-appends nothing; clashing columns are replaced.
+appends nothing; texts of any length are whole; columns named ``n_bytes`` or ``n_tokens`` are replaced, all others stay, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import if_small, materialize, numbered, restored
 
 ENCODE_AT_ONCE = 256
 CACHE = "digest binary, tokenizer string, n_tokens long"
@@ -60,11 +64,16 @@ def _exists(df: DataFrame, path: str) -> bool:
 def token_counts(docs: DataFrame, model_file: str, cache: str, text_col: str = "text") -> DataFrame:
     """``docs`` with n_bytes and n_tokens of ``text_col``; ``cache`` is the folder of stored counts."""
     spark, version = docs.sparkSession, version_digest(model_file)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    digest = F.unhex(F.sha2(text, 256))
+    work, column, kept = numbered(docs, ("n_bytes", "n_tokens"))
+    text = F.coalesce(F.col(column(text_col)).cast("string"), F.lit(""))
+    digest = F.unhex(F.sha2(text, 256)).alias("digest")
+    asked = materialize(work.select(digest).distinct(), "token-digests")
+    n = asked.count()
 
     def stored() -> DataFrame:
-        return spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+        """The stored counts of the digests that are asked for."""
+        found = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == version).join(if_small(asked, n), "digest", "left_semi")
+        return materialize(found.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
 
     def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = counter(model_file)
@@ -73,13 +82,15 @@ def token_counts(docs: DataFrame, model_file: str, cache: str, text_col: str = "
                 some = part.iloc[k : k + ENCODE_AT_ONCE]
                 yield pd.DataFrame({"digest": some["digest"], "tokenizer": version, "n_tokens": count(some["text"].tolist())})
 
-    missing = docs.select(digest.alias("digest"), text.alias("text"))
+    missing = asked
     if _exists(docs, cache):
-        missing = missing.join(stored(), "digest", "left_anti")
-    missing.dropDuplicates(["digest"]).mapInPandas(encode, CACHE).write.mode("append").parquet(cache)
-    kept = docs.drop("n_bytes", "n_tokens")
-    # written, so that the join reads both sides from shuffles of their own and Spark may split a digest that
+        missing = materialize(asked.join(stored(), "digest", "left_anti"), "token-misses")
+    m = missing.count()
+    if m:
+        texts = work.select(digest, text.alias("text")).join(if_small(missing, m), "digest", "left_semi")
+        texts.dropDuplicates(["digest"]).mapInPandas(encode, CACHE).write.mode("append").parquet(cache)
+    # both sides of the join are read from written tables or sources, so that Spark may split a digest that
     # a third of all rows share
-    counts = materialize(stored(), "token-counts").withColumnRenamed("digest", "_digest")
-    out = kept.withColumns({"_key": digest, "n_bytes": F.octet_length(text).cast("long")})
-    return out.join(counts, out["_key"] == counts["_digest"]).select(*kept.columns, "n_bytes", "n_tokens")
+    counts = stored() if n else spark.createDataFrame([], "digest binary, n_tokens long")
+    out = work.withColumns({"digest": digest, "n_bytes": F.octet_length(text).cast("long")}).join(counts, "digest")
+    return restored(out, kept, ("n_bytes", "n_tokens"))

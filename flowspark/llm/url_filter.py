@@ -13,7 +13,8 @@ from ``//``), and each round is written to the shared folder.  Self links are le
 rank changes by ``tolerance``; a walk that has not settled after ``rounds`` is an error.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, fits no rule, and is
-allowed; null html has no links; repeated rows each get a verdict; an empty table gives no rows.
+allowed; null html has no links; repeated rows each get a verdict (and count as pages each); an empty table gives no rows;
+columns of the pages that are named like a result are replaced, all others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, numbered, restored
+
+NEW = ("host", "path", "rule", "verdict")
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -73,13 +76,14 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", html_col: str = "html", threshold: float = 1.0) -> DataFrame:
     """``pages`` with host, path, rule and verdict (allow or block)."""
-    host, path = host_and_path(F.col(url_col))
+    work, column, kept = numbered(pages, NEW)
+    host, path = host_and_path(F.col(column(url_col)).cast("string"))
     rule = F.array(*(F.lit(r[1]) for r in rules)) if rules else F.array().cast("array<string>")
     says = F.array(*(F.lit(r[0]) for r in rules)) if rules else F.array().cast("array<string>")
-    judged = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
-    judged = judged.withColumn("_i", longest_rule(F.col("host"), F.col("path"), rules)).withColumns({"rule": F.get(rule, F.col("_i")), "_says": F.get(says, F.col("_i"))}).drop("_i")
-    edges = materialize(host_links(judged, html_col), "url-edges")
-    counts = judged.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("_says") == "allow").alias("allowed"), F.count_if(F.col("_says") == "block").alias("blocked"))
+    judged = work.withColumns({"host": host, "path": path})
+    judged = judged.withColumn("i", longest_rule(F.col("host"), F.col("path"), rules)).withColumns({"rule": F.get(rule, F.col("i")), "says": F.get(says, F.col("i"))})
+    edges = materialize(host_links(judged, column(html_col)), "url-edges")
+    counts = judged.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("says") == "allow").alias("allowed"), F.count_if(F.col("says") == "block").alias("blocked"))
     linked = edges.select(F.col("dst").alias("host"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("allowed"), F.lit(0).cast("long").alias("blocked"))
     hosts = materialize(counts.unionByName(linked).groupBy("host").agg(*(F.sum(c).alias(c) for c in ("n", "allowed", "blocked"))), "url-hosts")
     n, n_good, n_bad = hosts.agg(F.count("*"), F.count_if(F.expr("allowed > 0 and blocked = 0")), F.count_if(F.expr("2 * blocked > n"))).first()
@@ -87,7 +91,7 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "u
     bad = hosts.where("2 * blocked > n").select("host", F.lit(1.0 / max(1, n_bad)).alias("share"))
     trust = personalised_pagerank(edges, good, n=n).withColumnRenamed("rank", "trust")
     distrust = personalised_pagerank(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), bad, n=n).withColumnRenamed("rank", "distrust")
-    scores = hosts.join(trust, "host", "left").join(distrust, "host", "left").select("host", F.coalesce(F.col("trust") * n, F.lit(0.0)).alias("_trust"), F.coalesce(F.col("distrust") * n, F.lit(0.0)).alias("_distrust"))
-    scores = scores.where((F.col("_distrust") >= threshold) & (F.col("_distrust") > F.col("_trust")))
-    out = judged.join(scores, "host", "left")
-    return out.withColumn("verdict", F.coalesce("_says", F.when(F.col("_distrust").isNotNull(), "block").otherwise("allow"))).select(*judged.columns[:-1], "verdict")
+    scores = hosts.join(trust, "host", "left").join(distrust, "host", "left").select("host", F.coalesce(F.col("trust") * n, F.lit(0.0)).alias("trust"), F.coalesce(F.col("distrust") * n, F.lit(0.0)).alias("distrust"))
+    scores = scores.where((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")))
+    out = judged.join(scores, "host", "left").withColumn("verdict", F.coalesce("says", F.when(F.col("distrust").isNotNull(), "block").otherwise("allow")))
+    return restored(out, kept, NEW)
