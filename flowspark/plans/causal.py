@@ -91,15 +91,25 @@ def port_class(spark, sf_dir):
 PORTS = ", ".join(f"({c} between {lo} and {hi})::int {s}_port_{n}" for s, c in (("src", "sport"), ("dst", "dport")) for n, lo, hi in (("well_known", 0, 1023), ("registered", 1024, 49151), ("ephemeral", 49152, 65535)))
 
 
+SLABS = ["src_conn_10s", "src_conn_60s", "src_unique_dst_60s", "src_dst_conn_60s", "src_packets_60s", "src_tcp_ratio_60s", "src_dport_diversity_60s", "seconds_since_src_last_flow", "seconds_since_src_dst_last_flow"]
+
+
+def win_slabs(spark, sf_dir):
+    """Three sources have all rows, each over some twenty slabs of 128 days."""
+    flows = flows_li(spark, sf_dir).withColumns({"src": F.col("src") % 3, "dst": F.col("pkey") % 50})
+    return causal(flows, [BY_NAME[n] for n in SLABS], slab=128).select(*KEYS, *(shown(n) for n in SLABS))
+
+
 def windows_ev(spark, sf_dir):
     names = ["src_conn_60s", "src_bytes_60s", "src_dst_conn_60s", "seconds_since_src_last_flow"]
     by = {f.name: f for f in HOURS}
     return causal(flows_ev(spark, sf_dir), [by[n] for n in names]).select("id", "src_conn_60s", F.round(F.col("src_bytes_60s"), 4).alias("src_bytes_60s"), "src_dst_conn_60s", F.col("seconds_since_src_last_flow").alias("micros_since"))
 
 
-QUERIES = {k: feature_query(v) for k, v in GROUPS.items()} | {"feature_table": feature_table, "win_peer_compaction": peers, "port_class": port_class, "windows_ev": windows_ev}
+QUERIES = {k: feature_query(v) for k, v in GROUPS.items()} | {"feature_table": feature_table, "win_slabs": win_slabs, "win_peer_compaction": peers, "port_class": port_class, "windows_ev": windows_ev}
 SQL = {k: feature_sql(v) for k, v in GROUPS.items()} | {
     "feature_table": feature_table_sql(),
+    "win_slabs": feature_sql(SLABS).replace("src * 10 + dst as dst", "src % 3 as src, pkey % 50 as dst"),
     "win_peer_compaction": f"""with {LI} select src, t, count(*) over w src_conn_60s, round(coalesce(sum(bytes) over w, 0) + 1e-7, 4) src_bytes_60s, round(coalesce((sum(packets) over w) / nullif(count(*) over w, 0), 0) + 1e-7, 4) src_mean_packets_per_flow_60s,
         coalesce(t - max(t) over h, -1) seconds_since_src_last_flow from li window w as (partition by src order by t range between 60 preceding and current row exclude group),
         h as (partition by src order by t range between unbounded preceding and current row exclude group)""",
