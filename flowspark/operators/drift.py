@@ -1,6 +1,7 @@
 """Distribution drift in long form: (feature, population, value) rows, one job for all features.
 
-Populations are named ``a`` (reference) and ``b``.
+Populations are named ``a`` (reference) and ``b``.  Rows are read once, into counts by (feature, value): `profile` does so for
+numeric and categorical features together, and every statistic below comes from written counts and their running sums.
 """
 
 from __future__ import annotations
@@ -8,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
 from .prefix import quantiles_of, running_sums
 
 
@@ -26,6 +28,26 @@ def running_counts(long: DataFrame, by: list[str] = ("feature",), population: st
     return running_sums(value_counts(long, by, population), list(by), "value", ["na", "nb"])
 
 
+def profile(df: DataFrame, numeric: list[str], text: list[str], by: list[str] = (), population: str = "population") -> tuple[DataFrame, DataFrame]:
+    """Counts by value of all features in one pass over ``df``: the written counts (by, feature, value, na, nb) of the numeric ones, without
+    null and NaN, and those of the categorical ones, where null is a value."""
+    one = lambda c, kind: F.struct(F.lit(c).alias("feature"), F.lit(kind).alias("kind"), (F.col(c).cast("double") if kind == "number" else F.lit(None).cast("double")).alias("number"), (F.col(c).cast("string") if kind == "text" else F.lit(None).cast("string")).alias("text"))
+    values = F.explode(F.array(*(one(c, "number") for c in numeric), *(one(c, "text") for c in text)))
+    rows = df.select(*by, population, values.alias("v")).select(*by, population, "v.*").where("kind = 'text' or number is not null and not isnan(number)")
+    counts = written(rows.groupBy(*by, "feature", "kind", "number", "text").agg(F.count_if(F.col(population) == "a").alias("na"), F.count_if(F.col(population) == "b").alias("nb")), "profile")
+    part = lambda kind, value: counts.where(F.col("kind") == kind).select(*by, "feature", F.col(value).alias("value"), "na", "nb")
+    return part("number", "number"), part("text", "text")
+
+
+def moments(run: DataFrame, by: list[str] = ("feature",)) -> DataFrame:
+    """(by, mean_a, mean_b, var_a, var_b): means and sample variances from counts by value, in two passes over them."""
+    mean = run.groupBy(*by).agg(*(F.try_divide(F.sum(F.col("value") * F.col(f"n{p}")), F.sum(f"n{p}")).alias(f"mean_{p}") for p in "ab"))
+    mean = written(mean, "means")  # a row a group; its size decides how it is joined
+    off = lambda p: F.pow(F.col("value") - F.col(f"mean_{p}"), 2) * F.col(f"n{p}")
+    spread = run.join(mean, list(by)).groupBy(*by).agg(*(F.first(f"mean_{p}").alias(f"mean_{p}") for p in "ab"), *(F.try_divide(F.sum(off(p)), F.sum(f"n{p}") - 1).alias(f"var_{p}") for p in "ab"))
+    return spread
+
+
 def ks_of(run: DataFrame, by: list[str] = ("feature",)) -> DataFrame:
     distance = F.abs(F.try_divide("run_na", "all_na") - F.try_divide("run_nb", "all_nb"))
     return run.groupBy(*by).agg(F.max(distance).alias("ks"))
@@ -42,7 +64,7 @@ def binned_counts(run: DataFrame, by: list[str] = ("feature",), bins: int = 10)
     The outer edges are open and bins are closed on the left.  Two edges leave one between them, their
     middle; a single edge leaves three bins: below it, the value itself and above it.
     """
-    edges = quantiles_of(run, list(by), "value", "na", [k / bins for k in range(bins + 1)]).select(*by, F.array_distinct("q").alias("edges"))
+    edges = written(quantiles_of(run, list(by), "value", "na", [k / bins for k in range(bins + 1)]).select(*by, F.array_distinct("q").alias("edges")), "edges")
     n, first, v = F.size("edges"), F.get("edges", F.lit(0)), F.col("value")
     middle = first + (F.get("edges", F.lit(1)) - first) / 2
     inner = F.slice("edges", 2, F.greatest(n - 2, F.lit(0)))
@@ -68,7 +90,11 @@ def stability_index(run: DataFrame, by: list[str] = ("feature",), bins: int = 10
 
 def numeric_drift(long: DataFrame, by: list[str] = ("feature",), population: str = "population") -> DataFrame:
     """(by, mean and median of either population, ks, psi, js), all from one count of the values."""
-    run = running_counts(long, by, population)
+    return drift_of(running_counts(long, by, population), by)
+
+
+def drift_of(run: DataFrame, by: list[str] = ("feature",)) -> DataFrame:
+    """`numeric_drift` from running counts."""
     mean = run.groupBy(*by).agg(*((F.try_divide(F.sum(F.col("value") * F.col(f"n{p}")), F.sum(f"n{p}"))).alias(f"mean_{p}") for p in "ab"))
     out = mean
     for p in "ab":

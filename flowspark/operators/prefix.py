@@ -4,6 +4,9 @@ A window over all values of one group is one task, however many values there are
 values are first dealt into ranges of about equal size (by approximate quantiles, found in one
 aggregate of bounded size); sums run inside the ranges, and the ranges' totals, a few rows a
 group, are summed before them.  The result is exact whatever the ranges are.
+
+Counts by value come in once and are written, and so are their running sums: each statistic then reads that one table, whatever
+the counts were made from.
 """
 
 from __future__ import annotations
@@ -13,16 +16,23 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import if_small, written
+
 PIECES = 64
 
 
 def running_sums(counts: DataFrame, by: list[str], order: str, columns: list[str], descending: bool = False, pieces: int = PIECES) -> DataFrame:
     """``counts`` (one row a value of ``order``) with ``run_<c>``, the sum up to and with the row, and
-    ``all_<c>``, the group's sum, of each column.  A null ``order`` is refused.  Groups are few, as features and
-    candidates are: their edges and piece totals (64 rows a group at most) are broadcast."""
+    ``all_<c>``, the group's sum, of each column, as a written table.  A null ``order`` is refused.  A group has a row of edges and
+    ``pieces`` of totals at most; they are broadcast if there are few groups."""
+    counts = written(counts, "counts")
     cuts = F.percentile_approx(order, F.array(*(F.lit(k / pieces) for k in range(1, pieces))), 2000)
     edges = counts.groupBy(*by).agg(cuts.alias("_edges"))
-    dealt = counts.join(F.broadcast(edges), by) if by else counts.crossJoin(F.broadcast(edges))  # a row a group
+    groups = 1
+    if by:
+        edges = written(edges, "edges")
+        groups = edges.count()
+    dealt = counts.join(if_small(edges, groups, 20_000), by) if by else counts.crossJoin(F.broadcast(edges))  # one row
     dealt = dealt.withColumn("_piece", F.size(F.filter("_edges", lambda e: e <= F.col(order)))).drop("_edges")
     ways = lambda c: F.desc(c) if descending else F.asc(c)
     total = dealt.groupBy(*by, "_piece").agg(*(F.sum(c).alias(f"_t_{c}") for c in columns))
@@ -31,8 +41,9 @@ def running_sums(counts: DataFrame, by: list[str], order: str, columns: list[str
     # at most ``pieces`` rows a group
     total = total.select(*by, "_piece", *(F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in columns), *(F.sum(f"_t_{c}").over(every).alias(f"all_{c}") for c in columns))
     inside = Window.partitionBy(*by, "_piece").orderBy(ways(order)).rowsBetween(Window.unboundedPreceding, 0)
-    out = dealt.withColumns({f"_r_{c}": F.sum(c).over(inside) for c in columns}).join(F.broadcast(total), [*by, "_piece"])
-    return out.select(*counts.columns, *((F.col(f"_b_{c}") + F.col(f"_r_{c}")).alias(f"run_{c}") for c in columns), *(f"all_{c}" for c in columns))
+    out = dealt.withColumns({f"_r_{c}": F.sum(c).over(inside) for c in columns}).join(if_small(total, groups * pieces), [*by, "_piece"])
+    out = out.select(*counts.columns, *((F.col(f"_b_{c}") + F.col(f"_r_{c}")).alias(f"run_{c}") for c in columns), *(f"all_{c}" for c in columns))
+    return written(out, "running")
 
 
 def quantiles_of(run: DataFrame, by: list[str], value: str, count: str, shares: list[float]) -> DataFrame:

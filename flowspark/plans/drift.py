@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import drift as dr
 from ..operators import incidents as inc
-from ..operators.prefix import quantiles_of
+from ..operators.prefix import quantiles_of, running_sums
 from ..sources.adapters import EV, LI, flows_ev, flows_li, table
 
 FEATURES = ["bytes", "packets", "score"]
@@ -117,10 +117,9 @@ def feature_drift(spark, sf_dir):
     of categorical ones, and the drift score: a feature's largest KS or total variation in any scope."""
     scopes = F.explode(F.when(F.col("label") == 0, F.array(F.lit("all"), F.lit("normal"))).otherwise(F.array(F.lit("all"))))
     d, by = periods(spark, sf_dir).withColumn("scope", scopes), ["scope", "feature"]
-    numeric = d.select("scope", "population", *(F.col(c).cast("double").alias(c) for c in FEATURES)).unpivot(["scope", "population"], FEATURES, "feature", "value")
-    n = dr.numeric_drift(numeric, by).drop("js").withColumnRenamed("ks", "distance").withColumn("kind", F.lit("numeric"))
-    text = d.select("scope", "population", *(F.col(c).cast("string").alias(c) for c in ("proto", "dst"))).unpivot(["scope", "population"], ["proto", "dst"], "feature", "value")
-    c = dr.categorical_divergences(dr.shares(text, by, "value"), by).withColumnRenamed("total_variation", "distance").withColumn("kind", F.lit("categorical"))
+    numbers, text = dr.profile(d, FEATURES, ["proto", "dst"], ["scope"])
+    n = dr.drift_of(running_sums(numbers, by, "value", ["na", "nb"]), by).drop("js").withColumnRenamed("ks", "distance").withColumn("kind", F.lit("numeric"))
+    c = dr.categorical_divergences(dr.shared(text, by), by).withColumnRenamed("total_variation", "distance").withColumn("kind", F.lit("categorical"))
     out = n.unionByName(c, allowMissingColumns=True).withColumn("drift_score", F.max("distance").over(Window.partitionBy("feature")))
     return out.select(*by, "kind", *(F.round(x, 4).alias(x) for x in ("mean_a", "median_a", "mean_b", "median_b")), *(F.round(x, 6).alias(x) for x in ("distance", "psi", "js", "drift_score")))
 
@@ -182,10 +181,10 @@ def miss_categories(spark, sf_dir):
 def effect_sizes(spark, sf_dir):
     """Mean and median differences of the two classes, standardized by their pooled deviation."""
     d = dr.long_form(flows_li(spark, sf_dir).withColumn("population", F.when(F.col("label") == 1, "b").otherwise("a")), FEATURES)
-    v = lambda p: F.when(F.col("population") == p, F.col("value"))
-    m = d.groupBy("feature").agg(F.avg(v("a")).alias("ma"), F.avg(v("b")).alias("mb"), F.var_samp(v("a")).alias("va"), F.var_samp(v("b")).alias("vb"))
-    smd = F.try_divide(F.col("mb") - F.col("ma"), F.sqrt((F.col("va") + F.col("vb")) / 2))
-    out = m.select("feature", F.round(F.col("mb") - F.col("ma"), 4).alias("mean_difference"), F.round(smd, 6).alias("smd")).join(dr.numeric_drift(d), "feature")
+    run = dr.running_counts(d)
+    gap = F.col("mean_b") - F.col("mean_a")
+    smd = F.try_divide(gap, F.sqrt((F.col("var_a") + F.col("var_b")) / 2))
+    out = dr.moments(run).select("feature", F.round(gap, 4).alias("mean_difference"), F.round(smd, 6).alias("smd")).join(dr.drift_of(run), "feature")
     return out.select("feature", "mean_difference", F.round(F.col("median_b") - F.col("median_a"), 4).alias("median_difference"), "smd", F.round("ks", 6).alias("ks"))
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions.tables import shared_folder  # noqa: F401
 from ..operators.validate import Contract, InvalidInput, check_columns, check_header, validate
 
 
@@ -63,13 +61,3 @@ def read_day(spark: SparkSession, path: str, day: str, expected: int | None = No
     if expected is not None and (n := out.count()) != expected:
         raise InvalidInput(f"{n} rows on {day}, not {expected}")
     return out
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that all machines of the session see: ``spark.checkpoint.dir``, or a temporary one on a single machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-        root = tempfile.mkdtemp(prefix="flowspark-")
-    return root.rstrip("/")

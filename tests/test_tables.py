@@ -187,3 +187,33 @@ def test_psi_of_tied_and_constant_features(spark):
         assert two[f] == pytest.approx(histogram_psi(a, b, 1e-10, True), abs=1e-9), f
         assert one[f] == pytest.approx(histogram_psi(a, b, 1e-6, False)), f
     assert two["zeros"] > 1 and one["same"] == 0 and one["one"] == float("inf") and two["tiny"] > 0
+
+
+def test_drift_reads_its_input_once(spark):
+    """All statistics of numeric and categorical features, in two scopes, from one pass over the rows."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def rows(parts):
+        for p in parts:
+            seen.add(len(p))
+            yield p
+
+    d = spark.range(0, 500, 1, 3).selectExpr("id", "if(id % 3 = 0, 'a', 'b') population", "if(id % 50 = 0, null, double(id % 17)) x", "if(id % 2 = 0, 'u', null) c", "id % 2 scope").mapInPandas(rows, "id long, population string, x double, c string, scope long")
+    from flowspark.operators.prefix import running_sums
+
+    numbers, text = drift.profile(d, ["x"], ["c"], ["scope"])
+    by = ["scope", "feature"]
+    run = running_sums(numbers, by, "value", ["na", "nb"])
+    out = {r.scope: r for r in drift.drift_of(run, by).join(drift.moments(run, by).select(*by, "var_a", "var_b"), by).collect()}
+    levels = {(r.scope, r.value): (r.na, r.nb) for r in drift.shared(text, by).collect()}
+    assert seen.value == 500
+    import numpy as np
+
+    for scope in (0, 1):
+        x = {p: np.array([k % 17 for k in range(500) if k % 2 == scope and (k % 3 == 0) == (p == "a") and k % 50], float) for p in "ab"}
+        r = out[scope]
+        assert [r.mean_a, r.mean_b, r.median_a, r.median_b, r.var_a, r.var_b] == pytest.approx([x["a"].mean(), x["b"].mean(), np.median(x["a"]), np.median(x["b"]), x["a"].var(ddof=1), x["b"].var(ddof=1)])
+        grid = np.unique(np.r_[x["a"], x["b"]])
+        assert r.ks == pytest.approx(max(abs((x["a"] <= v).mean() - (x["b"] <= v).mean()) for v in grid))
+        kept = [k for k in range(500) if k % 2 == scope]
+        assert levels[scope, "u" if scope == 0 else None] == (sum(k % 3 == 0 for k in kept), sum(k % 3 != 0 for k in kept))
