@@ -8,9 +8,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
 
 from ..operators.features import Feature
@@ -73,106 +74,227 @@ def causal_features(stream: DataFrame, key: str, row_id: str, time: str, amount:
 
 def _places(group: np.ndarray, t: np.ndarray, at: np.ndarray) -> np.ndarray:
     """For rows in order of (group, t): the first row of each row's group whose time is ``at`` or later."""
-    span = int(t.max() - min(int(t.min()), int(at.min()))) + 2
-    base = min(int(t.min()), int(at.min()))
-    return np.searchsorted(group * span + (t - base), group * span + np.minimum(at - base, span - 1))
+    return _places_in(group, t, group, at)
 
 
-def causal_arrays(t: np.ndarray, columns: dict[str, np.ndarray], features: list[Feature], only: np.ndarray) -> dict[str, np.ndarray]:
-    """The features of the rows ``only`` of one first key, rows in order of time: sums and places by binary search, so the
-    cost is n log n however many rows share a frame.  ``columns`` hold text, numbers are read from it."""
-    out = {}
+def _places_in(group: np.ndarray, t: np.ndarray, g: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The first row of group ``g`` at time ``at`` or later, or where the group ends; rows in order of (group, t)."""
+    base = int(t.min())
+    span = int(t.max()) - base + 2
+    return np.searchsorted(group * span + (t - base), g * span + np.clip(at - base, 0, span - 1))
+
+
+def _numbers(column: pd.Series) -> np.ndarray:
+    """As doubles, null (and NaN, which validated flows do not have) as NaN."""
+    return pd.to_numeric(column).to_numpy(np.float64, na_value=np.nan)
+
+
+def causal_arrays(rows: pd.DataFrame, time: str, features: list[Feature], only: np.ndarray, last: dict | None = None) -> dict[str, np.ndarray]:
+    """The features of the rows ``only`` of one first key, as `causal` has them; rows in order of time.  Sums and places come by binary search, so the
+    cost is n log n however many rows share a frame.  Nulls add nothing to sums, means and distinct values, and as a second key they are a
+    key.  ``last``: by (second key's column, its value), when it was last seen before these rows."""
+    out, t = {}, rows[time].to_numpy(np.int64)
     for f in features:
-        inner = columns[f.keys[1]] if len(f.keys) > 1 else np.zeros(len(t), "U1")
-        group = np.unique(inner, return_inverse=True)[1].astype(np.int64)
+        inner = rows[f.keys[1]] if len(f.keys) > 1 else pd.Series("", index=rows.index)
+        group = pd.factorize(inner, use_na_sentinel=False)[0].astype(np.int64)
         order = np.lexsort((t, group))
         g, s = group[order], t[order]
         here = _places(g, s, s)
         begin = np.searchsorted(g, g) if f.window is None else _places(g, s, s - f.window * f.scale)
         n = here - begin
+        within = lambda x: (total := np.r_[0, np.cumsum(x)])[here] - total[begin]  # noqa: B023, E731
         if f.what == "count":
             x = n
         elif f.what in ("sum", "avg"):
-            total = np.r_[0.0, np.cumsum(columns[f.column][order].astype(float))]
-            x = total[here] - total[begin]
+            value = _numbers(rows[f.column])[order]
+            known = ~np.isnan(value)
+            x = within(np.where(known, value, 0.0))
             if f.what == "avg":
-                x = np.where(n > 0, x / np.maximum(n, 1), 0.0)
+                x = np.where((k := within(known)) > 0, x / np.maximum(k, 1), 0.0)
         elif f.what == "since":
-            x = np.where(n > 0, s - s[np.maximum(here - 1, 0)], -1)
+            before = np.full(len(s), -1)
+            if last:
+                names = inner.to_numpy()[order]
+                before = np.array([last.get((f.keys[1] if len(f.keys) > 1 else "", None if pd.isna(v) else v), -1) for v in names], np.int64)
+            seen = np.where(n > 0, s[np.maximum(here - 1, 0)], before)
+            x = np.where((n > 0) | (before >= 0), s - seen, -1)
         elif f.what == "share":
-            total = np.r_[0, np.cumsum(columns[f.column][order].astype(float) == f.value)]
-            x = np.where(n > 0, (total[here] - total[begin]) / np.maximum(n, 1), 0.0)
-        else:  # distinct and diversity: rows of the frame that are the last of their value before the row's time
-            value = np.unique(columns[f.column][order], return_inverse=True)[1]
-            x = np.zeros(len(s), np.int64)
-            cover = np.zeros(len(s) + 1, np.int64)
-            by = np.lexsort((s, value, g))
-            same = np.r_[(value[by][1:] == value[by][:-1]) & (g[by][1:] == g[by][:-1]), False]
-            after = np.where(same, np.r_[s[by][1:], 0], np.iinfo(np.int64).max // 4)
+            x = np.where(n > 0, within(_numbers(rows[f.column])[order] == f.value) / np.maximum(n, 1), 0.0)
+        elif f.what in ("distinct", "diversity"):  # a value covers the frames from after each occurrence to its next, or the frame's length
+            value = pd.factorize(rows[f.column])[0][order]
+            some = np.flatnonzero(value >= 0)
+            by = some[np.lexsort((s[some], value[some], g[some]))]
+            same = np.r_[(value[by][1:] == value[by][:-1]) & (g[by][1:] == g[by][:-1]), False][: len(by)]
+            after = np.where(same, np.r_[s[by][1:], 0][: len(by)], np.iinfo(np.int64).max // 4)
             end = after if f.window is None else np.minimum(after, s[by] + f.window * f.scale)
-            begin_at, end_at = _places_in(g, s, g[by], s[by] + 1), _places_in(g, s, g[by], end + 1)
-            np.add.at(cover, begin_at, 1)
-            np.add.at(cover, end_at, -1)
+            cover = np.zeros(len(s) + 1, np.int64)
+            np.add.at(cover, _places_in(g, s, g[by], s[by] + 1), 1)
+            np.add.at(cover, _places_in(g, s, g[by], end + 1), -1)
             x = np.cumsum(cover)[:-1]
             if f.what == "diversity":
                 x = np.where(n > 0, x / np.maximum(n, 1), 0.0)
+        else:
+            raise ValueError(f"no such feature kind: {f.what}")
         back = np.empty(len(s), x.dtype)
         back[order] = x
         out[f.name] = back[only]
     return out
 
 
-def _places_in(group: np.ndarray, t: np.ndarray, g: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The first row of group ``g`` at time ``at`` or later, or where the group ends; rows in order of (group, t)."""
-    base = int(t.min())
-    span = int(t.max()) - base + 2
-    return np.searchsorted(group * span + (t - base), g * span + np.clip(at - base, 0, span - 1))
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class CausalState(StatefulProcessor):
+    """State of one first key: ``waiting`` and ``past``, rows by stretch of time (a map from the stretch to its rows as one Arrow table), and ``last``,
+    when each second key was last seen.
+
+    A batch reads and writes the stretches that its rows fall in, and nothing else.  Timers fire when the watermark has passed the first waiting
+    row: all rows that it has passed are scored together, peers included, against the stretches that their frames reach, and go to
+    the past.  A stretch that no frame can reach any more is dropped, of idle keys by a timer of its own.
+    """
+
+    def __init__(self, features: list[Feature], row_id: str, columns: list[str]):
+        self.features, self.row_id, self.columns = features, row_id, columns
+        self.longest = max((f.window * f.scale for f in features if f.window is not None), default=0)
+        self.stretch = max(self.longest, 1_000_000)
+        self.seconds = sorted({f.keys[1] for f in features if f.what == "since" and len(f.keys) > 1})
+        self.recency = any(f.what == "since" for f in features)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "stretch bigint", "rows binary")
+        self.past = handle.getMapState("past", "stretch bigint", "rows binary")
+        self.last = handle.getMapState("last", "column string, value string", "t bigint")
+
+    @staticmethod
+    def _read(state, stretch: int) -> pa.Table | None:
+        return pa.ipc.open_stream(state.getValue((stretch,))[0]).read_all() if state.containsKey((stretch,)) else None
+
+    @staticmethod
+    def _write(state, stretch: int, rows: pa.Table) -> None:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as writer:
+            writer.write_table(rows.combine_chunks())
+        state.updateValue((stretch,), (sink.getvalue().to_pybytes(),))
+
+    def _add(self, state, rows: pa.Table) -> None:
+        at = rows["_t"].to_numpy() // self.stretch
+        for stretch in np.unique(at).tolist():
+            some, old = rows.filter(pa.array(at == stretch)), self._read(state, stretch)
+            self._write(state, stretch, some if old is None else pa.concat_tables([old, some]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        kinds = self.schema()
+        # by place: what comes in renames columns that are no Python names
+        new = pa.concat_tables(pa.Table.from_pandas(p.set_axis(self.arrives, axis=1)[kinds.names], schema=kinds, preserve_index=False) for p in rows)
+        self._add(self.waiting, new)
+        self.handle.registerTimer(int(new["_t"].to_numpy().min()) // 1000 + 1)
+        return iter([])
+
+    def schema(self) -> pa.Schema:
+        """Types that do not depend on what a batch happens to hold: texts stay texts, all else is a number."""
+        kind = lambda c: pa.string() if c in self.texts else pa.float64()
+        return pa.schema([("_t", pa.int64()), (self.row_id, self.id_type), *((c, kind(c)) for c in self.columns)])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        ready = []
+        for (stretch,) in [k for k in self.waiting.keys() if k[0] * self.stretch < mark]:
+            rows = self._read(self.waiting, stretch)
+            passed = rows["_t"].to_numpy() < mark
+            ready.append(rows.filter(pa.array(passed)))
+            if passed.all():
+                self.waiting.removeKey((stretch,))
+            elif passed.any():
+                self._write(self.waiting, stretch, rows.filter(pa.array(~passed)))
+        ready = pa.concat_tables(ready) if ready else None
+        if ready is not None and ready.num_rows:
+            yield self._scored(ready)
+            # rows to come are at the mark or later
+            near = ready.filter(pa.array(ready["_t"].to_numpy() >= mark - self.longest))
+            if self.longest and near.num_rows:
+                self._add(self.past, near)
+        stretches = [k[0] for k in self.past.keys()]
+        for stretch in stretches:
+            if (stretch + 1) * self.stretch <= mark - self.longest:
+                self.past.removeKey((stretch,))
+        if left := [s for s in stretches if (s + 1) * self.stretch > mark - self.longest]:
+            self.handle.registerTimer(((max(left) + 1) * self.stretch + self.longest) // 1000 + 1)
+        waits = [int(self._read(self.waiting, s)["_t"].to_numpy().min()) for s in sorted(k[0] for k in self.waiting.keys())[:1]]
+        if waits:
+            self.handle.registerTimer(waits[0] // 1000 + 1)
+
+    def _scored(self, ready: pa.Table) -> pd.DataFrame:
+        first = int(ready["_t"].to_numpy().min())
+        old = [self._read(self.past, k[0]) for k in self.past.keys() if (k[0] + 1) * self.stretch > first - self.longest]
+        rows = pa.concat_tables([*old, ready]).to_pandas()
+        new = np.r_[np.zeros(len(rows) - ready.num_rows, bool), np.ones(ready.num_rows, bool)]
+        order = np.argsort(rows["_t"].to_numpy(), kind="stable")
+        rows, new = rows.iloc[order].reset_index(drop=True), new[order]
+        last = self._seen(ready) if self.recency else {}
+        made = causal_arrays(rows, "_t", self.features, new, last)
+        if self.recency:
+            self._see(ready, last)
+        return pd.DataFrame({self.row_id: rows[self.row_id].to_numpy()[new], **made})
+
+    @staticmethod
+    def _name(value) -> str:
+        return "" if value is None else f"v{value}"
+
+    def _seen(self, ready: pa.Table) -> dict:
+        """When the second keys of these rows, and the key itself, were last seen."""
+        out = {}
+        for column, values in (("", [""]), *((c, ready[c].unique().to_pylist()) for c in self.seconds)):
+            for v in values:
+                if self.last.containsKey((column, self._name(v))):
+                    out[column, v] = self.last.getValue((column, self._name(v)))[0]
+        return out
+
+    def _see(self, ready: pa.Table, last: dict) -> None:
+        t = ready["_t"]
+        for column in ("", *self.seconds):
+            values = pa.array([""] * ready.num_rows) if not column else ready[column]
+            top = pa.table({"v": values, "t": t}).group_by("v").aggregate([("t", "max")])
+            for v, at in zip(top["v"].to_pylist(), top["t_max"].to_pylist(), strict=True):
+                if at > last.get((column, v), -1):
+                    self.last.updateValue((column, self._name(v)), (at,))
+
+    def close(self) -> None:
+        pass
 
 
 def features_on_stream(stream: DataFrame, features: list[Feature], row_id: str, time: str, late: str) -> DataFrame:
     """(row_id, one column a feature), as `causal` gives them in batch, for features of one first key over a time in whole
-    microseconds (`Feature.scale` turns windows into them).  A row waits until the watermark has passed its time.
+    microseconds (`Feature.scale` turns windows into them).  A row waits until the watermark has passed its time; state is `CausalState`,
+    kept in RocksDB.  What a feature with an unbounded sum would need is refused.
 
-    State a key: rows that wait, and of the rows before them those within the longest window and the last one of each
-    second key, which recency needs.  What a feature with an unbounded sum would need is refused.
+    Defined cases: null amounts and values add nothing, a null second key is a key, as in batch; a null time is refused by the watermark and
+    never comes out; times before 1970 are fine but as long-past ones come out at once; row ids are whole numbers or texts.
     """
     if len({f.keys[0] for f in features}) != 1:
         raise ValueError("features of one stream operator share their first key")
     if any(f.window is None and f.what != "since" for f in features):
         raise ValueError("only recency may look back without an end")
+    spark = stream.sparkSession
+    if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # what maps and timers need
     key = features[0].keys[0]
     columns = sorted({c for f in features for c in (f.column, *f.keys[1:]) if c})
-    seconds = sorted({f.keys[1] for f in features if len(f.keys) > 1 and f.what == "since"})
-    longest = max((f.window * f.scale for f in features if f.window is not None), default=0)
-    kinds = {"count": "bigint", "distinct": "bigint", "since": "bigint"}
-
-    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        t, ids, new, *rest = state.get if state.exists else ([], [], [], *([] for _ in columns))
-        frames = [pd.DataFrame({"_t": t, row_id: ids, "_new": new, **dict(zip(columns, rest, strict=True))})]
-        if not state.hasTimedOut:
-            frames += [p[["_t", row_id, *columns]].assign(_new=True) for p in parts]
-        rows = pd.concat(frames, ignore_index=True).sort_values(["_t", row_id], kind="stable") if len(frames) > 1 else frames[0]
-        mark = state.getCurrentWatermarkMs() * 1000
-        at, fresh = rows["_t"].to_numpy(np.int64), rows["_new"].to_numpy(bool)
-        known = at < mark
-        ready = fresh & known
-        out = pd.DataFrame({row_id: [], **{f.name: [] for f in features}})
-        if ready.any():
-            made = causal_arrays(at[known], {c: rows[c].to_numpy(str)[known] for c in columns}, features, ready[known])
-            out = pd.DataFrame({row_id: rows[row_id].to_numpy()[ready], **made})
-        stay = ~known | (at >= min(mark, int(at[~known].min()) if (~known).any() else mark) - longest)
-        for c in [None, *seconds]:  # the last known row of each, for recency
-            own = rows[known].drop_duplicates(c, keep="last") if c else rows[known].tail(1)
-            stay |= np.isin(rows[row_id].to_numpy(np.int64), own[row_id].to_numpy(np.int64))
-        kept = rows[stay]
-        left = fresh[stay] & ~known[stay]
-        # the state takes plain numbers and texts only
-        state.update((kept["_t"].astype("int64").tolist(), kept[row_id].astype("int64").tolist(), left.tolist(), *(kept[c].astype(str).tolist() for c in columns)))
-        if left.any():
-            state.setTimeoutTimestamp(max(int(kept["_t"].to_numpy()[left].min()) // 1000, mark // 1000 + 1))
-        yield out
-
-    held = ", ".join(["t array<bigint>", "i array<bigint>", "n array<boolean>", *(f"c{j} array<string>" for j in range(len(columns)))])
-    shape = ", ".join([f"{row_id} bigint", *(f"{f.name} {kinds.get(f.what, 'double')}" for f in features)])
-    rows = stream.select(key, row_id, F.col(time).cast("timestamp").alias("_ts"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns)).withColumn("_t", F.unix_micros("_ts"))
-    return rows.withWatermark("_ts", late).groupBy(key).applyInPandasWithState(step, shape, held, "append", GroupStateTimeout.EventTimeTimeout)
+    summed = {f.column for f in features if f.what in ("sum", "avg", "share")}
+    inner = {k for f in features for k in f.keys[1:]}
+    kinds = dict(stream.dtypes)
+    id_kind = "string" if kinds[row_id] == "string" else "bigint"
+    state = CausalState(features, row_id, columns)
+    # keys are compared as texts, so that whole numbers of any size stay apart
+    state.texts = {c for c in columns if c in inner or kinds[c] == "string" or c not in summed}
+    if state.texts & summed:
+        state.texts -= summed - inner
+    if inner & summed:
+        raise ValueError("a second key cannot be summed as well")
+    state.id_type = pa.string() if id_kind == "string" else pa.int64()
+    made = {"count": "bigint", "distinct": "bigint", "since": "bigint"}
+    shape = ", ".join([f"`{row_id}` {id_kind}", *(f"`{f.name}` {made.get(f.what, 'double')}" for f in features)])
+    typed = [F.col(c).cast("string" if c in state.texts else "double").alias(c) for c in columns]
+    rows = stream.where(F.col(time).isNotNull()).select(F.col(key).alias("_key"), F.col(row_id).cast(id_kind).alias(row_id), F.col(time).cast("timestamp").alias("_ts"), *typed).withColumn("_t", F.unix_micros("_ts"))
+    state.arrives = rows.columns
+    return rows.withWatermark("_ts", late).groupBy("_key").transformWithStateInPandas(state, shape, "append", "EventTime")
