@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.features import flow_features
 from ..sources.adapters import table
 from ..sources.files import shared_folder
 from ..streaming import flows as st
@@ -38,7 +39,37 @@ def stream_features(spark, sf_dir):
     return out.withColumn("amount", F.round("amount", 4))
 
 
-QUERIES = {f.__name__: f for f in (stream_incidents, tumbling_counts, sliding_counts, stream_features)}
+HOURS = flow_features(6, 24, 3_600_000_000)
+SHAPE = {"src": "user_id", "dst": "event_type", "sport": "event_id % 7", "dport": "event_id % 3", "proto": "case event_id % 4 when 0 then 6 when 1 then 17 end", "bytes": "case when event_id % 11 > 0 then value end", "packets": "event_id % 5", "syn": "event_id % 2", "rst": "case when event_id % 3 > 0 then 1 end"}
+
+
+def stream_flow_features(spark, sf_dir):
+    """All 43 features of flows with nulls, by source and by destination, each from a stream of its own."""
+    out = None
+    for side in ("src", "dst"):
+        mine = [f for f in HOURS if f.keys[0] == side]
+        flows = events(spark, sf_dir).selectExpr("event_id id", "ts", *(f"{e} {c}" for c, e in SHAPE.items()))
+        part = st.drain(st.features_on_stream(flows, mine, "id", "ts", "0 seconds"), shared_folder(spark))
+        out = part if out is None else out.join(part, "id")
+    return out.select("id", *(F.round(F.col(f.name) + 1e-7, 4).alias(f.name) if f.what in ("sum", "avg", "share", "diversity") else F.col(f.name) for f in HOURS))
+
+
+def flow_features_sql() -> str:
+    columns, windows = [], {}
+    for f in HOURS:
+        w = "w_" + "_".join(f.keys) + f"_{f.window or 'all'}"
+        windows[w] = f"{w} as (partition by {', '.join(f.keys)} order by t range between {'unbounded' if f.window is None else f.window * f.scale} preceding and current row exclude group)"
+        number = lambda e: f"round(coalesce({e}, 0) + 1e-7, 4)"
+        rows = f"nullif(count(*) over {w}, 0)"
+        columns.append({
+            "count": f"count(*) over {w}", "distinct": f"count(distinct {f.column}) over {w}", "sum": number(f"(sum({f.column}::double) over {w})"), "avg": number(f"(sum({f.column}::double) over {w}) / nullif(count({f.column}) over {w}, 0)"),
+            "since": f"coalesce(t - max(t) over {w}, -1)", "share": number(f"(sum(case when {f.column} = {f.value} then 1 else 0 end) over {w})::double / {rows}"), "diversity": number(f"(count(distinct {f.column}) over {w})::double / {rows}"),
+        }[f.what] + f" {f.name}")
+    shape = ", ".join(f"{e.replace('value', chr(34) + 'value' + chr(34))} {c}" for c, e in SHAPE.items())
+    return f"with fl as (select event_id id, epoch_us(ts) t, {shape} from events), f as (select id, t, {', '.join(columns)} from fl window {', '.join(windows.values())}) select * exclude (t) from f where t < 1000 * {LAST.format('events')}"
+
+
+QUERIES = {f.__name__: f for f in (stream_incidents, tumbling_counts, sliding_counts, stream_features, stream_flow_features)}
 LAST = "(select max(epoch_us(ts)) // 1000 from {})"
 SQL = {
     "stream_incidents": f"""with al as (select *, coalesce((epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id, event_type order by ts) > 86400000000)::int, 1) nw from events where "value" >= 5),
@@ -52,4 +83,5 @@ SQL = {
     "stream_features": f"""with f as (select event_id id, epoch_us(ts) t, count(*) over w conn, round(coalesce(sum("value") over w, 0), 4) amount, coalesce(epoch_us(ts) - max(epoch_us(ts)) over h, -1) micros_since from events
         window w as (partition by user_id order by epoch_us(ts) range between 86400000000 preceding and current row exclude group), h as (partition by user_id order by epoch_us(ts) range between unbounded preceding and current row exclude group))
         select id, conn, amount, micros_since from f where t < 1000 * {LAST.format('events')}""",
+    "stream_flow_features": flow_features_sql(),
 }

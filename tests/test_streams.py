@@ -76,3 +76,102 @@ def test_bad_rows_go_to_their_own_table(spark, tmp_path):
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "good")).count() == 1
     assert sorted(len(r.violations) for r in spark.read.parquet(str(tmp_path / "bad")).collect()) == [1, 3]
+
+
+NULLS = "id long, ts timestamp, src string, dst string, sport int, dport int, proto int, bytes double, packets double, syn int, rst int"
+
+
+def null_flows(n=260, seed=6):
+    """Rows in order of time, with nulls in every column that may hold one, peers, and one far last row that closes the rest."""
+    import random
+
+    rng = random.Random(seed)
+    maybe = lambda x: x if rng.random() > 0.2 else None
+    times = sorted(rng.randrange(-50, 450) for _ in range(n))
+    rows = [(k, START + dt.timedelta(seconds=s), maybe("ab"[k % 2]), maybe("xyz"[rng.randrange(3)]), maybe(rng.randrange(5)), maybe(rng.choice([53, 80])), maybe(rng.choice([6, 17])), maybe(float(rng.randrange(900))), maybe(float(rng.randrange(9))), maybe(rng.randrange(2)), maybe(1)) for k, s in enumerate(times)]
+    return rows + [(10_000 + k, START + dt.timedelta(days=1), a, b, 1, 1, 6, 1.0, 1.0, 0, 0) for k, (a, b) in enumerate((x, y) for x in ("a", "b", None) for y in ("x", "y", "z", None))]
+
+
+def shown(d):
+    return sorted(tuple(round(x, 6) for x in r) for r in d.collect())
+
+
+def test_nulls_and_restarts_equal_batch(spark, tmp_path):
+    """A stream that is stopped after each file and goes on from its checkpoint, over rows with nulls."""
+    rows = null_flows()
+    size = len(rows) // 3 + 1
+    for side in ("src", "dst"):
+        some = [f for f in flow_features(10, 60, 1_000_000) if f.keys[0] == side]
+        folder = tmp_path / side
+        for part in range(3):
+            spark.createDataFrame(rows[part * size : (part + 1) * size], NULLS).coalesce(1).write.mode("append").parquet(str(folder / "in"))
+            stream = flows.features_on_stream(flows.source(spark, str(folder / "in"), spark.read.parquet(str(folder / "in")).schema), some, "id", "ts", "1 second")
+            stream.writeStream.option("checkpointLocation", str(folder / "cp")).trigger(availableNow=True).format("parquet").start(str(folder / "out")).awaitTermination()
+        batch = spark.read.parquet(str(folder / "in")).withColumn("t", F.unix_micros("ts"))
+        want = causal(batch, some).where("id < 10000").select("id", *(f.name for f in some))
+        assert shown(spark.read.parquet(str(folder / "out"))) == shown(want)
+
+
+def test_state_keeps_only_what_frames_reach():
+    """Stretches that no frame can reach go, the rest is read only where rows fall in it."""
+    import pandas as pd
+
+    class Map(dict):
+        def __init__(self):
+            self.read = 0
+
+        def getValue(self, k):
+            self.read += 1
+            return self[k]
+
+        containsKey = dict.__contains__
+        updateValue = dict.__setitem__
+        removeKey = dict.__delitem__
+
+    class Handle:
+        def __init__(self):
+            self.maps, self.timers = {}, []
+
+        def getMapState(self, name, *_):
+            return self.maps.setdefault(name, Map())
+
+        registerTimer = lambda self, t: self.timers.append(t)
+
+    class Now:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    import pyarrow as pa
+
+    some = [Feature("n", "count", ("k",), 10, scale=1_000_000), Feature("d", "distinct", ("k",), 10, "v", scale=1_000_000), Feature("last", "since", ("k", "v"), None)]
+    state = flows.CausalState(some, "id", ["v"])
+    state.texts, state.id_type, state.arrives = {"v"}, pa.int64(), ["_key", "id", "_ts", "v", "_t"]
+    handle = Handle()
+    state.init(handle)
+    out = []
+    for second in range(0, 300, 3):
+        row = pd.DataFrame({"_0": ["a"], "id": [second], "_2": [None], "v": [None if second % 2 else "x"], "_4": [second * 1_000_000]})
+        assert list(state.handleInputRows(("a",), iter([row]), Now(0))) == []
+        out += [r for d in state.handleExpiredTimer(("a",), Now(second * 1000), None) for r in d.itertuples(index=False)]
+        assert len(handle.maps["past"]) <= 3 and len(handle.maps["waiting"]) <= 2
+    assert [(r.id, r.n, r.d, r.last) for r in out[5:7]] == [(15, 3, 1, 6_000_000), (18, 3, 1, 6_000_000)]
+    assert len(out) == 99 and handle.maps["past"].read < 400 and len(handle.maps["last"]) == 3  # the key itself, x and null
+    assert [len(list(state.handleExpiredTimer(("a",), Now(10**6), None))) for _ in range(2)] == [1, 0]
+    assert not handle.maps["past"] and not handle.maps["waiting"]
+
+
+def test_incidents_on_a_stream_equal_batch(spark, tmp_path):
+    """Sessions of alerts over rows in several files, some of them exactly a gap apart, against those of batch."""
+    import random
+
+    from flowspark.operators import incidents as inc
+
+    rng = random.Random(2)
+    seconds = sorted(rng.choice([0, 300, 600, 601, 902]) + 3000 * rng.randrange(6) for _ in range(80))
+    stream = events(spark, tmp_path, [*seconds, 10**6, 10**6], files=4)
+    got = flows.drain(flows.incidents(stream, ["key"], "ts", "300 seconds", "1 day", "v", 40.0), str(tmp_path / "out"))
+    batch = spark.read.parquet(str(tmp_path / "in")).where("id < 80").withColumns({"t": F.unix_seconds("ts"), "proto": F.lit(6)})
+    want = inc.incidents(batch, inc.Policy(0.0, 0.5, 300, ("key",)), "v")
+    pick = lambda d, first, last: sorted((r.key, r[first], r[last], r.flows, r.max_score) for r in d.collect())
+    secs = got.withColumns({"first_seen": F.unix_seconds("first_seen"), "last_seen": F.unix_seconds("last_seen")})
+    assert pick(secs, "first_seen", "last_seen") == pick(want, "first_seen", "last_seen") and got.count() > 10
