@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import if_small, written
+from .prefix import positions
+
+#: Equal rows that one task ranks; those of larger groups are ranked in ranges of their order.
+GROUP = 100_000
+
 
 def fingerprint(*columns: str) -> Column:
     """SHA-256 of the columns as one ordered JSON object (nulls kept)."""
@@ -12,8 +18,28 @@ def fingerprint(*columns: str) -> Column:
 
 
 def duplicate_rank(df: DataFrame, columns: list[str], order: list[str], name: str = "duplicate_rank") -> DataFrame:
-    """Number of each row among those equal in ``columns``."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*columns).orderBy(*order)))
+    """Number of each row among those equal in ``columns`` (nulls are equal).  Groups of over ``GROUP`` rows, of which there can be but few, are
+    told apart first and ranked by `positions`: no group, whatever its share of the rows, is one task."""
+    rank = F.row_number().over(Window.partitionBy(*columns).orderBy(*order))
+    names = [f"_k{i}" for i in range(len(columns))]
+    hot = written(df.groupBy(*columns).count().where(F.col("count") > GROUP).select(*columns).toDF(*names), "hot-groups")
+    n = hot.count()
+    if not n:
+        return df.withColumn(name, rank)
+    same = F.lit(True)
+    for c, k in zip(columns, names, strict=True):
+        same &= df[c].eqNullSafe(hot[k])
+    few = df.join(if_small(hot, n), same, "left_anti").withColumn(name, rank)
+    many = positions(df.join(if_small(hot, n), same, "left_semi"), order, columns, name)
+    return few.unionByName(many.withColumn(name, (F.col(name) + 1).cast("int")))
+
+
+def set_digest(member: str | Column) -> Column:
+    """Aggregate: one text for equal sets (with repeats) of members in any order, in constant memory: their number, two
+    exclusive-ors and a sum of independent 64-bit hashes."""
+    member = F.col(member) if isinstance(member, str) else member
+    hashed = lambda k: F.xxhash64(F.lit(k), member)
+    return F.concat_ws(":", F.count("*").cast("string"), F.hex(F.bit_xor(hashed(1))), F.hex(F.bit_xor(hashed(2))), F.sum(hashed(3).cast("decimal(20,0)")).cast("string"))
 
 
 def aligned(left: DataFrame, right: DataFrame, columns: list[str], left_order: list[str], right_order: list[str]) -> DataFrame:

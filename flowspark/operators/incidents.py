@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import iso_seconds
+from .prefix import positions
 
 
 @dataclass(frozen=True)
@@ -50,14 +51,10 @@ def incidents(df: DataFrame, policy: Policy, score: str = "score", time: str = "
     return out.withColumn("promoted", F.col("max_score") >= policy.promote)
 
 
-def ordered(found: DataFrame, keys: tuple[str, ...], span: int = 365) -> DataFrame:
-    """Incidents with their 0-based number by time and key.  They are numbered within spans of ``span`` time units
-    and the spans' counts added, so no task holds them all; only one row a span is summed in order."""
-    day = F.floor(F.col("first_seen") / span)
-    w = Window.partitionBy("_span").orderBy("first_seen", *keys)
-    counts = found.groupBy(day.alias("_span")).agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return found.withColumn("_span", day).join(before, "_span").withColumn("sequence", F.col("_before") + F.row_number().over(w) - 1).drop("_span", "_n", "_before")
+def ordered(found: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Incidents with their 0-based number by time and key, in any time unit: ranges of (time, key) are counted, so no task holds or sums
+    more than one of them."""
+    return positions(found, ["first_seen", *keys], name="sequence")
 
 
 def incident_id(src: Column, dst: Column, dport: Column, first: Column, last: Column) -> Column:
@@ -109,13 +106,26 @@ def write_jsonl(public: DataFrame, path: str) -> None:
 
 
 def evidence(members: DataFrame, by: list[str], score: str = "score", time: str = "t", levels: tuple[float, ...] = (0.2, 0.3, 0.4, 0.5)) -> DataFrame:
-    """Label-free statistics of each session's scores."""
-    top = F.slice(F.sort_array(F.collect_list(score), asc=False), 1, 3)
-    return members.groupBy(*by).agg(
-        F.count("*").alias("flows"), F.max(score).alias("max_score"), F.avg(score).alias("mean_score"), F.median(score).alias("median_score"), F.percentile(score, 0.9).alias("p90_score"),
-        (F.aggregate(top, F.lit(0.0), lambda a, x: a + x) / F.size(top)).alias("top3_mean_score"),
-        *(F.count_if(F.col(score) >= x).alias(f"n_ge_{int(round(x * 100)):02d}") for x in levels),
-        F.stddev_pop(score).alias("std_score"), (F.max(time) - F.min(time)).alias("duration"),
+    """Label-free statistics of each session's scores, from its counts by distinct score in order of score: rows are counted before they
+    move, and what a session needs in memory does not grow with it (its sort spills).  Null scores are flows and nothing else."""
+    counts = members.groupBy(*by, F.col(score).alias("_v")).agg(F.count("*").alias("_rows"), F.count(score).alias("_n"), F.min(time).alias("_from"), F.max(time).alias("_to"))
+    whole = Window.partitionBy(*by)
+    upto = whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    run = counts.withColumns({"_run": F.sum("_n").over(upto), "_all": F.sum("_n").over(whole), "_mean": F.try_divide(F.sum(F.col("_v") * F.col("_n")).over(whole), F.sum("_n").over(whole))})
+
+    def quantile(p: int, d: int) -> Column:
+        """The quantile p / d, linear between neighbours; ranks are whole numbers."""
+        rank, part = F.expr(f"{p} * (_all - 1) div {d}"), F.expr(f"({p} * (_all - 1)) % {d}")
+        low, high = F.min(F.when(F.col("_run") > rank, F.col("_v"))), F.min(F.when(F.col("_run") > rank + (part > 0).cast("long"), F.col("_v")))
+        return low + (high - low) * (F.max(part) / d)
+
+    above = F.col("_all") - F.col("_run")  # scores over this one
+    taken = F.when(above < 3, F.least(F.col("_n"), 3 - above)).otherwise(0)
+    return run.groupBy(*by).agg(
+        F.sum("_rows").alias("flows"), F.max("_v").alias("max_score"), F.max("_mean").alias("mean_score"), quantile(1, 2).alias("median_score"), quantile(9, 10).alias("p90_score"),
+        F.try_divide(F.sum(F.col("_v") * taken), F.sum(F.when(F.col("_v").isNotNull(), taken))).alias("top3_mean_score"),
+        *(F.coalesce(F.sum(F.when(F.col("_v") >= x, F.col("_n"))), F.lit(0)).alias(f"n_ge_{int(round(x * 100)):02d}") for x in levels),
+        F.sqrt(F.try_divide(F.sum(F.col("_n") * F.pow(F.col("_v") - F.col("_mean"), 2)), F.sum("_n"))).alias("std_score"), (F.max("_to") - F.min("_from")).alias("duration"),
     )
 
 

@@ -64,3 +64,22 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float
     """Per group the quantiles (linear between neighbours) as an array ``q``; nulls and NaN are left out."""
     counts = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*by, value).agg(F.count("*").alias("n"))
     return quantiles_of(running_sums(counts, by, value, ["n"]), by, value, "n", shares)
+
+
+def positions(df: DataFrame, order: list[str], by: list[str] = (), name: str = "position") -> DataFrame:
+    """``df`` with each row's 0-based place in ``order`` within ``by`` (a null is a group like any other), whatever the number of rows: they
+    are dealt by ranges of (by, order), written, and counted by (by, range); a place is the place in the range, plus the counts before.  Rows that are
+    equal in both may be split between ranges and come in any order.  Groups in few ranges are many rows of counts: meant for few groups, or none."""
+    keys = [*by, *order]
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    dealt = tied.repartitionByRange(*keys, "_tie").sortWithinPartitions(*keys, "_tie").drop("_tie")
+    rows = written(dealt.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ordered")
+    runs = rows.groupBy(*by, "_part").agg(F.count("*").alias("_here"), F.min("_at").alias("_first"))
+    # a row a range in a group
+    before = F.sum("_here").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    runs = written(runs.select(*(F.col(b).alias(f"_by_{i}") for i, b in enumerate(by)), F.col("_part").alias("_of"), (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift")), "ranges")
+    same = rows["_part"] == runs["_of"]
+    for i, b in enumerate(by):
+        same &= rows[b].eqNullSafe(runs[f"_by_{i}"])
+    out = rows.join(if_small(runs, runs.count()), same)
+    return out.select(*df.columns, (F.col("_at") + F.col("_shift")).alias(name))

@@ -147,8 +147,7 @@ def incident_parity(spark, sf_dir):
 
     def by_members(gap):
         s = gap_sessions(flows_ev(spark, sf_dir), ["src", "dst"], gap, ties=None)
-        ids = F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ",")
-        return s.groupBy("src", "dst", "session").agg(F.sha2(ids, 256).alias("members"), F.count("*").alias("n"), F.max("bytes").alias("top")).select("members", "n", "top")
+        return s.groupBy("src", "dst", "session").agg(al.set_digest("id").alias("members"), F.count("*").alias("n"), F.max("bytes").alias("top")).select("members", "n", "top")
 
     a, b = by_members(86_400_000_000), by_members(43_200_000_000).withColumnsRenamed({"n": "n2", "top": "top2"})
     j = a.join(b, "members", "full_outer")

@@ -88,3 +88,37 @@ def test_policy_refuses_contradictions():
     for bad in ({"alert": 0.5, "promote": 0.2}, {"gap": -1}, {"keys": ()}, {"alert": 2}):
         with pytest.raises(ValueError):
             inc.Policy(**bad)
+
+
+def test_evidence_against_arrays(spark):
+    """All statistics of a session from its counts by score: ties, one score, nulls in keys and scores."""
+    import random
+
+    import numpy as np
+
+    from flowspark.operators import incidents as inc
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *(x / 20 for x in range(21))]), k) for k in range(300)] + [("one", 0.25, 7), ("none", None, 8)]
+    out = {r.k: r for r in inc.evidence(spark.createDataFrame(rows, "k string, score double, t long"), ["k"]).collect()}
+    assert set(out) == {r[0] for r in rows}
+    for k, r in out.items():
+        x = np.array([s for g, s, _ in rows if g == k and s is not None])
+        t = [at for g, _, at in rows if g == k]
+        assert r.flows == len(t) and r.duration == max(t) - min(t)
+        if not len(x):
+            assert r.max_score is None and r.median_score is None and r.n_ge_20 == 0
+            continue
+        top = np.sort(x)[::-1][:3]
+        got = [r.max_score, r.mean_score, r.median_score, r.p90_score, r.top3_mean_score, r.std_score]
+        assert got == pytest.approx([x.max(), x.mean(), np.median(x), np.quantile(x, 0.9), top.mean(), x.std()])
+        assert [r.n_ge_20, r.n_ge_30, r.n_ge_40, r.n_ge_50] == [(x >= v).sum() for v in (0.2, 0.3, 0.4, 0.5)]
+
+
+def test_incidents_are_numbered_in_any_unit(spark):
+    """Microseconds: nearly every incident has a time of its own."""
+    from flowspark.operators import incidents as inc
+
+    rows = [(k * 7919 % 1000 * 1_000_003, f"s{k % 7}", k) for k in range(500)]
+    out = inc.ordered(spark.createDataFrame(rows, "first_seen long, src string, id int"), ("src",)).collect()
+    assert [r.id for r in sorted(out, key=lambda r: r.sequence)] == [r[2] for r in sorted(rows)] and sorted(r.sequence for r in out) == list(range(500))

@@ -217,3 +217,39 @@ def test_drift_reads_its_input_once(spark):
         assert r.ks == pytest.approx(max(abs((x["a"] <= v).mean() - (x["b"] <= v).mean()) for v in grid))
         kept = [k for k in range(500) if k % 2 == scope]
         assert levels[scope, "u" if scope == 0 else None] == (sum(k % 3 == 0 for k in kept), sum(k % 3 != 0 for k in kept))
+
+
+def test_a_hot_fingerprint_is_ranked_in_ranges(spark, monkeypatch):
+    """Half of all rows share one fingerprint: ranks and alignment are those of one window, and no group is one task."""
+    monkeypatch.setattr(align, "GROUP", 50)
+    rows = [((None, 1) if k % 2 else (k % 40, k % 7)) + ((k * 7919) % 1000, k) for k in range(1000)]
+    df = spark.createDataFrame(rows, "a int, b int, o int, id int")
+    got = {r.id: r.r for r in align.duplicate_rank(df, ["a", "b"], ["o"], "r").collect()}
+    groups = {}
+    for r in sorted(rows, key=lambda r: r[2]):
+        groups.setdefault(r[:2], []).append(r[3])
+    assert got == {i: n + 1 for ids in groups.values() for n, i in enumerate(ids)}
+    other = df.where("o % 10 <> 3").withColumnRenamed("id", "id2").withColumnRenamed("o", "o2")
+    joined = align.aligned(df.where("o % 10 <> 3"), other, ["a", "b"], ["o"], ["o2"])
+    assert joined.where("id = id2").count() == joined.count() == other.count()
+    assert align.duplicate_rank(df.limit(0), ["a"], ["o"]).collect() == []
+
+
+def test_set_digests_do_not_depend_on_order(spark):
+    df = spark.createDataFrame([(1, 5), (1, 6), (1, 6), (2, 6), (2, 5), (2, 6), (3, 5), (3, 6), (4, 5), (4, 5), (4, 6), (5, None)], "g int, x int")
+    d = {r.g: r.d for r in df.groupBy("g").agg(align.set_digest("x").alias("d")).collect()}
+    assert d[1] == d[2] and len(set(d.values())) == 4
+
+
+def test_positions(spark):
+    """Places over all rows and within groups, over many ranges, with ties and nulls."""
+    from flowspark.operators.prefix import positions
+
+    rows = [(None if k % 5 == 0 else k % 3, (k * 31) % 50, k) for k in range(300)]
+    df = spark.createDataFrame(rows, "g int, v int, id int").repartition(4)
+    out = positions(df, ["v", "id"]).collect()
+    assert [r.id for r in sorted(out, key=lambda r: r.position)] == [r[2] for r in sorted(rows, key=lambda r: r[1:])]
+    for g in (None, 0, 1, 2):
+        mine = sorted((r for r in positions(df, ["v"], ["g"], "p").collect() if r.g == g), key=lambda r: r.p)
+        assert [r.p for r in mine] == list(range(len(mine))) and [r.v for r in mine] == sorted(r[1] for r in rows if r[0] == g)
+    assert positions(df.limit(0), ["v"]).collect() == []
