@@ -31,7 +31,7 @@ def running_counts(long: DataFrame, by: list[str] = ("feature",), population: st
 def profile(df: DataFrame, numeric: list[str], text: list[str], by: list[str] = (), population: str = "population") -> tuple[DataFrame, DataFrame]:
     """Counts by value of all features in one pass over ``df``: the written counts (by, feature, value, na, nb) of the numeric ones, without
     null and NaN, and those of the categorical ones, where null is a value."""
-    one = lambda c, kind: F.struct(F.lit(c).alias("feature"), F.lit(kind).alias("kind"), (F.col(c).cast("double") if kind == "number" else F.lit(None).cast("double")).alias("number"), (F.col(c).cast("string") if kind == "text" else F.lit(None).cast("string")).alias("text"))
+    one = lambda c, kind: F.struct(F.lit(c).alias("feature"), F.lit(kind).alias("kind"), (F.col(f"`{c}`").cast("double") if kind == "number" else F.lit(None).cast("double")).alias("number"), (F.col(f"`{c}`").cast("string") if kind == "text" else F.lit(None).cast("string")).alias("text"))
     values = F.explode(F.array(*(one(c, "number") for c in numeric), *(one(c, "text") for c in text)))
     rows = df.select(*by, population, values.alias("v")).select(*by, population, "v.*").where("kind = 'text' or number is not null and not isnan(number)")
     counts = written(rows.groupBy(*by, "feature", "kind", "number", "text").agg(F.count_if(F.col(population) == "a").alias("na"), F.count_if(F.col(population) == "b").alias("nb")), "profile")

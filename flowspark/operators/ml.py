@@ -5,7 +5,9 @@ from __future__ import annotations
 import itertools
 import json
 import random
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -13,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import if_small, written
 from . import evaluate
 
 
@@ -52,8 +55,8 @@ def deal(df: DataFrame, by: str, key: Column, name: str = "place", size: str | N
     """
     df = df.withColumns({"_d": F.md5(key), "_b": F.substring(F.md5(key), 1, 2)})
     counts = df.groupBy(by, "_b").agg(F.count("*").alias("_n"))
-    before = counts.select(by, "_b", F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(by)).alias(size or "_size"))
-    out = df.join(F.broadcast(before), [by, "_b"]).withColumn(name, F.col("_before") + F.row_number().over(Window.partitionBy(by, "_b").orderBy("_d")))
+    before = written(counts.select(by, "_b", F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(by)).alias(size or "_size")), "strata")
+    out = df.join(if_small(before, before.count()), [by, "_b"]).withColumn(name, F.col("_before") + F.row_number().over(Window.partitionBy(by, "_b").orderBy("_d")))
     return out.drop("_d", "_b", "_before", *([] if size else ["_size"]))
 
 
@@ -77,9 +80,17 @@ def temporal_folds(df: DataFrame, time: str, bounds: list[int], purge: int) -> D
     return df.withColumn("_u", F.explode(F.array(*uses))).select("*", "_u.*").drop("_u").where("role is not null")
 
 
-def out_of_fold(df: DataFrame, folds: int, stages: list, out: str = "p") -> DataFrame:
+def fitted(tasks: list, parallelism: int, spark) -> list:
+    """What each of ``tasks``, functions without arguments that fit a model, returns, in their order; up to ``parallelism`` run at a time, as
+    jobs of one session that share its executors."""
+    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(lambda task: task()), tasks))
+
+
+def out_of_fold(df: DataFrame, folds: int, stages: list, out: str = "p", parallelism: int = 1) -> DataFrame:
     """Each row scored by the model of the other folds (column ``fold``)."""
-    parts = [scored(Pipeline(stages=stages).fit(df.where(F.col("fold") != k)), df.where(F.col("fold") == k), out) for k in range(folds)]
+    tasks = [lambda k=k: Pipeline(stages=[s.copy() for s in stages]).fit(df.where(F.col("fold") != k)) for k in range(folds)]
+    parts = [scored(model, df.where(F.col("fold") == k), out) for k, model in enumerate(fitted(tasks, parallelism, df.sparkSession))]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -143,23 +154,36 @@ def draw_candidates(space: dict[str, list], n: int, seed: int) -> list[dict]:
     return [dict(zip(space, c, strict=True)) for c in chosen]
 
 
-def search(df: DataFrame, numeric: list[str], candidates: list[dict], label: str = "label", folds: int = 3) -> DataFrame:
+def search(df: DataFrame, numeric: list[str], candidates: list[dict], label: str = "label", folds: int = 3, parallelism: int = 4) -> DataFrame:
     """(candidate, its settings, mean of six metrics over the folds): precision, recall, F1, specificity, ROC-AUC and
-    average precision of forests at one half.  ``df`` has a column ``fold``.  What all candidates' models score is counted
-    in one job."""
-    every, settings = None, []
+    average precision of forests at one half.  ``df`` has a column ``fold``.  All fits of all candidates and folds share one pool
+    of ``parallelism`` jobs and one assembled table, which is released at the end; what their models score is counted in one job."""
+    every, settings, spark = None, [], df.sparkSession
     assemble = VectorAssembler(inputCols=numeric, outputCol="features", handleInvalid="error")
     ready = assemble.transform(df).select("fold", label, "features").persist()
-    for i, c in enumerate(candidates):
+
+    def fit(c: dict, k: int) -> PipelineModel:
         rf = forest(seed=42, labelCol=label)
-        for k, v in c.items():
-            rf.set(rf.getParam(k), v)
-        part = out_of_fold(ready, folds, [rf]).select("fold", label, "p", F.lit(f"c{i:02d}").alias("candidate"))
+        for name, v in c.items():
+            rf.set(rf.getParam(name), v)
+        return Pipeline(stages=[rf]).fit(ready.where(F.col("fold") != k))
+
+    ready.count()  # held before the jobs that share it begin
+    uses = [(i, k) for i in range(len(candidates)) for k in range(folds)]
+    models = fitted([lambda i=i, k=k: fit(candidates[i], k) for i, k in uses], parallelism, spark)
+    for (i, k), model in zip(uses, models, strict=True):
+        part = scored(model, ready.where(F.col("fold") == k)).select("fold", label, "p", F.lit(f"c{i:02d}").alias("candidate"))
         every = part if every is None else every.unionByName(part)
-        settings.append((f"c{i:02d}", json.dumps(c, sort_keys=True)))
+    settings = [(f"c{i:02d}", json.dumps(c, sort_keys=True)) for i, c in enumerate(candidates)]
+    # counted by score and decision and written, so that the assembled table can go
     by = ["candidate", "fold"]
-    rates = evaluate.confusion(every.withColumn("predicted", (F.col("p") > 0.5).cast("int")), by, label=label)
-    both = rates.join(evaluate.ranking(evaluate.score_counts(every, by, label=label, score="p", decimals=6), by), by)
+    counts = evaluate.score_counts(every.withColumn("hit", F.col("p") > 0.5), [*by, "hit"], label=label, score="p", decimals=6)
+    counts = written(counts, "search-scores")
+    ready.unpersist()
+    some = lambda side, hit: F.coalesce(F.sum(F.when(F.col("hit") == hit, F.col(side))), F.lit(0))
+    rates = evaluate.rates(counts.groupBy(*by).agg(some("neg", False).alias("tn"), some("neg", True).alias("fp"), some("pos", False).alias("fn"), some("pos", True).alias("tp")))
+    per_score = counts.groupBy(*by, "s").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    both = rates.join(evaluate.ranking(per_score, by), by)
     means = both.groupBy("candidate").agg(*(F.avg(x).alias(x) for x in ("precision", "recall", "f1", "specificity", "fpr", "roc_auc", "average_precision")))
     return means.join(F.broadcast(df.sparkSession.createDataFrame(settings, "candidate string, settings string")), "candidate")  # a row a candidate
 

@@ -10,14 +10,18 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
-from ..operators import ml
+from ..functions.tables import shared_folder, written
+from ..operators import contract as ct
+from ..operators import drift, ml
 from ..operators import evaluate as ev
 from ..operators.evaluate import confusion, ranking, score_counts
-from ..operators.features import causal, flow_features
+from ..operators.prefix import running_sums
 from ..sources.adapters import LI, flows_li, table
-from ..sources.files import shared_folder
+from . import tables
 
 NUMERIC, CATEGORICAL = ["bytes", "packets"], ["kind"]
+#: All numeric columns of `data` but the label.
+EVERY = ["src", "t", "bytes", "packets", "score", "score_b"]
 
 
 def data(spark, sf_dir):
@@ -140,6 +144,8 @@ def temporal_oof(spark, sf_dir):
         d = folds.where(F.col("fold") == k)
         part = ml.scored(fit(d.where("role = 'train'"), ml.logistic(labelCol="label"), ["score"], []), d.where("role = 'predict'"))
         every = part if every is None else every.unionByName(part)
+    # what the folds asked for is what was scored
+    ml.check_coverage(folds.where("role = 'predict'"), every, ["fold", "okey", "pkey", "src", "t"])
     return every.groupBy("fold").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.avg("p").alias("mean_p"))
 
 
@@ -166,8 +172,8 @@ def rf_search(spark, sf_dir):
     """Twelve candidates drawn from the distributions of forests, three folds, six metrics, the chosen one marked."""
     a, _ = split(spark, sf_dir)
     d = ml.stratified_folds(a, "label", F.concat_ws("-", "okey", "pkey", "bytes"), 3)
-    space = {"maxDepth": [2, 3, 4, 5], "minInstancesPerNode": [1, 2, 4, 8], "featureSubsetStrategy": ["sqrt", "log2", "0.5"], "subsamplingRate": [1.0, 0.8], "numTrees": [3]}
-    out = ml.search(d, ["score", "bytes"], ml.draw_candidates(space, 12, 42))
+    space = {"maxDepth": [6, 12, 20, 30], "minInstancesPerNode": [5, 20, 50, 200], "featureSubsetStrategy": ["sqrt", "log2", "0.5"], "subsamplingRate": [1.0, 0.8], "numTrees": [5]}
+    out = ml.search(d, EVERY, ml.draw_candidates(space, 12, 42), parallelism=6)
     return ml.select_candidate(out)
 
 
@@ -177,19 +183,47 @@ def feature_importance(spark, sf_dir):
     return ml.importances(model.stages[-1], ["score", "bytes", "packets"], spark, 3)
 
 
+def metered(spark, sf_dir):
+    """Flows with all 128 features, and a label that follows a baseline column and how busy the source is; two periods."""
+    d = tables.metered(spark, sf_dir)
+    # a vector's parts have names without the marks of a column's path
+    names = {c: f"f{i}" for i, c in enumerate(ct.MODEL)}
+    busy = F.col(f"`{ct.BASELINE[0]}`") + 20 * F.col("src_conn_60s") + 10 * F.col("dst_conn_60s")
+    d = d.select("source_row_id", F.unix_seconds(F.col("timestamp").cast("timestamp")).alias("t"), (busy > 900).cast("int").alias("label"), *(F.col(f"`{c}`").cast("double").alias(n) for c, n in names.items()))
+    return written(d, "metered"), names
+
+
+def forest_of(rows, columns):
+    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), ml.forest(10, 6, labelCol="label")]).fit(rows)
+
+
 def ablation(spark, sf_dir):
-    """The same forest with and without window features."""
-    few = [f for f in flow_features() if f.name in ("src_conn_60s", "src_bytes_60s", "src_tcp_ratio_60s")]
-    d = causal(flows_li(spark, sf_dir), few)
+    """The same forest over the 76 baseline features and over all 128."""
+    d, names = metered(spark, sf_dir)
     a, b = d.where("t < 11000"), d.where("t >= 11000")
+    variants = {"baseline_76": [names[c] for c in ct.BASELINE], "context_128": list(names.values())}
+    models = ml.fitted([lambda c=c: forest_of(a, c) for c in variants.values()], 2, spark)
     every = None
-    for name, columns in (("baseline", ["bytes", "packets", "score"]), ("context", ["bytes", "packets", "score", *(f.name for f in few)])):
-        model = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), ml.forest(5, 5, labelCol="label")]).fit(a)
+    for name, model in zip(variants, models, strict=True):
         part = quality(ml.scored(model, b)).withColumn("variant", F.lit(name))
         every = part if every is None else every.unionByName(part)
     return every
 
 
+def model_drift(spark, sf_dir):
+    """The ten features that a forest over all 128 ranks first, and how far each has moved from the period it learnt from to the next."""
+    d, names = metered(spark, sf_dir)
+    model = forest_of(d.where("t < 11000"), list(names.values()))
+    top = ml.importances(model.stages[-1], list(names.values()), spark, 10)
+    chosen = [r.feature for r in top.collect()]  # ten names
+    periods = d.withColumn("population", F.when(F.col("t") < 11_000, "a").otherwise("b"))
+    numbers, _ = drift.profile(periods, chosen, [])
+    run = running_sums(numbers, ["feature"], "value", ["na", "nb"])
+    moved = drift.stability_index(run).join(drift.ks_of(run), "feature")
+    said = F.create_map(*(F.lit(x) for c, n in names.items() for x in (n, c)))
+    return top.join(moved, "feature").select("rank", said[F.col("feature")].alias("feature"), "importance", "psi", "ks")
+
+
 def reload_check(spark, sf_dir):
     """A saved and reloaded model scores alike."""
     a, b = split(spark, sf_dir)
@@ -204,7 +238,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         stratified_split, stratified_folds, temporal_folds, sample_weights, unknown_categories, unknown_pairs, majority_baseline, select_candidate, ml_prepare, lr_train, rf_train, score_model, oof_scores, temporal_oof, stacker, weight_sweep,
-        rf_search, feature_importance, ablation, reload_check,
+        rf_search, feature_importance, ablation, model_drift, reload_check,
     )
 }
 ROLE = " union all ".join(f"select {k} fold, case when t < {lo - PURGE} then 'train' when t < {lo} then 'purge' when t < {hi} then 'predict' end \"role\", t from li" for k, (lo, hi) in enumerate(zip(BOUNDS[:-1], BOUNDS[1:], strict=True)))

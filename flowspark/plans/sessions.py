@@ -216,13 +216,15 @@ def category_incident_metrics(spark, sf_dir):
 
 
 def fp_rows(spark, sf_dir):
-    return inc.policy_sessions(alerting(spark, sf_dir).where("label = 0"), {"A": ["src", "dst"], "B": ["src", "dst", "dport"]}, [30])
+    return inc.policy_sessions(alerting(spark, sf_dir).where("label = 0"), POLICIES, [30])
 
 
 def fp_patterns(spark, sf_dir):
     """The 20 keys with most false alerts of each policy, with their service, cumulative share and dominance."""
     rows = fp_rows(spark, sf_dir).select("policy", F.array_join("key", "|").alias("pattern"))
-    service = F.concat(F.lit("*/"), F.when(F.col("policy") == "A", "*").otherwise(F.substring_index("pattern", "|", -1)))
+    part = F.split("pattern", "[|]")
+    # what of protocol and port a policy's key holds
+    service = F.concat(F.when(F.col("policy") == "C", F.get(part, F.lit(3))).otherwise("*"), F.lit("/"), F.when(F.col("policy") == "A", "*").otherwise(F.get(part, F.lit(2))))
     return all_rounded(po.top_patterns(rows, "policy")).withColumn("service", service)
 
 
@@ -349,10 +351,10 @@ SQL = {
     "promotion_effect": f"with {EFFECT} select * from eff",
     "category_incident_metrics": f"""with {LOW_SQL} select category, sum(flows)::bigint attack_flows, sum(hits)::bigint detected_flows, count(*) "references", count(*) filter (hits > 0) detected, count(*) filter (top >= 0.9) promoted, round(sum(hits) / sum(flows)::double, 6) flow_recall,
         round(count(*) filter (hits > 0) / count(*)::double, 6) recall, count(*) - count(*) filter (top >= 0.9) promoted_missed, round(count(*) filter (top >= 0.9) / count(*)::double, 6) promoted_recall, count(*) >= 20 sufficient_ground_truth from lrf group by all""",
-    "fp_patterns": f"""with {LI}, f as (select policy, case policy when 'A' then src || '|' || dst else src || '|' || dst || '|' || dport end pattern, count(*) flows from li, (values ('A'), ('B')) p(policy) where score >= 0.4 and "label" = 0 group by all),
+    "fp_patterns": f"""with {LI}, f as (select policy, case policy when 'A' then src || '|' || dst when 'B' then src || '|' || dst || '|' || dport else src || '|' || dst || '|' || dport || '|' || proto end pattern, count(*) flows from li, (values ('A'), ('B'), ('C')) p(policy) where score >= 0.4 and "label" = 0 group by all),
         r as (select *, (row_number() over (partition by policy order by flows desc, pattern))::int "rank", sum(flows) over (partition by policy) total, max(flows) over (partition by policy) most,
         (sum(flows) over (partition by policy order by flows desc, pattern rows between unbounded preceding and current row))::bigint cumulative from f)
-        select policy, pattern, flows, "rank", cumulative, round(cumulative / total::double, 6) cumulative_share, 2 * most >= total one_dominates, case policy when 'A' then '*/*' else '*/' || split_part(pattern, '|', 3) end service from r where "rank" <= 20""",
+        select policy, pattern, flows, "rank", cumulative, round(cumulative / total::double, 6) cumulative_share, 2 * most >= total one_dominates, case policy when 'A' then '*/*' when 'B' then '*/' || split_part(pattern, '|', 3) else split_part(pattern, '|', 4) || '/' || split_part(pattern, '|', 3) end service from r where "rank" <= 20""",
     "pure_fp_patterns": f"""with {SES}, f as (select unnest(case when promoted then ['aggregated', 'promoted'] else ['aggregated'] end) stage, src || '|' || dst || '|' || dport pattern, flows from inc where attack_flows = 0),
         g as (select stage, pattern, count(*) incidents, sum(flows)::bigint flows from f group by all), r as (select *, (row_number() over (partition by stage order by flows desc, incidents desc, pattern))::int "rank",
         sum(incidents) over (partition by stage) ti, sum(flows) over (partition by stage) tf from g)

@@ -253,3 +253,28 @@ def test_positions(spark):
         mine = sorted((r for r in positions(df, ["v"], ["g"], "p").collect() if r.g == g), key=lambda r: r.p)
         assert [r.p for r in mine] == list(range(len(mine))) and [r.v for r in mine] == sorted(r[1] for r in rows if r[0] == g)
     assert positions(df.limit(0), ["v"]).collect() == []
+
+
+def test_fits_run_side_by_side(spark):
+    """Tasks of one pool overlap, results keep their order, and a search gives what its folds one by one give."""
+    import threading
+    import time
+
+    now, most, lock = [0], [0], threading.Lock()
+
+    def task(k):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.2)
+        with lock:
+            now[0] -= 1
+        return k
+
+    assert ml.fitted([lambda k=k: task(k) for k in range(8)], 4, spark) == list(range(8)) and most[0] == 4
+    d = spark.range(400).selectExpr("id", "int(id % 3) fold", "double(id % 40) x", "double(id % 7) z", "int(id % 40 > 25) label")
+    candidates = [{"maxDepth": 3, "numTrees": 2}, {"maxDepth": 12, "numTrees": 2}]
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    out = {r.candidate: r for r in ml.search(d, ["x", "z"], candidates, parallelism=3).collect()}
+    assert set(out) == {"c00", "c01"} and all(r.recall > 0.9 and r.roc_auc > 0.95 for r in out.values())
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
