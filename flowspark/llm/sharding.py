@@ -8,7 +8,7 @@ names its manifest and the table's columns; it is written aside and then put und
 that fails if that number exists.  That step is the commit: of two writers of one version one gets
 `Conflict`, and readers see the old version or the new one, never half of one.
 
-No commit changes or removes a data file.  `vacuum` drops what no manifest of the last versions names
+No commit changes or removes a data file.  Readers open the folders of live shards only.  `vacuum` drops, shard by shard, what no manifest of the last versions names
 and has not been touched for ``older_than`` seconds: an arrival or compaction that is being written is younger, so it must
 be longer than any write takes (0 only for the only writer).  A commit whose files are gone all the same is refused.
 
@@ -34,7 +34,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import if_small
 
 MANIFEST = "run string, shard int, tier int, n_rows long, n_bytes long, added long"
 MANIFEST_COLUMNS = [c.split()[0] for c in MANIFEST.split(", ")]
@@ -98,13 +97,19 @@ class ShardedTable:
     def _rows(self, shards: DataFrame, schema: T.StructType) -> DataFrame:
         """Columns c0, c1, ... and n_bytes, run and shard, and a digest of each row's place (``at``)."""
         stored = T.StructType([*(T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema)), T.StructField("n_bytes", T.LongType()), T.StructField("run", T.StringType()), T.StructField("shard", T.IntegerType())])
-        runs = [r.run for r in shards.select("run").distinct().collect()]
-        if not runs:
+        alive = self._shards(shards)
+        if not alive:
             return self.spark.createDataFrame([], T.StructType([*stored, T.StructField("at", T.LongType())]))
-        files = self.spark.read.schema(stored).option("basePath", f"{self.path}/data").parquet(*(f"{self.path}/data/run={r}" for r in runs))
-        files = files.select("*", F.xxhash64("run", "shard", F.col("_metadata.file_name"), F.col("_metadata.row_index")).alias("at"))
-        named = shards.select("run", "shard")
-        return files.join(if_small(named, named.count()), ["run", "shard"], "left_semi")
+        files = self.spark.read.schema(stored).option("basePath", f"{self.path}/data").parquet(*(f"{self.path}/data/run={run}/shard={k}" for run, ks in alive.items() for k in sorted(ks)))
+        return files.select("*", F.xxhash64("run", "shard", F.col("_metadata.file_name"), F.col("_metadata.row_index")).alias("at"))
+
+    @staticmethod
+    def _shards(manifest: DataFrame) -> dict[str, set[int]]:
+        """The shards of each run that a manifest names: names only, some hundreds of thousands for a table of 100 TB."""
+        out: dict[str, set[int]] = {}
+        for r in manifest.select("run", "shard").collect():
+            out.setdefault(r.run, set()).add(r.shard)
+        return out
 
     # -- writes
 
@@ -131,16 +136,27 @@ class ShardedTable:
         return self._commit(self.manifest().join(merged, ["run", "shard"], "left_anti"), new, version, schema)
 
     def vacuum(self, keep: int = 2, older_than: float = DAY) -> int:
-        """Remove versions before the last ``keep``, and data and manifests that none of those names and that are
-        ``older_than`` seconds old; returns how many."""
+        """Remove versions before the last ``keep``, and shards and manifests that none of those names and that are
+        ``older_than`` seconds old; returns how many folders."""
         versions = self.versions()
         for v in versions[:-keep]:
             self._fs.delete(self._path(f"{self.path}/versions/v{v:08d}"), True)
         last = versions[-keep:]
-        named = {f"run={r.run}" for v in last for r in self.manifest(v).select("run").distinct().collect()} | {self._said(v)["manifest"] for v in last}
+        alive: dict[str, set[int]] = {}
+        for v in last:
+            for run, shards in self._shards(self.manifest(v)).items():
+                alive.setdefault(run, set()).update(shards)
+        manifests = {self._said(v)["manifest"] for v in last}
         before, gone = self.spark._jvm.java.lang.System.currentTimeMillis() - 1000 * older_than, 0
-        for s in [*self._list("data"), *self._list("manifests")]:
-            if s.getPath().getName() not in named and s.getModificationTime() <= before:
+        dead = [s for s in self._list("manifests") if s.getPath().getName() not in manifests]
+        for run in self._list("data"):
+            name = run.getPath().getName()
+            if named := alive.get(name.removeprefix("run=")):
+                dead += [s for s in self._list(f"data/{name}") if s.getPath().getName().startswith("shard=") and int(s.getPath().getName()[6:]) not in named]
+            else:
+                dead.append(run)
+        for s in dead:
+            if s.getModificationTime() <= before:
                 self._fs.delete(s.getPath(), True)
                 gone += 1
         return gone
@@ -162,9 +178,10 @@ class ShardedTable:
         if new is not None:
             every = every.unionByName(new)
         every.coalesce(1).write.parquet(f"{self.path}/manifests/{name}")
-        for r in self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifests/{name}").select("run").distinct().collect():
-            if not self._fs.exists(self._path(f"{self.path}/data/run={r.run}")):
-                raise Conflict(f"the files of run {r.run} are gone")
+        for run, shards in self._shards(self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifests/{name}")).items():
+            there = {s.getPath().getName() for s in self._list(f"data/run={run}")}
+            if not {f"shard={k}" for k in shards} <= there:
+                raise Conflict(f"files of run {run} are gone")
         aside, to = self._path(f"{self.path}/versions/.{name}"), self._path(f"{self.path}/versions/v{version:08d}")
         stream = self._fs.create(aside, False)
         stream.write(bytearray(json.dumps({"manifest": name, "columns": schema.jsonValue()}).encode()))

@@ -158,3 +158,19 @@ def test_every_document_is_in_one_shard(spark, name):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert out.count() == docs.count() == out.join(docs, "doc_id").count()
     assert out.groupBy("added", "shard").agg(F.sum("n_bytes").alias("b"), F.first("shard_bytes").alias("s")).where("b <> s").count() == 0
+
+
+def test_dead_shards_of_a_living_run_go(spark, tmp_path):
+    """A compaction that takes some shards of a run: the others stay, what it took is vacuumed, and only live folders are read."""
+    import os
+
+    table = sharding.ShardedTable(spark, str(tmp_path / "t"), F.octet_length("text"), target=40_000, fan=3)
+    small, large = [(k, "x" * 50) for k in range(3)], [(9, "y" * 30_000)]
+    table.append(spark.createDataFrame(small + large, "id long, text string").repartitionByRange(4, "id"))
+    run = table.manifest().first().run
+    table.compact()
+    before = {s.shard for s in table.manifest().where(F.col("run") == run).collect()}
+    assert len(before) == 1 and table.vacuum(keep=1, older_than=0) >= 3
+    left = {d for d in os.listdir(tmp_path / "t" / "data" / f"run={run}") if d.startswith("shard=")}
+    assert left == {f"shard={k}" for k in before}
+    assert sorted((r.id, len(r.text)) for r in table.read().collect()) == [(0, 50), (1, 50), (2, 50), (9, 30_000)]
