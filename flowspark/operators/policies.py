@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import n_if
+from ..functions.tables import written
 from .incidents import gap_sessions, policy_sessions
 from .prefix import quantiles_of, running_sums
 
@@ -38,8 +39,12 @@ def policy_categories(flows: DataFrame, policies: dict[str, list[str]], gaps: li
 def policy_grid(flows: DataFrame, policies: dict[str, list[str]], gaps: list[int], alert: float, capture: DataFrame, score: str = "score") -> DataFrame:
     """One row a policy and gap: volume, sizes, absorption of normal alerts, compression, recall and hourly rates.
     ``capture``: one row of flows and hours."""
+    # what the grid looks at, read once: alerts and attacks, with the columns of some policy's key
+    used = list(dict.fromkeys([*(k for keys in policies.values() for k in keys), "t", "label", score]))
+    flows = written(flows.where((F.col(score) >= alert) | (F.col("label") == 1)).select(*used), "grid-rows")
     alerts, by = flows.where(F.col(score) >= alert), ["policy", "gap"]
     per = policy_sessions(alerts, policies, gaps).groupBy(*by, "key", "session").agg(F.count("*").alias("n"), F.sum("label").alias("attack"), (F.max("t") - F.min("t")).alias("took"))
+    per = written(per.drop("key", "session"), "grid-sessions")
     in_mixed = lambda c: F.sum(F.when(F.expr("attack > 0 and attack < n"), F.expr(c)).otherwise(0))
     out = per.groupBy(*by).agg(
         F.sum("n").alias("alerts"), F.sum(F.expr("n - attack")).alias("normal_alerts"), F.sum("attack").alias("attack_alerts"), F.count("*").alias("incidents"), n_if("attack > 0").alias("true_incidents"),

@@ -60,3 +60,17 @@ def order_of_time(rows: DataFrame, time: str, file: str, row: str, piece: int =
     ends = per.withColumn("_edge", (F.col("first") < F.lag("last").over(Window.orderBy(file, "_p"))).cast("long"))
     total = ends.agg(F.sum("invalid").alias("invalid"), (F.coalesce(F.sum("back"), F.lit(0)) + F.coalesce(F.sum("_edge"), F.lit(0))).alias("reversals"))
     return total.withColumn("is_sorted", F.col("reversals") == 0)
+
+
+def distinct_sketches(df: DataFrame, period: Column, columns: list[str], lg: int = 12) -> DataFrame:
+    """(period, column, sketch): mergeable counts of distinct values, 2^lg cells each, of each period and column, in one pass.  Kept as a table they
+    answer for any span of periods without the rows (`distinct_estimates`); the relative standard error is about 1.04 / sqrt(2^lg), 1.6 % at
+    12.  Nulls are no value.  The exact way is ``count_distinct`` over the rows."""
+    made = df.groupBy(period.alias("period")).agg(*(F.hll_sketch_agg(F.col(c).cast("string"), F.lit(lg)).alias(f"_{i}") for i, c in enumerate(columns)))
+    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"_{i}").alias("sketch")) for i, c in enumerate(columns)))
+    return made.select("period", F.explode(pairs).alias("x")).select("period", "x.*")
+
+
+def distinct_estimates(sketches: DataFrame, span: Column) -> DataFrame:
+    """(span, column, estimate): distinct values of several periods together, from their sketches."""
+    return sketches.groupBy(span.alias("span"), "column").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
+from ..functions.tables import written
 from ..operators import align as al
 from ..operators import contract as ct
 from ..operators import profile as pf
@@ -211,6 +212,17 @@ def cardinality(spark, sf_dir):
     return d.agg(F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("destinations"), F.count_distinct("proto").alias("protocols"), F.count_distinct(F.floor(F.col("t") / 1_000_000)).alias("seconds"), F.round(F.count_distinct("id") / F.count("*"), 6).alias("id_unique_share"))
 
 
+def weekly_cardinality(spark, sf_dir):
+    """Sources, destinations and events of each week, exactly, and whether the estimates from daily sketches are within five standard errors."""
+    d, columns = flows_ev(spark, sf_dir).withColumn("day", F.to_date("ts")), ["src", "dst", "id"]
+    week = lambda day: F.date_trunc("week", day).cast("date").cast("string")
+    daily = written(pf.distinct_sketches(d, F.col("day"), columns), "sketches")
+    exact = d.groupBy(week(F.col("day")).alias("week")).agg(*(F.count_distinct(c).alias(c) for c in columns)).unpivot(["week"], columns, "column", "exact")
+    told = pf.distinct_estimates(daily, week(F.col("period"))).withColumnRenamed("span", "week")
+    near = F.abs(F.col("estimate") - F.col("exact")) <= 1 + 5 * 1.04 / 64 * F.col("exact")
+    return exact.join(told, ["week", "column"], "left").select("week", "column", "exact", F.coalesce(near, F.lit(False)).alias("near"))
+
+
 def label_distribution(spark, sf_dir):
     return pf.distribution(with_gaps(spark, sf_dir), F.coalesce(F.trim("event_type"), F.lit("<MISSING>")), "label")
 
@@ -309,7 +321,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         validate_rows, validation_report, route_by_day, split_by_day, output_check, target_distribution, model_table, parquet_row_id, dup_rank, row_fingerprint, align_tables, unmatched_rows, dup_stats, left_complete, feature_parity, score_parity, incident_parity,
-        profile_missing, profile_infinite, profile_duplicates, profile_constant, value_distribution, target_crosstab, describe_numeric, describe_categorical, cardinality, label_distribution, daily_profile, host_overlap,
+        profile_missing, profile_infinite, profile_duplicates, profile_constant, value_distribution, target_crosstab, describe_numeric, describe_categorical, cardinality, weekly_cardinality, label_distribution, daily_profile, host_overlap,
         time_quality, time_gaps, category_set_diff, combined_distribution, companion_match, top_k, set_ops,
     )
 } | {"left_complete_whole": left_complete, "host_overlap_days": host_overlap, "category_set_diff_whole": category_set_diff}  # the names of round 1
@@ -370,6 +382,8 @@ SQL = {
     "describe_categorical": """with u as (select 'l_returnflag' "column", l_returnflag v, count(*) n from lineitem group by all union all select 'l_linestatus', l_linestatus, count(*) from lineitem group by all)
         select "column", sum(n)::bigint n, count(*) uniques, arg_max(v, (n, v)) top, max(n) freq from u group by all""",
     "cardinality": f"with {EV} select count(distinct src) sources, count(distinct dst) destinations, count(distinct proto) protocols, count(distinct t // 1000000) \"seconds\", round(count(distinct id) / count(*)::double, 6) id_unique_share from ev",
+    "weekly_cardinality": f"""with {EV}, w as (select strftime(date_trunc('week', ts), '%Y-%m-%d') "week", count(distinct src) s, count(distinct dst) d, count(distinct id) i from ev group by all)
+        select "week", unnest(['src', 'dst', 'id']) "column", unnest([s, d, i]) exact, true near from w""",
     "label_distribution": f"with {GAPS} select coalesce(trim(event_type), '<MISSING>') \"label\", count(*) n, round(100 * count(*) / (select count(*) from g)::double, 4) \"percent\" from g group by all",
     "daily_profile": f"with {EV} select strftime(ts, '%Y-%m-%d') \"day\", count(*) \"rows\", count(*) filter (dst = 'error') errors, count(distinct src) sources, count(distinct src) filter (dst = 'error') error_sources from ev group by all",
     "host_overlap": f"""with {EV}, d as (select ts::date::varchar d, src::varchar src, dst::varchar dst from ev), h as (select d, 'src' k, src h from d union select d, 'dst', dst from d union select d, 'any', src from d union select d, 'any', dst from d),

@@ -278,3 +278,16 @@ def test_fits_run_side_by_side(spark):
     out = {r.candidate: r for r in ml.search(d, ["x", "z"], candidates, parallelism=3).collect()}
     assert set(out) == {"c00", "c01"} and all(r.recall > 0.9 and r.roc_auc > 0.95 for r in out.values())
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
+
+
+def test_sketches_merge_over_periods(spark):
+    """Estimates of spans from daily sketches: near the exact counts, and the same as from one sketch of the span's rows."""
+    d = spark.range(60_000).selectExpr("int(id / 5000) day", "if(id % 100 = 0, null, id * 7919 % 30000) x", "id % 3 y")
+    daily = profile.distinct_sketches(d, F.col("day"), ["x", "y"])
+    assert daily.count() == 24
+    got = {(r.span, r.column): r.estimate for r in profile.distinct_estimates(daily, F.floor(F.col("period") / 6)).collect()}
+    one = {(r.span, r.column): r.estimate for r in profile.distinct_estimates(profile.distinct_sketches(d, F.floor(F.col("day") / 6), ["x", "y"]), F.col("period")).collect()}
+    assert got == one and got[0, "y"] == got[1, "y"] == 3
+    for half in (0, 1):
+        exact = len({k * 7919 % 30000 for k in range(half * 30_000, half * 30_000 + 30_000) if k % 100})
+        assert abs(got[half, "x"] - exact) < 0.08 * exact
