@@ -44,8 +44,12 @@ from .common import U64, Words, chunks, connected_components, if_small, material
 
 #: Tokens that one region task of level 1 holds, and classes that one task of level 3 holds.
 RANGE_TOKENS = 1_000_000
+#: Bits that name a shingle within its range.
+REST_BITS = 32
 REGION_CAP = 512
 PIVOTS = 8
+#: Sets that meet each other without bounds of their own.
+FEW = 32
 #: Times that a region is dealt into cells of cells.
 LEVELS = 4
 
@@ -117,7 +121,7 @@ def _dealt(docs: DataFrame, text_col: str, size: int, ranges: int, salt: int) ->
                 keys, sets = np.array(list(by_key), np.int64), list(by_key.values())
                 doc = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
                 h = np.concatenate(sets)
-                yield pa.RecordBatch.from_pydict(packed(h % U64(ranges), keys, doc, {"rest": (h >> U64(32)).astype(np.uint32)}))
+                yield pa.RecordBatch.from_pydict(packed(h % U64(ranges), keys, doc, {"rest": (h >> U64(64 - REST_BITS)).astype(np.uint32)}))
 
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "r long, keys binary, counts binary, rest binary")
 
@@ -147,21 +151,27 @@ def unpacked(rows: pd.DataFrame, **types) -> tuple[np.ndarray, ...]:
 
 
 def _shared(rows: pd.DataFrame, groups: int) -> dict:
-    """Of one range: entries whose shingle is in two classes or more, by group of classes."""
+    """Of one range: entries whose shingle is in two classes or more, by group of classes.  Where shingles of one
+    set share a name, all but one come as entries of level 0, which the windows of the set count."""
     keys, rest = unpacked(rows, rest=np.uint32)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) // 4 for x in rows["rest"]])
     order = np.argsort(rest, kind="stable")
     t = rest[order]
     same = t[1:] == t[:-1]
     some = order[np.r_[False, same] | np.r_[same, False]]
-    t, k = rest[some], keys[some]
-    order = np.lexsort((k, t))
-    t, k = t[order], k[order]
+    t, k, row = rest[some], keys[some], row[some]
+    order = np.lexsort((row, k, t))
+    t, k, row = t[order], k[order], row[order]
     once = np.r_[True, (t[1:] != t[:-1]) | (k[1:] != k[:-1])] if len(t) else np.zeros(0, bool)
+    # copies of a class come in other rows; in one row a name met again is another shingle of the set
+    again = ~once & (row == row[once][np.cumsum(once) - 1])
+    again_t, again_k = t[again], k[again]
     t, k = t[once], k[once]
     heads = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.zeros(0, np.int64)
     df = np.repeat(np.diff(np.r_[heads, len(t)]), np.diff(np.r_[heads, len(t)]))
     t, k, df = t[df > 1], k[df > 1], df[df > 1]
     level = np.minimum(255, np.ceil(8 * np.log2(np.maximum(df, 1)))).astype(np.uint8)
+    t, k, level = np.r_[t, again_t], np.r_[k, again_k], np.r_[level, np.zeros(len(again_t), np.uint8)]
     classes, doc = np.unique(k, return_inverse=True)
     return packed(classes[doc] % groups, classes, doc, {"rest": t, "level": level})
 
@@ -183,21 +193,26 @@ def candidate_edges(docs: DataFrame, classes: DataFrame, text_col: str, size: in
         r = np.concatenate([np.full(len(x) // 4, v, np.int64) for v, x in zip(rows["r"], rows["rest"], strict=True)])
         known = known.sort_values("key")
         at = known["key"].to_numpy().searchsorted(keys)
+        lost = np.bincount(at[level == 0], minlength=len(known))  # shingles without a name of their own
         order = np.lexsort((rest, r, level, at))
+        order = order[level[order] > 0]
+        if not len(order):
+            return empty
         at, r, rest = at[order], r[order], rest[order]
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         count = np.diff(np.r_[first, len(at)])
         n = known["n"].to_numpy()[at[first]]
-        # 1 more than the bound: room for two shingles of one set that agree in range and rest
-        window = n - (percent * n + 99) // 100 + 2 - (n - count)
+        alone = n - lost[at[first]] - count  # names that no other class has come first
+        # a name for two shingles shortens the set and the overlap that it needs alike
+        window = n - (percent * n + 99) // 100 + 1 - alone
         rank = np.arange(len(at)) - np.repeat(first, count)
         use = rank < np.repeat(np.minimum(window, count), count)
         if not use.any():
             return empty
         all_n = known["n"].to_numpy()
-        # the largest partner: the overlap is at most what is left from here on (1 more, as above)
-        size_, place = np.repeat(n, count), np.repeat(n - count, count) + rank
-        reach = (size_ - place + 1) * (100 + percent) // percent - size_
+        # the largest partner: the overlap is at most what is left from here on
+        size_, place = np.repeat(n, count), np.repeat(alone, count) + rank
+        reach = (size_ - place) * (100 + percent) // percent - size_
         out = pa.table(packed(r[use].astype(U64), known["key"].to_numpy(), at[use], {"rest": rest[use], "reach": reach[use].astype(np.int32)})).to_pandas()
         out["n"] = [all_n[known["key"].to_numpy().searchsorted(np.frombuffer(k, np.int64))].tobytes() for k in out["keys"]]
         return out
@@ -239,6 +254,7 @@ def region_links(sets: list[np.ndarray], start: np.ndarray, percent: int, first:
     epsilon = 1 - percent / 100
     known: list[np.ndarray] = []
     far = np.full((first, k), np.nan)
+    near = _near_sets(tokens, doc, n, percent) if k - first > FEW else None
     for p in range(k):
         if p >= first:
             may = np.zeros(k, bool)
@@ -246,8 +262,17 @@ def region_links(sets: list[np.ndarray], start: np.ndarray, percent: int, first:
             may &= (comp != comp[p]) & (100 * np.minimum(n, n[p]) >= percent * np.maximum(n, n[p]))
             for d in known:
                 may &= ~(np.abs(d - d[p]) > epsilon + 1e-9)
+            if near is not None and may.any():
+                may &= near(p)
             if not may.any():
                 continue
+            if len(known) == PIVOTS and (some := np.flatnonzero(may)).size * 8 < k:
+                both = np.concatenate([sets[q] for q in some])
+                at = np.minimum(sets[p].searchsorted(both), n[p] - 1)
+                inter = np.bincount(np.repeat(np.arange(some.size), n[some])[sets[p][at] == both], minlength=some.size)
+                joined = comp[some[100 * inter >= percent * (n[some] + n[p] - inter)]]
+                comp[np.isin(comp, joined)] = comp[p]
+                continue
         lo, hi = np.searchsorted(tokens, sets[p], "left"), np.searchsorted(tokens, sets[p], "right")
         length = hi - lo
         at = np.repeat(lo - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())
@@ -263,6 +288,33 @@ def region_links(sets: list[np.ndarray], start: np.ndarray, percent: int, first:
     return comp, far
 
 
+def _near_sets(tokens: np.ndarray, doc: np.ndarray, n: np.ndarray, percent: int):
+    """A function from a set's number to the mask of the sets that the bounds of level 1 leave it, by the order of
+    rarity among these sets alone: what all share comes last and brings no two together that need more than it."""
+    token, df = np.unique(tokens, return_inverse=True, return_counts=True)[1:]
+    order = np.lexsort((token, df[token], doc))
+    token, doc = token[order], doc[order]
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    use = place < n[doc] - (percent * n[doc] + 99) // 100 + 1
+    token, doc, place = token[use], doc[use], place[use]
+    reach = (n[doc] - place) * (100 + percent) // percent - n[doc]
+    first = np.searchsorted(doc, np.arange(len(n) + 1))
+    post = np.argsort(token, kind="stable")
+    start = np.searchsorted(token[post], np.arange(len(df) + 1))
+
+    def near(p: int) -> np.ndarray:
+        own = slice(first[p], first[p + 1])
+        lo, length = start[token[own]], start[token[own] + 1] - start[token[own]]
+        at = post[np.repeat(lo - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())]
+        other = doc[at]
+        smaller = n[p] <= n[other]
+        out = np.zeros(len(n), bool)
+        out[other[np.where(smaller, np.repeat(reach[own], length) >= n[other], reach[at] >= n[p])]] = True
+        return out
+
+    return near
+
+
 def _local(rows: pd.DataFrame, size: int, percent: int) -> pd.DataFrame:
     """Links of the regions in ``rows`` (region, key, text, comp): (a, b) by component."""
     a, b = [], []
@@ -281,7 +333,7 @@ def _local(rows: pd.DataFrame, size: int, percent: int) -> pd.DataFrame:
 
 def _cell_links(pieces: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links within (region, cell, comp, key) rows, each cell joined in one task."""
-    full = pieces.distinct().join(texts, ["region", "key"])
+    full = pieces.distinct().join(texts.drop("n"), ["region", "key"])
     return full.groupBy("region", "cell").applyInPandas(lambda rows: _local(rows, size, percent), "a long, b long")
 
 
@@ -302,13 +354,20 @@ def _sized(cells: DataFrame) -> tuple[DataFrame, int]:
     return materialize(cells.join(count, ["region", "cell"]), "jaccard-cells"), count.agg(F.sum(F.col("n_own") * F.col("n_all"))).first()[0] or 0
 
 
-def _pivot_distances(cells: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _pivot_distances(cells: DataFrame, texts: DataFrame, size: int, percent: int, level: int) -> DataFrame:
     """(region, cell, key, own, pivot, comp, hub, far): the distances of all members of each cell to its pivots, which are
-    outside members drawn by hash, and the first member (a pivot if one is) of its component within the block.
+    outside members drawn by hash, at the first level half of them the smallest sets (where a template is nearly the whole
+    of a set, they link with most others), and the first member (a pivot if one is) of its component within the block.
     ``comp`` comes in as what is known to be connected and goes out as the first comp of the component."""
-    span = Window.partitionBy("region", "cell").orderBy(F.xxhash64("key"), "key")
+    span = Window.partitionBy("region", "cell").orderBy(F.xxhash64("key", F.lit(level)), "key")
     # the smallest hashes of a sample of about 8 * PIVOTS outside members (the first level has as many as it wants)
-    some = cells.where("own").where(F.pmod(F.xxhash64("key", F.lit(7)), F.col("n_own")) < 8 * PIVOTS).withColumn("rank", F.row_number().over(span)).where(F.col("rank") <= PIVOTS)
+    some = cells.where("own").where(F.pmod(F.xxhash64("key", F.lit(level), F.lit(7)), F.col("n_own")) < 8 * PIVOTS).withColumn("rank", F.row_number().over(span)).where(F.col("rank") <= PIVOTS)
+    if not level:
+        least = Window.partitionBy("region", "cell").orderBy("n", "key")
+        small = cells.join(texts.select("region", "key", "n"), ["region", "key"]).withColumn("rank", F.row_number().over(least)).where(F.col("rank") <= PIVOTS // 2)
+        # ranks stay unlike, as all blocks must meet the pivots in one order
+        some = some.where(F.col("rank") <= PIVOTS - PIVOTS // 2).withColumn("rank", F.col("rank") + PIVOTS)
+        some = small.select(*some.columns).unionByName(some).groupBy(*cells.columns).agg(F.min("rank").alias("rank"))
     blocks = F.ceil(F.col("n_all") * 2 / REGION_CAP).cast("long")
     pivots = some.select("region", "cell", "key", "own", "comp", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "rank")
     dealt = cells.select("region", "cell", "key", "own", "comp", F.pmod(F.xxhash64("key"), blocks).alias("block"), F.lit(0).alias("rank"))
@@ -324,7 +383,7 @@ def _pivot_distances(cells: DataFrame, texts: DataFrame, size: int, percent: int
         out = rows[["region", "cell", "key", "own"]].assign(pivot=rows["rank"] > 0, comp=start[hub[comp]], hub=keys[hub[comp]])
         return out.assign(far=pd.Series(list(far.T), dtype=object, index=out.index))
 
-    full = dealt.unionByName(pivots).join(texts, ["region", "key"])
+    full = dealt.unionByName(pivots).join(texts.drop("n"), ["region", "key"])
     return full.groupBy("region", "cell", "block").applyInPandas(block, "region long, cell long, key long, own boolean, pivot boolean, comp long, hub long, far array<double>")
 
 
@@ -343,7 +402,7 @@ def _merged(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _large_regions(members: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links within regions of more classes than one task should hold; ``members``: region, key, text."""
+    """Links within regions of more classes than one task should hold; ``members``: region, key, n, text."""
     texts = materialize(members, "jaccard-large")
     every = texts.select("region", F.col("region").alias("cell"), "key", F.lit(True).alias("own"), F.col("key").alias("comp"))
     cells, cost = _sized(every)
@@ -355,14 +414,14 @@ def _large_regions(members: DataFrame, size: int, percent: int) -> DataFrame:
         more = materialize(more, name)
         links = more if links is None else links.unionByName(more)
 
-    for _ in range(LEVELS):
+    for level in range(LEVELS):
         few = (F.col("n_own") <= REGION_CAP // 2) | (F.col("n_all") <= REGION_CAP)
         if most is not None:  # at first all cells are large
             gathered(_cell_links(_in_blocks(cells.where(few)), texts, size, percent), "jaccard-cell-links")
             cells = cells.where(~few)
             if cells.isEmpty():
                 return links
-        seen = materialize(_pivot_distances(cells, texts, size, percent), "jaccard-pivots")
+        seen = materialize(_pivot_distances(cells, texts, size, percent, level), "jaccard-pivots")
         gathered(seen.where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")), "jaccard-seen-links")
         # pivots are in every block: their comps there, a few a cell, say which comps of different blocks are one
         said = seen.where("pivot").join(cells.select("region", "cell", "key", F.col("comp").alias("was")), ["region", "cell", "key"]).select("region", "was", "comp").distinct()
@@ -445,17 +504,17 @@ def _named(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int)
 
 def region_join(docs: DataFrame, classes: DataFrame, regions: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """Levels 2 and 3: links between the classes of each region, from one text a class."""
-    rep = classes.select("key", F.col("least").alias("_id"), F.col("digest").alias("_digest")).join(regions, "key")
+    rep = classes.select("key", F.col("least").alias("_id"), F.col("digest").alias("_digest"), F.col("n_shingles").alias("n")).join(regions, "key")
     rep = materialize(rep, "jaccard-reps")
     n = rep.count()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_digest(text_col).alias("digest"), F.col(text_col).cast("string").alias("text"))
-    picked = texts.join(if_small(rep, n), texts["id"].eqNullSafe(rep["_id"]) & (texts["digest"] == rep["_digest"])).select("region", "n_region", "key", "text")
+    picked = texts.join(if_small(rep, n), texts["id"].eqNullSafe(rep["_id"]) & (texts["digest"] == rep["_digest"])).select("region", "n_region", "key", "n", "text")
     # rows of one id and text come as often as they are given: one a class goes on
-    picked = picked.groupBy("region", "n_region", "key").agg(F.min("text").alias("text")).withColumns({"cell": F.lit(0).cast("long"), "comp": F.col("key")})
+    picked = picked.groupBy("region", "n_region", "key", "n").agg(F.min("text").alias("text")).withColumns({"cell": F.lit(0).cast("long"), "comp": F.col("key")})
     bins = max(16, n // 200)
     small = picked.where(F.col("n_region") <= REGION_CAP).withColumn("bin", F.pmod(F.xxhash64("region"), F.lit(bins)))
     links = materialize(small.groupBy("bin").applyInPandas(lambda part: _local(part, size, percent), "a long, b long"), "jaccard-links")
     if rep.where(F.col("n_region") > REGION_CAP).isEmpty():
         return links
-    large = picked.where(F.col("n_region") > REGION_CAP).select("region", "key", "text")
+    large = picked.where(F.col("n_region") > REGION_CAP).select("region", "key", "n", "text")
     return links.unionByName(_large_regions(large, size, percent))

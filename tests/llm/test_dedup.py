@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,9 +33,11 @@ def test_large_region_of_chained_copies(spark, monkeypatch, cap):
     assert sorted((tuple(r) for r in got), key=str) == components(rows)
 
 
-def test_region_links_tests_every_pair():
+@pytest.mark.parametrize("few", [0, 512])
+def test_region_links_tests_every_pair(monkeypatch, few):
     import numpy as np
 
+    monkeypatch.setattr(jaccard_join, "FEW", few)
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(60)]
     comp, _ = jaccard_join.region_links(sets, np.arange(60), 50)
@@ -125,6 +129,39 @@ def test_sets_that_only_a_template_joins_stay_apart(spark):
     assert sorted((tuple(r) for r in got), key=str) == components(rows)
 
 
+@pytest.mark.parametrize("bits", [1, 6])
+def test_shingles_of_one_set_that_share_a_name(spark, monkeypatch, bits):
+    """Names of few bits: a set's shingles often share one, pairs just at the threshold link all the same."""
+    monkeypatch.setattr(jaccard_join, "REST_BITS", bits)
+    rows = awkward()
+    at = [f"e{k}" for k in range(64)]  # 60 shingles in common and 10 of each one's own: 60 of 80
+    rows += [(5000 + k, " ".join([*at, *(f"x{k}.{j}" for j in range(10))]), None, None, 0) for k in range(2)]
+    rows += [(6000 + k, " ".join([f"y{k % 2}" * (k > 0), *at[::-1], *(f"x{k}.{j}" for j in range(10 + k % 2))]), None, None, 0) for k in range(3)]
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == components(rows)
+    assert len({r.component_id for r in got if 5000 <= (r.doc_id or 0) < 6000}) == 1
+
+
+@pytest.mark.parametrize("cap", [512, 16])
+def test_pages_of_one_template_under_the_threshold(spark, monkeypatch, cap):
+    """60 words of 70 in common bring no two pages together; words of a small vocabulary beside them do for some."""
+    monkeypatch.setattr(jaccard_join, "REGION_CAP", cap)
+    rng = random.Random(4)
+    common = [f"c{k}" for k in range(60)]
+    rows = [(k, " ".join([*common, *(f"own{k}.{j}" for j in range(10))]), None, None, 0) for k in range(120)]
+    rows += [(1000 + k, " ".join([*common, *(rng.choice("abcdef") for _ in range(rng.randrange(8, 16)))]), None, None, 0) for k in range(150)]
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == components(rows)
+
+
+def test_a_template_alone_makes_no_candidates(spark):
+    common = " ".join(f"c{k}" for k in range(60))
+    rows = [(k, common + " " + " ".join(f"own{k}.{j}" for j in range(10)), None, None, 0) for k in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    described = jaccard_join.described(docs, "doc_id", "text", 5)
+    assert jaccard_join.candidate_edges(docs, described.select("key", "n_shingles"), "text", 5, 75, 400 * 66, 400, 0).count() == 0
+
+
 def test_connected_components(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, 101), (-5, 100), (7, 7)]
     got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
