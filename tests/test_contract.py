@@ -108,3 +108,22 @@ def test_folds_and_coverage(spark):
         with pytest.raises(ValueError):
             ml.check_coverage(df, bad, ["id"])
     assert len({str(c) for c in ml.draw_candidates({"a": [1, 2, 3], "b": [1, 2, 3, 4]}, 12, 1)}) == 12 == len(ml.draw_candidates({"a": list(range(5)), "b": list(range(5))}, 12, 1))
+
+
+def test_late_baseline_columns_stay_out_of_the_shuffles(spark):
+    """Columns that follow from others are made after the windows: no shuffle or sort below them carries them."""
+    from flowspark.plans import tables
+
+    table = tables.metered(spark, "/root/testdata/sf0.001")
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    try:
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    below = plan[plan.index("RepartitionByExpression"):]
+    assert "Idle Min" in plan
+    assert "Flow Duration" not in below
+    assert "Idle Min" not in below
+    row = table.where("source_row_id is not null").first()
+    part = int(row.source_row_id.split("-")[2])
+    assert [row[c] for c in ct.BASELINE] == [part * (k + 3) % 997 for k in range(76)]
