@@ -148,9 +148,35 @@ def reference_sessions(df: DataFrame, keys: list[str], gap: int, category: str =
     return gap_sessions(wide, ["category", *keys], gap, time)
 
 
+def policy_keys(policies: dict[str, list[str]]) -> list[str]:
+    """Columns of `policy_sessions` that tell the keys of one policy apart: those that the policy does not use are null."""
+    return [f"_key_{k}" for k in dict.fromkeys(k for keys in policies.values() for k in keys)]
+
+
+def _gaps_before(df: DataFrame, policies: dict[str, list[str]], time: str, extra: list[str] | None) -> tuple[DataFrame, list[str]]:
+    """``df`` once a policy, with ``_gap``, the time since the row before of its key: one sort, whatever the number of gaps."""
+    used = dict.fromkeys(k for keys in policies.values() for k in keys)
+    one = [F.struct(F.lit(name).alias("policy"), *((F.col(k) if k in keys else F.lit(None)).cast(dict(df.dtypes)[k]).alias(f"_key_{k}") for k in used)) for name, keys in policies.items()]
+    by = ["policy", *(extra or []), *policy_keys(policies)]
+    w = Window.partitionBy(*by).orderBy(time)
+    return df.withColumn("_p", F.explode(F.array(*one))).select("*", "_p.*").drop("_p").withColumn("_gap", F.col(time) - F.lag(time).over(w)), by
+
+
 def policy_sessions(df: DataFrame, policies: dict[str, list[str]], gaps: list[int], time: str = "t", extra: list[str] | None = None) -> DataFrame:
-    """Each alert under every policy and gap, with its session: one shuffle for the whole grid.
-    Rows that differ in ``extra`` are never in one session."""
-    one = [F.struct(F.lit(name).alias("policy"), F.lit(g).cast("long").alias("gap"), F.array(*(F.col(k).cast("string") for k in keys)).alias("key")) for name, keys in policies.items() for g in gaps]
-    grid = df.withColumn("_p", F.explode(F.array(*one))).select("*", "_p.*").drop("_p")
-    return gap_sessions(grid, ["policy", "gap", *(extra or []), "key"], F.col("gap"), time)
+    """Each alert under every policy and gap, with its session: one shuffle for the whole grid, one sort for all gaps of a policy.
+    Rows that differ in ``extra`` are never in one session.  Beside ``key``, an array of texts, the columns of `policy_keys` name the key:
+    what is grouped by them does not move again."""
+    rows, by = _gaps_before(df, policies, time, extra)
+    w = Window.partitionBy(*by).orderBy(time).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({f"_s{i}": F.sum(F.coalesce((F.col("_gap") > g).cast("int"), F.lit(1))).over(w) for i, g in enumerate(gaps)})
+    key = F.coalesce(*(F.when(F.col("policy") == name, F.array(*(F.col(f"_key_{k}").cast("string") for k in keys))) for name, keys in policies.items()))
+    each = F.explode(F.array(*(F.struct(F.lit(g).cast("long").alias("gap"), F.col(f"_s{i}").alias("session")) for i, g in enumerate(gaps))))
+    return rows.withColumn("_g", each).select(*df.columns, *policy_keys(policies), "policy", "_g.gap", key.alias("key"), "_g.session")
+
+
+def session_counts(df: DataFrame, policies: dict[str, list[str]], gaps: list[int], extra: list[str], time: str = "t") -> DataFrame:
+    """(policy, gap, extra, sessions): how many sessions `policy_sessions` finds; their first rows are counted."""
+    rows, _ = _gaps_before(df, policies, time, extra)
+    per = rows.groupBy("policy", *extra).agg(*(F.count_if(F.coalesce(F.col("_gap") > g, F.lit(True))).alias(f"_s{i}") for i, g in enumerate(gaps)))
+    each = F.explode(F.array(*(F.struct(F.lit(g).cast("long").alias("gap"), F.col(f"_s{i}").alias("sessions")) for i, g in enumerate(gaps))))
+    return per.withColumn("_g", each).select("policy", *extra, "_g.*")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import n_if
 from ..functions.tables import written
-from .incidents import gap_sessions, policy_sessions
+from .incidents import gap_sessions, policy_keys, policy_sessions, session_counts
 from .prefix import quantiles_of, running_sums
 
 
@@ -31,7 +31,7 @@ def policy_categories(flows: DataFrame, policies: dict[str, list[str]], gaps: li
     """True attacks grouped under every policy and gap, over all and by category: what of them alerts."""
     attacks = flows.where("label = 1").withColumns({"category": F.explode(F.array_compact(F.array(F.lit("ALL_ATTACKS"), F.col(category)))), "hit": (F.col(score) >= alert).cast("long")})
     by = ["policy", "gap", "category"]
-    per = policy_sessions(attacks, policies, gaps, extra=["category"]).groupBy(*by, "key", "session").agg(F.count("*").alias("n"), F.sum("hit").alias("hit"))
+    per = policy_sessions(attacks, policies, gaps, extra=["category"]).groupBy(*by, *policy_keys(policies), "session").agg(F.count("*").alias("n"), F.sum("hit").alias("hit"))
     out = per.groupBy(*by).agg(F.sum("n").alias("attack_flows"), F.sum("hit").alias("detected_flows"), F.count("*").alias("references"), n_if("hit > 0").alias("detected_references"))
     return out.withColumns({"missed_references": F.col("references") - F.col("detected_references"), "flow_recall": F.col("detected_flows") / F.col("attack_flows"), "incident_recall": F.col("detected_references") / F.col("references")})
 
@@ -43,16 +43,17 @@ def policy_grid(flows: DataFrame, policies: dict[str, list[str]], gaps: list[int
     used = list(dict.fromkeys([*(k for keys in policies.values() for k in keys), "t", "label", score]))
     flows = written(flows.where((F.col(score) >= alert) | (F.col("label") == 1)).select(*used), "grid-rows")
     alerts, by = flows.where(F.col(score) >= alert), ["policy", "gap"]
-    per = policy_sessions(alerts, policies, gaps).groupBy(*by, "key", "session").agg(F.count("*").alias("n"), F.sum("label").alias("attack"), (F.max("t") - F.min("t")).alias("took"))
-    per = written(per.drop("key", "session"), "grid-sessions")
+    keyed = policy_keys(policies)
+    per = policy_sessions(alerts, policies, gaps).groupBy(*by, *keyed, "session").agg(F.count("*").alias("n"), F.sum("label").alias("attack"), (F.max("t") - F.min("t")).alias("took"))
+    per = written(per.drop(*keyed, "session"), "grid-sessions")
     in_mixed = lambda c: F.sum(F.when(F.expr("attack > 0 and attack < n"), F.expr(c)).otherwise(0))
     out = per.groupBy(*by).agg(
         F.sum("n").alias("alerts"), F.sum(F.expr("n - attack")).alias("normal_alerts"), F.sum("attack").alias("attack_alerts"), F.count("*").alias("incidents"), n_if("attack > 0").alias("true_incidents"),
         n_if("attack = n").alias("attack_incidents"), n_if("attack = 0").alias("false_incidents"), n_if("attack > 0 and attack < n").alias("mixed_incidents"), in_mixed("n - attack").alias("normal_in_mixed"),
         in_mixed("attack").alias("attack_in_mixed"), F.avg("n").alias("mean_size"), F.max("n").alias("largest"), F.avg("took").alias("mean_duration"),
     )
-    apart = policy_sessions(alerts, policies, gaps, extra=["label"]).select(*by, "label", "key", "session").distinct()
-    apart = apart.groupBy(*by).agg(n_if("label = 0").alias("normal_sessions"), n_if("label = 1").alias("attack_sessions"))
+    apart = session_counts(alerts, policies, gaps, ["label"])
+    apart = apart.groupBy(*by).agg(*(F.coalesce(F.sum(F.when(F.col("label") == k, F.col("sessions"))), F.lit(0)).alias(f"{name}_sessions") for k, name in ((0, "normal"), (1, "attack"))))
     found = policy_categories(flows.withColumn("cat", F.lit(None).cast("string")), policies, gaps, alert, score=score).where("category = 'ALL_ATTACKS'").drop("category", "attack_flows", "detected_flows")
     keys = F.create_map(*(F.lit(x) for name, k in policies.items() for x in (name, len(k))))
     out = out.join(_sizes(per, by), by).join(apart, by).join(found, by, "left").crossJoin(F.broadcast(capture))  # one row

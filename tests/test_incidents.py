@@ -122,3 +122,17 @@ def test_incidents_are_numbered_in_any_unit(spark):
     rows = [(k * 7919 % 1000 * 1_000_003, f"s{k % 7}", k) for k in range(500)]
     out = inc.ordered(spark.createDataFrame(rows, "first_seen long, src string, id int"), ("src",)).collect()
     assert [r.id for r in sorted(out, key=lambda r: r.sequence)] == [r[2] for r in sorted(rows)] and sorted(r.sequence for r in out) == list(range(500))
+
+
+def test_sessions_of_all_gaps_come_from_one_sort_and_one_shuffle(spark):
+    policies, gaps = {"A": ["src"], "B": ["src", "dst"]}, [3, 10, 40]
+    df = spark.range(400).selectExpr("id % 3 src", "if(id % 7 = 0, null, id % 2) dst", "id * id % 500 t", "int(id % 5 < 2) label")
+    every = inc.policy_sessions(df, policies, gaps, extra=["label"])
+    keys = inc.policy_keys(policies)
+    assert keys == ["_key_src", "_key_dst"]
+    # all keys of a policy without dst are one group, and a null is a key like any other
+    assert every.groupBy("policy", "gap", "label", "key", *keys).count().count() == 3 * (3 * 2 + 3 * 3 * 2)
+    found = every.select("policy", "gap", "label", "key", "session").distinct().groupBy("policy", "gap", "label").agg(F.count("*").alias("sessions"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, inc.session_counts(df, policies, gaps, ["label"]).select("policy", "gap", "label", "sessions").collect()))
+    plan = every.groupBy("policy", "gap", "label", *keys, "session").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
