@@ -144,13 +144,18 @@ def causal_arrays(rows: pd.DataFrame, time: str, features: list[Feature], only:
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Rows of one key that are scored together, or written to state as one piece, if the window's own rows are not more.
+PIECE = 20_000
+
+
 class CausalState(StatefulProcessor):
-    """State of one first key: ``waiting`` and ``past``, rows by stretch of time (a map from the stretch to its rows as one Arrow table), and ``last``,
-    when each second key was last seen.
+    """State of one first key: ``waiting`` and ``past``, pieces of rows (a map from a piece's first and last time and a number to its rows as one
+    Arrow table), and ``last``, when each second key was last seen.
 
-    A batch reads and writes the stretches that its rows fall in, and nothing else.  Timers fire when the watermark has passed the first waiting
-    row: all rows that it has passed are scored together, peers included, against the stretches that their frames reach, and go to
-    the past.  A stretch that no frame can reach any more is dropped, of idle keys by a timer of its own.
+    A batch writes pieces of its own and reads none: the few rows of a quiet key are one, those of a crowded one are cut by stretches of the longest window.
+    Timers fire when the watermark has passed the first waiting row.  The rows that it has passed are scored in the order of time, piece by
+    piece, peers together, against the rows that their frames reach; so no task holds more of a key than about a window's rows.
+    What later frames reach becomes the past; of idle keys it is dropped by a timer of its own.
     """
 
     def __init__(self, features: list[Feature], row_id: str, columns: list[str]):
@@ -162,33 +167,50 @@ class CausalState(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "stretch bigint", "rows binary")
-        self.past = handle.getMapState("past", "stretch bigint", "rows binary")
+        piece = "first bigint, last bigint, number bigint"
+        self.waiting = handle.getMapState("waiting", piece, "rows binary")
+        self.past = handle.getMapState("past", piece, "rows binary")
         self.last = handle.getMapState("last", "column string, value string", "t bigint")
 
     @staticmethod
-    def _read(state, stretch: int) -> pa.Table | None:
-        return pa.ipc.open_stream(state.getValue((stretch,))[0]).read_all() if state.containsKey((stretch,)) else None
+    def _read(state, piece: tuple) -> pa.Table:
+        return pa.ipc.open_stream(state.getValue(piece)[0]).read_all()
 
     @staticmethod
-    def _write(state, stretch: int, rows: pa.Table) -> None:
+    def _write(state, rows: pa.Table) -> None:
+        t = rows["_t"].to_numpy()
+        first, last, number = int(t.min()), int(t.max()), 0
+        while state.containsKey((first, last, number)):
+            number += 1
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, rows.schema) as writer:
             writer.write_table(rows.combine_chunks())
-        state.updateValue((stretch,), (sink.getvalue().to_pybytes(),))
+        state.updateValue((first, last, number), (sink.getvalue().to_pybytes(),))
 
     def _add(self, state, rows: pa.Table) -> None:
+        if rows.num_rows <= PIECE:
+            self._write(state, rows)
+            return
         at = rows["_t"].to_numpy() // self.stretch
         for stretch in np.unique(at).tolist():
-            some, old = rows.filter(pa.array(at == stretch)), self._read(state, stretch)
-            self._write(state, stretch, some if old is None else pa.concat_tables([old, some]))
+            self._write(state, rows.filter(pa.array(at == stretch)))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         kinds = self.schema()
-        # by place: what comes in renames columns that are no Python names
-        new = pa.concat_tables(pa.Table.from_pandas(p.set_axis(self.arrives, axis=1)[kinds.names], schema=kinds, preserve_index=False) for p in rows)
-        self._add(self.waiting, new)
-        self.handle.registerTimer(int(new["_t"].to_numpy().min()) // 1000 + 1)
+        held, first = [], None
+        for p in rows:
+            # by place: what comes in renames columns that are no Python names
+            held.append(pa.Table.from_pandas(p.set_axis(self.arrives, axis=1)[kinds.names], schema=kinds, preserve_index=False))
+            if held[-1].num_rows:
+                least = int(held[-1]["_t"].to_numpy().min())
+                first = least if first is None else min(first, least)
+            if sum(x.num_rows for x in held) > 10 * PIECE:
+                self._add(self.waiting, pa.concat_tables(held))
+                held = []
+        if sum(x.num_rows for x in held):
+            self._add(self.waiting, pa.concat_tables(held))
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
         return iter([])
 
     def schema(self) -> pa.Schema:
@@ -196,38 +218,55 @@ class CausalState(StatefulProcessor):
         kind = lambda c: pa.string() if c in self.texts else pa.float64()
         return pa.schema([("_t", pa.int64()), (self.row_id, self.id_type), *((c, kind(c)) for c in self.columns)])
 
+    def _passed(self, mark: int, near: int) -> Iterator[tuple[pa.Table, int]]:
+        """The waiting rows before ``mark`` in chunks of whole times, in order, each with the time from which rows may follow; they leave
+        the state.  A chunk has about `PIECE` rows, or ``near`` if that is more."""
+        pieces = sorted(k for k in self.waiting.keys() if k[0] < mark)
+        held: list[pa.Table] = []
+        for i, piece in enumerate(pieces):
+            held.append(self._read(self.waiting, piece))
+            self.waiting.removeKey(piece)
+            then = min(pieces[i + 1][0], mark) if i + 1 < len(pieces) else mark
+            if i + 1 < len(pieces) and sum(x.num_rows for x in held) < max(PIECE, near):
+                continue
+            rows = pa.concat_tables(held)
+            ready = rows["_t"].to_numpy() < then
+            rest = rows.filter(pa.array(~ready))
+            held = [rest] if rest.num_rows else []
+            if ready.any():
+                yield rows.filter(pa.array(ready)), then
+        if held:
+            self._add(self.waiting, pa.concat_tables(held))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        ready = []
-        for (stretch,) in [k for k in self.waiting.keys() if k[0] * self.stretch < mark]:
-            rows = self._read(self.waiting, stretch)
-            passed = rows["_t"].to_numpy() < mark
-            ready.append(rows.filter(pa.array(passed)))
-            if passed.all():
-                self.waiting.removeKey((stretch,))
-            elif passed.any():
-                self._write(self.waiting, stretch, rows.filter(pa.array(~passed)))
-        ready = pa.concat_tables(ready) if ready else None
-        if ready is not None and ready.num_rows:
-            yield self._scored(ready)
-            # rows to come are at the mark or later
-            near = ready.filter(pa.array(ready["_t"].to_numpy() >= mark - self.longest))
-            if self.longest and near.num_rows:
-                self._add(self.past, near)
-        stretches = [k[0] for k in self.past.keys()]
-        for stretch in stretches:
-            if (stretch + 1) * self.stretch <= mark - self.longest:
-                self.past.removeKey((stretch,))
-        if left := [s for s in stretches if (s + 1) * self.stretch > mark - self.longest]:
-            self.handle.registerTimer(((max(left) + 1) * self.stretch + self.longest) // 1000 + 1)
-        waits = [int(self._read(self.waiting, s)["_t"].to_numpy().min()) for s in sorted(k[0] for k in self.waiting.keys())[:1]]
+        waits = [k[0] for k in self.waiting.keys()]
+        old = [tuple(k) for k in self.past.keys()]
+        if any(first < mark for first in waits):
+            reached = pa.concat_tables([self.schema().empty_table(), *(self._read(self.past, k) for k in old)])
+            for ready, then in self._passed(mark, reached.num_rows):
+                yield self._scored(ready, reached)
+                # rows to come are at ``then`` or later
+                reached = pa.concat_tables([reached, ready])
+                reached = reached.filter(pa.array(reached["_t"].to_numpy() >= then - self.longest)) if self.longest else reached.slice(0, 0)
+            for k in old:
+                self.past.removeKey(k)
+            if reached.num_rows:
+                self._add(self.past, reached)
+            waits, old = [k[0] for k in self.waiting.keys()], [tuple(k) for k in self.past.keys()]
+        for k in [k for k in old if k[1] < mark - self.longest]:
+            self.past.removeKey(k)
+            old.remove(k)
+        if old:
+            self.handle.registerTimer((max(k[1] for k in old) + self.longest) // 1000 + 1)
         if waits:
-            self.handle.registerTimer(waits[0] // 1000 + 1)
+            self.handle.registerTimer(min(waits) // 1000 + 1)
 
-    def _scored(self, ready: pa.Table) -> pd.DataFrame:
+    def _scored(self, ready: pa.Table, reached: pa.Table) -> pd.DataFrame:
+        """The features of ``ready``, whose frames hold some of ``reached``."""
         first = int(ready["_t"].to_numpy().min())
-        old = [self._read(self.past, k[0]) for k in self.past.keys() if (k[0] + 1) * self.stretch > first - self.longest]
-        rows = pa.concat_tables([*old, ready]).to_pandas()
+        old = reached.filter(pa.array(reached["_t"].to_numpy() >= first - self.longest))
+        rows = pa.concat_tables([old, ready]).to_pandas()
         new = np.r_[np.zeros(len(rows) - ready.num_rows, bool), np.ones(ready.num_rows, bool)]
         order = np.argsort(rows["_t"].to_numpy(), kind="stable")
         rows, new = rows.iloc[order].reset_index(drop=True), new[order]

@@ -175,3 +175,37 @@ def test_incidents_on_a_stream_equal_batch(spark, tmp_path):
     pick = lambda d, first, last: sorted((r.key, r[first], r[last], r.flows, r.max_score) for r in d.collect())
     secs = got.withColumns({"first_seen": F.unix_seconds("first_seen"), "last_seen": F.unix_seconds("last_seen")})
     assert pick(secs, "first_seen", "last_seen") == pick(want, "first_seen", "last_seen") and got.count() > 10
+
+
+def test_a_crowded_key_is_scored_in_pieces(monkeypatch):
+    """One batch of one key: its rows wait in pieces and come out in several, each against what its frames reach; results are those of all at once."""
+    import types
+
+    import pandas as pd
+    import pyarrow as pa
+
+    some = [Feature("n", "count", ("k",), 5, scale=1_000_000), Feature("d", "distinct", ("k",), 5, "v", scale=1_000_000), Feature("last", "since", ("k", "v"), None)]
+    at = [(7 * i) % 400 for i in range(1200)]
+    arriving = pd.DataFrame({"_0": ["a"] * 1200, "id": range(1200), "_2": [None] * 1200, "v": [f"x{i % 9}" for i in range(1200)], "_4": [s * 1_000_000 for s in at]})
+
+    def run(piece):
+        monkeypatch.setattr(flows, "PIECE", piece)
+        state = flows.CausalState(some, "id", ["v"])
+        state.texts, state.id_type, state.arrives = {"v"}, pa.int64(), ["_key", "id", "_ts", "v", "_t"]
+
+        class Map(dict):
+            getValue, containsKey, updateValue, removeKey = dict.__getitem__, dict.__contains__, dict.__setitem__, dict.__delitem__
+
+        maps = {}
+        state.init(types.SimpleNamespace(getMapState=lambda name, *_: maps.setdefault(name, Map()), registerTimer=lambda t: None))
+        list(state.handleInputRows(("a",), iter([arriving[:700], arriving[700:]]), None))
+        parts = []
+        for second in (150, 500):
+            now = types.SimpleNamespace(getCurrentWatermarkInMs=lambda s=second: s * 1000)
+            parts += list(state.handleExpiredTimer(("a",), now, None))
+        return parts
+
+    whole, pieces = run(10**6), run(20)
+    assert len(whole) == 2 and len(pieces) > 10 and max(map(len, pieces)) < 200
+    a, b = (pd.concat(x).sort_values("id").reset_index(drop=True) for x in (whole, pieces))
+    assert len(a) == 1200 and a.equals(b)
