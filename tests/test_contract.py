@@ -127,3 +127,12 @@ def test_late_baseline_columns_stay_out_of_the_shuffles(spark):
     row = table.where("source_row_id is not null").first()
     part = int(row.source_row_id.split("-")[2])
     assert [row[c] for c in ct.BASELINE] == [part * (k + 3) % 997 for k in range(76)]
+
+
+def test_learning_stores_no_column_that_follows_from_the_part(spark):
+    from flowspark.plans import learning
+
+    d, names = learning.metered(spark, "/root/testdata/sf0.001")
+    stored = spark.read.parquet(*d.inputFiles()).columns
+    assert not {names[c] for c in ct.BASELINE} & set(stored) and {names[c] for c in ct.TEMPORAL} < set(stored)
+    assert len(d.columns) == 130
