@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
 from ..operators import evaluate as ev
 from ..operators.prefix import exact_quantiles
 from ..sources.adapters import EV, LI, flows_ev, flows_li, table
@@ -133,10 +134,10 @@ def metric_deltas(spark, sf_dir):
 
 def blend_grid(spark, sf_dir):
     """Alerts and errors of every blend of two scores, and of their maximum, at 0.5."""
-    d = ev.blends(flows_li(spark, sf_dir), [k / 20 for k in range(21)])
+    d = ev.blend_counts(flows_li(spark, sf_dir), [k / 20 for k in range(21)])
     # scores of three decimals times twentieths: five decimals, rounded before the decision
     d = d.withColumn("predicted", (F.round("s", 6) >= 0.5).cast("int"))
-    return rounded(ev.confusion(d, ["candidate"]), RATES).select("candidate", "tn", "fp", "fn", "tp", "precision", "recall")
+    return rounded(ev.confusion(d, ["candidate"], n="n"), RATES).select("candidate", "tn", "fp", "fn", "tp", "precision", "recall")
 
 
 BLEND = f"""{LI}, w as (select k, case when k < 21 then 'blend_' || format('{{:.2f}}', k / 20.0::double) else 'max' end candidate from range(22) r(k)),
@@ -145,7 +146,9 @@ BLEND = f"""{LI}, w as (select k, case when k < 21 then 'blend_' || format('{{:.
 
 def ensemble_search(spark, sf_dir):
     """Each of 21 blends and the maximum with its selected threshold of 99; the best of those with enough recall is marked."""
-    counts = ev.score_counts(ev.blends(flows_li(spark, sf_dir), [k / 20 for k in range(21)]), ["candidate"], score="s", decimals=6)
+    blended = ev.blend_counts(flows_li(spark, sf_dir), [k / 20 for k in range(21)])
+    # the sweep and the ranking read one table
+    counts = written(ev.score_counts(blended, ["candidate"], score="s", decimals=6, n="n"), "blends")
     chosen = ev.select_threshold(ev.threshold_sweep(counts, ["candidate"], range(1, 100)), 0.985, ["candidate"])
     out = rounded(chosen.join(ev.ranking(counts, ["candidate"]), "candidate"), ["precision", "recall", "f1", "roc_auc", "average_precision"])
     w = Window.orderBy(F.desc("eligible"), "fp", F.desc("average_precision"), F.desc("precision"), F.desc("f1"), F.desc("threshold"), "candidate")  # 22 rows
