@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import if_small, written
+from ..functions.tables import dealt, if_small, written
 from . import evaluate
 
 #: Rows that the fits of a search which run at a time are given in all.
@@ -58,10 +58,11 @@ def deal(df: DataFrame, by: str, key: Column, name: str = "place", size: str | N
     A stratum may hold half of all rows, so it is cut by the digest's first two hex digits; places
     count within the pieces and the pieces' sizes are added from a table of 256 rows a stratum.
     """
-    df = df.withColumns({"_d": F.md5(key), "_b": F.substring(F.md5(key), 1, 2)})
+    df = df.withColumns({"_d": F.unhex(F.md5(key)), "_b": F.substring(F.md5(key), 1, 2)})  # bytes in the order of their hex digits
     counts = df.groupBy(by, "_b").agg(F.count("*").alias("_n"))
     before = written(counts.select(by, "_b", F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(by)).alias(size or "_size")), "strata")
-    out = df.join(if_small(before, before.count()), [by, "_b"]).withColumn(name, F.col("_before") + F.row_number().over(Window.partitionBy(by, "_b").orderBy("_d")))
+    rows = before.groupBy(by).agg(F.max(size or "_size").alias("_of")).agg(F.sum("_of")).first()[0] or 0
+    out = dealt(df, rows, by, "_b").join(if_small(before, before.count()), [by, "_b"]).withColumn(name, F.col("_before") + F.row_number().over(Window.partitionBy(by, "_b").orderBy("_d")))
     return out.drop("_d", "_b", "_before", *([] if size else ["_size"]))
 
 
@@ -92,9 +93,29 @@ def fitted(tasks: list, parallelism: int, spark) -> list:
         return list(pool.map(inheritable_thread_target(spark)(lambda task: task()), tasks))
 
 
-def out_of_fold(df: DataFrame, folds: int, stages: list, out: str = "p", parallelism: int = 1) -> DataFrame:
-    """Each row scored by the model of the other folds (column ``fold``)."""
-    tasks = [lambda k=k: Pipeline(stages=[s.copy() for s in stages]).fit(df.where(F.col("fold") != k)) for k in range(folds)]
+def fit_counted(ready: PipelineModel, counts: DataFrame, logistic: LogisticRegression, n: str, weight: Column | None = None) -> PipelineModel:
+    """``ready``, fitted preparations, and a logistic regression on ``counts`` of equal rows: each is one row whose weight is their number ``n`` (times
+    ``weight``), so that the iterations do not grow with the rows where few of them differ.  The optimum is that of the rows themselves without
+    regularisation; a penalty is refused, as Spark scales it by a deviation that takes weights for reliabilities."""
+    if logistic.getRegParam() != 0:
+        raise ValueError("counts stand for rows only without regularisation")
+    weighted = counts.withColumn("_weight", (F.lit(1.0) if weight is None else weight) * F.col(n))
+    return PipelineModel([*ready.stages, logistic.copy({logistic.weightCol: "_weight"}).fit(ready.transform(weighted))])
+
+
+def out_of_fold(df: DataFrame, folds: int, stages: list, out: str = "p", parallelism: int = 1, read: list[str] | None = None) -> DataFrame:
+    """Each row scored by the model of the other folds (column ``fold``).  ``df`` is read for every pass of every fit: a table, not a plan that sorts.
+    Where ``read`` names the columns that the stages read, a last stage that is a logistic regression is fitted to their counts (`fit_counted`)."""
+    last = stages[-1]
+    counted = read is not None and isinstance(last, LogisticRegression)
+
+    def fit(rows: DataFrame) -> PipelineModel:
+        own = [s.copy() for s in stages]
+        if not counted:
+            return Pipeline(stages=own).fit(rows)
+        return fit_counted(Pipeline(stages=own[:-1]).fit(rows), rows.groupBy(last.getLabelCol(), *read).agg(F.count("*").alias("_n")), own[-1], "_n")
+
+    tasks = [lambda k=k: fit(df.where(F.col("fold") != k)) for k in range(folds)]
     parts = [scored(model, df.where(F.col("fold") == k), out) for k, model in enumerate(fitted(tasks, parallelism, df.sparkSession))]
     every = parts[0]
     for p in parts[1:]:

@@ -24,3 +24,40 @@ def test_candidates_that_cannot_differ_share_their_fits(spark, monkeypatch):
     for name in ("recall", "fpr", "roc_auc", "average_precision"):
         assert got["c00"][name] == got["c01"][name] == got["c02"][name] == pytest.approx(alone[name])
     assert "all" in got["c01"]["settings"] and "1.0" in got["c02"]["settings"]
+
+
+def test_counts_stand_for_rows(spark):
+    rows = spark.range(600).select((F.col("id") % 9).cast("double").alias("x"), (F.col("id") * 7919 % 13 < F.col("id") % 9 + 2).cast("int").alias("label"), (F.col("id") % 3).cast("int").alias("fold"))
+    for k in (0, 1):
+        read = {"read": ["x"]} if k else {}
+        got = ml.out_of_fold(rows, 3, [*ml.prepare(["x"], []), ml.logistic(labelCol="label")], **read).groupBy("fold", "x").agg(F.count("*").alias("n"), F.max("p").alias("p")).orderBy("fold", "x").collect()
+        if k == 0:
+            first = got
+    assert [(r.fold, r.x, r.n) for r in got] == [(r.fold, r.x, r.n) for r in first] and [r.p for r in got] == pytest.approx([r.p for r in first], abs=1e-6)
+    with pytest.raises(ValueError):
+        ml.fit_counted(None, rows, ml.logistic(labelCol="label", regParam=0.1), "n")
+
+
+def test_folds_are_dealt_once_and_narrow(spark, monkeypatch):
+    """What the models read is a written table of three columns, so that no pass sorts again."""
+    from flowspark.plans import learning
+
+    given = []
+    real = ml.out_of_fold
+    monkeypatch.setattr(learning.ml, "out_of_fold", lambda d, *a, **b: given.append(d) or real(d, *a, **b))
+    learning.oof_scores(spark, "/root/testdata/sf0.001")
+    plan = given[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert given[0].columns == ["fold", "label", "score"] and "Window" not in plan and "Join" not in plan
+
+
+def test_pairs_of_scores_are_counted_before_they_are_blended(spark):
+    from flowspark.operators import evaluate as ev
+
+    df = spark.range(1000).selectExpr("double(id % 4) / 4 score", "double(id % 3) / 4 score_b", "int(id % 2) label")
+    counts = ev.blend_counts(df, [0.0, 0.5, 1.0])
+    assert counts.count() == 12 * 4 and {r.n for r in counts.groupBy("candidate").agg(F.sum("n").alias("n")).collect()} == {1000}
+    one = lambda d, n: sorted(map(tuple, ev.score_counts(d, ["candidate"], score="s", decimals=6, n=n).collect()))
+    long = ev.blends(df, [0.0, 0.5, 1.0])
+    assert one(counts, "n") == one(long, None)
+    rates = lambda d, n: sorted(map(str, ev.confusion(d.withColumn("predicted", (F.col("s") >= 0.5).cast("int")), ["candidate"], n=n).collect()))
+    assert rates(counts, "n") == rates(long, None)
