@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import iso_seconds
+from ..functions.tables import dealt
 from .prefix import positions
 
 
@@ -28,9 +29,11 @@ class Policy:
             raise ValueError("a policy needs a gap of 0 or more and a key")
 
 
-def gap_sessions(df: DataFrame, keys: list[str], gap, time: str = "t", ties: list[str] | None = None, name: str = "session") -> DataFrame:
+def gap_sessions(df: DataFrame, keys: list[str], gap, time: str = "t", ties: list[str] | None = None, name: str = "session", rows: int | None = None) -> DataFrame:
     """``df`` with the number of each row's session within its key: a new one starts after a gap over ``gap``.
-    The running number takes peers of one time together, so their order cannot matter."""
+    The running number takes peers of one time together, so their order cannot matter.  Where the caller counted ``rows`` (at least those of
+    ``df``), partitions follow them."""
+    df = df if rows is None else dealt(df, rows, *keys)
     w = Window.partitionBy(*keys).orderBy(time, *(ties or []))
     new = F.coalesce((F.col(time) - F.lag(time).over(w) > gap).cast("int"), F.lit(1))
     return df.withColumn("_new", new).withColumn(name, F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")

@@ -91,20 +91,23 @@ def promotion_rules(a: list[float] | None = None, b: tuple = ((0.20, 0.30, 0.40,
     return out
 
 
-def with_session_evidence(flows: DataFrame, keys: list[str], gap: int, alert: float, score: str = "score", time: str = "t", level: float = 0.30) -> DataFrame:
+def with_session_evidence(flows: DataFrame, keys: list[str], gap: int, alert: float, score: str = "score", time: str = "t", level: float = 0.30, rows: int | None = None) -> DataFrame:
     """``flows`` with what their alert session holds: its number, ``top`` score, ``n`` alerts and ``n30`` of ``level``
-    or more; null for flows that do not alert."""
+    or more; null for flows that do not alert.  ``rows``: those of ``flows``, which partitions then follow."""
     is_alert = F.col(score) >= alert
     own = Window.partitionBy(*keys, "session")
-    seen = gap_sessions(flows.where(is_alert), keys, gap, time).withColumns({"top": F.max(score).over(own), "n": F.count("*").over(own), "n30": F.count_if(F.col(score) >= level).over(own)})
+    seen = gap_sessions(flows.where(is_alert), keys, gap, time, rows=rows).withColumns({"top": F.max(score).over(own), "n": F.count("*").over(own), "n30": F.count_if(F.col(score) >= level).over(own)})
     return seen.unionByName(flows.where(~is_alert | F.col(score).isNull()), allowMissingColumns=True)
 
 
-def reference_evidence(evidenced: DataFrame, keys: list[str], gap: int, category: str = "cat", time: str = "t") -> DataFrame:
+def reference_evidence(evidenced: DataFrame, keys: list[str], gap: int, category: str | None = "cat", time: str = "t", rows: int | None = None) -> DataFrame:
     """One row a true-attack session, over all and by category: its flows, those that alert, and the best evidence of
-    the alert sessions that hold one of them.  A rule promotes a reference if it holds for that."""
-    wide = evidenced.where("label = 1").withColumnRenamed("session", "_alert").withColumn("category", F.explode(F.array(F.lit("ALL_ATTACKS"), F.col(category))))
-    return gap_sessions(wide, ["category", *keys], gap, time).groupBy("category", *keys, "session").agg(F.count("*").alias("flows"), F.count("_alert").alias("hits"), *(F.max(c).alias(c) for c in ("top", "n", "n30")))
+    the alert sessions that hold one of them.  A rule promotes a reference if it holds for that.
+    ``category`` None: over all only.  ``rows``: those of ``evidenced``, which partitions then follow."""
+    kinds = F.lit("ALL_ATTACKS") if category is None else F.explode(F.array(F.lit("ALL_ATTACKS"), F.col(category)))
+    wide = evidenced.where("label = 1").withColumnRenamed("session", "_alert").withColumn("category", kinds)
+    rows = None if rows is None else rows * (1 if category is None else 2)
+    return gap_sessions(wide, ["category", *keys], gap, time, rows=rows).groupBy("category", *keys, "session").agg(F.count("*").alias("flows"), F.count("_alert").alias("hits"), *(F.max(c).alias(c) for c in ("top", "n", "n30")))
 
 
 def holds(family: Column, level: Column, least: Column) -> Column:
@@ -115,12 +118,13 @@ def holds(family: Column, level: Column, least: Column) -> Column:
 
 def promotion_grid(flows: DataFrame, keys: list[str], gap: int, alert: float, rules: list[tuple], capture: DataFrame, least_recall: float = 0.999) -> DataFrame:
     """Every rule on every incident: recall of reference incidents, precision, hourly rates, reduction."""
-    seen = with_session_evidence(flows, keys, gap, alert)
+    rows = flows.count()
+    seen = with_session_evidence(flows, keys, gap, alert, rows=rows)
     table = F.broadcast(flows.sparkSession.createDataFrame(rules, "rule string, family string, complexity int, level double, least long"))  # a fixed list
     rule, keep = ["rule", "family", "complexity", "level", "least"], holds(F.col("family"), F.col("level"), F.col("least"))
     per = seen.where("session is not null").groupBy(*keys, "session").agg(*(F.first(c).alias(c) for c in ("top", "n", "n30")), F.sum("label").alias("attack"))
     done = per.crossJoin(table).groupBy(*rule).agg(F.count_if(keep).alias("promoted"), F.count_if(keep & (F.col("attack") > 0)).alias("true_incidents"), F.count_if(keep & (F.col("attack") == 0)).alias("false_incidents"), F.count("*").alias("ungated"))
-    ref = reference_evidence(seen, keys, gap).where("category = 'ALL_ATTACKS'").crossJoin(table).groupBy("rule").agg(F.count("*").alias("references"), F.count_if(keep).alias("promoted_references"))
+    ref = reference_evidence(seen, keys, gap, None, rows=rows).crossJoin(table).groupBy("rule").agg(F.count("*").alias("references"), F.count_if(keep).alias("promoted_references"))
     out = done.join(ref, "rule", "left").crossJoin(F.broadcast(capture))  # one row
     recall = F.try_divide("promoted_references", "references")
     return out.withColumns(
@@ -141,9 +145,10 @@ def select_rule(grid: DataFrame) -> DataFrame:
 def promotion_effect(flows: DataFrame, keys: list[str], gap: int, alert: float, promote: float, capture: DataFrame) -> DataFrame:
     """One row: incidents, false, true and mixed ones, references found, recall, precision and rates before and after
     promotion, and the reductions."""
-    seen = with_session_evidence(flows, keys, gap, alert)
+    rows = flows.count()
+    seen = with_session_evidence(flows, keys, gap, alert, rows=rows)
     per = seen.where("session is not null").groupBy(*keys, "session").agg(F.first("top").alias("top"), F.count("*").alias("n"), F.sum("label").alias("attack"))
-    ref = reference_evidence(seen, keys, gap).where("category = 'ALL_ATTACKS'")
+    ref = reference_evidence(seen, keys, gap, None, rows=rows)
     stages = {"all": F.lit(True), "promoted": F.col("top") >= promote}
     counted = per.agg(*(x for s, c in stages.items() for x in (
         F.count_if(c).alias(f"{s}_incidents"), F.count_if(c & (F.col("attack") == 0)).alias(f"{s}_false"), F.count_if(c & (F.col("attack") > 0)).alias(f"{s}_true"), F.count_if(c & (F.col("attack") > 0) & (F.col("attack") < F.col("n"))).alias(f"{s}_mixed"))))
@@ -157,7 +162,8 @@ def promotion_effect(flows: DataFrame, keys: list[str], gap: int, alert: float,
 
 def category_metrics(flows: DataFrame, keys: list[str], gap: int, alert: float, promote: float, least: int = 20) -> DataFrame:
     """Recall of flows and of reference incidents by category: found by any incident, and by a promoted one."""
-    ref = reference_evidence(with_session_evidence(flows, keys, gap, alert), keys, gap)
+    rows = flows.count()
+    ref = reference_evidence(with_session_evidence(flows, keys, gap, alert, rows=rows), keys, gap, rows=rows)
     out = ref.groupBy("category").agg(F.sum("flows").alias("attack_flows"), F.sum("hits").alias("detected_flows"), F.count("*").alias("references"), n_if("hits > 0").alias("detected"), F.count_if(F.col("top") >= promote).alias("promoted"))
     share = lambda a, b: F.col(a) / F.col(b)
     return out.withColumns({"flow_recall": share("detected_flows", "attack_flows"), "recall": share("detected", "references"), "promoted_missed": F.col("references") - F.col("promoted"), "promoted_recall": share("promoted", "references"), "sufficient_ground_truth": F.col("references") >= least})
@@ -167,10 +173,11 @@ def stage_comparison(flows: DataFrame, keys: list[str], gap: int, alert: float,
     """Long table by period and stage (flows, incidents, promoted): volume, false ones, recall, precision, rates.
     Every period is grouped for itself."""
     keyed = [period, *keys]
-    seen = with_session_evidence(flows, keyed, gap, alert)
+    rows = flows.count()
+    seen = with_session_evidence(flows, keyed, gap, alert, rows=rows)
     hours = flows.groupBy(period).agg(((F.max("t") - F.min("t") + 1) / per_hour).alias("hours"))
     per = seen.where("session is not null").groupBy(*keyed, "session").agg(F.first("top").alias("top"), F.count("*").alias("n"), F.sum("label").alias("attack"))
-    ref = reference_evidence(seen, keyed, gap).where("category = 'ALL_ATTACKS'").groupBy(period).agg(F.count("*").alias("references"), n_if("hits > 0").alias("incidents"), F.count_if(F.col("top") >= promote).alias("promoted"), F.sum("flows").alias("attacks"), F.sum("hits").alias("flows"))
+    ref = reference_evidence(seen, keyed, gap, None, rows=rows).groupBy(period).agg(F.count("*").alias("references"), n_if("hits > 0").alias("incidents"), F.count_if(F.col("top") >= promote).alias("promoted"), F.sum("flows").alias("attacks"), F.sum("hits").alias("flows"))
     ref = ref.select(period, F.explode(F.array(*(F.struct(F.lit(s).alias("stage"), F.col(s).alias("found"), F.col(n).alias("wanted")) for s, n in (("flows", "attacks"), ("incidents", "references"), ("promoted", "references"))))).alias("x")).select(period, "x.*")
     some = lambda s, x, false: x.groupBy(period).agg(F.count("*").alias("objects"), F.count_if(false).alias("false_objects")).withColumn("stage", F.lit(s))
     none = F.col("attack") == 0

@@ -25,7 +25,7 @@ def alerting(spark, sf_dir):
 
 
 def members(spark, sf_dir):
-    return inc.gap_sessions(alerting(spark, sf_dir), KEYS, P.gap)
+    return inc.gap_sessions(alerting(spark, sf_dir), KEYS, P.gap, rows=flows_li(spark, sf_dir).count())
 
 
 def found(spark, sf_dir):
