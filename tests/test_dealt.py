@@ -27,3 +27,24 @@ def test_sessions_follow_the_rows(spark, monkeypatch):
     assert all(", 40), REPARTITION_BY_NUM" in p for p in plans.values())
     # over all attacks only, no row is doubled for a category that is dropped
     assert "Generate explode(array(ALL_ATTACKS" not in plans["effect"] and "Generate explode(array(ALL_ATTACKS" in plans["categories"]
+
+
+def test_stacker_fits_rows_in_partitions_that_follow_them(spark, monkeypatch):
+    from flowspark.plans import learning
+
+    class Seen(Exception):
+        pass
+
+    def seen(a, *more):
+        raise Seen(a.rdd.getNumPartitions(), a.storageLevel.useMemory)
+
+    monkeypatch.setattr(tables, "ROWS", 300)
+    monkeypatch.setattr(learning, "fit", seen)
+    rows = learning.split(spark, "/root/testdata/sf0.001")[0].count()
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    try:
+        learning.stacker(spark, "/root/testdata/sf0.001")
+        raise AssertionError("no fit")
+    except Seen as e:
+        assert e.args == (-(-rows // 300), True) and rows > 3000
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
