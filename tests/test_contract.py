@@ -136,3 +136,33 @@ def test_learning_stores_no_column_that_follows_from_the_part(spark):
     stored = spark.read.parquet(*d.inputFiles()).columns
     assert not {names[c] for c in ct.BASELINE} & set(stored) and {names[c] for c in ct.TEMPORAL} < set(stored)
     assert len(d.columns) == 130
+
+
+def test_shuffles_carry_nothing_that_follows_from_other_columns(spark):
+    """Inputs of features, classes of ports and quotients are made after the shuffles; windows by like keys share a sort."""
+    from flowspark.plans import tables
+
+    table = tables.metered(spark, "/root/testdata/sf0.001")
+    plan = table._jdf.queryExecution().optimizedPlan()
+    dealt, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "RepartitionByExpression":
+            dealt.append([node.output().apply(i).name() for i in range(node.output().size())])
+    raw = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "Protocol", "Timestamp"]
+    wide, narrow = sorted(dealt, key=len, reverse=True)
+    assert narrow == raw and wide[:6] == raw and len(wide) == 6 + 19
+    assert not [c for c in wide if "ratio" in c or "mean" in c or "diversity" in c]
+    assert table._jdf.queryExecution().executedPlan().toString().count(" Sort [") == 6
+
+
+def test_columns_made_after_the_shuffles_give_the_same_features(spark):
+    from flowspark.operators.features import causal, flow_features
+
+    df = spark.range(600).selectExpr("id", "id * 37 % 211 t", "if(id % 50 = 7, null, id % 7) src", "id % 5 dst", "id % 3 sport", "id % 2 dport", "6 + 11 * (id % 2) proto", "if(id % 9 = 4, null, id % 13 / 4.0) bytes", "id % 4 packets", "id % 2 syn", "id % 3 rst")
+    made = {"bytes": F.expr("if(id % 9 = 4, null, id % 13 / 4.0)"), "dst": F.expr("id % 5"), "src": F.expr("if(id % 50 = 7, null, id % 7)"), "syn": F.expr("id % 2")}
+    rows = lambda d: sorted(map(str, d.select("id", *(f.name for f in flow_features())).collect()))
+    late = causal(df.drop(*made), flow_features(), made=made)
+    assert late.columns == [*df.drop(*made).columns, *(f.name for f in flow_features())]
+    assert rows(late) == rows(causal(df, flow_features()))
