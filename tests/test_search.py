@@ -61,3 +61,18 @@ def test_pairs_of_scores_are_counted_before_they_are_blended(spark):
     assert one(counts, "n") == one(long, None)
     rates = lambda d, n: sorted(map(str, ev.confusion(d.withColumn("predicted", (F.col("s") >= 0.5).cast("int")), ["candidate"], n=n).collect()))
     assert rates(counts, "n") == rates(long, None)
+
+
+def test_partitions_of_a_search_follow_rows_and_cores_and_models_go(spark, monkeypatch):
+    """Many small partitions are joined before the fits, and what a model scores is written by its own task."""
+    df = spark.range(0, 400, 1, 40).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 7 > 3).cast("int").alias("label"), (F.col("id") % 2).cast("int").alias("fold"))
+    fits, results, real_scored, fitted = [], [], ml.scored, ml.fitted
+    monkeypatch.setattr(ml, "scored", lambda model, rows, *more: fits.append(rows.rdd.getNumPartitions()) or real_scored(model, rows, *more))
+    monkeypatch.setattr(ml, "fitted", lambda *a: results.extend(fitted(*a)) or results)
+    got = ml.search(df, ["x"], [{"maxDepth": 1, "numTrees": 1, "subsamplingRate": 1.0, "minInstancesPerNode": 1}], folds=2).first()
+    assert fits == [spark.sparkContext.defaultParallelism] * 2 and got.recall == got.roc_auc == 1.0
+    assert all(set(r.columns) == {"fit", "fold", "hit", "s", "pos", "neg"} and r.inputFiles() for r in results)
+    monkeypatch.setattr(ml, "PART_ROWS", 20)
+    fits.clear()
+    ml.search(df, ["x"], [{"maxDepth": 1, "numTrees": 1}], folds=2)
+    assert fits == [20, 20]
